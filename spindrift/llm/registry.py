@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import html_text, neighbours, packing, quality, sharding, token_counts, toxicity
+from spindrift.llm import decontamination, html_text, jaccard_join, neighbours, packing, quality, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +54,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op4_quality, op5_sharding, op6_packing, op7_toxicity, op9_html_text, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_decontamination, op3_jaccard_join, op4_quality, op5_sharding, op6_packing, op7_toxicity, op9_html_text, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
