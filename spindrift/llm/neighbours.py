@@ -196,7 +196,9 @@ def nearest(embeddings: DataFrame, k: int = 10, query_every: int = 100, probe_ra
         return pd.concat(out)
 
     hits = left.groupBy("list", "part").cogroup(right.groupBy("list", "part")).applyInPandas(best_in, "query_id long, rep long, score double")
-    merged = hits.groupBy("query_id", "rep").agg(F.min("score").alias("score"))
+    # k + 1 vectors are enough for each query: each holds a vec_id of its own, one of which may be the query's
+    first = Window.partitionBy("query_id").orderBy("score", "rep")
+    merged = hits.groupBy("query_id", "rep").agg(F.min("score").alias("score")).withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
     near = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
         merged.join(distinct.select("rep", "ids"), "rep").select("query_id", F.explode("ids").alias("vec_id"), "score").where("query_id != vec_id")
