@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import decontamination, html_text, jaccard_join, neighbours, packing, quality, sharding, token_counts, toxicity
+from spindrift.llm import decontamination, html_text, jaccard_join, neighbours, packing, quality, secrets, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -54,6 +58,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_decontamination, op3_jaccard_join, op4_quality, op5_sharding, op6_packing, op7_toxicity, op9_html_text, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_decontamination, op3_jaccard_join, op4_quality, op5_sharding, op6_packing, op7_toxicity, op8_secrets, op9_html_text, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
