@@ -108,13 +108,12 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items (by item_id and text) once, at the best place; of equally good places the first
     counts.  Empty tables give no rows.  Other columns than doc_id, text, item_id are not read.
     """
-    spark = documents.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), spaced(F.col("text")).alias("text")).where("item_id is not null and text != ''").distinct()
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), spaced(F.col("text")).alias("text"))
     names = [x.split()[0] for x in LEAKS.split(", ")]
+    result = None
+    for index in _slices(benchmark):
 
-    def over(index) -> DataFrame:
-        def run(batches):
+        def run(batches, index=index):
             for batch in batches:
                 for begin, end in textscan.blocks(batch["text"]):
                     ids = batch["doc_id"].slice(begin, end - begin)
@@ -123,9 +122,16 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                         columns = [*zip(*found, strict=True)]
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0])), *(pa.array(c, pa.int64()) for c in columns[1:])], names=names)
 
-        return rows.mapInArrow(run, LEAKS)
+        part = rows.mapInArrow(run, LEAKS)
+        result = part if result is None else result.unionAll(part)
+    return documents.sparkSession.createDataFrame([], LEAKS) if result is None else result
+
 
-    result, held, size = None, [], 0
+def _slices(benchmark: DataFrame):
+    """Broadcast indices over the benchmark's items, SLICE_WORDS words or little more in each."""
+    context = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), spaced(F.col("text")).alias("text")).where("item_id is not null and text != ''").distinct()
+    held, size = [], 0
     for item in items.orderBy("item_id", "text").toLocalIterator():
         words, _ = textscan.word_hashes(pa.array([item["text"]]))
         if len(words) < LEAST_WORDS:
@@ -133,15 +139,23 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         held.append((item["item_id"], words))
         size += len(words)
         if size >= SLICE_WORDS:
-            part = over(spark.sparkContext.broadcast(Index(held)))
-            result, held, size = part if result is None else result.unionAll(part), [], 0
+            yield context.broadcast(Index(held))
+            held, size = [], 0
     if held:
-        part = over(spark.sparkContext.broadcast(Index(held)))
-        result = part if result is None else result.unionAll(part)
-    return spark.createDataFrame([], LEAKS) if result is None else result
+        yield context.broadcast(Index(held))
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark passage, with all their columns.  Rows with a null doc_id stay only if no such row leaks."""
-    leaking = find_leaks(documents, benchmark).select(F.col("doc_id").alias("_leaking")).distinct()
-    return documents.join(leaking, documents["doc_id"].eqNullSafe(leaking["_leaking"]), "left_anti")
+    """The documents that hold no benchmark passage, with all their columns; one pass for each slice of the benchmark, no shuffle."""
+    for index in _slices(benchmark):
+
+        def run(batches, index=index):
+            for batch in batches:
+                text = batch["_spaced"]
+                rest = batch.drop_columns(["_spaced"])
+                for begin, end in textscan.blocks(text):
+                    leaking = {x[0] for x in index.value.leaks(*textscan.word_hashes(text.slice(begin, end - begin)))}
+                    yield rest.slice(begin, end - begin).filter(pa.array([n not in leaking for n in range(end - begin)]))
+
+        documents = documents.withColumn("_spaced", spaced(F.col("text"))).mapInArrow(run, documents.schema)
+    return documents

@@ -211,6 +211,21 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, apart,
     return [(r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))]
 
 
+def _fitted(documents: DataFrame, labels: DataFrame, docs: int, most_bytes: int):
+    sample = labelled_sample(documents, labels, "quality", held_out(), docs, most_bytes)
+    return documents.sparkSession.sparkContext.broadcast(fit([t for t, _ in sample], [g for _, g in sample]))
+
+
+def _scored(batches, shared):
+    """(rows, their scores), some rows at a time."""
+    model = shared.value
+    for batch in batches:
+        for begin, end in textscan.blocks(batch["text"]):
+            part = batch.slice(begin, end - begin)
+            raw, row_at = joined(part["text"].to_pylist())
+            yield part, squash(model["offset"] + model["slope"] * bad_parts(model, *line_features(raw, row_at)))
+
+
 def score(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted for every row.
 
@@ -219,19 +234,22 @@ def score(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOC
     scores their smoothed mean.  Columns other than doc_id and text are not read, and
     of labels only doc_id and quality.
     """
-    spark = documents.sparkSession
-    sample = labelled_sample(documents, labels, "quality", held_out(), sample_docs, sample_bytes)
-    shared = spark.sparkContext.broadcast(fit([t for t, _ in sample], [g for _, g in sample]))
+    shared = _fitted(documents, labels, sample_docs, sample_bytes)
 
     def run(batches):
-        model = shared.value
-        for batch in batches:
-            texts = batch["text"]
-            for begin, end in textscan.blocks(texts):
-                raw, row_at = joined(texts.slice(begin, end - begin).to_pylist())
-                part = bad_parts(model, *line_features(raw, row_at))
-                result = squash(model["offset"] + model["slope"] * part)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(begin, end - begin), pa.array(result), pa.array(result >= GOOD_SCORE).cast(pa.int32())], names=["doc_id", "score", "predicted"])
+        for part, result in _scored(batches, shared):
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(result), pa.array(result >= GOOD_SCORE).cast(pa.int32())], names=["doc_id", "score", "predicted"])
 
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int").select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """The documents whose score is at least GOOD_SCORE, with all their columns, in the one pass that scores them."""
+    shared = _fitted(documents, labels, sample_docs, sample_bytes)
+
+    def run(batches):
+        for part, result in _scored(batches, shared):
+            yield part.filter(pa.array(result >= GOOD_SCORE))
+
+    return documents.mapInArrow(run, documents.schema)

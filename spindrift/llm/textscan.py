@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -69,7 +70,7 @@ def units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about most bytes; one row at least."""
-    sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start = 0
     while start < len(sizes):
         end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), most)))
