@@ -1,0 +1,196 @@
+"""Scalar text functions as Column expressions, all evaluated in the JVM."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# The synonym groups of query expansion.
+SYNONYM_GROUPS = [
+    "delete remove unlink destroy drop erase clear",
+    "create make build initialize generate construct new add",
+    "get fetch retrieve load find query lookup read obtain",
+    "update modify patch change edit mutate set alter",
+    "send dispatch emit publish broadcast push notify",
+    "receive listen subscribe consume handle accept",
+    "validate check verify assert ensure test confirm",
+    "parse decode deserialize extract unwrap",
+    "format serialize encode stringify render marshal",
+    "connect open establish init start begin launch",
+    "disconnect close terminate stop end shutdown teardown",
+    "authenticate login signin authorize auth",
+    "cache memoize store buffer persist save",
+    "transform convert map translate adapt",
+    "filter select where exclude reject omit",
+    "sort order rank arrange",
+    "merge combine join concat aggregate union",
+    "split separate divide chunk partition",
+    "error exception failure fault issue problem",
+    "log trace debug print output record",
+    "config configuration settings options preferences params",
+    "middleware interceptor hook plugin handler",
+    "route endpoint path url uri",
+    "component widget element view template",
+    "service provider manager controller handler",
+    "model entity schema type interface struct",
+    "repository store dao storage persistence",
+    "event signal message notification callback",
+]
+# Words that are never identifiers (compared in lower case).
+STOP_WORDS = (
+    "function class interface const let var return import export from this true false null undefined void public private protected static async await new type enum struct trait "
+    "impl pub fn mod use def self for while if else elif and or not break continue switch case default try catch finally throw throws package "
+    "string number boolean any array object the that with when where what which who why how editor highlighted"
+).split()
+# File extensions of known languages.
+LANGUAGES = {
+    "typescript": "ts mts cts", "tsx": "tsx", "javascript": "js jsx mjs cjs", "python": "py pyi", "go": "go", "rust": "rs", "java": "java", "c_sharp": "cs", "c": "c",
+    "cpp": "h cpp cc cxx hpp hh hxx ipp", "ruby": "rb", "php": "php", "kotlin": "kt kts", "swift": "swift",
+}
+# Credential files and folders.
+KEY_FILES = (
+    r"(?i:\.(pem|key|pfx|p12|jks|keystore|pkcs12|crt|cer)$)|^id_(rsa|ed25519|ecdsa|dsa)$|(?i:^\.env(\..+)?$)|^\.npmrc$|(?i:^\.netrc$)|^\.pgpass$|^\.htpasswd$|^\.git-credentials$"
+    r"|(?i:^credentials$)|\.tfstate(\.backup)?$|^secrets?\.(json|ya?ml|toml|properties)$"
+)
+KEY_FOLDERS = (".aws", ".ssh", ".gnupg", ".kube", ".docker")
+# What looks like a secret.
+SECRET = (
+    r"\b(?:sk|pk|rk|pa|ghp|gho|ghu|ghs|xox[a-z])[-_][A-Za-z0-9_\-]{16,}|\bAKIA[0-9A-Z]{16}\b|\bAIza[0-9A-Za-z_\-]{30,}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"|(?i)\b(?:api[-_ ]?key|secret|token|password|passwd|credential)s?\b\s*[:=]\s*\S{8,}"
+)
+CODE_FILE = r"(?i)[A-Za-z0-9_./-]+\.(ts|tsx|js|jsx|mjs|cjs|py|go|rs|java|cs|rb|php|kt|swift|c|h|cpp|hpp|json|ya?ml|toml)\b"
+CODE_NOUN = r"(?i)\b(class|function|method|struct|interface|enum|decorator|module|middleware|endpoint|route|handler|schema|config)\b"
+ASKING = r"(?i)\b(how|why|what|where|when)\b|\?$|\bexplain|overview of|walk me through\b"
+
+
+def tokens(text: Column) -> Column:
+    """Lower-case runs of letters and digits, in order (the full-text tokenizer without stemming)."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def query_terms(text: Column, most: int = 16) -> Column:
+    """The distinct query words [a-z0-9_]{2,}, the first 16 of them."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0))), 1, most)
+
+
+def split_identifier(name: Column) -> Column:
+    """The words of a camelCase, snake_case or kebab-case name; empty if it is one word."""
+    spaced = F.trim(F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "[_-]+", " "))
+    return F.when(F.contains(spaced, F.lit(" ")), spaced).otherwise(F.lit(""))
+
+
+def symbol_text(symbol: Column, parent: Column) -> Column:
+    """A symbol and its parent, each with its words."""
+    parts = F.filter(F.array(symbol, split_identifier(symbol), parent, split_identifier(parent)), lambda x: x.isNotNull() & (x != ""))
+    return F.array_join(parts, " ")
+
+
+def normalize(text: Column) -> Column:
+    """Letters and digits in lower case, nothing else."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "")
+
+
+def identifiers(text: Column) -> Column:
+    """Identifier tokens that are not stop words, with repeats, in order."""
+    found = F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))
+    return F.filter(found, lambda t: ~F.lower(t).isin(STOP_WORDS))
+
+
+def query_signals(query: Column) -> Column:
+    """Distinct normalised identifiers and word parts of a query, of three letters at least."""
+    parts = F.concat(identifiers(query), F.split(query, r"[\s./#:_-]+"))
+    return F.array_distinct(F.filter(F.transform(parts, normalize), lambda t: (F.length(t) >= 3) & ~t.isin(STOP_WORDS)))
+
+
+def query_shape(query: Column) -> Column:
+    """struct(strong, weak, shape): does a query name a symbol ("definition") or describe an intent?"""
+    bare = F.filter(F.transform(F.split(query, r"[\s,;:?!()\[\]{}]+"), lambda t: F.regexp_replace(t, "[^A-Za-z0-9_]", "")), lambda t: F.length(t) >= 3)
+
+    def humps(t: Column) -> Column:
+        return F.length(F.regexp_replace(F.substring(t, 2, 1_000_000), "[^A-Z]", ""))
+
+    def named(t: Column) -> Column:
+        return t.rlike("^[A-Za-z]+(_[A-Za-z0-9]+)+$") | (humps(t) >= 2) | ((humps(t) == 1) & (F.length(t) >= 8)) | (t.rlike("[0-9]") & t.rlike("^[A-Za-z]"))
+
+    strong = query.rlike("[\"'`][^\"'`]+[\"'`]").cast("int") + query.rlike(CODE_FILE).cast("int") + F.size(F.filter(bare, named))
+    capitals = F.size(F.filter(bare, lambda t: ~named(t) & t.rlike("^[A-Z][a-z]+$")))
+    noun = query.rlike(CODE_NOUN).cast("int")
+    weak = F.when((strong == 0) & (capitals + noun >= 2) & query.rlike(ASKING) & (capitals == 0), 0).otherwise(capitals + noun)
+    return F.struct(strong.alias("strong"), weak.alias("weak"), F.when((strong > 0) | (weak >= 2), "definition").otherwise("intent").alias("shape"))
+
+
+def fusion_weights(shape: Column) -> Column:
+    """struct(vector, bm25): fixed weights of the two legs by query shape."""
+    return F.struct(F.when(shape == "definition", 0.55).otherwise(1.15).alias("vector"), F.when(shape == "definition", 1.6).otherwise(0.95).alias("bm25"))
+
+
+def synonyms() -> dict[str, list[str]]:
+    """Each word's first three synonyms over all its groups."""
+    out: dict[str, list[str]] = {}
+    for group in SYNONYM_GROUPS:
+        words = group.split()
+        for word in words:
+            known = out.setdefault(word, [])
+            known += [w for w in words if w != word and w not in known]
+    return {w: s[:3] for w, s in out.items()}
+
+
+def language_of(path: Column) -> Column:
+    """The language of a file by its extension, or null."""
+    extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    table = F.create_map(*[F.lit(x) for language, extensions in LANGUAGES.items() for e in extensions.split() for x in (e, language)])
+    return table[extension]
+
+
+def is_key_path(path: Column) -> Column:
+    """Does a path name credential material?"""
+    parts = F.split(path, "/")
+    return F.element_at(parts, -1).rlike(KEY_FILES) | F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: F.lower(s).isin(*KEY_FOLDERS))
+
+
+def is_binary(content: Column) -> Column:
+    """Does a control byte other than tab, line feed or carriage return stand in the first 8192 bytes?"""
+    return F.decode(F.substring(content, 1, 8192), "ISO-8859-1").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+
+
+def looks_like_secret(text: Column) -> Column:
+    return text.rlike(SECRET)
+
+
+def estimated_tokens(text: Column) -> Column:
+    """A quarter of the UTF-16 units, rounded up."""
+    return F.ceil(F.octet_length(F.encode(F.coalesce(text, F.lit("")), "UTF-16BE")) / 2 / 4).cast("long")
+
+
+def truncated(text: Column, most: int) -> Column:
+    """Head (70 %) and tail of a long text around a note."""
+    head = int(most * 0.7)
+    cut = F.concat(F.substring(text, 1, head), F.lit("\n... (truncated) ...\n"), F.right(text, F.lit(most - head)))
+    return F.when(F.length(text) <= most, text).otherwise(cut)
+
+
+def tags(text: Column, most: int = 5) -> Column:
+    """The first five distinct lookup tags of a note."""
+    found = F.regexp_extract_all(text, F.lit(r"[A-Z][a-z]+[A-Z][A-Za-z0-9_]+|[a-z_]{4,}"), F.lit(0))
+    return F.slice(F.array_distinct(F.transform(found, F.lower)), 1, most)
+
+
+def note_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{3,}"), F.lit(0))
+
+
+def token_overlap(a: Column, b: Column) -> Column:
+    """Common distinct tokens over the smaller set; 0 if either is empty."""
+    x, y = F.array_distinct(note_tokens(a)), F.array_distinct(note_tokens(b))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y)))
+
+
+def note_problem(text: Column) -> Column:
+    """Why a note must not be remembered, or null."""
+    bare = F.trim(text)
+    return F.when((F.length(bare) < 5) | (F.length(bare) > 500), "length").when(looks_like_secret(bare), "secret")
+
+
+def like_prefix(path: Column, prefix: Column) -> Column:
+    """Prefix match as LIKE does it: no regard to ASCII case, _ and % in the prefix being wild."""
+    return F.like(F.lower(path), F.concat(F.lower(prefix), F.lit("%")))

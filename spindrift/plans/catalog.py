@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from spindrift.plans import search  # noqa: F401
+from spindrift.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
