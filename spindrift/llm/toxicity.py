@@ -257,7 +257,7 @@ def fit(texts: list[str], toxic: list[int]) -> Machine:
         y = np.concatenate((np.ones(len(positive)), -np.ones(len(harmless))))
         weight = np.array([min(50.0, telling[w]) for w in positive])
         often = np.sqrt([clean[w] for w in harmless])
-        share = np.concatenate((weight / weight.sum(), 6 * often / often.sum()))
+        share = np.concatenate((weight / max(weight.sum(), 1e-9), 6 * often / max(often.sum(), 1e-9)))
 
         def slope(w, x=x, y=y, share=share):
             miss = np.maximum(0, 1 - y * (x @ w))
