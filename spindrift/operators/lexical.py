@@ -37,19 +37,19 @@ def bm25(chunks: DataFrame, queries: DataFrame, top_k: int, weights: tuple[float
     """
     asked = F.broadcast(phrases(queries).withColumn("head", F.col("words")[0]))
     heads = [r["head"] for r in asked.select("head").distinct().limit(MOST_HEADS + 1).collect()]
-    tokenized = chunks.select("rowid", "path", *[X.tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"_{c}") for c in columns])
-    sized = tokenized.withColumn("n_tokens", sum((F.size(f"_{c}") for c in columns), F.lit(0)))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean"))
-    present = F.array_distinct(F.concat(*[F.col(f"_{c}") for c in columns]))
+    # a generator between the tokens and their uses, so that each text is tokenized once and not once for each use
+    tokens = F.explode(F.array(F.struct(*[X.tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns])))
+    sized = chunks.select("rowid", "path", tokens.alias("t")).withColumn("n_tokens", sum((F.size(f"t.{c}") for c in columns), F.lit(0)))
+    present = F.concat(*[F.col(f"t.{c}") for c in columns])
     if len(heads) <= MOST_HEADS:  # else the join alone sorts them out
         present = F.array_intersect(present, F.array(*map(F.lit, heads)).cast("array<string>"))
-    words = sized.withColumn("head", F.explode(present))
-    counts = words.join(asked, "head").select(
-        "query_id", "term", "rowid", "path", "n_tokens", sum((F.lit(w) * occurrences(F.col(f"_{c}"), F.col("words")) for c, w in zip(columns, weights, strict=True)), F.lit(0.0)).alias("tf")
-    ).where("tf > 0")
+    words = sized.withColumn("head", F.explode(F.array_distinct(present)))
+    frequency = sum((F.lit(w) * occurrences(F.col(f"t.{c}"), F.col("words")) for c, w in zip(columns, weights, strict=True)), F.lit(0.0))
+    # this exchange of short rows serves the counts of rows and the scores alike
+    counts = words.join(asked, "head").select("query_id", "term", "rowid", "path", "n_tokens", frequency.alias("tf")).repartition("rowid").where("tf > 0")
+    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean"))
     spread = counts.groupBy("term").agg(F.countDistinct("rowid").alias("n_rows"))
-    corpus = F.broadcast(stats)
-    weighted = counts.join(F.broadcast(spread), "term").join(corpus, F.lit(True))
+    weighted = counts.join(F.broadcast(spread), "term").join(F.broadcast(stats), F.lit(True))
     idf = F.log((F.col("n") - F.col("n_rows") + 0.5) / (F.col("n_rows") + 0.5))
     part = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
     scored = weighted.groupBy("query_id", "rowid", "path").agg(F.sum(part).alias("score"))
