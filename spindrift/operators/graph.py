@@ -35,7 +35,7 @@ def source_edges(files: DataFrame) -> DataFrame:
     """EDGES of source files (path, contents, language): imports, exports, inheritance, and calls of imported names."""
     script = files.where(F.col("language").isin("typescript", "tsx", "javascript"))
     python, go, rust, java, sharp = (files.where(F.col("language") == x) for x in ("python", "go", "rust", "java", "c_sharp"))
-    pick = lambda c: F.explode(F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != ""))
+    pick = lambda c: F.explode(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""))
     out = []
     named = _found(script, r"import\s+(?:type\s+)?(?:\{([^}]+)\}|(\w+)(?:\s*,\s*\{([^}]+)\})?)\s+from\s+[\"']([^\"']+)[\"']", 4).where(F.col("g4").startswith("."))
     target = resolved(F.col("path"), F.col("g4"))

@@ -1,0 +1,112 @@
+"""Directories, logs and settings as DataFrames."""
+
+from __future__ import annotations
+
+import json
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spindrift.functions import text as X
+
+# Folders that are never read.
+SKIPPED = ("node_modules", "dist", "build", "out", "coverage", "vendor", "target", "__pycache__")
+MOST_BYTES = 1 << 20
+
+
+def scan(spark: SparkSession, root: str, ignored: list[str] | None = None) -> DataFrame:
+    """path, bytes, reason (null: kept) of all files below a folder; contents are not read for this.
+
+    The first rule that applies names the reason: skipped folder, credential, ignore pattern, size.  Files whose
+    own name begins with a dot or an underscore are not listed by Spark at all.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
+    path = F.regexp_replace(F.col("path"), f"^.*?{re.escape(base)}/", "")
+    parts = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
+    hidden = F.exists(parts, lambda p: p.isin(*SKIPPED) | (p.startswith(".") & (p != ".github")))
+    matched = F.lit(False)
+    for pattern in ignored or []:
+        matched = F.when(F.col("path").rlike(glob(pattern.removeprefix("!"))), F.lit(not pattern.startswith("!"))).otherwise(matched)
+    reason = F.when(hidden, "folder").when(X.is_key_path(F.col("path")), "credential").when(matched, "ignored").when(F.col("bytes") > MOST_BYTES, "size")
+    return files.select(path.alias("path"), F.col("length").alias("bytes")).withColumn("reason", reason)
+
+
+def glob(pattern: str) -> str:
+    """An ignore pattern as a regular expression on relative paths: with a slash inside anchored, else at any depth."""
+    bare = pattern.strip("/")
+    known = {"**/": "(.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    body = "".join(known.get(part, re.escape(part)) for part in re.split(r"(\*\*/|\*\*|\*|\?)", bare))
+    start = "^" if "/" in pattern.rstrip("/") else "(^|/)"
+    return f"{start}{body}(/.*)" + ("" if pattern.endswith("/") else "?") + "$"
+
+
+def read(spark: SparkSession, root: str, ignored: list[str] | None = None) -> DataFrame:
+    """path, contents, hash, language of the kept text files."""
+    kept = scan(spark, root, ignored).where("reason is null").select("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
+    texts = files.withColumn("path", F.regexp_replace("path", f"^.*?{re.escape(base)}/", "")).join(kept, "path", "left_semi").where(~X.is_binary(F.col("content")))
+    contents = F.decode("content", "UTF-8")
+    return texts.select("path", contents.alias("contents"), F.sha2(F.concat(F.col("path"), contents), 256).alias("hash"), X.language_of(F.col("path")).alias("language"))
+
+
+def statistics(scanned: DataFrame, examples: int = 8) -> DataFrame:
+    """reason ("kept" where none), files, examples (the first by name)."""
+    named = scanned.withColumn("reason", F.coalesce("reason", F.lit("kept")))
+    nth = F.row_number().over(Window.partitionBy("reason").orderBy("path"))
+    shown = named.withColumn("nth", nth).where(F.col("nth") <= examples).groupBy("reason").agg(F.sort_array(F.collect_set("path")).alias("examples"))
+    return named.groupBy("reason").agg(F.count(F.lit(1)).alias("files")).join(shown, "reason")
+
+
+def audit_log(spark: SparkSession, path: str, kind: str | None = None, since: str | None = None, until: str | None = None, last: int | None = None) -> DataFrame:
+    """seq, ts, type, data, prev, hash of a log of JSON lines; torn lines are left out."""
+    rows = spark.read.text(path).select(F.from_json("value", "seq long, ts string, type string, data string, prev string, hash string").alias("r")).where("r.seq is not null").select("r.*")
+    for wanted, condition in ((kind, F.col("type") == kind), (since, F.col("ts") >= F.lit(since)), (until, F.col("ts") <= F.lit(until))):
+        rows = rows.where(condition) if wanted is not None else rows
+    return rows if last is None else rows.orderBy(F.desc("seq")).limit(last)
+
+
+def sections(spark: SparkSession, path: str) -> DataFrame:
+    """place, title, scope, content of a guidelines file, split at its headings; scope from "[scope: a, b]" in the title."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    heading = F.col("line").rlike("^#{1,3}\\s+")
+    numbered = lines.withColumn("place", F.sum(heading.cast("int")).over(Window.orderBy("pos")))
+    title = F.max(F.when(heading, F.trim(F.regexp_replace("line", "^#{1,3}\\s+", "")))).alias("title")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~heading, F.struct("pos", "line")))), lambda x: x["line"]), "\n").alias("content")
+    scope = F.transform(F.split(F.regexp_extract("title", r"\[scope:\s*([^\]]+)\]", 1), ","), lambda x: F.trim(x))
+    return numbered.where("place > 0").groupBy("place").agg(title, body).select("place", "title", F.filter(scope, lambda s: s != "").alias("scope"), F.trim("content").alias("content"))
+
+
+def eval_cases(document: str) -> list[dict]:
+    """Checked evaluation cases from JSON text: an array, or an object with cases."""
+    found = json.loads(document)
+    cases = found["cases"] if isinstance(found, dict) else found
+    out, seen = [], set()
+    for case in cases:
+        expected = case.get("expectedPaths", case.get("expected"))
+        if not case.get("id") or not case.get("query") or not isinstance(expected, list):
+            raise ValueError(f"not a case: {case}")
+        if case["id"] in seen:
+            raise ValueError(f"two cases are named {case['id']}")
+        seen.add(case["id"])
+        out.append({"id": case["id"], "query": case["query"], "expected": [p.replace("\\", "/") for p in expected]})
+    return out
+
+
+def export_index(tables: dict[str, DataFrame], path: str, manifest: dict) -> None:
+    """Writes an index's tables as Parquet, and its manifest last, so that a torn export is not read."""
+    for name, frame in tables.items():
+        frame.write.mode("overwrite").parquet(f"{path}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(json.dumps(manifest | {"tables": sorted(tables)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_manifest")
+
+
+def import_index(spark: SparkSession, path: str, **expected) -> dict[str, DataFrame]:
+    """Reads an exported index whose manifest agrees with what is expected (model, dim, version, ...)."""
+    manifest = json.loads(spark.read.text(f"{path}/_manifest").first()[0])
+    for key, value in expected.items():
+        if manifest.get(key) != value:
+            raise ValueError(f"{key} is {manifest.get(key)!r}, not {value!r}")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in manifest["tables"]}
