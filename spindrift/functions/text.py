@@ -194,3 +194,34 @@ def note_problem(text: Column) -> Column:
 def like_prefix(path: Column, prefix: Column) -> Column:
     """Prefix match as LIKE does it: no regard to ASCII case, _ and % in the prefix being wild."""
     return F.like(F.lower(path), F.concat(F.lower(prefix), F.lit("%")))
+
+
+def short_number(n: Column) -> Column:
+    """A count in at most five characters: 950, 1.2k, 12k, 1.2m; rounded before the format is chosen."""
+    k = F.floor(n / 100 + 0.5) / 10
+    m = F.floor(n / 100_000 + 0.5) / 10
+    plain = F.floor(n + 0.5).cast("long").cast("string")
+    return F.when(n.isNull() | (n < 0), "0").when(n < 1000, plain).when(k < 10, F.concat(F.format_string("%.1f", k.cast("double")), F.lit("k"))).when(
+        k < 1000, F.concat(F.floor(k + 0.5).cast("long").cast("string"), F.lit("k"))
+    ).otherwise(F.concat(F.format_string("%.1f", m.cast("double")), F.lit("m")))
+
+
+def short_duration(ms: Column) -> Column:
+    return F.when(ms.isNull(), "").when(ms < 1000, F.concat(F.floor(ms + 0.5).cast("long").cast("string"), F.lit("ms"))).otherwise(F.concat(F.format_string("%.1f", ms / 1000), F.lit("s")))
+
+
+def risk(kind: Column, preview: Column, callers: Column) -> Column:
+    """How risky a change is, from 0 to 1: by kind, changed lines, callers and destructive commands."""
+    base = F.when(kind == "remove", 0.6).when(kind == "shell", 0.5).when(kind == "create", 0.15).otherwise(0.25)
+    changed = F.size(F.filter(F.split(preview, "\n"), lambda x: x.rlike("^[+-][^+-]")))
+    destructive = F.when(preview.rlike(r"(?i)\brm\s+-rf|\bgit\s+(reset|clean)\s+--?\w*(hard|f)|\bDROP\s+TABLE|\bforce\b"), 0.2).otherwise(0.0)
+    return F.least(F.lit(1.0), F.round(base + F.least(F.lit(0.25), changed / 200) + F.least(F.lit(0.25), callers / 40) + destructive, 2))
+
+
+def citation(path: Column, start: Column, end: Column) -> Column:
+    return F.concat(path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
+
+
+def in_scope(path: Column, patterns: Column) -> Column:
+    """Does any pattern of a guideline's scope end or stand in a path?  An empty scope holds everywhere."""
+    return (F.size(patterns) == 0) | F.exists(patterns, lambda p: path.endswith(F.regexp_replace(p, r"^\*+", "")) | F.contains(path, F.regexp_replace(p, r"\*+", "")))

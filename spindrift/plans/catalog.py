@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.plans import index, logs, search  # noqa: F401
+from spindrift.plans import index, logs, scalars, search  # noqa: F401
 from spindrift.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
