@@ -22,12 +22,12 @@ from spindrift.llm import storage
 SAMPLE_ROWS, LIST_ROWS, MOST_LISTS = 20_000, 128, 4096
 #: A vector goes into every list whose centroid is at most so many times as far as its nearest, to REPLICAS lists at most.
 REPLICAS, REPLICA_RATIO = 6, 1.15
-#: A query reads every list whose centroid is at most so many times as far as its nearest.
-PROBE_RATIO = 1.6
+#: A query reads every list whose centroid is at most so many times as far as its nearest, and LEAST_PROBES lists at least.
+PROBE_RATIO, LEAST_PROBES = 1.6, 32
 #: Neighbours of a centroid in the graph; centroids kept in a search for a query, and for a vector to be indexed.
-GRAPH_DEGREE, BEAM, HOME_BEAM = 24, 192, 32
-#: A list longer than this is read in parts.
-PART_ROWS = 20_000
+GRAPH_DEGREE, BEAM, HOME_BEAM = 24, 256, 32
+#: Lists are read in bundles of about so many rows, a longer list in parts.
+BUNDLE_ROWS = 8_000
 
 
 def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
@@ -126,6 +126,19 @@ def lists_of(ids: np.ndarray, far: np.ndarray, centroids: np.ndarray) -> list[li
     return out
 
 
+def bundles(counts: dict[int, int], most: int = BUNDLE_ROWS) -> list[tuple[int, int, int, int]]:
+    """(list, part, parts, bundle): neighbouring lists together up to most rows; a longer list in parts of its own."""
+    out, bundle, held = [], 0, 0
+    for place, count in sorted(counts.items()):
+        parts = math.ceil(count / most)
+        for part in range(parts):
+            if held and held + count // parts > most:
+                bundle, held = bundle + 1, 0
+            out.append((place, part, parts, bundle))
+            held += count // parts
+    return out
+
+
 def nearest(embeddings: DataFrame, k: int = 10, query_every: int = 100, probe_ratio: float = PROBE_RATIO) -> DataFrame:
     """The k nearest found for each vec_id divisible by query_every: query_id, rank, vec_id, score (Euclidean distance).
 
@@ -170,32 +183,36 @@ def nearest(embeddings: DataFrame, k: int = 10, query_every: int = 100, probe_ra
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def probes(column: pd.Series) -> pd.Series:
-        return pd.Series([row[reach <= probe_ratio * reach[0] + 1e-12].tolist() for ids, far in found(column, BEAM) for row, reach in zip(ids, far, strict=True)], dtype=object)
+        return pd.Series([row[(reach <= probe_ratio * reach[0] + 1e-12) | (np.arange(len(row)) < LEAST_PROBES)].tolist() for ids, far in found(column, BEAM) for row, reach in zip(ids, far, strict=True)], dtype=object)
 
     postings = storage.keep(distinct.select(F.explode(homes("v")).alias("list"), "rep", "v"), "ann-lists")
-    parts = {r["list"]: math.ceil(r["count"] / PART_ROWS) for r in postings.groupBy("list").count().collect()}
-    several = spark.createDataFrame([(c, p) for c, p in parts.items()], "list int, parts int")
+    counts = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}
+    several = spark.createDataFrame(bundles(counts), "list int, part int, parts int, bundle int")
     queries = rows.where((F.size("v") == dim) & (F.col("vec_id") % query_every == 0)).select(F.col("vec_id").alias("query_id"), "v").distinct()
-    left = postings.join(F.broadcast(several), "list").select("list", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "v")
-    right = (
-        queries.select("query_id", "v", F.explode(probes("v")).alias("list")).join(F.broadcast(several), "list")
-        .select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "v")
+    left = (
+        postings.join(F.broadcast(several.select("list", "parts").distinct()), "list").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        .join(F.broadcast(several), ["list", "part", "parts"]).select("bundle", "list", "part", "rep", "v")
     )
+    right = queries.select("query_id", "v", F.explode(probes("v")).alias("list")).join(F.broadcast(several), "list").select("bundle", "list", "part", "query_id", "v")
 
     def best_in(posted: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if posted.empty or asked.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        there, reps = np.array(posted["v"].tolist()), posted["rep"].to_numpy()
+        """The k + 1 nearest vectors of a bundle for each query, from the lists that it reads."""
+        near: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        readers = dict(iter(asked.groupby(["list", "part"])))
+        for place, there in posted.groupby(["list", "part"]):
+            if place in readers:
+                vectors, reps = np.array(there["v"].tolist()), there["rep"].to_numpy()
+                for q, v in zip(readers[place]["query_id"], readers[place]["v"], strict=True):
+                    near.setdefault(q, []).append((np.sqrt(((vectors - np.asarray(v)) ** 2).sum(1)), reps))
         out = []
-        for q, v in zip(asked["query_id"], asked["v"], strict=True):
-            score = np.sqrt(((there - np.asarray(v)) ** 2).sum(1))
-            # k besides the query's own vector; equal distances all stay within reach of the tie rule
-            bar = np.partition(score, k)[k] if len(score) > k + 1 else np.inf
-            take = np.flatnonzero(score <= bar)
-            out.append(pd.DataFrame({"query_id": q, "rep": reps[take], "score": score[take]}))
-        return pd.concat(out)
-
-    hits = left.groupBy("list", "part").cogroup(right.groupBy("list", "part")).applyInPandas(best_in, "query_id long, rep long, score double")
+        for q, found in near.items():
+            score, reps = (np.concatenate(x) for x in zip(*found, strict=True))
+            reps, first = np.unique(reps, return_index=True)  # a vector may stand in several lists, at one distance
+            take = np.lexsort((reps, score[first]))[: k + 1]
+            out.append(pd.DataFrame({"query_id": q, "rep": reps[take], "score": score[first][take]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+
+    hits = left.groupBy("bundle").cogroup(right.groupBy("bundle")).applyInPandas(best_in, "query_id long, rep long, score double")
     # k + 1 vectors are enough for each query: each holds a vec_id of its own, one of which may be the query's
     first = Window.partitionBy("query_id").orderBy("score", "rep")
     merged = hits.groupBy("query_id", "rep").agg(F.min("score").alias("score")).withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
