@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Word pairs up to this number are put into the plan.
+MOST_PAIRS = 2000
+
 
 def containing(documents: DataFrame, items: DataFrame) -> DataFrame:
     """item_id, doc_id of documents that hold an item's text exactly.
@@ -17,8 +20,12 @@ def containing(documents: DataFrame, items: DataFrame) -> DataFrame:
     wanted = items.where(F.length("text") > 0).select("item_id", F.col("text").alias("item"), words("text").alias("w"))
     long_items = wanted.where(F.size("w") >= 4).select("item_id", "item", F.array_join(F.slice("w", 2, 2), " ").alias("pair"))
     short_items = wanted.where(F.size("w") < 4).select("item_id", "item")
+    known = [r["pair"] for r in long_items.select("pair").distinct().limit(MOST_PAIRS + 1).collect()]
     neighbours = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.array_join(F.slice("w", k, 2), " "))
-    pairs = documents.select("doc_id", "text", words("text").alias("w")).where(F.size("w") >= 2).select("doc_id", "text", F.explode(F.array_distinct(neighbours)).alias("pair"))
+    present = F.array_distinct(neighbours)
+    if len(known) <= MOST_PAIRS:  # documents are reduced to the pairs asked for where they are read; else the join alone does it
+        present = F.array_intersect(present, F.array(*map(F.lit, known)).cast("array<string>"))
+    pairs = documents.select("doc_id", "text", words("text").alias("w")).where(F.size("w") >= 2).select("doc_id", "text", F.explode(present).alias("pair"))
     by_words = pairs.join(F.broadcast(long_items), "pair").where(F.contains(F.col("text"), F.col("item"))).select("item_id", "doc_id")
     by_text = documents.join(F.broadcast(short_items), F.contains(documents["text"], F.col("item"))).select("item_id", "doc_id")
     return by_words.unionAll(by_text).distinct()
