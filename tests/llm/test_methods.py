@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from spindrift.llm import bpe_transducer, decontamination, html_text, jaccard_join, neighbours, packing, quality, registry, secrets, sharding, toxicity
+from spindrift.llm import bpe_transducer, components, decontamination, html_text, jaccard_join, neighbours, packing, quality, registry, secrets, sharding, toxicity
 
 DATA = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -144,6 +144,14 @@ def test_large_group_is_compared_in_blocks(spark):
     assert got == brute_classes(texts)
 
 
+def test_long_chains_are_one_component(spark):
+    ids = random.Random(3).sample(range(10**6), 4000)
+    chains = [ids[:3000], ids[3000:]]
+    edges = [e for c in chains for e in zip(c, c[1:], strict=False)]
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), "chains").collect()}
+    assert got == {n: min(c) for c in chains for n in c}
+
+
 def test_pass_bar_keeps_likely_pairs():
     from math import comb
 
