@@ -144,8 +144,52 @@ def weigh(nodes: list[Node], body: Node) -> None:
         node.total = sum(x.density for x in node.inside if isinstance(x, Node) and not x.aside)
 
 
-def blocks(node: Node, keep) -> list[str]:
-    """Texts of a subtree's blocks."""
+def beside(nodes: list[Node], path: list[Node], threshold: float) -> dict[int, list]:
+    """For the body, the rest of the path and what is looked into beside it: what of their content stays.
+
+    Blocks beside the selected subtree stay that reach the threshold, or have as many characters other than
+    links' a tag as the least on the path, since density rises with size; and within one parent what stands between
+    such blocks, the headings before them, and the paragraphs and loose text where there are several.  Mostly links never stay.
+    """
+    least = min((n.chars - n.link_chars) / max(1, n.tags) for n in path)
+    prose = lambda n: n.chars and n.link_chars * 2 <= n.chars and not n.aside
+    opened = {id(n): n for n in path[1:]}
+    stays = {id(n) for n in path}
+    for n in nodes:
+        if n.up is not None and id(n.up) in opened and id(n) not in stays and n.tag in BLOCK:
+            if prose(n) and (n.density >= threshold or n.chars - n.link_chars >= least * max(1, n.tags)):
+                stays.add(id(n))
+            elif n.tag in CONTAINER:
+                opened[id(n)] = n
+    shown: dict[int, list] = {}
+    for n in reversed([x for x in nodes if id(x) in opened]):
+        chosen = [k for k, x in enumerate(n.inside) if (len(x.strip()) >= max(1, least) if isinstance(x, str) else id(x) in stays)]
+        shown[id(n)] = out = []
+        if not chosen:
+            continue
+        stays.add(id(n))
+        ahead, picked = False, set(chosen)
+        for k in range(len(n.inside) - 1, -1, -1):
+            x = n.inside[k]
+            within = chosen[0] < k < chosen[-1]
+            if k in picked:
+                ahead = True
+                out.append(x)
+            elif isinstance(x, str):
+                if within or len(chosen) > 1 or not x.strip():
+                    out.append(x)
+            elif x.tag == "br":
+                out.append(x)
+            elif prose(x) and (within or len(chosen) > 1 and x.tag not in CONTAINER or ahead and re.fullmatch("h[1-6]", x.tag)):
+                out.append(x)
+            elif x.chars:
+                ahead = False
+        out.reverse()
+    return shown
+
+
+def blocks(node: Node, keep, shown: dict[int, list]) -> list[str]:
+    """Texts of a subtree's blocks; of nodes in shown only what that tells."""
     out: list[str] = []
     line: list[str] = []
 
@@ -167,7 +211,7 @@ def blocks(node: Node, keep) -> list[str]:
             if x.tag in BLOCK:
                 close()
                 stack.append(None)
-            stack += reversed(x.inside)
+            stack += reversed(shown.get(id(x), x.inside))
     close()
     return out
 
@@ -177,8 +221,8 @@ def main_text(page: str | None) -> str:
 
     The container with the largest sum of its children's densities is selected,
     and with it the article or main element that holds it.  The least density on the path from there
-    to the body is the threshold: text beside the selected subtree within that element stays
-    if it reaches it or is the subtree's heading; nested containers that are mostly links go.
+    to the body is the threshold: within that element nested containers that are mostly links and do not reach it go.
+    Where no such element holds the container, text beside it stays by the rules of beside().
     """
     if not page:
         return ""
@@ -206,17 +250,19 @@ def main_text(page: str | None) -> str:
         node = node.up
     threshold = min(n.density for n in path)
     on_path = {id(n) for n in path}
+    marked = any(n.tag in ("article", "main") for n in path)
+    shown = {} if marked else beside(nodes, path, threshold)
 
     def keep(n: Node) -> bool:
         if n.aside:
             return False
-        if n.tag in CONTAINER and n is not whole and id(n) not in on_path:
+        if n.tag in CONTAINER and n is not whole and id(n) not in on_path and id(n) not in shown:
             # a list of links, not prose
             if n.link_chars * 2 > n.chars and n.density < threshold:
                 return False
         return True
 
-    return "\n".join(blocks(whole, keep))
+    return "\n".join(blocks(whole if marked else path[-1], keep, shown))
 
 
 def extract(pages: DataFrame) -> DataFrame:

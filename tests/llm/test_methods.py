@@ -255,6 +255,18 @@ def test_pages_equal_their_articles(spark):
     assert html_text.main_text(busy) == "T\nSome prose, at length, to read.\none\ntwo"
 
 
+@pytest.mark.parametrize("counts", [(3, 2), (5, 5, 5), (3, 3, 3, 3, 1), (1, 12, 2)])
+def test_pages_of_several_sections_without_article(counts):
+    prose = lambda n: " ".join(f"word{n}x{k}" for k in range(32))[:300].strip()
+    titles = [f"Part {s}" for s in range(len(counts))]
+    parts = [[prose(100 * s + k) for k in range(n)] for s, n in enumerate(counts)]
+    for outer in (False, True):
+        sections = "".join(f"<h2>{t}</h2><section>{''.join(f'<p>{p}</p>' for p in ps)}</section>" if outer else f"<section><h2>{t}</h2>{''.join(f'<p>{p}</p>' for p in ps)}</section>" for t, ps in zip(titles, parts, strict=True))
+        links = "".join(f"<li><a href=/{k}>Another page {k}</a></li>" for k in range(20))
+        page = f"<html><body><div class=menu><a href=/>home</a></div><div><ul>{links}</ul></div><div class=content>{sections}</div><div class=footer>All rights reserved</div></body></html>"
+        assert html_text.main_text(page) == "\n".join(x for t, ps in zip(titles, parts, strict=True) for x in (t, *ps))
+
+
 def test_pipeline_equals_stages_by_hand(spark, documents):
     import corpus_pipeline
 
