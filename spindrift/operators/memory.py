@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
@@ -50,14 +50,32 @@ def pruned(notes: DataFrame, most_days: float, most: int) -> DataFrame:
     return notes.where(F.col("age_days") < most_days).orderBy(F.desc(F.round(F.col("relevance") / (1 + F.col("age_days")), 9)), "id").limit(most)
 
 
+def overlap_candidates(candidates: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """a, b: the pairs of sets (id, w) that may share least of the smaller one's words, each once.
+
+    A set that shares so many has one of its rarest size - needed + 1 words among the other's, so
+    only these of the smaller set are joined with all words of the larger.
+    """
+    words = lambda d: d.select("id", F.size("w").alias("size"), F.explode("w").alias("w"))
+    a, b = words(candidates), words(known)
+    common = a.select("w").unionAll(b.select("w")).groupBy("w").agg(F.count(F.lit(1)).alias("times"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("times", "w"))
+    rare = lambda d: d.join(common, "w").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(least * F.col("size")) + 1)
+    named = lambda d, n: d.select("w", F.col("id").alias(n), F.col("size").alias(f"{n}_size"))
+    one = named(rare(a), "a").join(named(b, "b"), "w").where("a_size <= b_size")
+    two = named(a, "a").join(named(rare(b), "b"), "w").where("a_size > b_size")
+    return one.select("a", "b").unionAll(two.select("a", "b")).distinct()
+
+
 def not_paraphrased(candidates: DataFrame, known: DataFrame, least: float = 0.8) -> DataFrame:
     """Candidates (id, content) that neither equal a known note nor share 0.8 of the smaller one's words with it.
 
-    Pairs are made by common words only; a candidate that shares none cannot overlap.
+    Pairs are made by overlap_candidates() and compared exactly.
     """
-    words = lambda d, n: d.select(F.col("id").alias(n), F.array_distinct(X.note_tokens(F.col("content"))).alias("w")).select(n, F.size("w").alias(f"{n}_size"), F.explode("w").alias("w"))
-    shared = words(candidates, "a").join(words(known, "b"), "w").groupBy("a", "b", "a_size", "b_size").agg(F.count(F.lit(1)).alias("n"))
-    similar = shared.where(F.col("n") >= least * F.least("a_size", "b_size")).select(F.col("a").alias("id"))
+    sets = lambda d: d.select("id", F.array_distinct(X.note_tokens(F.col("content"))).alias("w")).where(F.size("w") > 0)
+    ours, theirs = sets(candidates), sets(known)
+    pairs = overlap_candidates(ours, theirs, least).join(ours.select(F.col("id").alias("a"), F.col("w").alias("x")), "a").join(theirs.select(F.col("id").alias("b"), F.col("w").alias("y")), "b")
+    similar = pairs.where(F.size(F.array_intersect("x", "y")) >= least * F.least(F.size("x"), F.size("y"))).select(F.col("a").alias("id"))
     equal = candidates.select("id", F.lower("content").alias("c")).join(known.select(F.lower("content").alias("c")), "c", "left_semi").select("id")
     return candidates.join(similar.union(equal).distinct(), "id", "left_anti")
 

@@ -110,6 +110,23 @@ def test_audit_chain(spark):
     assert broken([r if r[0] != 6 else (*r[:4], "x", r[5]) for r in rows]) == [(6, "link")]
 
 
+def test_paraphrases_equal_brute_force_without_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    notes = {n: {"the", *(f"w{rng.randrange(400)}" for _ in range(rng.randrange(1, 14)))} for n in range(300)}
+    notes |= {n + 300: {w for w in notes[n] if rng.random() < 0.9} | {f"z{n}"} for n in range(100)} | {400: set(), 401: {"the"}, 402: {f"w{k}" for k in range(4)}, 403: {f"w{k}" for k in range(5)}}
+    rows = spark.createDataFrame([(n, " ".join(sorted(w))) for n, w in notes.items()], "id long, content string")
+    ours, theirs = rows.where("id % 2 = 1 or id >= 350"), rows.where("id % 2 = 0 and id < 350")
+    split = lambda d: {r["id"]: set(r["content"].split()) & {w for w in r["content"].split() if len(w) > 2} for r in d.collect()}
+    a, b = split(ours), split(theirs)
+    texts = {r["content"] for r in theirs.collect()}
+    expected = {n for n, x in a.items() if " ".join(sorted(notes[n])) not in texts and not any(x and y and len(x & y) >= 0.8 * min(len(x), len(y)) for y in b.values())}
+    assert 0 < len(expected) < len(a) and {r["id"] for r in memory.not_paraphrased(ours, theirs).collect()} == expected
+    sets = lambda d: d.selectExpr("id", "split(content, ' ') as w").where("content != '' and id != 401")
+    assert memory.overlap_candidates(sets(ours), sets(theirs), 0.8).count() < len(a) * len(b) / 4
+
+
 def test_harvest(spark):
     texts = [(1, "I found that the loader lives in src/core/loader.ts today. Fine."), (2, "I doubt the project uses a very large database of things."), (3, "```the system uses a very large cache of things```"), (4, "The system uses token: abcdefghijklmnop for access.")]
     out = [tuple(r) for r in memory.harvest(columns(spark, texts, "id long, text string"), memory.ANSWER_FACTS).collect()]
