@@ -150,11 +150,12 @@ def fk_graph_expand(spark, sf_dir):
     return graph.expand(ranked, edges).withColumn("score", F.round("score", 6))
 
 
-def result_rows(spark, sf_dir):
-    """Windows of the documents' lines as results of two queries, with a score that any engine can compute."""
+def result_rows(spark, sf_dir, whole=False):
+    """Windows of the documents' lines as results, with a score that any engine can compute: of two queries over the first 400 doc_ids, as the SQL below has it, or of a query for each hundred doc_ids."""
     cut = chunking.windows(files(spark, sf_dir), 4, 1).withColumn("path", F.element_at(F.split("path", "/"), -1))
     n = F.col("path").cast("long")
-    return cut.where(n < 400).select((n % 2).alias("query_id"), F.concat(F.lit("f"), (n % 50).cast("string")).alias("path"), (F.col("start_line") + n * 3).cast("int").alias("start_line"), (F.col("end_line") + n * 3).cast("int").alias("end_line"), "contents", ((n * 37 + F.col("start_line") * 11) % 101 / 10.0).alias("score"), n.alias("n"))
+    rows, query_id = (cut, F.floor(n / 100)) if whole else (cut.where(n < 400), n % 2)
+    return rows.select(query_id.alias("query_id"), F.concat(F.lit("f"), (n % 50).cast("string")).alias("path"), (F.col("start_line") + n * 3).cast("int").alias("start_line"), (F.col("end_line") + n * 3).cast("int").alias("end_line"), "contents", ((n * 37 + F.col("start_line") * 11) % 101 / 10.0).alias("score"), n.alias("n"))
 
 
 _RESULTS = f"""w AS (SELECT CAST(string_split(path, '/')[2] AS BIGINT) AS n, l, unnest(range(1, greatest(1, CAST(ceil((len(l) - 4) / 3.0) AS INT) * 3 + 1) + 1, 3)) AS s FROM ({_LINES})),
@@ -176,9 +177,10 @@ def span_merge(spark, sf_dir):
 
 @query()
 def pack_budget(spark, sf_dir):
-    rows = result_rows(spark, sf_dir)
+    """All documents' windows, a query for each hundred documents."""
+    rows = result_rows(spark, sf_dir, whole=True)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "n", "start_line"))
-    return packing.pack(rows.withColumn("rank", rank).where("rank <= 60").withColumn("symbol", F.lit("Thing")), 8000, 3000)
+    return packing.pack(rows.withColumn("rank", rank).withColumn("symbol", F.lit("Thing")), 8000, 3000)
 
 
 _MAP = """d AS (SELECT source AS path, lang AS symbol, min(doc_id) AS start_line FROM documents GROUP BY ALL), w AS (SELECT path, count(*) AS weight FROM d GROUP BY path),

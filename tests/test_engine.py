@@ -94,6 +94,15 @@ def test_packing_stays_in_budget(spark):
     assert out["output"].startswith("Relevant context (packed): ") and out["chars"] == len(out["output"]) <= 1100 and "Symbols: Thing" in out["output"]
 
 
+def test_packing_query_sees_all_documents(spark):
+    from spindrift.plans import index
+
+    folder = "/root/testdata/sf0.01"
+    documents = spark.read.parquet(f"{folder}/documents.parquet").where("text != ''")
+    assert {r["query_id"] for r in index.pack_budget(spark, folder).collect()} == {r["doc_id"] // 100 for r in documents.select("doc_id").collect()}
+    assert {r["n"] for r in index.result_rows(spark, folder, whole=True).select("n").distinct().collect()} == {r["doc_id"] for r in documents.select("doc_id").collect()}
+
+
 def test_audit_chain(spark):
     from hashlib import sha256
 
