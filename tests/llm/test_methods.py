@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spindrift.llm import bpe_transducer, components, decontamination, html_text, jaccard_join, neighbours, packing, quality, registry, secrets, sharding, toxicity
@@ -94,20 +95,49 @@ def test_sharding_balance_and_whole_groups(spark):
     assert max(sums.values()) - min(sums.values()) < 100
 
 
-def test_neighbours_recall(spark):
-    rows = registry.table(spark, DATA, "embeddings").collect()
-    ids, vectors = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+def figures(frame, **options):
+    """(recall against brute force, lists of a vector, part of the postings that a query reads)."""
+    frame = frame.cache()
+    rows = frame.select("vec_id", "embedding").toPandas()
+    ids, vectors = rows["vec_id"].to_numpy(), np.array(rows["embedding"].tolist(), float)
     found = defaultdict(list)
-    for r in registry.op1_nearest_neighbours(spark, DATA).collect():
+    index = kept, distinct, postings, probes = neighbours.build(frame, **options)
+    for r in neighbours.answers(index, 10, 100).collect():
         found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    at = {v: n for n, v in enumerate(ids)}
     hits = total = 0
     for q in ids[ids % 100 == 0]:
-        far = np.sqrt(((vectors - vectors[ids == q][0]) ** 2).sum(1))
-        best = [ids[k] for k in np.lexsort((ids, far)) if ids[k] != q][:10]
-        assert all(abs(far[ids == v][0] - s) < 1e-12 for _, v, s in found[q])
+        far = np.sqrt(((vectors - vectors[at[q]]) ** 2).sum(1))
+        best = [ids[k] for k in np.lexsort((ids, far))[:11] if ids[k] != q][:10]
+        assert all(abs(far[at[v]] - s) < 1e-12 for _, v, s in found[q]) and [r for r, *_ in sorted(found[q])] == [*range(1, 11)]
         hits += len({v for _, v, _ in found[q]} & set(best))
         total += 10
-    assert hits >= 0.9 * total
+    asked = kept.where("vec_id % 100 = 0").select(kept["vec_id"].alias("query_id"), "v")
+    read = probes(asked).join(postings.groupBy("list").count(), "list").groupBy("query_id").sum("count").toPandas()["sum(count)"].mean()
+    n = postings.count()
+    frame.unpersist()
+    return hits / total, n / distinct.count(), read / n
+
+
+def jittered(frame, copies, by=0.03):
+    """Copies of every vector, each component moved by at most by."""
+    noise = lambda x, i: x + (F.pmod(F.xxhash64("vec_id", "copy", i), F.lit(2001)) - 1000) / 1000 * by
+    many = frame.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    return many.select((F.col("vec_id") * copies + F.col("copy")).alias("vec_id"), F.transform("embedding", noise).alias("embedding"))
+
+
+def test_neighbours_reach_and_read(spark):
+    """The table's own vectors lie evenly on a sphere, where half of them must be read; of vectors with near ones few lists are."""
+    table = registry.table(spark, "/root/testdata/sf0.1", "embeddings")
+    own, near = figures(table), figures(jittered(table, 26))
+    print("recall, lists of a vector, part read:", own, near)
+    assert own[0] >= 0.9 and own[1] >= 1.5
+    assert near[0] >= 0.9 and near[1] >= 1.5 and near[2] <= 0.1
+
+
+def test_neighbours_over_two_levels(spark):
+    recall, lists, read = figures(jittered(registry.table(spark, "/root/testdata/sf0.1", "embeddings"), 4), most_lists=12)
+    assert recall >= 0.9 and lists > 2 and read < 0.5
 
 
 def test_graph_search_finds_nearest_centroids():
