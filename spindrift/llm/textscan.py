@@ -108,3 +108,18 @@ def windows(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
         total = total * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + n]
     keep = np.repeat(offsets[:-1] - where[:-1], counts) + np.arange(where[-1])
     return mix(total[keep]), where
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] of them, then those of the next."""
+    before = np.concatenate(([0], np.cumsum(counts)))
+    return np.repeat(starts - before[:-1], counts) + np.arange(before[-1])
+
+
+def in_parts(counts: np.ndarray, most: int):
+    """Bounds of runs whose counts sum to about most; one at least."""
+    upto, at = np.cumsum(counts), 0
+    while at < len(counts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
