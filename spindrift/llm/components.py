@@ -16,9 +16,10 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
 
     A node points at a smaller one of its component.  In each round it learns the least that its neighbours' pointers
     point at; then both the node and the one it points at turn to that, and pointers are followed one step, so that
-    whole trees are hooked and long chains shorten by halves.  Sums and minima are built
-    where the rows lie before they are shuffled, so a node with very many
-    neighbours is no task's load.  Rounds end when no label changes; if some still do after ROUNDS, it is an error.
+    whole trees are hooked and long chains shorten by halves.  Minima are built where the rows lie before they are
+    shuffled.  The joins carry two numbers a row; of a node with very many neighbours, or a label of very many nodes, one task
+    gets all rows unless adaptive execution splits them, which it does beyond its threshold for skewed
+    partitions.  Rounds end when no label changes; if some still do after ROUNDS, it is an error.
     """
     both = storage.keep(edges.select("a", "b").where("a != b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a != b")).distinct(), f"{what}-edges")
     first = F.least("node", "near")

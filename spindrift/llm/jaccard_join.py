@@ -1,12 +1,12 @@
 """N-gram Jaccard join with Bayesian pruning of candidates.
 
-Texts are sets of word shingles.  Equal sets are one node.  Nodes that
-share a band of MinHash values become candidates; candidates that hang together are compared
-in blocks.  A pair's MinHash values are compared a few at a time and
-the pair is dropped as soon as the posterior probability that its similarity reaches the threshold
-is below a tolerance; what is left is verified exactly.  A block gives each
-node's number of links and a spanning forest, never its pairs, so copies by
-the thousand cost rows in proportion to their number.
+Texts are sets of word shingles.  Equal sets are one node.  Nodes that share a band of MinHash values, and whose
+sizes allow the threshold, become candidates; a pair that shares several bands is one in the first of them.  A pair's
+MinHash values are compared a few at a time and the pair is dropped as soon as the posterior probability that its
+similarity reaches the threshold is below a tolerance; what is left is verified exactly.  Up to then only
+signatures travel; sets go where a pair is left.  A large band is compared in blocks of two chunks each,
+which bounds memory.  Verification gives each node's number of links and a
+spanning forest, so copies by the thousand cost rows in proportion to their number.
 """
 
 from __future__ import annotations
@@ -29,8 +29,12 @@ SHINGLE_WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_VALUES = 24, 4
 VALUES = BANDS * BAND_VALUES
 STEP, TOLERANCE = 16, 1e-6
-#: Nodes of one component compared with each other, or with as many others, in one block.
-BLOCK_NODES = 256
+#: Nodes and shingles of a chunk at most, but for one larger set; a block is a chunk, or two.
+CHUNK_NODES, CHUNK_SHINGLES = 1024, 1 << 21
+#: Candidate pairs held in memory at a time.
+PAIRS = 1 << 20
+#: Sets whose sizes lie in classes further apart than one differ by more than the threshold allows.
+CLASS_STEP = math.log(1.01 / THRESHOLD)
 
 
 def shingles(words: np.ndarray, offsets: np.ndarray, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -86,30 +90,6 @@ def pass_bar(compared: int, threshold: float = THRESHOLD, tolerance: float = TOL
     return compared
 
 
-def linked(sig_a: np.ndarray, sets_a: list, sig_b: np.ndarray, sets_b: list, threshold: float = THRESHOLD) -> np.ndarray:
-    """Whether each set of a and each of b have a Jaccard similarity of at least threshold."""
-    size_a, size_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
-    less, more = np.minimum(size_a[:, None], size_b), np.maximum(size_a[:, None], size_b)
-    alive = less >= threshold * more - 1e-9
-    agree = np.zeros(alive.shape, np.int32)
-    for start in range(0, VALUES, STEP):
-        for k in range(start, start + STEP):
-            agree += sig_a[:, k, None] == sig_b[None, :, k]
-        alive &= agree >= pass_bar(start + STEP, threshold)
-        if not alive.any():
-            return alive
-    left = np.argwhere(alive)
-    rows, columns = np.unique(left[:, 0]), np.unique(left[:, 1])
-    if len(left) < 4 * (len(rows) + len(columns)):
-        common = np.array([len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True)) for i, j in left])
-    else:
-        shared = intersections([sets_a[i] for i in rows], [sets_b[j] for j in columns])
-        common = shared[np.searchsorted(rows, left[:, 0]), np.searchsorted(columns, left[:, 1])]
-    union = size_a[left[:, 0]] + size_b[left[:, 1]] - common
-    alive[left[:, 0], left[:, 1]] = common >= threshold * union - 1e-9
-    return alive
-
-
 def intersections(sets_a: list, sets_b: list, columns: int = 4096) -> np.ndarray:
     """Sizes of the intersections, as products of incidence matrices over slices of the elements that both sides hold."""
     both = np.intersect1d(np.unique(np.concatenate(sets_a)), np.unique(np.concatenate(sets_b)), assume_unique=True)
@@ -135,48 +115,127 @@ def intersections(sets_a: list, sets_b: list, columns: int = 4096) -> np.ndarray
     return out.astype(np.int64)
 
 
-def forest(links: np.ndarray) -> np.ndarray:
-    """For each node of a square matrix of links the smallest node of its component."""
-    label = np.arange(len(links))
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node of its component over edges a, b."""
+    label = np.arange(n)
     while True:
-        near = np.where(links, label[None, :], len(links)).min(1, initial=len(links))
-        new = np.minimum(label, near)
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
         new = new[new]
         if (new == label).all():
             return label
         label = new
 
 
-def compare(nodes: list[tuple], chunk_pair: tuple[int, int]) -> list[tuple[int, int, int]]:
-    """(node, number of linked documents, a node of the same component) for a block's nodes with a link.
+def band_hashes(sig: np.ndarray) -> np.ndarray:
+    """Rows x BANDS hashes of the bands' values; a hash tells the band's number too."""
+    out = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sig), 1))
+    for v in range(BAND_VALUES):
+        out = textscan.mix(out * np.uint64(0xD6E8FEB86659FD93) + sig[:, v::BAND_VALUES])
+    return out
+
+
+def likely(sig: np.ndarray, size: np.ndarray, bands: np.ndarray, number: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the pairs a, b of rows that may reach the threshold and share no band before the one that they were met in.
 
-    nodes: (node, chunk, copies, signature, set).
+    sig holds a byte of each MinHash value, which can only add agreements.
     """
-    first, second = chunk_pair
-    a = [n for n in nodes if n[1] == first]
-    b = a if first == second else [n for n in nodes if n[1] == second]
-    if not a or not b:
-        return []
-    unpack = lambda part: (np.array([np.frombuffer(n[3], np.uint32) for n in part]), [np.frombuffer(n[4], np.uint64) for n in part])
-    one = unpack(a)
-    two = one if first == second else unpack(b)
-    links = linked(*one, *two)
-    copies_a, copies_b = np.array([n[2] for n in a]), np.array([n[2] for n in b])
-    if first == second:
-        np.fill_diagonal(links, False)
-        label = forest(links)
-        count = links @ copies_a
-        return [(a[k][0], int(count[k]), a[label[k]][0]) for k in np.flatnonzero(links.any(1))]
-    n = len(a)
-    square = np.zeros((n + len(b),) * 2, bool)
-    square[:n, n:], square[n:, :n] = links, links.T
-    label = forest(square)
-    count = np.concatenate((links @ copies_b, links.T @ copies_a))
-    both = a + b
-    return [(both[k][0], int(count[k]), both[label[k]][0]) for k in np.flatnonzero(square.any(1))]
-
-
-BASE = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("signature", pa.binary())])
+    alive = np.flatnonzero(np.minimum(size[a], size[b]) >= THRESHOLD * np.maximum(size[a], size[b]) - 1e-9)
+    agree = np.zeros(len(alive), np.int32)
+    for start in range(0, VALUES, STEP):
+        agree += (sig[a[alive], start : start + STEP] == sig[b[alive], start : start + STEP]).sum(1)
+        keep = agree >= pass_bar(start + STEP)
+        alive, agree = alive[keep], agree[keep]
+    before = np.arange(BANDS) < number[a[alive], None]
+    return alive[~((bands[a[alive]] == bands[b[alive]]) & before).any(1)]
+
+
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    fresh = np.ones(len(keys[0]), bool)
+    fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(fresh)
+
+
+def whole_groups(batches, key: str):
+    """Record batches cut anew so that no group of equal keys, which stand together, is parted."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(runs(batch[key].to_numpy())[-1])
+        if last or held and held[-1][key][-1] != batch[key][0]:
+            whole = pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+            if whole.num_rows:
+                yield whole.combine_chunks()
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def fixed(column: pa.ChunkedArray, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def compared(batches):
+    """block, a, b: the pairs of each block that are likely to reach the threshold.  Rows are sorted by block and side."""
+    for table in whole_groups(batches, "block"):
+        block, side, two, node = (table[c].to_numpy() for c in ("block", "side", "two", "node"))
+        sig, size, number = fixed(table["sig"], np.uint8, VALUES), table["size"].to_numpy(), table["number"].to_numpy()
+        bands = np.zeros((len(block), BANDS), np.uint64)
+        bands[np.arange(BANDS) < number[:, None]] = np.frombuffer(b"".join(table["earlier"].to_pylist()), np.uint64)
+        begins = runs(block)
+        group = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(block)))
+        ends = np.append(begins[1:], len(block))[group]
+        # a row meets those behind it, or in a block of two chunks the second chunk's
+        first_of_second = begins + np.add.reduceat(side == 0, begins)
+        start = np.where(two, np.maximum(first_of_second[group], np.arange(len(block)) + 1), np.arange(len(block)) + 1)
+        count = np.where(two & (side == 1), 0, np.maximum(ends - start, 0))
+        for x, y in textscan.in_parts(count, PAIRS):
+            a, b = np.repeat(np.arange(x, y), count[x:y]), textscan.ranges(start[x:y], count[x:y])
+            left = likely(sig, size, bands, number, a, b)
+            a, b = a[left], b[left]
+            yield pa.RecordBatch.from_arrays([pa.array(block[a]), pa.array(node[a]), pa.array(node[b])], names=["block", "a", "b"])
+
+
+def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many elements the sets a and b of each pair share."""
+    rows, columns = np.unique(a), np.unique(b)
+    if len(a) >= 4 * (len(rows) + len(columns)):
+        shared = intersections([sets[i] for i in rows], [sets[j] for j in columns])
+        return shared[np.searchsorted(rows, a), np.searchsorted(columns, b)]
+    out = np.zeros(len(a), np.int64)
+    for n, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = (sets[i], sets[j]) if len(sets[i]) >= len(sets[j]) else (sets[j], sets[i])
+        out[n] = (x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()
+    return out
+
+
+def verified(batches):
+    """node, links, near of the nodes with a link in a block: rows of sets (node, copies, elements), then of pairs (node, other)."""
+    for table in whole_groups(batches, "block"):
+        block, is_pair, node = (table[c].to_numpy() for c in ("block", "is_pair", "node"))
+        begins = runs(block)
+        out = []
+        for x, y in zip(begins.tolist(), [*begins[1:].tolist(), len(block)], strict=True):
+            middle = x + int((is_pair[x:y] == 0).sum())
+            known, at = np.unique(node[x:middle], return_index=True)
+            sets = [np.frombuffer(e, np.uint64) for e in table["elements"].slice(x, middle - x).take(pa.array(at)).to_pylist()]
+            copies = table["copies"].slice(x, middle - x).to_numpy()[at]
+            a, b = np.searchsorted(known, node[middle:y]), np.searchsorted(known, table["other"].slice(middle, y - middle).to_numpy())
+            size = np.array([len(s) for s in sets])
+            both = common(sets, a, b)
+            good = both >= THRESHOLD * (size[a] + size[b] - both) - 1e-9
+            a, b = a[good], b[good]
+            if len(a):
+                links = np.bincount(a, copies[b], len(known)) + np.bincount(b, copies[a], len(known))
+                label = forest(len(known), a, b)
+                some = np.flatnonzero(links)
+                out.append((known[some], links[some].astype(np.int64), known[label[some]]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["node", "links", "near"])
 
 
 def _read_sets(batches):
@@ -187,104 +246,121 @@ def _read_sets(batches):
             yield part, hashes, where
 
 
-def classes(documents: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links for every row.
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
-    class_id: the smallest doc_id that can be reached over links (rows of one text, or similarity of at least
-    0.8 over shingles of five words); n_links: the number of other rows linked directly.  A text of one
-    to four words is one shingle.  Null texts and texts without a word link
-    to nothing.  Repeated rows count as copies.  A null doc_id takes part but names no class unless
-    it is alone.  An empty table gives no rows.  Columns other than doc_id and text are not read.
-    """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), spaced(F.col("text")).alias("text"))
 
-    def sign(batches):
-        for part, hashes, where in _read_sets(batches):
-            sig = signatures(hashes, where)
-            keys = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(keys, pa.binary()), pa.array([s.tobytes() if k else None for s, k in zip(sig, keys, strict=True)], pa.binary())], schema=BASE)
+def _row_key(doc_id, raw, words):
+    """Names a row by doc_id and words, or where it has no word by its text."""
+    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(doc_id.cast("string"), F.lit("")), F.when(words == "", F.concat(F.lit("\0"), F.coalesce(raw.cast("string"), F.lit("\0")))).otherwise(words))))
 
-    base = storage.keep(texts.mapInArrow(sign, "doc_id long, key binary, signature binary"), "join-signatures")
-    nodes = storage.keep(
-        base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature")).withColumn("node", F.xxhash64("key")),
-        "join-nodes",
-    )
+
+def _pairs(nodes: DataFrame) -> DataFrame:
+    """block, a, b of the nodes' likely pairs, each pair once."""
 
     def band(batches):
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint32).reshape(-1, VALUES).astype(np.uint64)
+                bands = fixed(batch["bands"], np.uint64, BANDS).view(np.int64)
+                kind = np.floor(np.log(batch["size"].to_numpy()) / CLASS_STEP).astype(np.int32)
                 for k in range(BANDS):
-                    h = np.full(len(sig), k, np.uint64)
-                    for v in range(BAND_VALUES):
-                        h = textscan.mix(h * np.uint64(0xD6E8FEB86659FD93) + sig[:, BAND_VALUES * k + v])
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch["node"]], names=["band", "node"])
-
-    bands = storage.keep(nodes.select("node", "signature").mapInArrow(band, "band long, node long"), "join-bands")
-    heads = bands.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head != last").select("band", "head")
-    touching = bands.join(heads, "band").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    suspects = storage.keep(components(touching, "join-suspects"), "join-suspects")
-
-    chunks = suspects.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("chunks"))
-    chosen = (
-        nodes.join(suspects, "node").join(chunks, "label")
-        .select("node", "key", "rep", "copies", "signature", "label", "chunks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"))
+                    yield pa.RecordBatch.from_arrays([pa.array(bands[:, k]), pa.array(np.full(len(bands), k, np.int32)), pa.array(kind), batch["node"]], names=["band", "number", "kind", "node"])
+
+    members = storage.keep(nodes.select("node", "size", "bands").mapInArrow(band, "band long, number int, kind int, node long"), "join-bands")
+    counts = members.groupBy("band", "kind").agg(F.count(F.lit(1)).alias("n"))
+    kinds = counts.groupBy("band").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("kinds"), F.sum("n").alias("n")).where("n > 1").select("band", "kinds")
+
+    def chunks(step: int):
+        """The chunks of the kind so many steps away; 0 where none of the band is of it."""
+        kind = F.col("kind") + step
+        most = F.greatest(F.lit(1.0), F.least(F.lit(float(CHUNK_NODES)), F.floor(F.lit(float(CHUNK_SHINGLES)) / F.exp((kind + 1) * CLASS_STEP)).cast("double")))
+        return F.ceil(F.coalesce(F.try_element_at("kinds", kind), F.lit(0)) / most).cast("int")
+
+    kind, none = F.col("kind"), F.array().cast("array<struct<ka:int,ia:int,kb:int,ib:int,side:int>>")
+    place = lambda ka, ia, kb, ib, side: F.struct(ka.alias("ka"), ia.cast("int").alias("ia"), kb.alias("kb"), ib.cast("int").alias("ib"), side.cast("int").alias("side"))
+    upto = lambda c, made: F.when(c > 0, F.transform(F.sequence(F.lit(0), c - 1), made)).otherwise(none)
+    chunk = F.col("chunk")
+    own = F.when(F.try_element_at("kinds", kind) > 1, upto(F.col("here"), lambda j: place(kind, F.least(j, chunk), kind, F.greatest(j, chunk), chunk > j))).otherwise(none)
+    after = upto(F.col("above"), lambda j: place(kind, chunk, kind + 1, j, F.lit(0)))
+    before = upto(F.col("below"), lambda j: place(kind - 1, j, kind, chunk, F.lit(1)))
+    met = (
+        members.join(kinds, "band").select("band", "number", "kind", "node", "kinds", chunks(0).alias("here"), chunks(1).alias("above"), chunks(-1).alias("below"))
+        .withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("here")).cast("int"))
+        .select("band", "number", "node", F.concat(own, after, before).alias("places")).where(F.size("places") > 0)
+    )
+    carried = met.join(nodes.select("node", "size", "sig", "bands"), "node").withColumn("earlier", F.substr("bands", F.lit(1), F.col("number") * 8))
+    rows = carried.select("number", "node", "size", "sig", "earlier", "band", F.inline("places")).select(
+        F.xxhash64("band", "ka", "ia", "kb", "ib").alias("block"), "side", ((F.col("ka") != F.col("kb")) | (F.col("ia") != F.col("ib"))).alias("two"), "number", "node", "size", "sig", "earlier"
     )
-    # a rep that is null has no row of its own to be read by; its text is found by key
-    found = texts.withColumn("row_id", F.coalesce("doc_id", F.lit(-1))).join(chosen.withColumn("row_id", F.coalesce("rep", F.lit(-1))), "row_id").drop("row_id", "doc_id", "rep")
+    return rows.repartition("block").sortWithinPartitions("block", "side").mapInArrow(compared, "block long, a long, b long")
 
-    def read(batches):
+
+def _classes(documents: DataFrame) -> DataFrame:
+    """doc_id, row_key, class_id, class_key, n_links for every row."""
+    words = spaced(F.col("text"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("raw"), words.alias("text")).select("doc_id", _row_key(F.col("doc_id"), F.col("raw"), F.col("text")).alias("row_key"), "text")
+
+    def sign(batches):
+        names = ["doc_id", "row_key", "key", "size", "bands", "sig"]
         for part, hashes, where in _read_sets(batches):
-            bounds = [*zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
-            own = part["key"].to_pylist()
-            same = [n for n, (a, b) in enumerate(bounds) if hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() == own[n]]
-            some = part.take(pa.array(same, pa.int64()))
-            sets = pa.array([hashes[bounds[n][0] : bounds[n][1]].tobytes() for n in same], pa.binary())
-            yield pa.RecordBatch.from_arrays([some[c] for c in ("label", "node", "chunk", "chunks", "copies", "signature")] + [sets], names=["label", "node", "chunk", "chunks", "copies", "signature", "elements"])
-
-    sets = found.mapInArrow(read, "label long, node long, chunk int, chunks int, copies long, signature binary, elements binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    blocks = (
-        sets.withColumn("other", other).select("label", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "node", "chunk", "copies", "signature", "elements")
-        .repartition("label", "first", "second").sortWithinPartitions("label", "first", "second", "node")
+            sig = signatures(hashes, where)
+            bands, short = band_hashes(sig.astype(np.uint64)), sig.astype(np.uint8)
+            size = np.diff(where)
+            columns = [[_digest(hashes[a:b]) if b > a else None for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]]
+            columns += [[x.tobytes() if n else None for x, n in zip(many, size.tolist(), strict=True)] for many in (bands, short)]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["row_key"], pa.array(columns[0], pa.binary()), pa.array(size), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
+
+    base = storage.keep(texts.mapInArrow(sign, "doc_id long, row_key binary, key binary, size long, bands binary, sig binary"), "join-signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key"))
+    nodes = storage.keep(
+        base.where("key is not null").groupBy("key").agg(first.alias("rep"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("size", "bands", "sig"))).withColumn("node", F.xxhash64("key")),
+        "join-nodes",
     )
+    pairs = storage.keep(_pairs(nodes), "join-pairs")
+    wanted = storage.keep(pairs.select("block", F.col("a").alias("node")).union(pairs.select("block", F.col("b").alias("node"))).distinct(), "join-wanted")
+    chosen = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select(F.col("rep.row_key").alias("row_key"), "node", "copies")
 
-    def verify(batches):
-        now, held, out = None, {}, []
-        for batch in batches:
-            for label, first, second, node, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (label, first, second) != now:
-                    if held:
-                        out += compare([*held.values()], now[1:])
-                    now, held = (label, first, second), {}
-                held[node] = (node, *rest)  # repeated rows of one doc_id
-                if len(out) > 10_000:
-                    yield _links(out)
-                    out = []
-        if held:
-            out += compare([*held.values()], now[1:])
-        yield _links(out)
-
-    links = storage.keep(blocks.mapInArrow(verify, "node long, links long, near long"), "join-links")
+    def read(batches):
+        for part, hashes, where in _read_sets(batches):
+            sets = pa.array([hashes[a:b].tobytes() for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part["node"], part["copies"], sets], names=["node", "copies", "elements"])
+
+    # the rows of one text and doc_id are read once
+    sets = texts.join(chosen, "row_key").select("node", "copies", "text").dropDuplicates(["node"]).mapInArrow(read, "node long, copies long, elements binary")
+    none = lambda kind: F.lit(None).cast(kind)
+    there = wanted.join(sets, "node").select("block", F.lit(0).alias("is_pair"), "node", none("long").alias("other"), "copies", "elements")
+    asked = pairs.select("block", F.lit(1).alias("is_pair"), F.col("a").alias("node"), F.col("b").alias("other"), none("long").alias("copies"), none("binary").alias("elements"))
+    links = storage.keep(there.unionAll(asked).repartition("block").sortWithinPartitions("block", "is_pair").mapInArrow(verified, "node long, links long, near long"), "join-links")
     joined = components(links.select(F.col("node").alias("a"), F.col("near").alias("b")), "join-classes")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
-    known = storage.keep(nodes.select("key", "node", "rep", "copies").join(counts, "node", "left").join(joined, "node", "left").where("copies > 1 or links is not null").withColumn("label", F.coalesce("label", "node")), "join-known")
+    known = storage.keep(nodes.select("key", "node", F.col("rep.doc_id").alias("rep"), "copies").join(counts, "node", "left").join(joined, "node", "left").where("copies > 1 or links is not null").withColumn("label", F.coalesce("label", "node")), "join-known")
     names = known.groupBy("label").agg(F.min("rep").alias("class_id"))
-    named = known.join(names, "label").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return base.select("doc_id", "key").join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = known.join(names, "label").select("key", "class_id", F.col("label").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return base.select("doc_id", "row_key", "key").join(named, "key", "left").select(
+        "doc_id", "row_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_key", F.xxhash64(F.coalesce("key", "row_key"))).alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
+
 
+def classes(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links, class_key for every row.
 
-def _links(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    columns = [*zip(*rows, strict=True)] if rows else [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "links", "near"])
+    class_id: the smallest doc_id that can be reached over links (rows of one text, or similarity of at least
+    0.8 over shingles of five words); n_links: the number of other rows linked directly.  class_key tells classes
+    apart whose smallest doc_ids are equal because a doc_id stands on different texts.  A text of one
+    to four words is one shingle.  Null texts and texts without a word link
+    to nothing.  Repeated rows count as copies.  A null doc_id takes part but names no class unless
+    it is alone.  An empty table gives no rows.  Columns other than doc_id and text are not read.
+    """
+    return _classes(documents).select("doc_id", "class_id", "n_links", "class_key")
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents that are the first (smallest doc_id) of their class, with all their columns; of rows repeated whole, one.
+    """One row of each class with all its columns: that with the smallest doc_id (null last); of repeated rows any one.
 
-    Rows without a doc_id that belong to no other row's class stay, one for each text.
+    Classes are told apart by their texts, so a row stays whose doc_id stands on another class's text too, and a row without a
+    doc_id goes if its text is linked to another's.  A text without a word is its own class beside its doc_id.
     """
-    first = classes(documents).where("doc_id = class_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = documents.join(first, documents["doc_id"] == first["_first"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = documents.where("doc_id is null").dropDuplicates(["text"])
-    return kept.unionByName(nameless)
+    first = _classes(documents).groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("first"))
+    key = _row_key(documents["doc_id"].cast("long"), documents["text"], spaced(documents["text"]))
+    rows = documents.withColumn("_row_key", key).join(first.select(F.col("first.row_key").alias("_row_key")), "_row_key", "left_semi")
+    return rows.dropDuplicates(["_row_key"]).drop("_row_key")

@@ -3,17 +3,19 @@
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spindrift.llm import bpe_transducer, components, decontamination, html_text, jaccard_join, neighbours, packing, quality, registry, secrets, sharding, toxicity
+from spindrift.llm import bpe_transducer, components, decontamination, html_text, jaccard_join, neighbours, packing, quality, registry, secrets, sharding, textscan, toxicity
 
 DATA = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -174,6 +176,25 @@ def test_large_group_is_compared_in_blocks(spark):
     assert got == brute_classes(texts)
 
 
+def test_classes_of_rows_that_share_a_doc_id(spark):
+    a, b, c = ("a one two three four five six seven", "b nine ten eleven twelve thirteen fourteen", "c red green blue black white")
+    rows = [(1, a, "x"), (1, b, "y"), (None, a + " eight", "z"), (2, a, "x"), (None, c, "x"), (None, c, "y"), (3, None, "x"), (None, None, "x"), (None, "!", "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, class_key string")
+    of = {(r["doc_id"], r["n_links"]): r for r in jaccard_join.classes(table).collect()}
+    assert of[1, 2]["class_key"] == of[2, 2]["class_key"] != of[1, 0]["class_key"] and of[1, 2]["class_id"] == of[1, 0]["class_id"] == 1
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(table).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (None, c), (3, None), (None, None), (None, "!")], key=str)
+
+
+def test_chains_are_compared_by_their_own_pairs(spark):
+    """Texts each of which resembles the next few only, and which share a long passage."""
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(1500)]
+    texts = {n: " ".join(["the same words open every one of these texts"] + words[n : n + 60]) for n in range(0, 1400, 2)}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.classes(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got == brute_classes(texts)
+
+
 def test_long_chains_are_one_component(spark):
     ids = random.Random(3).sample(range(10**6), 4000)
     chains = [ids[:3000], ids[3000:]]
@@ -203,6 +224,66 @@ def test_leaks_equal_containment_and_bear_replaced_words(spark, documents):
     assert [(r["doc_id"], r["doc_word"], r["words"], r["agreeing"]) for r in found] == [(1, 1, 30, 26)]
 
 
+def leaks_by_brute_force(docs, items):
+    """(document, item) pairs some alignment of which bears a segment of at least 13 words (or a whole shorter item) seven tenths of which agree, by Kadane's rule."""
+    out = set()
+    for d, text in docs.items():
+        for i, item in items.items():
+            here, there = text.split(), item.split()
+            for shift in range(-len(there) + 1, len(here)):
+                same = [here[k + shift] == w for k, w in enumerate(there) if 0 <= k + shift < len(here)]
+                best, start, score = (0, 0, 0), 0, 0
+                for k, x in enumerate(same):
+                    if score <= 0:
+                        start, score = k, 0
+                    score += 1 if x else -2
+                    best = max(best, (score, start, k + 1))
+                _, a, b = best
+                if b - a >= min(13, len(there)) and sum(same[a:b]) >= 0.7 * (b - a):
+                    out.add((d, i))
+    return out
+
+
+def test_leaks_equal_brute_force_over_all_alignments(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randint(0, 400)}"
+    items = {n: " ".join(word() for _ in range(rng.randint(14, 40))) for n in range(30)} | {100: "yes indeed", 101: "w1 w2 w3"}
+    docs = {}
+    for n in range(200):
+        words = [word() for _ in range(rng.randint(5, 120))]
+        if n % 2:
+            passage = items[rng.randrange(30)].split()
+            cut = rng.randint(0, len(passage) - 13)
+            passage = passage[cut:]
+            for k in rng.sample(range(len(passage)), rng.randint(0, 4)):
+                passage[k] = word()
+            at = rng.randint(0, len(words))
+            words[at:at] = passage
+        docs[n] = " ".join(words)
+    docs |= {300: "yes indeed", 301: "yes indeed it is", 302: "w1 w2 w3"}
+    want = leaks_by_brute_force({n: t for n, t in docs.items() if n < 300}, {n: t for n, t in items.items() if n < 100}) | {(300, 100), (302, 101)}
+    tables = spark.createDataFrame([*docs.items()], "doc_id long, text string"), spark.createDataFrame([*items.items()], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_leaks(*tables).collect()}
+    assert {*found} <= want and len(found) >= 0.98 * len(want) and {(300, 100), (302, 101)} <= {*found}
+    joined = decontamination.find_leaks(*tables, slice_words=200)
+    assert {(r["doc_id"], r["item_id"]): r for r in joined.collect()} == found
+    kept = {r["doc_id"] for r in decontamination.clean_documents(*tables, slice_words=200).collect()}
+    assert kept == {*docs} - {d for d, _ in found} == {r["doc_id"] for r in decontamination.clean_documents(*tables).collect()}
+
+
+def test_leaks_bear_a_phrase_that_all_share():
+    phrase = textscan_words("which of the following is")
+    items = [(n, np.concatenate([textscan_words(f"a{n} b{n}"), phrase, textscan_words(" ".join(f"c{n}_{k}" for k in range(10)))])) for n in range(1000)]
+    doc = np.concatenate([np.concatenate([phrase, textscan_words(f"x{n} y{n} z{n}")]) for n in range(1000)] + [items[7][1]])
+    began = time.perf_counter()
+    found = decontamination.Index(items).leaks(doc, np.array([0, len(doc)]))
+    assert [(f[1], f[4]) for f in found] == [(7, 17)] and time.perf_counter() - began < 20
+
+
+def textscan_words(text):
+    return textscan.word_hashes(pa.array([text]))[0]
+
+
 def held_out_accuracy(rows, labels):
     told = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and labels.get(r["doc_id"]) is not None]
     return sum(a == b for a, b in told) / len(told)
