@@ -2,8 +2,8 @@
 
 One pass tokenizes every text and keeps, for each document, where it may be cut
 (document end, sentence ends, and every HARD_EVERY tokens of a longer sentence)
-with the CRC of all ids up to there.  Only these short records are shuffled: blocks of
-neighbouring doc_ids go to one task each, which chooses the cuts of the
+with the CRC of all ids up to there.  Only these short records are shuffled: ranges of
+doc_ids with equal numbers of rows go to one task each, which chooses the cuts of the
 concatenated stream.  A CRC of any piece follows from two prefix CRCs, so no
 id is moved.
 """
@@ -14,25 +14,28 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe_transducer, textscan
+from spindrift.llm import bpe_transducer, storage, textscan
 
 WINDOW = 2048
 #: What cutting a document costs, in tokens of padding: at the end of a sentence, and within one.
 SENTENCE_CUT, HARD_CUT = 2, 64
-#: What each further sequence costs, in tokens of padding.
-SEQUENCE = 8
-HARD_EVERY = 1024
-DOCS_PER_BLOCK = 256
-#: A block's rows are packed in runs of at most so many tokens, which bounds memory.
+#: What each further sequence costs, in tokens of padding: half a window, so that a piece whose length is a power of
+#: two, and which needs no padding, is not cheaper than a place in a full sequence.
+SEQUENCE = WINDOW // 2
+HARD_EVERY = 256
+#: Rows of a block aimed at, and ranges of doc_id at most.
+BLOCK_DOCS, MOST_RANGES = 1024, 4096
+#: A block's rows are packed in runs of at most so many tokens, which bounds memory; a sequence ends with its run.
 RUN_TOKENS = 8_000_000
 END_ID = 1
-NULL_BLOCKS = 1024
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -209,7 +212,7 @@ def packed_run(docs: list[tuple], block: int, sequence: int, window: int) -> tup
     length = at[stop] - at[start]
     number = np.searchsorted(ends, stop)
     opened = np.concatenate(([0], at[ends]))[number]
-    base = (block << 22) + sequence
+    base = (block << 40) + sequence
     return pa.RecordBatch.from_arrays(
         [
             pa.array([docs[k][0] for k in of.tolist()], pa.int64()), pa.array(begin), pa.array(length),
@@ -220,19 +223,45 @@ def packed_run(docs: list[tuple], block: int, sequence: int, window: int) -> tup
     ), sequence + len(ends)
 
 
+def blocked(records: DataFrame) -> DataFrame:
+    """Records with block: ranges of doc_id with about equal numbers of rows, in its order.
+
+    Bounds are quantiles of all doc_ids, MOST_RANGES at most.  Rows of one doc_id that are too many for a block,
+    and rows without one, are dealt to several blocks by their numbers.
+    """
+    ids = records.where("doc_id is not null")
+    n = ids.count()
+    ranges = min(MOST_RANGES, n // BLOCK_DOCS + 1)
+    asked = [k / ranges for k in range(1, ranges)]
+    found = (ids.agg(F.percentile_approx("doc_id", asked, 10 * MOST_RANGES).alias("q")).first()["q"] or []) if asked else []
+    again = {a + 1 for a, b in zip(found, found[1:], strict=False) if a == b and a < (1 << 63) - 1}
+    bounds = np.array(sorted({*found, *again}), np.int64)
+
+    @F.pandas_udf("long")
+    def range_of(column: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, column.to_numpy(np.int64), "right"))
+
+    ranged = records.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(range_of(F.coalesce("doc_id", F.lit(0)))).cast("long"))
+    counts = {r["range"]: (r["n"], r["low"] == r["high"]) for r in ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()}
+    # a range without a doc_id, or with one only, may be parted
+    parts = {k: -(-n // BLOCK_DOCS) if k < 0 or one else 1 for k, (n, one) in counts.items()}
+    first = dict(zip(sorted(parts), accumulate((parts[k] for k in sorted(parts)), initial=0), strict=False))
+
+    @F.pandas_udf("long")
+    def block_of(where: pd.Series, row: pd.Series) -> pd.Series:
+        return pd.Series([first[k] + r % parts[k] for k, r in zip(where.tolist(), row.tolist(), strict=True)], dtype="int64")
+
+    return ranged.withColumn("block", block_of("range", "row"))
+
+
 def pack(documents: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    The order kept is that of doc_id.  Null and empty texts hold the end id alone.
-    Rows with equal doc_id are packed one after the other; those without
-    one go to blocks of their own by content.  An empty table gives no rows.  Columns other than
+    The order kept is that of doc_id within a block, whose rows lie in one range of doc_ids.  Null and empty texts hold
+    the end id alone.  Rows with equal doc_id are packed one after the other, unless they are too many for a block; those without
+    one go to blocks of their own.  An empty table gives no rows.  Columns other than
     doc_id and text are not read.
     """
-    span = documents.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("doc_id").alias("n")).first()
-    low, width = int(span["a"] or 0), 1
-    if span["n"]:
-        width = max(1, -(-(int(span["b"]) - low + 1) * DOCS_PER_BLOCK // int(span["n"])))
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), -1 - F.pmod(F.crc32("crcs"), F.lit(NULL_BLOCKS))).cast("long")
 
     def run(batches):
         docs, now, held, sequence = [], None, 0, 0
@@ -249,4 +278,6 @@ def pack(documents: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
         if docs:
             yield packed_run(docs, now, sequence, window)[0]
 
-    return cut_records(documents, path).withColumn("block", block).repartition("block").sortWithinPartitions("block", "doc_id", "crcs").mapInArrow(run, PIECES)
+    # kept, so that texts are tokenized once and rows keep their numbers
+    records = storage.keep(cut_records(documents, path).withColumn("row", F.monotonically_increasing_id()), "pack-records")
+    return blocked(records).repartition("block").sortWithinPartitions("block", "doc_id", "row").mapInArrow(run, PIECES)
