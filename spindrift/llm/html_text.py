@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|textarea|title|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|iframe|textarea|title|svg|annotation)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)",
@@ -27,13 +27,18 @@ BLOCK = frozenset(
 #: Elements that a selected subtree may begin at.
 CONTAINER = frozenset("article blockquote body center details div dl fieldset figure main ol section table tbody td tr ul".split())
 ASIDE = frozenset("aside button dialog datalist fieldset footer form head header menu nav object option optgroup search select".split())
-#: Words of class, id and role that name what is not the article.
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"nav\w*|menu\w*|breadcrumbs?|sidebar\w*|widget\w*|related|recommend\w*|share|sharing|social|comments?|respond|replies|disqus\w*|"
-    r"footer|header|masthead|toolbar|pagination|pager|search|contentinfo|complementary|alert|hidden)(?:$|[\s_-])",
-    re.I,
+#: Words of class, id and role that name what is not the article: what never is, and what may be, as words like these name articles too.
+NEVER = (
+    r"ads?|advert\w*|sponsor\w*|cookie\w*|consent|gdpr|popup|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|comments?|respond|replies|disqus\w*|"
+    r"footer|pagination|pager|contentinfo|complementary|hidden"
 )
+SELDOM = r"promo\w*|banner|notice|modal|overlay|widget\w*|related|recommend\w*|share|sharing|social|header|masthead|toolbar|search|alert"
+HINT = re.compile(rf"(?:^|[\s_-])(?:(?P<never>{NEVER})|{SELDOM})(?:$|[\s_-])", re.I)
+#: What the characters of a container with such a word count against those of the article found without it.
+NEVER_WEIGHT, SELDOM_WEIGHT = 0.02, 0.25
+#: Headings that open reader comments.
+COMMENTS = re.compile(r"\W*\d*\W*(?:(?:reader|user|all|leave a|post a|add a)\s+)?(?:comments?|replies|reply|responses|commentaires?|réponses|kommentare?|antworten|comentarios?|respuestas)\W*\d*\W*", re.I)
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Start tags that end an open p, li, ... of the kinds named.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
@@ -42,74 +47,139 @@ SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "inside", "aside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "inside", "aside", "hint", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, up: Node | None, aside: bool = False):
-        self.tag, self.up, self.aside = tag, up, aside
+    def __init__(self, tag: str, up: Node | None, aside: bool = False, hint: float = 1.0):
+        self.tag, self.up, self.aside, self.hint = tag, up, aside, hint
         self.inside: list = []  # nodes and strings in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_aside(tag: str, attributes: str) -> bool:
+def judged(tag: str, attributes: str) -> tuple[bool, float]:
+    """Is an element left out, and the weight by which its name tells against it (1: it does not)?"""
     if tag in ASIDE:
-        return True
+        return True, 0.0
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False
+        return False, 1.0
+    weight = 1.0
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id", "role") and HINT.search(value) or name == "aria-hidden" and value == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", re.sub(r"\"[^\"]*\"|'[^']*'", '""', attributes)) or re.search(r"display\s*:\s*none", attributes, re.I))
+        if name in ("class", "id", "role"):
+            for hint in HINT.finditer(value):
+                weight = min(weight, NEVER_WEIGHT if hint["never"] else SELDOM_WEIGHT)
+        elif name == "aria-hidden" and value == "true":
+            weight = 0.0
+    if re.search(r"(?:^|\s)hidden(?:\s|$|=)", re.sub(r"\"[^\"]*\"|'[^']*'", '""', attributes)) or re.search(r"display\s*:\s*none", attributes, re.I):
+        weight = 0.0
+    return weight < 1, weight
+
+
+class Path:
+    """The open elements, from the root down; where each tag, block and scope stands among them, so that closing one looks at no other."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {root.tag: [0]}
+        self.blocks, self.scopes = [0], [0]
+
+    def open(self, node: Node) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in BLOCK:
+            self.blocks.append(at)
+        if node.tag in SCOPE:
+            self.scopes.append(at)
+
+    def cut(self, size: int) -> None:
+        """Closes all but the first size elements."""
+        while len(self.nodes) > max(1, size):
+            at = len(self.nodes) - 1
+            self.places[self.nodes.pop().tag].pop()
+            for places in (self.blocks, self.scopes):
+                if places[-1] == at:
+                    places.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def close(self, tag: str) -> None:
+        """An end tag: an inline element is not closed beyond the block that it stands in; one that fits nothing is dropped."""
+        at = self.last(tag)
+        if at > 0 and (tag in BLOCK or at > self.blocks[-1]):
+            self.cut(at)
+
+    def make_room(self, tag: str) -> None:
+        """A block's start tag ends an open p, li, ... of the same scope."""
+        scope, closing = self.scopes[-1], CLOSES.get(tag, ())
+        like = max((self.last(x) for x in closing), default=-1)
+        if like > scope or like == scope > 0:
+            self.cut(like)
+        elif self.last("p") > scope:
+            self.cut(self.last("p"))
 
 
 def tree(page: str) -> Node:
     """The page's nodes; end tags that fit nothing are dropped, missing ones supplied."""
     root = Node("html", None)
-    at, last = root, 0
+    path, last = Path(root), 0
     for token in TOKEN.finditer(page):
         if token.start() > last:
-            at.inside.append(html.unescape(page[last : token.start()]))
+            path.nodes[-1].inside.append(html.unescape(page[last : token.start()]))
         last = token.end()
         tag = (token[3] or token[6] or "").lower()
-        if not tag:
+        if not tag or tag == "html":
             continue
         if token[2] or token[5]:
-            node = at
-            while node is not None and node.tag != tag:
-                node = None if tag not in BLOCK and node.tag in BLOCK else node.up
-            if node is not None and node.up is not None:
-                at = node.up
-            continue
-        if tag == "html":
+            path.close(tag)
             continue
         if tag in BLOCK or tag == "body":
-            closing = CLOSES.get(tag, ())
-            node = at
-            while node is not None and node.tag not in SCOPE:
-                if node.tag == "p" or node.tag in closing:
-                    at = node.up
-                    if node.tag in closing:
-                        break
-                node = node.up
-            else:
-                if node is not None and node.tag in closing:
-                    at = node.up
-        node = Node(tag, at, is_aside(tag, token[4] if token[6] is None else token[7] or ""))
+            path.make_room(tag)
+        at = path.nodes[-1]
+        node = Node(tag, at, *judged(tag, token[4] if token[6] is None else token[7] or ""))
+        if tag == "header" and max(path.last("article"), path.last("main")) > 0:
+            node.aside, node.hint = False, 1.0  # the article's own head; of it only headings are shown
+        if tag not in HEADING and at.tag == "header" and not at.aside and tag in BLOCK:
+            node.aside, node.hint = True, 0.0
         at.inside.append(node)
         if tag not in VOID and not (token[0].endswith("/>") and tag not in BLOCK):
-            at = node
+            path.open(node)
     if last < len(page):
-        at.inside.append(html.unescape(page[last:]))
+        path.nodes[-1].inside.append(html.unescape(page[last:]))
     return root
 
 
+def text_of(node: Node, most: int) -> str:
+    """The beginning of a node's text, for telling short headings."""
+    out, stack, size = [], [node], 0
+    while stack and size <= most:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+            size += len(x)
+        else:
+            stack += reversed(x.inside)
+    return "".join(out)
+
+
+def mark_comments(root: Node) -> None:
+    """Containers that a heading like "Comments" opens are left out."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        inner = [x for x in node.inside if isinstance(x, Node)]
+        if inner and inner[0].tag in HEADING and node.tag in CONTAINER and node.tag not in ("body", "main", "article") and COMMENTS.fullmatch(text_of(inner[0], 60).strip()):
+            node.aside, node.hint = True, 0.0
+        stack += inner
+
+
 def in_order(root: Node) -> list[Node]:
-    """Nodes that may belong to the article, parents first."""
+    """Nodes that may belong to the article, parents first; the root itself in any case."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
-        if node.aside:
+        if node.aside and node is not root:
             continue
         out.append(node)
         stack += [x for x in reversed(node.inside) if isinstance(x, Node)]
@@ -216,6 +286,21 @@ def blocks(node: Node, keep, shown: dict[int, list]) -> list[str]:
     return out
 
 
+def prose_of(root: Node) -> int:
+    """Characters outside links below a node whose name tells against it, of what else may be shown."""
+    total, stack = 0, [root]
+    while stack:
+        node = stack.pop()
+        if node is not root and node.aside or node.tag == "a":
+            continue
+        for x in node.inside:
+            if isinstance(x, str):
+                total += len(SPACES.sub(" ", x).strip())
+            else:
+                stack.append(x)
+    return total
+
+
 def main_text(page: str | None) -> str:
     """The article of a page, one block a line; empty where there is none.
 
@@ -223,10 +308,35 @@ def main_text(page: str | None) -> str:
     and with it the article or main element that holds it.  The least density on the path from there
     to the body is the threshold: within that element nested containers that are mostly links and do not reach it go.
     Where no such element holds the container, text beside it stays by the rules of beside().
+    Elements whose class, id or role names something else are left out, unless, weighed down for their name, one
+    still holds more prose than was found without it; then the article is sought in that one.
+    Text of formulas stays; that of drawings, scripts, styles and form controls does not.
     """
     if not page:
         return ""
-    nodes = in_order(tree(page))
+    root = tree(page)
+    mark_comments(root)
+    text, marked = article(root)
+    if marked:
+        return text
+    named, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.aside and node is not root:
+            if node.hint:
+                named.append(node)
+            continue
+        stack += [x for x in reversed(node.inside) if isinstance(x, Node)]
+    if named:
+        best = max(named, key=lambda n: n.hint * prose_of(n))
+        if best.hint * prose_of(best) > len(text):
+            return article(best)[0]
+    return text
+
+
+def article(root: Node) -> tuple[str, bool]:
+    """The article below a node, and whether an article or main element holds it."""
+    nodes = in_order(root)
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
     weigh(nodes, body)
     inside = {id(body)}
@@ -235,7 +345,7 @@ def main_text(page: str | None) -> str:
             inside.add(id(node))
     choice = [n for n in nodes if id(n) in inside and (n is body or n.tag in CONTAINER) and n.chars]
     if not choice:
-        return ""
+        return "", False
     best = max(choice, key=lambda n: n.total)
     if not best.total:
         best = body
@@ -254,7 +364,7 @@ def main_text(page: str | None) -> str:
     shown = {} if marked else beside(nodes, path, threshold)
 
     def keep(n: Node) -> bool:
-        if n.aside:
+        if n.aside and n is not root:
             return False
         if n.tag in CONTAINER and n is not whole and id(n) not in on_path and id(n) not in shown:
             # a list of links, not prose
@@ -262,7 +372,7 @@ def main_text(page: str | None) -> str:
                 return False
         return True
 
-    return "\n".join(blocks(whole if marked else path[-1], keep, shown))
+    return "\n".join(blocks(whole if marked else path[-1], keep, shown)), marked
 
 
 def extract(pages: DataFrame) -> DataFrame:
