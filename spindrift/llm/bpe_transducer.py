@@ -25,7 +25,8 @@ import regex
 CHUNK_CHARS = 1 << 15
 MEMO_WORDS = 300_000
 MEMO_CHARS = 64
-MAX_STATES = 300_000
+#: Compiled states, and pairs of tokens whose fit is known, at most; beyond, both are forgotten and made anew.
+MAX_STATES, MAX_PAIRS = 300_000, 300_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -63,13 +64,14 @@ class Transducer:
         self.made_of = {}
         for (a, b), (rank, whole) in self.merge.items():
             self.made_of.setdefault(whole, (a, b, rank))
+        # at most two entries, and one, for each token of the vocabulary
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        """Forget the compiled states; they are made anew on demand."""
+        """Forget the compiled states and the pairs; they are made anew on demand."""
+        self.pairs: dict[tuple[int, int], bool] = {}
         start = (b"", ((0, -1, 0),))
         self.states, self.number, self.moves = [start], {start: 0}, [{}]
 
@@ -213,7 +215,7 @@ class Counts(dict):
         return value
 
     def unit(self, unit: str) -> int:
-        if len(self.machine.states) >= MAX_STATES:
+        if len(self.machine.states) >= MAX_STATES or len(self.machine.pairs) >= MAX_PAIRS:
             self.machine.reset()
         return self.machine.count(unit.encode())
 
@@ -262,10 +264,11 @@ def stretches(text: str) -> list[str]:
     return [x for x in WIDE.split(text) if x] if SEPARATORS.search(text) else text.split()
 
 
-# A chunk's state map.  White space puts the scanner and the transducer into their
-# start state whatever came before, so the map of a chunk that holds some is
-# constant behind the first white space: (head, tokens, tail), with tokens
-# counting what lies between the first and the last white space.  A chunk without
+# A chunk's state map tells, for the state in which the chunk is entered, its tokens and the state in which it is
+# left.  White space puts the scanner and the transducer into their start state whatever came before, so the map of a
+# chunk that holds some is constant behind the first white space: (head, tokens, tail), with tokens
+# counting what lies between the first and the last white space.  What stands before that is not tabled for each
+# of the states: it is kept as text, and run when composition tells the state.  A chunk without
 # white space is (text,): it only lengthens what is open.
 
 
