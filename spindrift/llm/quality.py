@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import textscan
 
-#: Labelled documents that the field is fitted on at most (each class half), of at most so many bytes each.
+#: Labelled documents that the field is fitted on at most (each class half); of a text of more bytes a window.
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 1 << 16
 GOOD_SCORE = 0.7
 
@@ -201,13 +201,16 @@ def bad_parts(model: dict, features: np.ndarray, size: np.ndarray, rows: np.ndar
 def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, apart, docs: int, most_bytes: int) -> list:
     """(text, label) of at most docs documents that are not held out, half of each class where there are as many.
 
-    labels and sample are joined by doc_id after the sample of labels, which is bounded, is chosen by hash.
+    labels and sample are joined by doc_id after the sample of labels, which is bounded, is chosen by hash.  Of a text of
+    more than most_bytes bytes a window of half as many characters is learned from, at a place that its doc_id names.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~apart).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("label"))
     order = F.xxhash64("doc_id")
     picked = usable.where("label = 1").orderBy(order).limit(docs // 2).unionAll(usable.where("label = 0").orderBy(order).limit(docs // 2))
-    size = F.octet_length("text")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where((size > 0) & (size <= most_bytes)).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+    size, width = F.octet_length("text"), most_bytes // 2
+    begin = (F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - width + 1, F.lit(1))) + 1).cast("int")
+    window = F.when(size <= most_bytes, F.col("text")).otherwise(F.substr("text", begin, F.lit(width)))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(size > 0).join(F.broadcast(picked), "doc_id").select("doc_id", window.alias("text"), "label")
     return [(r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))]
 
 

@@ -1,9 +1,9 @@
 """Toxicity from a support vector machine on a gap-weighted subsequence string kernel with Nyström landmarks.
 
 The kernel compares two words by their common subsequences of ORDER letters, each weighted down by the stretch it spans, so that "id-iot" and "idxiot" stay close to "idiot".
-A sentence is toxic by its worst word; a document by its worst sentence and how
-much of it is toxic, as a word of harmless origin may look like an insult by chance.  Labels
-are known for documents only, hence the toxic word of each toxic sentence is
+A document is toxic by its worst word and how
+many of its words are toxic, as a word of harmless origin may look like an insult by chance.  Labels
+are known for documents only, not for sentences, hence words replace sentences: the toxic word of each toxic document is
 found in turn with the machine (multiple-instance learning).
 """
 
@@ -25,7 +25,7 @@ ORDER, DECAY = 3, 0.5
 LANDMARKS = 40
 #: Longer words are read in overlapping windows of so many letters.
 WINDOW = 16
-#: Labelled documents learned from at most (half of each class), of at most so many bytes each.
+#: Labelled documents learned from at most (half of each class); of a text of more bytes a window.
 SAMPLE_DOCS, SAMPLE_BYTES = 3000, 1 << 15
 CLEAN_WORDS = 6000
 #: Stands before a word's first letter, so that stems at the beginning weigh more than like letters within.
@@ -152,7 +152,7 @@ def candidates(text: str) -> set[str]:
     for piece in set(text.split()):
         if not piece.isalpha():
             bare = MARKS.sub("", piece)
-            if 2 < len(bare) <= 2 * WINDOW:
+            if len(bare) > 2:
                 found.add(bare)
     found.update(MARKS.sub("", x) for x in SPELLED.findall(text))
     return found
