@@ -25,13 +25,15 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     first = F.least("node", "near")
     labels = storage.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", first.alias("label"), first.alias("further")), f"{what}-0")
     for turn in range(1, ROUNDS + 1):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("further").alias("near"))
+        near = both.join(labels.select("node", "further"), F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("further").alias("near"))
         own = F.struct("node", F.least("label", "further", "near").alias("lower"), F.col("label").alias("old"))
         hooked = F.struct(F.col("label").alias("node"), F.col("near").alias("lower"), F.lit(None).cast("long").alias("old"))
-        lower = storage.keep(labels.join(near, "node").select(F.inline(F.array(own, hooked))).groupBy("node").agg(F.min("lower").alias("label"), F.max("old").alias("old")), f"{what}-{turn}-lower")
+        lower = storage.keep(labels.select("node", "label", "further").join(near, "node").select(F.inline(F.array(own, hooked))).groupBy("node").agg(F.min("lower").alias("label"), F.max("old").alias("old")), f"{what}-{turn}-lower")
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
         stepped = storage.keep(lower.join(jump, "label", "left").select("node", "old", "label", "further"), f"{what}-{turn}")
-        labels = stepped.select("node", "label", "further")
+        for past in (lower, labels):
+            storage.discard(past)
+        labels = stepped
         if stepped.where("label != old").isEmpty():
             return labels.select("node", "label")
     raise RuntimeError(f"{what}: labels still change after {ROUNDS} rounds")

@@ -23,7 +23,22 @@ def keep(frame: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(spark)}/spindrift/{what}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def discard(frame: DataFrame) -> None:
+    """Deletes a table that keep() wrote and that no later one is read from."""
+    path = getattr(frame, "_kept_at", None)
+    if path is not None and (frame.sparkSession, path) in _written:
+        _written.remove((frame.sparkSession, path))
+        _delete(frame.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release() -> None:
@@ -31,8 +46,7 @@ def release() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session is gone, and its folder with it
             return
 
