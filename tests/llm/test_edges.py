@@ -61,6 +61,18 @@ def test_odd_rows(spark, tables, name):
         assert {r["doc_id"] for r in rows} == {3, 4, 5, 6, 7, 8, 9, None}
     if name == "one_of_each":
         assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [-5, 3, 4, 5, 6, 7, 8, 9]
+    if name == "pack":
+        ends = {}
+        for r in rows:
+            ends[r["doc_id"]] = ends.get(r["doc_id"], 0) + r["length"]
+        of = {r["doc_id"]: r["doc_tokens"] for r in rows}
+        assert len(of) == 11 and all(of[k] == ends[k] for k in (2, 3, 4, 5, 6, 7, 8, 9, -5)) and of[3] == of[4] == of[5] == 1 and ends[1] == 2 * of[1]
+    if name == "secrets":
+        assert [r["doc_id"] for r in rows] == [9]
+    if name == "keep_good":
+        assert not {3, 4, 5} & {r["doc_id"] for r in rows}
+    if name == "toxicity":
+        assert len({r["score"] for r in rows if r["doc_id"] in (3, 4, 5)}) == 1 and len({r["score"] for r in rows if r["doc_id"] == 1}) == 1
     if name == "redact":
         assert next(r for r in rows if r["doc_id"] == 9)["text"].endswith('"[SECRET]"')
     if name == "quality":
@@ -84,6 +96,20 @@ def test_without_labels_or_benchmark(spark, tables):
     assert decontamination.clean_documents(tables["docs"], none["benchmark"]).count() == len(ROWS)
 
 
+def test_pipeline_on_odd_rows(spark, tables, tmp_path):
+    """run() on nulls, empty and long texts and repeated rows, and on an empty table."""
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    tables["labels"].write.parquet(f"{folder}/labels.parquet")
+    tables["benchmark"].write.parquet(f"{folder}/benchmark.parquet")
+    tables["docs"].select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
+    rows = corpus_pipeline.run(spark, folder).collect()
+    assert {r["doc_id"] for r in rows} <= {r[0] for r in ROWS}
+    tables["docs"].limit(0).select("doc_id", "text", "lang", "source", "n_chars").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).collect() == []
+
+
 def test_vectors(spark):
     rows = [(k, [float(k % 7 + 1), float(k % 5), 1.0], 0) for k in range(300)] + [(100, [3.0, 0.0, 1.0], 0), (500, None, 0), (600, [], 0), (700, [0.0, 0.0, 0.0], 0), (800, [None, 1.0, 2.0], 0), (900, [float("nan"), 1.0, 1.0], 0), (1000, [float("inf"), 1.0, 1.0], 0), (None, [1.0, 1.0, 1.0], 0), (1100, [1.0, 2.0], 0)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
