@@ -115,13 +115,13 @@ def intersections(sets_a: list, sets_b: list, columns: int = 4096) -> np.ndarray
     return out.astype(np.int64)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest node of its component over edges a, b."""
-    label = np.arange(n)
+def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each one's component, after edges a, b are added to components that label names."""
     while True:
         new = label.copy()
         np.minimum.at(new, a, label[b])
         np.minimum.at(new, b, label[a])
+        np.minimum.at(new, label, new)  # a root follows its members
         new = new[new]
         if (new == label).all():
             return label
@@ -179,63 +179,72 @@ def fixed(column: pa.ChunkedArray, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
+def pairs_of(table: pa.Table):
+    """(a, b) of likely pairs of a table's rows, some at a time.  Rows are sorted by block, and within one by side."""
+    block, side, two = (table[c].to_numpy() for c in ("block", "side", "two"))
+    sig, size, number = fixed(table["sig"], np.uint8, VALUES), table["size"].to_numpy(), table["number"].to_numpy()
+    bands = np.zeros((len(block), BANDS), np.uint64)
+    bands[np.arange(BANDS) < number[:, None]] = np.frombuffer(b"".join(table["earlier"].to_pylist()), np.uint64)
+    begins = runs(block)
+    group = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(block)))
+    ends = np.append(begins[1:], len(block))[group]
+    # a row meets those behind it, or in a block of two chunks the second chunk's
+    first_of_second = begins + np.add.reduceat(side == 0, begins)
+    start = np.where(two, np.maximum(first_of_second[group], np.arange(len(block)) + 1), np.arange(len(block)) + 1)
+    count = np.where(two & (side == 1), 0, np.maximum(ends - start, 0))
+    for x, y in textscan.in_parts(count, PAIRS):
+        a, b = np.repeat(np.arange(x, y), count[x:y]), textscan.ranges(start[x:y], count[x:y])
+        left = likely(sig, size, bands, number, a, b)
+        yield a[left], b[left]
+
+
 def compared(batches):
-    """block, a, b: the pairs of each block that are likely to reach the threshold.  Rows are sorted by block and side."""
+    """The rows (block, side, two, number, node) that have a likely pair in their block."""
     for table in whole_groups(batches, "block"):
-        block, side, two, node = (table[c].to_numpy() for c in ("block", "side", "two", "node"))
-        sig, size, number = fixed(table["sig"], np.uint8, VALUES), table["size"].to_numpy(), table["number"].to_numpy()
-        bands = np.zeros((len(block), BANDS), np.uint64)
-        bands[np.arange(BANDS) < number[:, None]] = np.frombuffer(b"".join(table["earlier"].to_pylist()), np.uint64)
-        begins = runs(block)
-        group = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(block)))
-        ends = np.append(begins[1:], len(block))[group]
-        # a row meets those behind it, or in a block of two chunks the second chunk's
-        first_of_second = begins + np.add.reduceat(side == 0, begins)
-        start = np.where(two, np.maximum(first_of_second[group], np.arange(len(block)) + 1), np.arange(len(block)) + 1)
-        count = np.where(two & (side == 1), 0, np.maximum(ends - start, 0))
-        for x, y in textscan.in_parts(count, PAIRS):
-            a, b = np.repeat(np.arange(x, y), count[x:y]), textscan.ranges(start[x:y], count[x:y])
-            left = likely(sig, size, bands, number, a, b)
-            a, b = a[left], b[left]
-            yield pa.RecordBatch.from_arrays([pa.array(block[a]), pa.array(node[a]), pa.array(node[b])], names=["block", "a", "b"])
+        met = np.zeros(table.num_rows, bool)
+        for a, b in pairs_of(table):
+            met[a] = met[b] = True
+        if met.any():
+            yield from table.select(["block", "side", "two", "number", "node"]).filter(pa.array(met)).to_batches()
 
 
 def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many elements the sets a and b of each pair share."""
-    rows, columns = np.unique(a), np.unique(b)
-    if len(a) >= 4 * (len(rows) + len(columns)):
-        shared = intersections([sets[i] for i in rows], [sets[j] for j in columns])
-        return shared[np.searchsorted(rows, a), np.searchsorted(columns, b)]
+    """How many elements the sets a and b of each pair share; pairs of a block stand together."""
     out = np.zeros(len(a), np.int64)
-    for n, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = (sets[i], sets[j]) if len(sets[i]) >= len(sets[j]) else (sets[j], sets[i])
-        out[n] = (x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()
+    for x, y in textscan.in_parts(np.ones(len(a), np.int64), 1 << 16):
+        rows, columns = np.unique(a[x:y]), np.unique(b[x:y])
+        if (y - x) * 4 >= len(rows) * len(columns) and y - x >= 4 * (len(rows) + len(columns)):
+            shared = intersections([sets[i] for i in rows], [sets[j] for j in columns])
+            out[x:y] = shared[np.searchsorted(rows, a[x:y]), np.searchsorted(columns, b[x:y])]
+            continue
+        for n in range(x, y):
+            p, q = (sets[a[n]], sets[b[n]]) if len(sets[a[n]]) >= len(sets[b[n]]) else (sets[b[n]], sets[a[n]])
+            out[n] = (p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum()
     return out
 
 
 def verified(batches):
-    """node, links, near of the nodes with a link in a block: rows of sets (node, copies, elements), then of pairs (node, other)."""
+    """node, links, near of the nodes with a link in a block."""
     for table in whole_groups(batches, "block"):
-        block, is_pair, node = (table[c].to_numpy() for c in ("block", "is_pair", "node"))
-        begins = runs(block)
-        out = []
-        for x, y in zip(begins.tolist(), [*begins[1:].tolist(), len(block)], strict=True):
-            middle = x + int((is_pair[x:y] == 0).sum())
-            known, at = np.unique(node[x:middle], return_index=True)
-            sets = [np.frombuffer(e, np.uint64) for e in table["elements"].slice(x, middle - x).take(pa.array(at)).to_pylist()]
-            copies = table["copies"].slice(x, middle - x).to_numpy()[at]
-            a, b = np.searchsorted(known, node[middle:y]), np.searchsorted(known, table["other"].slice(middle, y - middle).to_numpy())
-            size = np.array([len(s) for s in sets])
+        # a set may come more than once, from repeated rows
+        keep = np.ones(table.num_rows, bool)
+        node, block = table["node"].to_numpy(), table["block"].to_numpy()
+        order = np.lexsort((np.arange(len(node)), node, block))
+        keep[order[1:]] = (node[order[1:]] != node[order[:-1]]) | (block[order[1:]] != block[order[:-1]])
+        table = table.filter(pa.array(keep))
+        node, copies = table["node"].to_numpy(), table["copies"].to_numpy()
+        sets = [np.frombuffer(e.as_buffer(), np.uint64) for e in table["elements"]]
+        size = table["size"].to_numpy()
+        links, label = np.zeros(len(node), np.int64), np.arange(len(node))
+        for a, b in pairs_of(table):
             both = common(sets, a, b)
             good = both >= THRESHOLD * (size[a] + size[b] - both) - 1e-9
             a, b = a[good], b[good]
-            if len(a):
-                links = np.bincount(a, copies[b], len(known)) + np.bincount(b, copies[a], len(known))
-                label = forest(len(known), a, b)
-                some = np.flatnonzero(links)
-                out.append((known[some], links[some].astype(np.int64), known[label[some]]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["node", "links", "near"])
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b, copies[a])
+            label = forest(label, a, b)
+        some = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(node[label[some]])], names=["node", "links", "near"])
 
 
 def _read_sets(batches):
@@ -252,11 +261,12 @@ def _digest(hashes: np.ndarray) -> bytes:
 
 def _row_key(doc_id, raw, words):
     """Names a row by doc_id and words, or where it has no word by its text."""
-    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(doc_id.cast("string"), F.lit("")), F.when(words == "", F.concat(F.lit("\0"), F.coalesce(raw.cast("string"), F.lit("\0")))).otherwise(words))))
+    told = F.when(words == "", F.concat(F.lit("\0"), F.coalesce(raw.cast("string"), F.lit("\0")))).otherwise(words)
+    return F.struct(F.xxhash64(F.lit(1), F.coalesce(doc_id, F.lit(-1)), doc_id.isNull(), told).alias("one"), F.xxhash64(told, doc_id, F.lit(2)).alias("two"))
 
 
-def _pairs(nodes: DataFrame) -> DataFrame:
-    """block, a, b of the nodes' likely pairs, each pair once."""
+def _met(nodes: DataFrame) -> DataFrame:
+    """block, side, two, number, node: the blocks in which nodes have a likely pair; each pair is one in one block only."""
 
     def band(batches):
         for batch in batches:
@@ -292,7 +302,7 @@ def _pairs(nodes: DataFrame) -> DataFrame:
     rows = carried.select("number", "node", "size", "sig", "earlier", "band", F.inline("places")).select(
         F.xxhash64("band", "ka", "ia", "kb", "ib").alias("block"), "side", ((F.col("ka") != F.col("kb")) | (F.col("ia") != F.col("ib"))).alias("two"), "number", "node", "size", "sig", "earlier"
     )
-    return rows.repartition("block").sortWithinPartitions("block", "side").mapInArrow(compared, "block long, a long, b long")
+    return rows.repartition("block").sortWithinPartitions("block", "side").mapInArrow(compared, "block long, side int, two boolean, number int, node long")
 
 
 def _classes(documents: DataFrame) -> DataFrame:
@@ -310,34 +320,33 @@ def _classes(documents: DataFrame) -> DataFrame:
             columns += [[x.tobytes() if n else None for x, n in zip(many, size.tolist(), strict=True)] for many in (bands, short)]
             yield pa.RecordBatch.from_arrays([part["doc_id"], part["row_key"], pa.array(columns[0], pa.binary()), pa.array(size), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
 
-    base = storage.keep(texts.mapInArrow(sign, "doc_id long, row_key binary, key binary, size long, bands binary, sig binary"), "join-signatures")
+    base = storage.keep(texts.mapInArrow(sign, "doc_id long, row_key struct<one:long,two:long>, key binary, size long, bands binary, sig binary"), "join-signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key"))
     nodes = storage.keep(
         base.where("key is not null").groupBy("key").agg(first.alias("rep"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("size", "bands", "sig"))).withColumn("node", F.xxhash64("key")),
         "join-nodes",
     )
-    pairs = storage.keep(_pairs(nodes), "join-pairs")
-    wanted = storage.keep(pairs.select("block", F.col("a").alias("node")).union(pairs.select("block", F.col("b").alias("node"))).distinct(), "join-wanted")
-    chosen = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select(F.col("rep.row_key").alias("row_key"), "node", "copies")
+    wanted = storage.keep(_met(nodes), "join-wanted")
+    chosen = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select(F.col("rep.row_key").alias("row_key"), "node", "copies", "sig", "bands")
 
     def read(batches):
-        for part, hashes, where in _read_sets(batches):
-            sets = pa.array([hashes[a:b].tobytes() for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part["node"], part["copies"], sets], names=["node", "copies", "elements"])
-
-    # the rows of one text and doc_id are read once
-    sets = texts.join(chosen, "row_key").select("node", "copies", "text").dropDuplicates(["node"]).mapInArrow(read, "node long, copies long, elements binary")
-    none = lambda kind: F.lit(None).cast(kind)
-    there = wanted.join(sets, "node").select("block", F.lit(0).alias("is_pair"), "node", none("long").alias("other"), "copies", "elements")
-    asked = pairs.select("block", F.lit(1).alias("is_pair"), F.col("a").alias("node"), F.col("b").alias("other"), none("long").alias("copies"), none("binary").alias("elements"))
-    links = storage.keep(there.unionAll(asked).repartition("block").sortWithinPartitions("block", "is_pair").mapInArrow(verified, "node long, links long, near long"), "join-links")
+        seen: set[int] = set()  # repeated rows of one doc_id and text come to one task, which reads one
+        for batch in batches:
+            fresh = [n for n, node in enumerate(batch["node"].to_pylist()) if not (node in seen or seen.add(node))]
+            for part, hashes, where in _read_sets([batch.take(pa.array(fresh, pa.int64()))]):
+                sets = pa.array([hashes[a:b].tobytes() for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part["node"], part["copies"], part["sig"], part["bands"], pa.array(np.diff(where)), sets], names=["node", "copies", "sig", "bands", "size", "elements"])
+
+    sets = texts.join(chosen, "row_key").select("node", "copies", "sig", "bands", "text").mapInArrow(read, "node long, copies long, sig binary, bands binary, size long, elements binary")
+    there = wanted.join(sets, "node").withColumn("earlier", F.substr("bands", F.lit(1), F.col("number") * 8)).drop("bands")
+    links = storage.keep(there.repartition("block").sortWithinPartitions("block", "side").mapInArrow(verified, "node long, links long, near long"), "join-links")
     joined = components(links.select(F.col("node").alias("a"), F.col("near").alias("b")), "join-classes")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     known = storage.keep(nodes.select("key", "node", F.col("rep.doc_id").alias("rep"), "copies").join(counts, "node", "left").join(joined, "node", "left").where("copies > 1 or links is not null").withColumn("label", F.coalesce("label", "node")), "join-known")
     names = known.groupBy("label").agg(F.min("rep").alias("class_id"))
     named = known.join(names, "label").select("key", "class_id", F.col("label").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return base.select("doc_id", "row_key", "key").join(named, "key", "left").select(
-        "doc_id", "row_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_key", F.xxhash64(F.coalesce("key", "row_key"))).alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", "row_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_key", F.when(F.col("key").isNull(), F.col("row_key.one")).otherwise(F.xxhash64("key"))).alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
