@@ -2,33 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Word pairs up to this number are put into the plan.
-MOST_PAIRS = 2000
+#: Characters of items that are sought at a time.
+MOST_CHARS = 20_000_000
 
 
 def containing(documents: DataFrame, items: DataFrame) -> DataFrame:
     """item_id, doc_id of documents that hold an item's text exactly.
 
-    An item of at least four words is sought by its second and third word, which any document that holds it
-    has side by side: an equality join, after which the text itself is compared.  Shorter
-    items are compared with every document.
+    The items' texts are one automaton, through which each document is run once; items of more than MOST_CHARS characters
+    together are taken in several.
     """
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
-    wanted = items.where(F.length("text") > 0).select("item_id", F.col("text").alias("item"), words("text").alias("w"))
-    long_items = wanted.where(F.size("w") >= 4).select("item_id", "item", F.array_join(F.slice("w", 2, 2), " ").alias("pair"))
-    short_items = wanted.where(F.size("w") < 4).select("item_id", "item")
-    known = [r["pair"] for r in long_items.select("pair").distinct().limit(MOST_PAIRS + 1).collect()]
-    neighbours = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.array_join(F.slice("w", k, 2), " "))
-    present = F.array_distinct(neighbours)
-    if len(known) <= MOST_PAIRS:  # documents are reduced to the pairs asked for where they are read; else the join alone does it
-        present = F.array_intersect(present, F.array(*map(F.lit, known)).cast("array<string>"))
-    pairs = documents.select("doc_id", "text", words("text").alias("w")).where(F.size("w") >= 2).select("doc_id", "text", F.explode(present).alias("pair"))
-    by_words = pairs.join(F.broadcast(long_items), "pair").where(F.contains(F.col("text"), F.col("item"))).select("item_id", "doc_id")
-    by_text = documents.join(F.broadcast(short_items), F.contains(documents["text"], F.col("item"))).select("item_id", "doc_id")
-    return by_words.unionAll(by_text).distinct()
+    import ahocorasick
+
+    spark = documents.sparkSession
+    wanted = items.where(F.length("text") > 0).select("item_id", "text").distinct()
+    size = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
+    slices, found = max(1, -(-size // MOST_CHARS)), None
+    for part in range(slices):
+        some = wanted if slices == 1 else wanted.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == part)
+        held: dict[str, list[int]] = {}
+        for r in some.orderBy("item_id").toLocalIterator():
+            held.setdefault(r["text"], []).append(r["item_id"])
+        shared = spark.sparkContext.broadcast(held)
+
+        def run(batches, shared=shared):
+            machine = ahocorasick.Automaton()
+            for text, ids in shared.value.items():
+                machine.add_word(text, ids)
+            machine.make_automaton()
+            for batch in batches:
+                rows = [(i, d) for d, text in zip(batch["doc_id"], batch["text"], strict=True) if text and len(machine) for i in {i for _, ids in machine.iter(text) for i in ids}]
+                yield pd.DataFrame(rows, columns=["item_id", "doc_id"])
+
+        hits = documents.select("doc_id", "text").mapInPandas(run, "item_id long, doc_id long").distinct()
+        found = hits if found is None else found.unionAll(hits)
+    return found
+
+
+def deduped(ranked: DataFrame, by: str = "path") -> DataFrame:
+    """Each of a query's files once, at its first place, with places closed up."""
+    first = ranked.groupBy("query_id", by).agg(F.min("rank").alias("first"))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("first"))).drop("first")
+
+
+def packed_recall(packed: DataFrame, gold: DataFrame) -> DataFrame:
+    """query_id, context_recall: the part of a query's gold files whose header lines stand in its packed text."""
+    header = F.concat(F.lit("## "), F.col("path"))
+    there = F.contains(F.col("output"), F.concat(header, F.lit("\n"))) | F.col("output").endswith(header)
+    return gold.join(packed, "query_id").groupBy("query_id").agg(F.avg(F.coalesce(there, F.lit(False)).cast("int")).alias("context_recall"))
 
 
 def case_metrics(cases: DataFrame, gold: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
@@ -46,14 +71,32 @@ def case_metrics(cases: DataFrame, gold: DataFrame, ranked: DataFrame, k: int) -
 
 
 def aggregate(metrics: DataFrame) -> DataFrame:
-    """One row: cases, recall, mrr, ndcg, hit_rate."""
+    """One row: cases, recall, mrr, ndcg, hit_rate; and where the cases tell them context_recall over those that have one, and elapsed_ms over those without an error."""
+    more = []
+    if "context_recall" in metrics.columns:
+        more.append(F.round(F.avg("context_recall"), 6).alias("context_recall"))
+    if "elapsed_ms" in metrics.columns:
+        more.append(F.round(F.avg(F.when(F.col("error").isNull(), F.col("elapsed_ms"))), 6).alias("elapsed_ms"))
     return metrics.agg(
-        F.count(F.lit(1)).alias("cases"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate")
+        F.count(F.lit(1)).alias("cases"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate"), *more
     )
 
 
 def compare(base: DataFrame, other: DataFrame, epsilon: float = 1e-9) -> DataFrame:
-    """item_id, verdict for the cases of both reports: by ndcg, then by reciprocal rank."""
-    joined = base.select("item_id", F.col("ndcg").alias("n0"), F.col("rr").alias("r0")).join(other.select("item_id", F.col("ndcg").alias("n1"), F.col("rr").alias("r1")), "item_id")
+    """item_id, verdict: of cases in both reports by ndcg, then by reciprocal rank; added or removed for those in one."""
+    joined = base.select("item_id", F.col("ndcg").alias("n0"), F.col("rr").alias("r0")).join(other.select("item_id", F.col("ndcg").alias("n1"), F.col("rr").alias("r1")), "item_id", "full_outer")
     change = F.when(F.abs(F.col("n1") - F.col("n0")) > epsilon, F.col("n1") - F.col("n0")).when(F.abs(F.col("r1") - F.col("r0")) > epsilon, F.col("r1") - F.col("r0")).otherwise(0.0)
-    return joined.select("item_id", F.when(change > 0, "improved").when(change < 0, "regressed").otherwise("unchanged").alias("verdict"))
+    verdict = F.when(F.col("n0").isNull(), "added").when(F.col("n1").isNull(), "removed").when(change > 0, "improved").when(change < 0, "regressed").otherwise("unchanged")
+    return joined.select("item_id", verdict.alias("verdict"))
+
+
+def compared_totals(base: DataFrame, other: DataFrame) -> DataFrame:
+    """report, and aggregate()'s columns, of both reports over the cases that they share."""
+    ids = base.select("item_id").join(other.select("item_id"), "item_id")
+    one = lambda frame, name: aggregate(frame.join(ids, "item_id", "left_semi")).withColumn("report", F.lit(name))
+    return one(base, "base").unionByName(one(other, "other"))
+
+
+def pass_rate(outcomes: DataFrame) -> DataFrame:
+    """One row: tasks, passed, pass_rate of outcomes (ok)."""
+    return outcomes.agg(F.count(F.lit(1)).alias("tasks"), F.sum(F.col("ok").cast("int")).cast("long").alias("passed"), F.round(F.avg(F.col("ok").cast("int")), 6).alias("pass_rate"))

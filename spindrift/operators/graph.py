@@ -31,6 +31,9 @@ def _edges(rows: DataFrame, source: Column | None, target: Column, symbol: Colum
     )
 
 
+# The patterns, kinds and confidences below define the edges of each language (fixed values).
+
+
 def source_edges(files: DataFrame) -> DataFrame:
     """EDGES of source files (path, contents, language): imports, exports, inheritance, and calls of imported names."""
     script = files.where(F.col("language").isin("typescript", "tsx", "javascript"))
@@ -107,16 +110,180 @@ def reached(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     return seen
 
 
+def verb(kind: Column) -> Column:
+    """How a reason names an edge's kind."""
+    return F.regexp_replace(kind, "_", " ")
+
+
+def walked(ranked: DataFrame, leaving: DataFrame, reaching: DataFrame, top: int = 5, most: int = 15, decay: float = 0.55) -> DataFrame:
+    """query_id, node, place, score, reason of extra nodes about each query's results (query_id, node, rank, score).
+
+    leaving and reaching are edges (node, id, to, confidence, reason) from a node's side, in the order of id.  Each of the first top results
+    takes up its leaving and reaching edges, 50 of each; then the first three extras take up three of theirs.  A node
+    counts where it is first met.  What comes next depends on what was met before, so the few hundred edges that a query may
+    need are found by joins, hop by hop, and folded together.
+    """
+
+    def first(edges: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+        near = edges.join(nodes.select("node").distinct(), "node", "left_semi")
+        return near.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("nth") <= limit)
+
+    seeds = ranked.where(F.col("rank") <= top).select("query_id", "node", "rank", "score")
+    columns = ["query_id", "hop", "rank", "node", "direction", "nth", "to", "confidence", "reason"]
+    hop = lambda nodes, edges, n, direction: nodes.join(edges, "node").withColumn("hop", F.lit(n)).withColumn("direction", F.lit(direction)).select(columns)
+    out, into = hop(seeds, first(leaving, seeds, 50), 1, 0), hop(seeds, first(reaching, seeds, 50), 1, 1)
+    found, nodes = out.unionAll(into), out.unionAll(into).select("query_id", F.col("to").alias("node")).distinct().withColumn("rank", F.lit(None).cast("int"))
+    for n in (2, 3):
+        step = hop(nodes, first(leaving, nodes, 3), n, 0)
+        found = found.unionAll(step)
+        nodes = step.select("query_id", F.col("to").alias("node")).distinct().withColumn("rank", F.lit(None).cast("int"))
+    node_type = ranked.schema["node"].dataType.simpleString()
+    query_type = ranked.schema["query_id"].dataType.simpleString()
+
+    def fold(rows: pd.DataFrame, results: pd.DataFrame) -> pd.DataFrame:
+        results = results.set_axis(["query_id", "node", "rank", "score"], axis=1)
+        seen, extras = set(results["node"]), []
+        edges = rows.sort_values(["direction", "nth"], kind="stable")
+        first_hop = {k: v.to_dict("records") for k, v in edges[edges["hop"] == 1].groupby("node")}
+        later = {k: v.drop_duplicates("nth").to_dict("records") for k, v in edges[edges["hop"] > 1].groupby("node")}
+
+        def take(edge: dict, score: float) -> None:
+            if len(extras) < most and edge["to"] not in seen:
+                seen.add(edge["to"])
+                extras.append((edge["to"], score * decay * edge["confidence"], edge["reason"]))
+
+        for seed in results[results["rank"] <= top].sort_values("rank").to_dict("records"):
+            for edge in first_hop.get(seed["node"], []):
+                take(edge, seed["score"])
+            for node, score, _ in extras[:3]:
+                for edge in [*(e for e in first_hop.get(node, []) if e["direction"] == 0), *later.get(node, [])][:3]:
+                    take(edge, score)
+        out = pd.DataFrame(extras, columns=["node", "score", "reason"])
+        query = results["query_id"].iloc[0] if len(results) else rows["query_id"].iloc[0]
+        return out.assign(query_id=query, place=range(1, len(out) + 1))[["query_id", "node", "place", "score", "reason"]]
+
+    schema = f"query_id {query_type}, node {node_type}, place int, score double, reason string"
+    given = ranked.select(F.col("query_id").alias("of_query"), F.col("node").alias("of_node"), F.col("rank").alias("of_rank"), F.col("score").alias("of_score"))
+    return found.groupBy("query_id").cogroup(given.groupBy("of_query")).applyInPandas(fold, schema)
+
+
 def expand(ranked: DataFrame, edges: DataFrame, top: int = 5, most: int = 15, decay: float = 0.55) -> DataFrame:
-    """query_id, node, score, via of extra nodes: edges of the first top results, outgoing then incoming, each node once.
+    """query_id, node, place, score, reason of extra nodes from edges (id, source, target, kind, confidence), to the second hop."""
+    leaving = edges.select(F.col("source").alias("node"), "id", F.col("target").alias("to"), "confidence", F.concat_ws(" ", verb(F.col("kind")), "target").alias("reason"))
+    reaching = edges.select(F.col("target").alias("node"), "id", F.col("source").alias("to"), "confidence", F.concat_ws(" ", "source", verb(F.col("kind")), F.lit("this")).alias("reason"))
+    return walked(ranked, leaving, reaching, top, most, decay)
+
+
+def resolved_ends(ends: DataFrame, chunks: DataFrame) -> DataFrame:
+    """path, symbol, rowid of the chunk that each end (path, symbol) of an edge stands for: of the first two chunks of that symbol one in its file, else the file's first."""
+    named = chunks.where("symbol is not null").select("symbol", "path", "rowid").withColumn("nth", F.row_number().over(Window.partitionBy("symbol").orderBy("rowid"))).where("nth <= 2")
+    by_symbol = ends.where("symbol is not null").distinct().join(named.withColumnRenamed("path", "at"), "symbol").where(F.col("path").isNull() | (F.col("path") == F.col("at"))).groupBy("path", "symbol").agg(F.min("rowid").alias("by_symbol"))
+    by_path = chunks.groupBy("path").agg(F.min_by("rowid", F.struct("start_line", "rowid")).alias("by_path"))
+    both = ends.distinct().join(by_symbol.select(F.col("path").alias("p"), F.col("symbol").alias("s"), "by_symbol"), F.col("path").eqNullSafe(F.col("p")) & F.col("symbol").eqNullSafe(F.col("s")), "left").join(by_path, "path", "left")
+    return both.select("path", "symbol", F.coalesce("by_symbol", "by_path").alias("rowid")).where("rowid is not null")
+
+
+def chunk_edges(edges: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Leaving and reaching edges of chunks as walked() takes them: a chunk with a symbol has that symbol's edges, others their file's."""
+    label = lambda path, symbol: F.concat(path, F.coalesce(F.concat(F.lit(":"), symbol), F.lit("")))
+
+    def side(path: str, symbol: str, to_path: str, to_symbol: str, reason: Column) -> DataFrame:
+        told = edges.withColumn("reason", reason)
+        ends = resolved_ends(edges.select(F.col(to_path).alias("path"), F.col(to_symbol).alias("symbol")), chunks).select(F.col("path").alias("e_path"), F.col("symbol").alias("e_symbol"), F.col("rowid").alias("to"))
+        led = told.join(ends, F.col(to_path).eqNullSafe(F.col("e_path")) & F.col(to_symbol).eqNullSafe(F.col("e_symbol")))
+        c = chunks.select(F.col("rowid").alias("node"), F.col("path").alias("c_path"), F.col("symbol").alias("c_symbol"))
+        return led.join(c, F.col(path) == F.col("c_path")).where(F.col("c_symbol").isNull() | (F.col(symbol) == F.col("c_symbol"))).select("node", "id", "to", "confidence", "reason")
+
+    leaving = side("source_path", "source_symbol", "target_path", "target_symbol", F.concat_ws(" ", verb(F.col("kind")), label(F.col("target_path"), F.col("target_symbol"))))
+    reaching = side("target_path", "target_symbol", "source_path", "source_symbol", F.concat_ws(" ", label(F.col("source_path"), F.col("source_symbol")), verb(F.col("kind")), F.lit("this")))
+    return leaving, reaching
 
-    A node's first mention in the order of (result, direction, edge) counts; all are found by joins of at most
-    2 * 50 edges a result.
+
+def expand_chunks(results: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, rowid, place, score, reason of extra chunks about results (query_id, rowid, rank, score), over resolved edges."""
+    ranked = results.select("query_id", F.col("rowid").alias("node"), "rank", "score")
+    return walked(ranked, *chunk_edges(edges, chunks)).withColumnRenamed("node", "rowid")
+
+
+def touching(edges: DataFrame, seeds: DataFrame, kinds: list[str] | None = None, limit: int = 50) -> DataFrame:
+    """The edges of seeds (seed, path, symbol), either of which may be null: direction, and the first limit of each by id, of these kinds."""
+    some = edges if kinds is None else edges.where(F.col("kind").isin(kinds))
+    fits = lambda path, symbol: (F.col("path").isNull() | (F.col(path) == F.col("path"))) & (F.col("symbol").isNull() | (F.col(symbol) == F.col("symbol")))
+    # equality joins by what a seed names
+    with_path, without = seeds.where("path is not null"), seeds.where("path is null and symbol is not null")
+    parts = []
+    for direction, path, symbol in (("out", "source_path", "source_symbol"), ("in", "target_path", "target_symbol")):
+        parts += [some.join(with_path, F.col(path) == F.col("path")).where(fits(path, symbol)).withColumn("direction", F.lit(direction)), some.join(without, F.col(symbol) == F.col("symbol")).withColumn("direction", F.lit(direction))]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionAll(part)
+    order = Window.partitionBy("seed", "direction").orderBy("id")
+    return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit).drop("path", "symbol", "nth")
+
+
+def callers(edges: DataFrame, symbols: DataFrame, limit: int = 50) -> DataFrame:
+    """Edges by which symbols (symbol) are called."""
+    return touching(edges, symbols.select(F.col("symbol").alias("seed"), F.lit(None).cast("string").alias("path"), "symbol"), ["calls", "called_by"], limit).where("direction = 'in'")
+
+
+def implementors(edges: DataFrame, symbols: DataFrame, limit: int = 50) -> DataFrame:
+    """Edges by which symbols (symbol) are implemented or extended."""
+    return touching(edges, symbols.select(F.col("symbol").alias("seed"), F.lit(None).cast("string").alias("path"), "symbol"), ["implements", "extends"], limit).where("direction = 'in'")
+
+
+#: Specifiers of relative imports, exports and requires, by priority (fixed values).
+SPECIFIERS = (r"""import\s+(?:[^"']+?\s+from\s+)?["'](\.{1,2}/[^"']+)["']""", r"""export\s+[^"']+?\s+from\s+["'](\.{1,2}/[^"']+)["']""", r"""require\(["'](\.{1,2}/[^"']+)["']\)""")
+
+
+def imported_paths(rows: DataFrame, indexed: DataFrame) -> DataFrame:
+    """rows (path, contents, ...) with spec_no and target of each relative import that stands for an indexed path, each target once a row."""
+    from spindrift.operators.symbols import resolved_imports
+
+    keys = [c for c in rows.columns if c != "contents"]
+    found = F.array_distinct(F.concat(*[F.regexp_extract_all("contents", F.lit(p), F.lit(1)) for p in SPECIFIERS]))
+    specifiers = rows.select(*keys, F.posexplode(found).alias("spec_no", "specifier"))
+    led = specifiers.join(resolved_imports(specifiers.select("path", "specifier").distinct(), indexed), ["path", "specifier"])
+    return led.groupBy(*keys, "target").agg(F.min("spec_no").alias("spec_no"))
+
+
+def dependency_chunks(results: DataFrame, edges: DataFrame, chunks: DataFrame, top: int = 5, most: int = 8) -> DataFrame:
+    """query_id, rowid, place, score of the first chunks of files that the first results' files import, and of those that these import.
+
+    Files of the results themselves are left out, and each file counts once; an import scores 0.4 of its result, one behind it 0.3 of that.
     """
-    seeds = ranked.where(F.col("rank") <= top)
-    found = neighbours(edges, seeds.select(F.col("node").alias("seed")).distinct())
-    order = Window.partitionBy("query_id").orderBy("rank", F.desc("direction"), "id")
-    first = Window.partitionBy("query_id", "node").orderBy("rank", F.desc("direction"), "id")
-    hits = seeds.select("query_id", "rank", "score", F.col("node").alias("seed")).join(found, "seed").join(edges.select("id", "kind", "confidence"), "id")
-    fresh = hits.join(ranked.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    return fresh.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query_id", "node", (F.col("score") * decay * F.col("confidence")).alias("score"), F.concat_ws(" ", "kind", "direction").alias("via"))
+    imports = edges.where("kind = 'imports'").groupBy("source_path", "target_path").agg(F.min("id").alias("id"))
+    listed = imports.withColumn("nth", F.row_number().over(Window.partitionBy("source_path").orderBy("id"))).where("nth <= 50").select(F.col("source_path").alias("path"), "nth", F.col("target_path").alias("to"))
+    first = chunks.groupBy(F.col("path").alias("to")).agg(F.min_by("rowid", F.struct("start_line", "rowid")).alias("rowid"))
+    led = listed.join(first, "to", "left")
+    near = results.where(F.col("rank") <= top).select("query_id", "path").distinct().join(led, "path").select("query_id", F.lit(1).alias("hop"), "path", "nth", "to", "rowid")
+    far = near.where("rowid is not null").select("query_id", F.col("to").alias("path")).distinct().join(led.where("nth <= 2"), "path").select("query_id", F.lit(2).alias("hop"), "path", "nth", "to", "rowid")
+    farther = far.where("rowid is not null").select("query_id", F.col("to").alias("path")).distinct().join(led.where("nth <= 2"), "path").select("query_id", F.lit(2).alias("hop"), "path", "nth", "to", "rowid")
+    query_type = results.schema["query_id"].dataType.simpleString()
+
+    def fold(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        given = given.set_axis(["query_id", "path", "rank", "score"], axis=1)
+        own, seen, out = set(given["path"]), set(), []
+        rows = rows.drop_duplicates(["hop", "path", "nth"]).sort_values(["hop", "nth"], kind="stable")
+        imports = {(h, p): v[["to", "rowid"]].to_dict("records") for (h, p), v in rows.groupby(["hop", "path"])}
+
+        def take(edge: dict, score: float) -> None:
+            if len(out) < most and edge["to"] not in own and edge["to"] not in seen:
+                seen.add(edge["to"])
+                if edge["rowid"] == edge["rowid"]:
+                    out.append((int(edge["rowid"]), score, edge["to"]))
+
+        for r in given[given["rank"] <= top].sort_values("rank").to_dict("records"):
+            for edge in imports.get((1, r["path"]), []):
+                take(edge, r["score"] * 0.4)
+            if len(out) >= most:
+                break
+            for _, score, path in out[:3]:
+                for edge in (imports.get((2, path)) or imports.get((1, path), []))[:2]:
+                    take(edge, score * 0.3)
+            if len(out) >= most:
+                break
+        out.sort(key=lambda x: -x[1])
+        return pd.DataFrame([(given["query_id"].iloc[0], n, k + 1, s) for k, (n, s, _) in enumerate(out)] if len(given) else [], columns=["query_id", "rowid", "place", "score"])
+
+    ranked = results.select(F.col("query_id").alias("of_query"), F.col("path").alias("of_path"), F.col("rank").alias("of_rank"), F.col("score").alias("of_score"))
+    return near.unionAll(far).unionAll(farther).groupBy("query_id").cogroup(ranked.groupBy("of_query")).applyInPandas(fold, f"query_id {query_type}, rowid long, place int, score double")

@@ -87,3 +87,35 @@ def fuzzy_paths(paths: DataFrame, query: str, limit: int = 12) -> DataFrame:
     loose = ".*".join("\\" + c if not c.isalnum() else c for c in q)
     kind = F.when(name == q, 0).when(name.startswith(q), 1).when(F.contains(lower, F.lit(q)), 2).when(lower.rlike(loose), 3)
     return paths.withColumn("score", kind * 1000 + F.least(F.lit(999), F.length("path"))).where("score is not null").orderBy("score", "path").limit(limit).select("path", F.col("score").cast("long"))
+
+
+def references_of(chunks: DataFrame, terms: DataFrame, limit: int = 8) -> DataFrame:
+    """term, rowid, path, n: the first rows that hold each term (a run of letters, digits and underscores) as a whole word in its own case.
+
+    Rows are reduced to their distinct words where they are read; the few terms meet these by equality.
+    """
+    words = F.array_distinct(F.regexp_extract_all("contents", F.lit("[A-Za-z0-9_]+"), F.lit(0)))
+    found = chunks.select("rowid", "path", F.explode(words).alias("term")).join(terms.select("term").distinct(), "term")
+    nth = F.row_number().over(Window.partitionBy("term").orderBy("rowid"))
+    return found.withColumn("n", nth).where(F.col("n") <= limit)
+
+
+def first_of(chunks: DataFrame, wanted: DataFrame, keys: list[str], order: list[str], limit: int = 5) -> DataFrame:
+    """The first chunks, by order, of each wanted combination of keys: lookups by symbol, path, or parent and path."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return chunks.join(wanted.select(*keys).distinct(), keys, "left_semi").withColumn("n", nth).where(F.col("n") <= limit)
+
+
+def hydrated(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits (rowid, ...) with their chunks; a rowid that has none is left out."""
+    return hits.join(chunks, "rowid")
+
+
+def listed(paths: DataFrame, folder: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Distinct paths below a folder that match a glob pattern, in order."""
+    from spindrift.sources.files import glob
+
+    rows = paths.select("path").distinct()
+    if folder:
+        rows = rows.where(F.col("path").startswith(folder))
+    return (rows.where(F.col("path").rlike(glob(pattern))) if pattern else rows).orderBy("path")

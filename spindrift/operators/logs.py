@@ -30,6 +30,22 @@ def chained_breaks(log: DataFrame, stretch: int = 4096, check_hash: bool = True)
     return checked.withColumn("reason", reason).where("reason is not null").orderBy("seq").limit(1).select("seq", "reason")
 
 
+def chained(records: Column) -> Column:
+    """Records (an array of seq, ts, type, data in order) with prev and hash, each hash taking in the one before."""
+    one = lambda r, before: F.struct(r["seq"].alias("seq"), r["ts"].alias("ts"), r["type"].alias("type"), r["data"].alias("data"), before.alias("prev"), chain_hash(r["seq"], r["ts"], r["type"], r["data"], before).alias("hash"))
+    start = F.array().cast("array<struct<seq:bigint,ts:string,type:string,data:string,prev:string,hash:string>>")
+    return F.aggregate(records, start, lambda s, r: F.concat(s, F.array(one(r, F.coalesce(F.try_element_at(s, F.lit(-1))["hash"], F.lit(""))))))
+
+
+def chain_breaks(log: DataFrame, by: str) -> DataFrame:
+    """by, seq, reason of the first record of each of many logs that breaks its chain; a log may begin at any number."""
+    order = Window.partitionBy(by).orderBy("seq")
+    checked = log.withColumn("before_seq", F.lag("seq").over(order)).withColumn("before_hash", F.lag("hash").over(order))
+    hashed = chain_hash(F.col("seq"), F.col("ts"), F.col("type"), F.col("data"), F.col("prev"))
+    reason = F.when(F.col("seq") != F.col("before_seq") + 1, "gap").when(F.col("prev") != F.coalesce("before_hash", F.lit("")), "link").when(F.col("hash") != hashed, "hash")
+    return checked.withColumn("reason", reason).where("reason is not null").groupBy(by).agg(F.min("seq").alias("seq"), F.min_by("reason", "seq").alias("reason"))
+
+
 def repeated_calls(events: DataFrame, least: int = 2) -> DataFrame:
     """Events whose signature stood before in their session, with how often so far."""
     order = Window.partitionBy("session", "signature").orderBy("seq")
@@ -76,11 +92,40 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
     """id, path, hunk, line, text of the lines that unified diffs (id, diff) add, with their numbers in the new file."""
     rows = diffs.select("id", F.posexplode(F.split("diff", "\n")).alias("pos", "raw"))
     order = Window.partitionBy("id").orderBy("pos")
-    path = F.last(F.when(F.col("raw").startswith("+++ "), F.regexp_replace(F.substring("raw", 5, 4096), "^b/", "")), ignorenulls=True).over(order)
+    path = F.last(F.when(F.col("raw").startswith("+++ "), F.regexp_replace(F.substr("raw", F.lit(5)), "^b/", "")), ignorenulls=True).over(order)
     hunk = F.sum(F.col("raw").startswith("@@").cast("int")).over(order)
     begin = F.last(F.when(F.col("raw").startswith("@@"), F.regexp_extract("raw", r"\+(\d+)", 1).cast("int")), ignorenulls=True).over(order)
     marked = rows.withColumn("path", path).withColumn("hunk", hunk).withColumn("begin", begin)
     body = ~F.col("raw").startswith("@@") & ~F.col("raw").startswith("+++") & ~F.col("raw").startswith("---") & ~F.col("raw").startswith("-") & ~F.col("raw").startswith("diff ") & (F.col("hunk") > 0)
     here = Window.partitionBy("id", "hunk").orderBy("pos")
     counted = marked.withColumn("line", F.col("begin") + F.sum(body.cast("int")).over(here) - 1)
-    return counted.where(F.col("raw").startswith("+") & ~F.col("raw").startswith("+++") & (F.col("hunk") > 0)).select("id", "path", "hunk", "line", F.substring("raw", 2, 1 << 20).alias("text"))
+    return counted.where(F.col("raw").startswith("+") & ~F.col("raw").startswith("+++") & (F.col("hunk") > 0)).select("id", "path", "hunk", "line", F.substr("raw", F.lit(2)).alias("text"))
+
+
+def without_orphans(kept: DataFrame) -> DataFrame:
+    """Messages (conv_id, turn, role, calls array<string>, answers string) without tool answers whose call is gone, and without calls that no answer is left to."""
+    calls = kept.where("role = 'assistant'").select("conv_id", F.explode("calls").alias("answers"))
+    answered = kept.where("role != 'tool' or answers is null").unionByName(kept.where("role = 'tool' and answers is not null").join(calls.distinct(), ["conv_id", "answers"], "left_semi"))
+    given = answered.where("role = 'tool'").groupBy("conv_id").agg(F.collect_set("answers").alias("given"))
+    left = answered.join(given, "conv_id", "left")
+    return left.withColumn("calls", F.array_intersect("calls", F.coalesce("given", F.array().cast("array<string>")))).drop("given")
+
+
+def up_to_turn(messages: DataFrame, turns: DataFrame) -> DataFrame:
+    """Messages (conv_id, turn, role) before the prompt that follows each conversation's turn number (conv_id, last)."""
+    numbered = messages.withColumn("user_turn", F.sum((F.col("role") == "user").cast("int")).over(Window.partitionBy("conv_id").orderBy("turn")))
+    return numbered.join(turns, "conv_id").where("user_turn <= last").drop("user_turn", "last")
+
+
+def after_cursor(events: DataFrame, cursor: int, most: int) -> DataFrame:
+    """Events behind a cursor, of the most newest ones that are kept, in order."""
+    newest = events.orderBy(F.desc("seq")).limit(most)
+    return newest.where(F.col("seq") > cursor).orderBy("seq")
+
+
+def transcript(messages: DataFrame, most: int = 600) -> DataFrame:
+    """conv_id, transcript: a conversation's messages as lines with their roles, tool answers cut."""
+    body = F.when((F.col("role") == "tool") & (F.length("text") > most), F.concat(F.substring("text", 1, most), F.lit("…"))).otherwise(F.col("text"))
+    head = F.when(F.col("role") == "tool", F.concat(F.lit("TOOL "), F.coalesce(F.col("name") if "name" in messages.columns else F.lit(""), F.lit("")))).otherwise(F.upper("role"))
+    lines = messages.where("role in ('user', 'assistant', 'tool')").where("role != 'assistant' or text != ''").select("conv_id", "turn", F.concat(head, F.lit(": "), body).alias("line"))
+    return lines.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("transcript"))

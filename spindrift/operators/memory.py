@@ -16,7 +16,10 @@ ANSWER_FACTS = (
     r"(?i)(?:the (?:codebase|project|system) (?:uses|has|contains))\s*(.+?)(?=\.(?:\s|$)|\n|$)",
 )
 USER_FACTS = (r"(?i)(?:actually[,:]?\s*|we (?:now )?(?:use|used|migrated (?:to|off)|switched to)|don'?t use|do not use|prefer|always|never)\s+(.+?)(?=\.(?:\s|$)|\n|$)",)
+# What before a fact takes it back, how far before it that counts, and the least and most characters of a fact.
 NEGATED = re.compile(r"\b(?:not|never|no|doubt|unlikely|whether|if|unless)\b[^.!?\n]*$", re.I)
+LOOK_BACK, FACT_CHARS = 32, (20, 500)
+PROMPT_HEAD = "## Remembered Context (from prior sessions — may be stale; verify against the current code before relying on it)\n"
 
 
 def lexical_score(query: list[str], content: Column, tags: Column) -> Column:
@@ -93,9 +96,33 @@ def harvest(messages: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
                 for pattern in compiled:
                     for m in pattern.finditer(clean):
                         fact = m[1].strip()
-                        if 20 < len(fact) < 500 and not NEGATED.search(clean[max(0, m.start() - 32) : m.start()]) and not any(s.search(fact) for s in secret):
+                        if FACT_CHARS[0] < len(fact) < FACT_CHARS[1] and not NEGATED.search(clean[max(0, m.start() - LOOK_BACK) : m.start()]) and not any(s.search(fact) for s in secret):
                             found.append(fact)
                 out += [(n, f) for f in found if not any(f in g and len(g) > len(f) for g in found)]
             yield pd.DataFrame(out, columns=["id", "fact"])
 
     return messages.select("id", "text").mapInPandas(run, "id long, fact string")
+
+
+def live(log: DataFrame) -> DataFrame:
+    """The notes in force, newest first, from a log (seq, op, id, kind, content, supersedes, relevance): add, forget and relevance.
+
+    An addition ends the note it supersedes, and older ones of the same content; relevance is held between 0 and 2.
+    """
+    added = log.where("op = 'add'")
+    gone = log.where("op = 'forget'").select("id", "seq").unionByName(added.where("supersedes is not null").select(F.col("supersedes").alias("id"), "seq"))
+    ended = added.select("id", F.col("seq").alias("born")).join(gone, "id").where("seq > born").select("id")
+    same = added.withColumn("nth", F.row_number().over(Window.partitionBy(F.lower(F.trim("content"))).orderBy(F.desc("seq")))).where("nth > 1").select("id")
+    told = log.where("op = 'relevance'").groupBy("id").agg(F.max_by("relevance", "seq").alias("told"))
+    held = added.join(ended.union(same).distinct(), "id", "left_anti").join(told, "id", "left")
+    return held.withColumn("relevance", F.least(F.greatest(F.coalesce("told", "relevance", F.lit(1.0)), F.lit(0.0)), F.lit(2.0))).drop("told", "op").orderBy(F.desc("seq"))
+
+
+def prompt(recalled: DataFrame, most_chars: int = 2000) -> DataFrame:
+    """query_id, text of recalled notes (query_id, place, kind, content) as lines below a head, up to the first that does not fit."""
+    line = F.concat(F.lit("- ["), "kind", F.lit("] "), "content", F.lit("\n"))
+    used = F.sum(F.length("line")).over(Window.partitionBy("query_id").orderBy("place")) + len(PROMPT_HEAD)
+    kept = recalled.withColumn("line", line).withColumn("used", used).where(F.col("used") <= most_chars)
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
+    texts = kept.groupBy("query_id").agg(F.concat(F.lit(PROMPT_HEAD), F.array_join(lines, "")).alias("text"))
+    return recalled.select("query_id").distinct().join(texts, "query_id", "left").withColumn("text", F.coalesce("text", F.lit(PROMPT_HEAD)))

@@ -21,9 +21,12 @@ def fuse(lists: list[DataFrame], weights: list[float | Column], top_k: int) -> D
         x.select("query_id", "rowid", F.lit(n).alias("list"), F.col("rank"), (F.lit(w) if not isinstance(w, Column) else w).alias("weight"), *[(F.col("score") if n == m else F.lit(None).cast("double")).alias(f"score_{m}") for m in range(len(lists))])
         for n, (x, w) in enumerate(zip(lists, weights, strict=True))
     ]
-    joined = reduce(DataFrame.unionByName, tagged).groupBy("query_id", "rowid").agg(
-        F.sum(F.col("weight") / (RRF_K + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("first"), *[F.max(f"score_{m}").alias(f"score_{m}") for m in range(len(lists))]
-    )
+    return fused_rows(reduce(DataFrame.unionByName, tagged), top_k, [f"score_{m}" for m in range(len(lists))])
+
+
+def fused_rows(tagged: DataFrame, top_k: int, carried: list[str]) -> DataFrame:
+    """Fusion of rows (query_id, rowid, list, rank, weight) of any number of lists; of carried columns the largest value stays."""
+    joined = tagged.groupBy("query_id", "rowid").agg(F.sum(F.col("weight") / (RRF_K + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("first"), *[F.max(c).alias(c) for c in carried])
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.col("first.list"), F.col("first.rank"))
     return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).drop("first")
 

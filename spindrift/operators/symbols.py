@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import ast
+import posixpath
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.operators import chunking
-from spindrift.operators.graph import resolved
+from spindrift.operators.graph import EDGES, resolved, source_edges
 
 SYMBOL_CHUNKS = "path string, start_line int, end_line int, contents string, symbol string, kind string, parent string"
 #: Below this part of a file's characters in symbols, the file is cut by lines instead.
@@ -66,3 +68,70 @@ def resolved_imports(imports: DataFrame, indexed: DataFrame) -> DataFrame:
     wanted = imports.where(F.col("specifier").startswith(".")).withColumn("base", resolved("path", "specifier")).select("path", "specifier", "base", F.explode(tries).alias("t"))
     hits = wanted.withColumn("target", F.concat("base", "t.ending")).join(indexed.select(F.col("path").alias("target")).distinct(), "target", "left_semi")
     return hits.groupBy("path", "specifier").agg(F.min_by("target", "t.place").alias("target"))
+
+
+def python_module(path: str, module: str, level: int) -> str:
+    """The path, without an ending, that a module's name stands for; relative ones against the file."""
+    name = module.replace(".", "/")
+    if not level:
+        return name
+    return posixpath.normpath(posixpath.join(posixpath.dirname(path), *[".."] * (level - 1), name))
+
+
+def python_edges(path: str, source: str) -> list[tuple]:
+    """EDGES of a Python file by its syntax tree; none if it does not parse.
+
+    Imports with the names they bind, top-level definitions and classes as exports, base classes, and calls of imported names.
+    """
+    try:
+        module = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    out: list[tuple] = []
+    bound: dict[str, tuple[str, str | None]] = {}
+    for node in ast.walk(module):
+        if isinstance(node, ast.Import):
+            for name in node.names:
+                target, local = python_module(path, name.name, 0), name.asname or name.name.split(".")[0]
+                out.append((path, local, target, None, "imports", 0.9))
+                bound[local] = (target, None)
+        elif isinstance(node, ast.ImportFrom):
+            target = python_module(path, node.module or "", node.level)
+            for name in node.names:
+                if name.name == "*":
+                    out.append((path, None, target, None, "imports", 0.7))
+                else:
+                    out.append((path, name.asname or name.name, target, name.name, "imports", 1.0))
+                    bound[name.asname or name.name] = (target, name.name)
+        elif isinstance(node, ast.ClassDef):
+            out.append((path, node.name, path, node.name, "exports", 1.0))
+            for base in node.bases:
+                name = base.id if isinstance(base, ast.Name) else base.attr if isinstance(base, ast.Attribute) else None
+                if name:
+                    out.append((path, node.name, path, name, "extends", 0.85))
+    out += [(path, node.name, path, node.name, "exports", 1.0) for node in module.body if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef))]
+    for node in ast.walk(module):
+        if isinstance(node, ast.Call):
+            called = node.func if isinstance(node.func, ast.Name) else node.func.value if isinstance(node.func, ast.Attribute) else None
+            if isinstance(called, ast.Name) and called.id in bound:
+                target, symbol = bound[called.id]
+                out.append((path, None, target, symbol, "calls", 0.75))
+    return list(dict.fromkeys(out))
+
+
+#: Languages whose edges are found by a function of (path, contents) instead of by expressions; a caller may add his own.
+BY_TREE: dict[str, Callable[[str, str], list[tuple]]] = {"python": python_edges}
+
+
+def all_edges(files: DataFrame, by_tree: dict[str, Callable[[str, str], list[tuple]]] | None = None) -> DataFrame:
+    """EDGES of files (path, contents, language): by syntax tree where there is one and it finds some, else by expressions."""
+    known = BY_TREE if by_tree is None else by_tree
+
+    def run(batches):
+        for batch in batches:
+            rows = [e for path, contents, language in zip(batch["path"], batch["contents"], batch["language"], strict=True) for e in known[language](path, contents or "")]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in EDGES.split(", ")])
+
+    parsed = files.where(F.col("language").isin(*known)).select("path", "contents", "language").mapInPandas(run, EDGES)
+    rest = files.join(parsed.select(F.col("source_path").alias("path")).distinct(), "path", "left_anti")
+    return parsed.unionAll(source_edges(rest))

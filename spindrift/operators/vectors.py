@@ -19,29 +19,49 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def knn(vectors: DataFrame, queries: list[tuple[int, list[float]]], top_k: int, path_prefix: str | None = None) -> DataFrame:
+#: Query vectors that are sent to every task at a time.
+MOST_QUERIES = 4096
+
+
+def knn(vectors: DataFrame, queries: DataFrame, top_k: int, path_prefix: str | None = None) -> DataFrame:
     """query_id, rowid, rank, distance, score = 1 / (1 + distance): the exact nearest rows by cosine distance.
 
-    The stated queries are held against all rows in blocks: one matrix product for each Arrow batch, of which only each
+    The stated queries (query_id, embedding) are held against all rows in blocks: one matrix product for each Arrow batch
+    and MOST_QUERIES queries, of which only each
     query's best top_k leave the task.  A path prefix is applied before the search.
     """
     if path_prefix is not None:
         vectors = vectors.where(F.lower("path").startswith(path_prefix.lower()))
-    ids = np.array([q for q, _ in queries])
-    asked = np.array([v for _, v in queries], float)
-    norms = np.linalg.norm(asked, axis=1)
+    spark = vectors.sparkSession
+    slices = max(1, -(-queries.count() // MOST_QUERIES))
+    found = None
+    for part in range(slices):
+        some = queries if slices == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == part)
+        rows = some.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).orderBy("query_id").toArrow()
+        asked = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.array(rows["embedding"].to_pylist(), float).reshape(rows.num_rows, -1)))
+        best = vectors.select("rowid", "embedding").mapInPandas(_best(asked, top_k), "query_id long, rowid long, distance double")
+        found = best if found is None else found.unionAll(best)
+    return ranked(found.withColumn("score", 1 / (1 + F.round("distance", 9))), top_k)
+
 
+def _best(asked, top_k: int):
     def run(batches):
+        ids, wanted = asked.value
+        norms = np.linalg.norm(wanted, axis=1)
         for batch in batches:
-            if not len(batch):
+            if not len(batch) or not len(ids):
                 continue
             there = np.array(batch["embedding"].tolist(), float)
             both = norms[:, None] * np.linalg.norm(there, axis=1)
-            distance = 1 - np.divide(asked @ there.T, both, out=np.zeros_like(both), where=both > 0)
+            distance = 1 - np.divide(wanted @ there.T, both, out=np.zeros_like(both), where=both > 0)
             rowid = batch["rowid"].to_numpy()
             for q, row in zip(ids, distance, strict=True):
                 best = np.lexsort((rowid, row))[:top_k]
                 yield pd.DataFrame({"query_id": q, "rowid": rowid[best], "distance": row[best]})
 
-    found = vectors.select("rowid", "embedding").mapInPandas(run, "query_id long, rowid long, distance double")
-    return ranked(found.withColumn("score", 1 / (1 + F.round("distance", 9))), top_k)
+    return run
+
+
+def codec(vector: Column) -> Column:
+    """A vector as stored: 32-bit floats."""
+    return vector.cast("array<float>")

@@ -132,11 +132,11 @@ def importers(spark, sf_dir):
 
 
 _FK = """n AS (SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target, 'imports' AS kind, 1.0 AS confidence, 'a' || n_nationkey AS id FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'calls', 0.7, 'b' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') FROM customer),
-s AS (SELECT 1 AS query_id, 'n' || n_nationkey AS node, row_number() OVER (ORDER BY n_nationkey) AS rank, 1.0 / (n_nationkey + 1) AS score FROM nation WHERE n_nationkey < 8),
+s AS (SELECT n_regionkey AS query_id, 'n' || n_nationkey AS node, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rank, 1.0 / (n_nationkey + 1) AS score FROM nation),
 o AS (SELECT s.query_id, s.rank, s.score, 'out' AS direction, n.id, n.target AS node, kind, confidence, row_number() OVER (PARTITION BY s.node ORDER BY n.id) AS k FROM s JOIN n ON n.source = s.node WHERE rank <= 5),
 i AS (SELECT s.query_id, s.rank, s.score, 'in' AS direction, n.id, n.source AS node, kind, confidence, row_number() OVER (PARTITION BY s.node ORDER BY n.id) AS k FROM s JOIN n ON n.target = s.node WHERE rank <= 5),
-h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node ORDER BY rank, direction DESC, id) AS nth FROM (SELECT * FROM o WHERE k <= 50 UNION ALL SELECT * FROM i WHERE k <= 50) x WHERE node NOT IN (SELECT node FROM s)) WHERE nth = 1)
-SELECT query_id, node, round(score * 0.55 * confidence, 6) AS score, kind || ' ' || direction AS via FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, direction DESC, id) AS p FROM h) WHERE p <= 15"""
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node ORDER BY rank, direction DESC, id) AS nth FROM (SELECT * FROM o WHERE k <= 50 UNION ALL SELECT * FROM i WHERE k <= 50) x WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.query_id = x.query_id AND s.node = x.node)) WHERE nth = 1)
+SELECT query_id, node, CAST(p AS INT) AS place, round(score * 0.55 * confidence, 6) AS score, CASE direction WHEN 'out' THEN kind || ' ' || node ELSE node || ' ' || kind || ' this' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, direction DESC, id) AS p FROM h) WHERE p <= 15"""
 
 
 @query("WITH " + _FK)
@@ -146,20 +146,20 @@ def fk_graph_expand(spark, sf_dir):
     edges = nation.select(text("n", "n_nationkey").alias("source"), text("r", "n_regionkey").alias("target"), F.lit("imports").alias("kind"), F.lit(1.0).alias("confidence"), text("a", "n_nationkey").alias("id")).unionAll(
         customer.select(text("c", "c_custkey"), text("n", "c_nationkey"), F.lit("calls"), F.lit(0.7), F.concat(F.lit("b"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")))
     )
-    ranked = nation.where("n_nationkey < 8").select(F.lit(1).alias("query_id"), text("n", "n_nationkey").alias("node"), (F.col("n_nationkey") + 1).alias("rank"), (1 / (F.col("n_nationkey") + 1)).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    ranked = nation.select(F.col("n_regionkey").alias("query_id"), text("n", "n_nationkey").alias("node"), rank.alias("rank"), (1 / (F.col("n_nationkey") + 1)).alias("score"))
     return graph.expand(ranked, edges).withColumn("score", F.round("score", 6))
 
 
-def result_rows(spark, sf_dir, whole=False):
-    """Windows of the documents' lines as results, with a score that any engine can compute: of two queries over the first 400 doc_ids, as the SQL below has it, or of a query for each hundred doc_ids."""
+def result_rows(spark, sf_dir):
+    """Windows of all documents' lines as results, with a score that any engine can compute: a query for each hundred doc_ids."""
     cut = chunking.windows(files(spark, sf_dir), 4, 1).withColumn("path", F.element_at(F.split("path", "/"), -1))
     n = F.col("path").cast("long")
-    rows, query_id = (cut, F.floor(n / 100)) if whole else (cut.where(n < 400), n % 2)
-    return rows.select(query_id.alias("query_id"), F.concat(F.lit("f"), (n % 50).cast("string")).alias("path"), (F.col("start_line") + n * 3).cast("int").alias("start_line"), (F.col("end_line") + n * 3).cast("int").alias("end_line"), "contents", ((n * 37 + F.col("start_line") * 11) % 101 / 10.0).alias("score"), n.alias("n"))
+    return cut.select(F.floor(n / 100).alias("query_id"), F.concat(F.lit("f"), (n % 50).cast("string")).alias("path"), (F.col("start_line") + n * 3).cast("int").alias("start_line"), (F.col("end_line") + n * 3).cast("int").alias("end_line"), "contents", ((n * 37 + F.col("start_line") * 11) % 101 / 10.0).alias("score"), n.alias("n"))
 
 
 _RESULTS = f"""w AS (SELECT CAST(string_split(path, '/')[2] AS BIGINT) AS n, l, unnest(range(1, greatest(1, CAST(ceil((len(l) - 4) / 3.0) AS INT) * 3 + 1) + 1, 3)) AS s FROM ({_LINES})),
-r AS (SELECT n % 2 AS query_id, 'f' || (n % 50) AS path, s + n * 3 AS start_line, least(s + 3, len(l)) + n * 3 AS end_line, (n * 37 + s * 11) % 101 / 10.0 AS score, n FROM w WHERE n < 400)"""
+r AS (SELECT n // 100 AS query_id, 'f' || (n % 50) AS path, s + n * 3 AS start_line, least(s + 3, len(l)) + n * 3 AS end_line, (n * 37 + s * 11) % 101 / 10.0 AS score, n FROM w)"""
 
 
 @query(f"WITH {_RESULTS} SELECT query_id, path, CAST(start_line AS INT) AS start_line, CAST(in_file AS INT) AS in_file FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, start_line, n) AS in_file FROM r) WHERE in_file <= 4")
@@ -178,7 +178,7 @@ def span_merge(spark, sf_dir):
 @query()
 def pack_budget(spark, sf_dir):
     """All documents' windows, a query for each hundred documents."""
-    rows = result_rows(spark, sf_dir, whole=True)
+    rows = result_rows(spark, sf_dir)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "n", "start_line"))
     return packing.pack(rows.withColumn("rank", rank).withColumn("symbol", F.lit("Thing")), 8000, 3000)
 
@@ -195,22 +195,26 @@ def repo_map(spark, sf_dir):
 
 
 @query("""SELECT a.rowid AS anchor, b.rowid AS rowid, CAST(rank AS INT) AS rank, gap FROM (SELECT a.k AS a_k, b.k AS b_k, row_number() OVER (PARTITION BY a.k ORDER BY CASE WHEN b.e < a.s THEN a.s - b.e ELSE b.s - a.e END, b.k) AS rank, CASE WHEN b.e < a.s THEN a.s - b.e ELSE b.s - a.e END AS gap
-FROM (SELECT doc_id AS k, source AS p, doc_id * 10 AS s, doc_id * 10 + 15 AS e FROM documents WHERE doc_id < 10) a JOIN (SELECT doc_id AS k, source AS p, doc_id * 10 AS s, doc_id * 10 + 15 AS e FROM documents) b ON a.p = b.p AND a.k <> b.k) x, (SELECT doc_id AS rowid FROM documents) a, (SELECT doc_id AS rowid FROM documents) b WHERE a.rowid = a_k AND b.rowid = b_k AND rank <= 4""")
+FROM (SELECT doc_id AS k, source AS p, doc_id * 10 AS s, doc_id * 10 + 15 AS e FROM documents) a JOIN (SELECT doc_id AS k, source AS p, doc_id * 10 AS s, doc_id * 10 + 15 AS e FROM documents) b ON a.p = b.p AND a.k <> b.k) x, (SELECT doc_id AS rowid FROM documents) a, (SELECT doc_id AS rowid FROM documents) b WHERE a.rowid = a_k AND b.rowid = b_k AND rank <= 4""")
 def proximity_chunks(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rowid"), F.col("source").alias("path"), (F.col("doc_id") * 10).alias("start_line"), (F.col("doc_id") * 10 + 15).alias("end_line"))
-    return lexical.near(rows, rows.where("rowid < 10")).select("anchor", "rowid", "rank", "gap")
+    return lexical.near(rows, rows).select("anchor", "rowid", "rank", "gap")
 
 
-@query("SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'size' WHEN regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') THEN 'binary' ELSE 'kept' END AS reason FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'key' WHEN length(text) > 5000 THEN 'size' WHEN regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') THEN 'binary' ELSE 'kept' END AS reason FROM documents")
 def scan_filter(spark, sf_dir):
-    reason = F.when(X.is_key_path(F.col("path")), "key").when(F.length("contents") > 5000, "size").when(X.is_binary(F.col("contents").cast("binary")), "binary").otherwise("kept")
+    named = F.when(F.col("doc_id") % 18 == 0, F.lit(".ssh/x")).when(F.col("doc_id") % 9 == 0, F.concat("path", F.lit("/.env.local"))).otherwise(F.col("path"))
+    reason = F.when(X.is_key_path(named), "key").when(F.length("contents") > 5000, "size").when(X.is_binary(F.col("contents").cast("binary")), "binary").otherwise("kept")
     return files(spark, sf_dir).select("doc_id", reason.alias("reason"))
 
 
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'cpp' END AS language FROM part")
+_ENDINGS = [(e, language) for language, endings in X.LANGUAGES.items() for e in endings.split()] + [("txt", None), ("PY", "python"), ("", None)]
+
+
+@query("SELECT p_partkey, CASE p_partkey % " + str(len(_ENDINGS)) + " " + " ".join(f"WHEN {n} THEN {'NULL' if language is None else repr(language)}" for n, (_, language) in enumerate(_ENDINGS)) + " END AS language FROM part")
 def language_map(spark, sf_dir):
-    extension = F.element_at(F.array(F.lit(".PY"), F.lit(".mts"), F.lit(".hh"), F.lit(".txt")), (F.col("p_size") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", X.language_of(F.concat(F.lit("a/b"), extension)).alias("language"))
+    endings = F.array(*[F.lit(e) for e, _ in _ENDINGS])
+    return table(spark, sf_dir, "part").select("p_partkey", X.language_of(F.concat(F.lit("a/b."), F.element_at(endings, (F.col("p_partkey") % len(_ENDINGS) + 1).cast("int")))).alias("language"))
 
 
 @query("SELECT p_partkey, CASE WHEN contains(trim(regexp_replace(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_-]+', ' ', 'g')), ' ') THEN trim(regexp_replace(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_-]+', ' ', 'g')) ELSE '' END AS words FROM part")

@@ -8,14 +8,19 @@ from spindrift.functions import text as X
 from spindrift.operators import logs, maintenance, memory
 from spindrift.plans.registry import query, table
 
-@query("SELECT CAST(7 AS BIGINT) AS seq, 'gap' AS reason")
+_CHAIN = """WITH RECURSIVE b AS (SELECT event_id AS seq, event_id // 50 AS part, min(event_id) OVER (PARTITION BY event_id // 50) AS first, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type AS type, coalesce(props, '') AS data FROM events),
+c AS (SELECT seq, part, sha256(seq || '|' || ts || '|' || type || '|' || data || '|') AS hash FROM b WHERE seq = first
+ UNION ALL SELECT b.seq, b.part, sha256(b.seq || '|' || b.ts || '|' || b.type || '|' || b.data || '|' || c.hash) FROM c JOIN b ON b.seq = c.seq + 1 AND b.part = c.part)"""
+
+
+@query(_CHAIN + """ SELECT part, min(seq) AS seq, min_by(reason, seq) AS reason, min_by(hash, seq) AS was FROM (SELECT part, seq, hash, CASE WHEN part % 4 = 1 AND seq % 50 = 20 THEN 'hash' WHEN part % 4 = 2 AND seq % 50 = 31 THEN 'gap' WHEN part % 4 = 3 AND seq % 50 = 8 THEN 'hash' END AS reason FROM c) WHERE reason IS NOT NULL GROUP BY part""")
 def audit_chain_verify(spark, sf_dir):
-    """A chain over the events, one record of which is missing."""
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("event_type").alias("type"), F.coalesce("props", F.lit("")).alias("data"))
-    low = rows.agg(F.min("seq").alias("low"))
-    rows = rows.join(F.broadcast(low), F.lit(True)).withColumn("seq", F.col("seq") - F.col("low") + 1).drop("low")
-    chain = rows.withColumn("prev", F.sha2(F.concat_ws("|", F.lit("before"), F.col("seq").cast("string")), 256)).withColumn("hash", F.sha2(F.concat_ws("|", F.lit("before"), (F.col("seq") + 1).cast("string")), 256))
-    return logs.chained_breaks(chain.withColumn("prev", F.when(F.col("seq") == 1, F.lit("")).otherwise(F.col("prev"))).where("seq != 6"), check_hash=False)
+    """Logs of fifty events each, chained by hashes; in some a record is altered, lost, or rewritten with its hash left."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("seq"), F.floor(F.col("event_id") / 50).alias("part"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("event_type").alias("type"), F.coalesce("props", F.lit("")).alias("data"))
+    chained = rows.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("seq", "ts", "type", "data"))).alias("r")).select("part", F.inline(logs.chained(F.col("r"))))
+    at, kind = F.col("seq") % 50, F.col("part") % 4
+    altered = chained.withColumn("data", F.when((kind == 1) & (at == 20), F.concat("data", F.lit("!"))).otherwise(F.col("data"))).withColumn("type", F.when((kind == 3) & (at == 8), "other").otherwise(F.col("type")))
+    return logs.chain_breaks(altered.where(~((kind == 2) & (at == 30))), "part").join(chained.select("seq", F.col("hash").alias("was")), "seq").select("part", "seq", "reason", "was")
 
 
 @query("SELECT event_id, event_type FROM (SELECT * FROM events WHERE event_id > 500 ORDER BY event_id DESC LIMIT 2000)")
@@ -85,10 +90,10 @@ def memory_recall_lexical(spark, sf_dir):
     return memory.recall(notes(spark, sf_dir), "the thing und", 20).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_NOTES}, d AS (SELECT id, text, list_distinct(t) AS t FROM w WHERE id < 60000), known AS (SELECT * FROM d WHERE id % 2 = 0), c AS (SELECT * FROM d WHERE id % 2 = 1)
+@query(f"""WITH {_NOTES}, d AS (SELECT id, text, list_distinct(t) AS t FROM w), known AS (SELECT * FROM d WHERE id % 2 = 0), c AS (SELECT * FROM d WHERE id % 2 = 1)
 SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM known k WHERE lower(k.text) = lower(c.text) OR (len(k.t) > 0 AND len(c.t) > 0 AND len(list_intersect(k.t, c.t)) >= 0.8 * least(len(k.t), len(c.t))))""")
 def memory_dedupe(spark, sf_dir):
-    rows = notes(spark, sf_dir).where("id < 60000").select("id", "content")
+    rows = notes(spark, sf_dir).select("id", "content")
     return memory.not_paraphrased(rows.where("id % 2 = 1"), rows.where("id % 2 = 0")).select("id")
 
 
@@ -102,6 +107,6 @@ def secret_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(X.looks_like_secret(F.col("text"))).select("doc_id")
 
 
-@query("SELECT conv_id, turn, least(5, len(list_distinct(list_transform(regexp_extract_all(text, '[A-Z][a-z]+[A-Z][A-Za-z0-9_]+|[a-z_]{4,}'), lambda t: lower(t))))) AS n_tags FROM conversations")
+@query("SELECT conv_id, turn, array_to_string(list_slice(list_distinct_kept, 1, 5), ',') AS tags FROM (SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_kept FROM (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '[A-Z][a-z]+[A-Z][A-Za-z0-9_]+|[a-z_]{4,}'), lambda t: lower(t)) AS l FROM conversations))")
 def note_tags(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(X.tags(F.col("text"))).cast("long").alias("n_tags"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(X.tags(F.col("text")), ",").alias("tags"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
+from spindrift.operators import logs
 from spindrift.plans.registry import query, table
 
 
@@ -29,9 +30,9 @@ def change_risk(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.risk(kind, preview, F.col("user_id") * 4).alias("risk"))
 
 
-@query("SELECT doc_id, length(CASE WHEN length(text) <= 400 THEN text ELSE text[1:280] || chr(10) || '... (truncated) ...' || chr(10) || right(text, 120) END) AS n_chars FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE text[1:280] || chr(10) || '... (truncated) ...' || chr(10) || right(text, 120) END AS shown FROM documents")
 def truncated_results(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(X.truncated(F.col("text"), 400)).cast("long").alias("n_chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.truncated(F.col("text"), 400).alias("shown"))
 
 
 @query("SELECT doc_id FROM documents WHERE ends_with(source || '/' || doc_id || '.py', '1.py') OR contains(source || '/' || doc_id || '.py', 'src3/')")
@@ -40,7 +41,6 @@ def guideline_scope(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(X.in_scope(path, F.array(F.lit("*1.py"), F.lit("src3/")))).select("doc_id")
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || length(text), ' | ' ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
+@query("""SELECT conv_id, string_agg(upper(role) || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations WHERE role IN ('user', 'assistant', 'tool') AND (role <> 'assistant' OR text <> '') GROUP BY conv_id""")
 def transcript_render(spark, sf_dir):
-    line = F.concat_ws(": ", "role", F.length("text").cast("string"))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), " | ").alias("transcript"))
+    return logs.transcript(table(spark, sf_dir, "conversations"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
 from spindrift.operators import evaluation, lexical, ranking, vectors
+from spindrift.plans import corpus
 from spindrift.plans.registry import chunks, query, table
 
 TEXTS = {1: "the and thth_er", 2: "und der die", 3: "ciónes que la", 4: "éreque les"}
@@ -20,7 +21,7 @@ d AS (SELECT doc_id AS rowid, source || '/' || doc_id AS path, lang, text, regex
 terms AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(list_slice(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}')), 1, 16)) AS term FROM {_Q})),
 p AS (SELECT query_id, term, string_split(term, '_') AS w FROM terms),
 tf AS (SELECT query_id, term, rowid, path, len(t) AS n_tokens,
-  len(list_filter(range(1, len(t) - len(w) + 2), lambda k: t[k:k + len(w) - 1] = w)) AS tf FROM d, p WHERE list_contains(t, w[1])),
+  CASE WHEN len(w) = 1 THEN len(list_filter(t, lambda x: x = w[1])) ELSE len(list_filter(range(1, len(t) - len(w) + 2), lambda k: t[k:k + len(w) - 1] = w)) END AS tf FROM d, p WHERE list_contains(t, w[1])),
 hit AS (SELECT * FROM tf WHERE tf > 0),
 df AS (SELECT term, count(DISTINCT rowid) AS n_rows FROM hit GROUP BY term),
 s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
@@ -33,7 +34,7 @@ def asked(spark, texts=TEXTS):
 
 
 def contents_bm25(spark, sf_dir, top_k=20):
-    return lexical.bm25(chunks(spark, sf_dir), asked(spark), top_k, (1.0,), ("contents",))
+    return corpus.stored(spark, sf_dir).search(asked(spark), top_k, (1.0,), ("contents",))
 
 
 _TOP = "SELECT query_id, rowid, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rowid) AS rank, score FROM bm25"
@@ -55,14 +56,14 @@ r AS (SELECT query_id, rowid, sum((CASE WHEN ln((n - n_rows + 0.5) / (n_rows + 0
 SELECT query_id, rowid, CAST(rank AS INT) AS rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rowid) AS rank FROM r) WHERE rank <= 20""")
 def bm25_weighted_fields(spark, sf_dir):
     words = {1: "src0 en the", 2: "fr les des", 3: "que 17"}
-    return lexical.bm25(chunks(spark, sf_dir), asked(spark, words), 20).select("query_id", "rowid", "rank", F.round("score", 4).alias("score"))
+    return corpus.stored(spark, sf_dir).search(asked(spark, words), 20).select("query_id", "rowid", "rank", F.round("score", 4).alias("score"))
 
 
 @query(f"""WITH {_BM25} SELECT query_id, rowid, CAST(rank AS INT) AS rank, round(score, 4) AS score FROM
 (SELECT query_id, rowid, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rowid) AS rank FROM bm25 WHERE path ILIKE 'SRC1_/%') WHERE rank <= 10""")
 def path_prefix_search(spark, sf_dir):
     queries = asked(spark).withColumn("path_prefix", F.lit("SRC1_/"))
-    return lexical.bm25(chunks(spark, sf_dir), queries, 10, (1.0,), ("contents",)).select("query_id", "rowid", "rank", F.round("score", 4).alias("score"))
+    return corpus.stored(spark, sf_dir).search(queries, 10, (1.0,), ("contents",)).select("query_id", "rowid", "rank", F.round("score", 4).alias("score"))
 
 
 @query("SELECT doc_id AS rowid, source || '/' || doc_id AS path FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])token([^A-Za-z0-9_]|$)') ORDER BY doc_id LIMIT 8")
@@ -72,7 +73,7 @@ def phrase_reference_search(spark, sf_dir):
 
 def probe_vectors(spark, sf_dir):
     """The stated query vectors: those with vec_id below 20."""
-    return [(r[0], r[1]) for r in table(spark, sf_dir, "embeddings").where("vec_id < 20").orderBy("vec_id").select("vec_id", "embedding").collect()]
+    return table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def stored_vectors(spark, sf_dir):
@@ -97,7 +98,7 @@ def knn_prefiltered(spark, sf_dir):
 
 
 def both_legs(spark, sf_dir):
-    return vectors.knn(stored_vectors(spark, sf_dir), probe_vectors(spark, sf_dir)[1:5], 60).withColumn("query_id", F.col("query_id").cast("int")), contents_bm25(spark, sf_dir, 60)
+    return vectors.knn(stored_vectors(spark, sf_dir), probe_vectors(spark, sf_dir).where("query_id between 1 and 4"), 60).withColumn("query_id", F.col("query_id").cast("int")), contents_bm25(spark, sf_dir, 60)
 
 
 def fused(spark, sf_dir, top_k=60, weights=(1.0, 1.0)):
@@ -166,10 +167,8 @@ def query_signals(spark, sf_dir):
 c AS (SELECT doc_id, tok, count(*) AS n, min(pos) AS p FROM t GROUP BY ALL)
 SELECT doc_id, tok AS identifier, n AS times, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS rank FROM c) WHERE rank <= 5""")
 def identifier_counts(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.identifiers(F.col("text"))).alias("pos", "identifier"))
-    counts = found.groupBy("doc_id", "identifier").agg(F.count(F.lit(1)).alias("times"), F.min("pos").alias("first"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("times"), "first")
-    return counts.withColumn("rank", F.row_number().over(order)).where("rank <= 5").drop("first")
+    counts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(X.counted_identifiers(F.col("text")), 1, 5)).alias("at", "c"))
+    return counts.select("doc_id", "c.identifier", "c.times", (F.col("at") + 1).alias("rank"))
 
 
 def boosted_rows(spark, sf_dir):
@@ -177,7 +176,7 @@ def boosted_rows(spark, sf_dir):
     return contents_bm25(spark, sf_dir).join(chunks(spark, sf_dir), "rowid")
 
 
-_HITS = f"""{_BM25}, hits AS (SELECT b.query_id, b.rowid, b.rank, b.score, d.path, d.lang AS symbol, d.text AS contents FROM ({_TOP}) b JOIN d USING (rowid) WHERE b.rank <= 20),
+_HITS = f"""{_BM25}, hits AS (SELECT b.query_id, b.rowid, b.rank, b.score, d.path, d.lang AS symbol, d.lang AS lang, d.text AS contents FROM ({_TOP}) b JOIN d USING (rowid) WHERE b.rank <= 20),
 sig AS (SELECT query_id, list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[\\s./#:_-]+'), lambda t: regexp_replace(lower(t), '[^a-z0-9]+', '', 'g')), lambda t: length(t) >= 3 AND NOT list_contains([{_STOPS}], t)))
  AS signals FROM {_Q}),
 n AS (SELECT h.*, regexp_replace(lower(path), '[^a-z0-9]+', '', 'g') AS np, regexp_replace(lower(contents[1:600]), '[^a-z0-9]+', '', 'g') AS n6, regexp_replace(lower(contents[1:1000]), '[^a-z0-9]+', '', 'g') AS n10 FROM hits h)"""
@@ -186,10 +185,10 @@ _ORDER = "SELECT query_id, rowid, CAST(row_number() OVER (PARTITION BY query_id
 
 @query(f"""WITH {_HITS}, sig2 AS (SELECT query_id, list_distinct(list_concat(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}'), lambda t: NOT list_contains([{_STOPS}], lower(t))), lambda t: regexp_replace(lower(t), '[^a-z0-9]+', '', 'g')), signals)) AS signals FROM sig JOIN {_Q} USING (query_id)),
 b AS (SELECT n.*, score * least(4.0, 1 + list_sum(list_transform(signals, lambda x: (CASE WHEN symbol = x THEN 1.4 WHEN contains(symbol, x) OR contains(x, symbol) THEN 0.8 ELSE 0 END)
- + (CASE WHEN contains(np, x) THEN 0.35 ELSE 0 END) + (CASE WHEN contains(n6, x) THEN 0.15 ELSE 0 END)))) AS s FROM n JOIN sig2 USING (query_id)) {_ORDER} b""")
+ + (CASE WHEN contains(regexp_replace(lower(lang || path[1:2]), '[^a-z0-9]+', '', 'g'), x) THEN 0.5 ELSE 0 END) + (CASE WHEN contains(np, x) THEN 0.35 ELSE 0 END) + (CASE WHEN contains(n6, x) THEN 0.15 ELSE 0 END)))) AS s FROM n JOIN sig2 USING (query_id)) {_ORDER} b""")
 def symbol_boost(spark, sf_dir):
     signals = F.broadcast(asked(spark).select("query_id", X.query_signals(F.col("text")).alias("signals")))
-    factor = ranking.symbol_boost(F.col("symbol"), F.lit(None).cast("string"), F.col("path"), F.col("contents"), F.col("signals"))
+    factor = ranking.symbol_boost(F.col("symbol"), F.concat("symbol", F.substring("path", 1, 2)), F.col("path"), F.col("contents"), F.col("signals"))
     return ranking.reranked(boosted_rows(spark, sf_dir).join(signals, "query_id"), F.col("score") * factor).select("query_id", "rowid", "rank", F.round("score", 4).alias("score"))
 
 
@@ -218,9 +217,12 @@ def declaration_promotion(spark, sf_dir):
     return ranking.promoted(boosted_rows(spark, sf_dir), F.array(F.lit("en"), F.lit("fr"))).select("query_id", "rowid", "rank", F.round("score", 4).alias("score"))
 
 
-@query(f"WITH {_KNN.format(where='')} SELECT query_id, rowid, CAST(rank AS INT) AS rank FROM knn WHERE rank <= 20 AND 1 - distance >= 0.3")
+@query(f"WITH {_KNN.format(where='')} SELECT query_id, rowid, CAST(rank AS INT) AS rank FROM knn WHERE rank <= 200 AND CASE WHEN rowid % 3 = 0 THEN (rowid % 10) / 10.0 WHEN rowid % 3 = 1 THEN 1 - distance ELSE 1 END >= 0.3")
 def min_score_floor(spark, sf_dir):
-    rows = vectors.knn(stored_vectors(spark, sf_dir), probe_vectors(spark, sf_dir), 20).withColumn("rerank_score", F.lit(None).cast("double"))
+    """Rows with a reranker's score, with a distance only, and with neither."""
+    rows = vectors.knn(stored_vectors(spark, sf_dir), probe_vectors(spark, sf_dir), 200)
+    third = F.col("rowid") % 3
+    rows = rows.withColumn("rerank_score", F.when(third == 0, F.col("rowid") % 10 / 10)).withColumn("distance", F.when(third < 2, F.col("distance")))
     return ranking.floored(rows, 0.3).select("query_id", "rowid", "rank")
 
 
@@ -228,11 +230,13 @@ def min_score_floor(spark, sf_dir):
 f AS (SELECT *, 1.0 / (60 + rank) AS s, CASE ws WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END AS list FROM w WHERE rank <= 15 AND ws IN ('en', 'de', 'fr', 'es'))
 SELECT query_id, rowid, CAST(rank AS INT) AS rank, round(s, 6) AS score FROM (SELECT query_id, rowid, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, list, rank) AS rank FROM f) WHERE rank <= 15""")
 def multi_workspace_rrf(spark, sf_dir):
-    """Each language is a workspace with a list of its own; one scan ranks them all."""
-    scored = lexical.bm25(chunks(spark, sf_dir), asked(spark), 1 << 30, (1.0,), ("contents",)).drop("rank").join(chunks(spark, sf_dir).select("rowid", "symbol"), "rowid")
+    """Each language is a workspace with a list of its own; one pass of the index's postings ranks them all."""
+    store = corpus.stored(spark, sf_dir)
+    scored = store.scores(asked(spark), (1.0,), ("contents",)).join(store.chunks().select("rowid", "symbol"), "rowid").where(F.col("symbol").isin("en", "de", "fr", "es"))
     order = Window.partitionBy("query_id", "symbol").orderBy(F.desc(F.round("score", 9)), "rowid")
-    own = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 15")
-    return ranking.fuse([own.where(F.col("symbol") == w) for w in ("en", "de", "fr", "es")], [1.0] * 4, 15).select("query_id", "rowid", "rank", F.round("score", 6).alias("score"))
+    number = F.when(F.col("symbol") == "en", 0).when(F.col("symbol") == "de", 1).when(F.col("symbol") == "fr", 2).otherwise(3)
+    lists = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 15").select("query_id", "rowid", "rank", number.alias("list"), F.lit(1.0).alias("weight"))
+    return ranking.fused_rows(lists, 15, []).select("query_id", "rowid", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_LEGS}, {_FUSED.format(w='1.0')} SELECT f.query_id, f.rowid, CASE WHEN a.rowid IS NOT NULL AND b.rowid IS NOT NULL THEN 'hybrid' WHEN a.rowid IS NOT NULL THEN 'vector' ELSE 'bm25' END AS via
@@ -253,8 +257,8 @@ e AS (SELECT item_id, CASE WHEN n_gold = 0 THEN 0.0 ELSE hits / n_gold END AS re
 
 
 def gold_of(spark, sf_dir):
-    """item_id, doc_id: documents that hold an item's text.  Items number in the hundreds; their exact texts are sought by word windows, not by comparing all pairs."""
-    return evaluation.containing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """item_id, doc_id: documents that hold an item's text."""
+    return corpus.once(spark, sf_dir, "gold", lambda: evaluation.containing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def judged(spark, sf_dir):
@@ -280,7 +284,7 @@ def eval_aggregate(spark, sf_dir):
 
 
 @query(f"""WITH {_RANKED}, e2 AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN ndcg / 2 ELSE ndcg END AS ndcg, rr FROM e WHERE item_id % 5 <> 0)
-SELECT item_id, CASE WHEN abs(e2.ndcg - e.ndcg) > 1e-9 THEN CASE WHEN e2.ndcg > e.ndcg THEN 'improved' ELSE 'regressed' END WHEN abs(e2.rr - e.rr) > 1e-9 THEN CASE WHEN e2.rr > e.rr THEN 'improved' ELSE 'regressed' END ELSE 'unchanged' END AS verdict FROM e JOIN e2 USING (item_id)""")
+SELECT item_id, CASE WHEN abs(e2.ndcg - e.ndcg) > 1e-9 THEN CASE WHEN e2.ndcg > e.ndcg THEN 'improved' ELSE 'regressed' END WHEN abs(e2.rr - e.rr) > 1e-9 THEN CASE WHEN e2.rr > e.rr THEN 'improved' ELSE 'regressed' END ELSE 'unchanged' END AS verdict FROM e JOIN e2 USING (item_id) UNION ALL SELECT item_id, 'removed' FROM e WHERE item_id NOT IN (SELECT item_id FROM e2)""")
 def eval_compare(spark, sf_dir):
     items, gold, found = judged(spark, sf_dir)
     base = evaluation.case_metrics(items, gold, found, 10)
@@ -288,13 +292,14 @@ def eval_compare(spark, sf_dir):
     return evaluation.compare(base, other)
 
 
-@query("""WITH g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), p AS (SELECT item_id, doc_id, doc_id % 2 = 0 AS packed FROM g)
-SELECT item_id, round(avg(CAST(packed AS INT)), 6) AS context_recall FROM p GROUP BY item_id""")
+@query("""WITH g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+SELECT item_id AS query_id, round(avg(CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END), 6) AS context_recall FROM g GROUP BY item_id""")
 def context_recall(spark, sf_dir):
-    gold = gold_of(spark, sf_dir)
-    header = F.concat(F.lit("## doc"), F.col("doc_id").cast("string"))
-    packed = F.when(F.col("doc_id") % 2 == 0, F.concat(header, F.lit("\nLines 1-2"))).otherwise(F.lit("none"))
-    return gold.groupBy("item_id").agg(F.round(F.avg((F.contains(packed, F.concat(header, F.lit("\n"))) | packed.endswith(header)).cast("int")), 6).alias("context_recall"))
+    """Packed texts that have the headers of even documents, whose names may begin those of others."""
+    gold = gold_of(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), "doc_id")
+    sections = F.transform(F.sort_array(F.collect_list(F.when(F.col("doc_id") % 2 == 0, F.col("path")))), lambda p: F.concat(F.lit("## "), p, F.lit("\nLines 1-2")))
+    packed = gold.groupBy("query_id").agg(F.array_join(sections, "\n\n").alias("output"))
+    return evaluation.packed_recall(packed, gold).withColumn("context_recall", F.round("context_recall", 6))
 
 
 @query("""SELECT path, score FROM (SELECT p_name AS path, CASE WHEN n = 'ste' THEN 0 WHEN starts_with(n, 'ste') THEN 1 WHEN contains(lower(p_name), 'ste') THEN 2 WHEN regexp_matches(lower(p_name), 's.*t.*e') THEN 3 END * 1000 + least(999, length(p_name)) AS score

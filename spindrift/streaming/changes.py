@@ -35,19 +35,38 @@ def debounced(changes: DataFrame, quiet: str = "1500 milliseconds", late: str =
     )
 
 
-def folded(events: DataFrame) -> DataFrame:
+def live_index(store, scanned: DataFrame, changes: DataFrame, read: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame], checkpoint: str, every: str = "1500 milliseconds"):
+    """Brings a store up to a scan, then keeps it so from a change stream.
+
+    read gives (path, contents, hash) of paths as they are now; a path that it no longer gives, unreadable or newly excluded, is taken out in the same batch.
+    A batch that is repeated after a failure puts the same paths again.
+    """
+    store.update(scanned, cut)
+
+    def apply(last: DataFrame, batch: int) -> None:
+        last = last.persist()
+        files = read(last.where("op != 'unlink'").select("path")).persist()
+        gone = last.select("path").join(files.select("path"), "path", "left_anti")
+        store.add(cut(files), files.select("path", "hash"), removed=gone)
+        files.unpersist(), last.unpersist()
+
+    return keep_index(changes, apply, checkpoint, every)
+
+
+def folded(events: DataFrame, most_chars: int = 1 << 20) -> DataFrame:
     """session, cursor, events, text: each session's state after every batch from events (session, seq, type, text).
 
-    Events at or below the session's cursor are replays and change nothing; text pieces append.
+    Events at or below the session's cursor are replays and change nothing; text pieces append, and of what
+    grows beyond most_chars the newest is kept in state, since a batch's rows tell the rest.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cursor, count, text = state.get if state.exists else (0, 0, "")
-        for row in pd.concat(list(batches)).sort_values("seq", kind="stable").itertuples():
-            if row.seq > cursor:
-                cursor, count = row.seq, count + 1
-                if row.type == "text":
-                    text += row.text or ""
+        rows = pd.concat(list(batches)).drop_duplicates("seq").sort_values("seq")
+        fresh = rows[rows["seq"] > cursor]
+        if len(fresh):
+            cursor, count = int(fresh["seq"].iloc[-1]), count + len(fresh)
+            text = (text + "".join(fresh.loc[fresh["type"] == "text", "text"].fillna("")))[-most_chars:]
         state.update((int(cursor), int(count), text))
         yield pd.DataFrame([(key[0], cursor, count, text)], columns=["session", "cursor", "events", "text"])
 
