@@ -130,11 +130,12 @@ def lists_of(ids: np.ndarray, far: np.ndarray, centroids: np.ndarray) -> list[li
     return out
 
 
-def within(vectors: np.ndarray, centroids: np.ndarray, edges: np.ndarray, ratio: float, beam: int, step: int = 512):
-    """For each vector the ids and distances of the centroids within ratio times its nearest one's distance, found through the graph."""
+def within(vectors: np.ndarray, centroids: np.ndarray, edges: np.ndarray, ratio: float, beam: int, sizes: np.ndarray, least: int, step: int = 512):
+    """For each vector the ids and distances of the centroids within ratio times its nearest one's distance, found through the graph, and of further ones until their lists hold least rows."""
     for start in range(0, len(vectors), step):
         for row, reach in zip(*search(vectors[start : start + step], centroids, edges, beam), strict=True):
-            near = reach <= ratio * reach[0] + 1e-9
+            before = np.cumsum(sizes[row]) - sizes[row]
+            near = (reach <= ratio * reach[0] + 1e-9) | (before < least)
             yield row[near], reach[near]
 
 
@@ -207,6 +208,7 @@ class Level:
         self.centroids, self.edges = trained(sample, lists)
         self.shared = spark.sparkContext.broadcast((self.centroids, self.edges))
         self.ratio, self.beam = 1.0, HOME_BEAM
+        self.sizes, self.least = np.ones(len(self.centroids), np.int64), 0
 
     def postings(self, distinct: DataFrame) -> DataFrame:
         """list, rep, v."""
@@ -218,8 +220,14 @@ class Level:
 
         return distinct.select(F.explode(homes("v")).alias("list"), "rep", "v")
 
-    def judge(self, postings: DataFrame, judges: list[tuple[int, np.ndarray]], truth: list[tuple[int, int]], reach: float) -> None:
-        """Sets the ratio that reaches a part of the true neighbours, and the beam that it needs."""
+    def judge(self, postings: DataFrame, judges: list[tuple[int, np.ndarray]], truth: list[tuple[int, int]], reach: float, k: int) -> None:
+        """Sets the ratio that reaches a part of the true neighbours, and the beam that it needs.
+
+        In any case a query reads lists until they hold k + 1 vectors, each of which may stand in REPLICAS of them.
+        """
+        self.least = REPLICAS * (k + 1)
+        for r in postings.groupBy("list").count().collect():  # a row for each list of this level
+            self.sizes[r["list"]] = r["count"]
         lists: dict[int, list[int]] = {}
         wanted = postings.sparkSession.createDataFrame([(r,) for r in sorted({r for _, r in truth})], "rep long")
         for r in postings.select("list", "rep").join(F.broadcast(wanted), "rep").collect():
@@ -233,17 +241,17 @@ class Level:
 
     def probes(self, queries: DataFrame) -> DataFrame:
         """query_id, v, list."""
-        shared, ratio, beam = self.shared, self.ratio, self.beam
+        shared, ratio, beam, sizes, least = self.shared, self.ratio, self.beam, self.sizes, self.least
 
         @F.pandas_udf(T.ArrayType(T.LongType()))
         def near(column: pd.Series) -> pd.Series:
-            return pd.Series([ids.tolist() for ids, _ in within(matrix(column), *shared.value, ratio, beam)], dtype=object)
+            return pd.Series([ids.tolist() for ids, _ in within(matrix(column), *shared.value, ratio, beam, sizes, least)], dtype=object)
 
         return queries.select("query_id", "v", F.explode(near("v")).alias("list"))
 
 
-#: Lists of one cell at most.
-CELL_LISTS = 1 << 11
+#: Lists of one cell at most, and lists that a query is told of in each cell at least.
+CELL_LISTS, CELL_PROBES = 1 << 11, 8
 
 
 class Cells:
@@ -290,7 +298,8 @@ class Cells:
             if not len(rows) or not len(known):
                 return pd.DataFrame({"query_id": [], "v": [], "list": [], "far": []})
             centroids = np.array([np.asarray(c, float) for c in known["centroids"].iloc[0]])
-            found = [*within(matrix(rows["v"]), centroids, graph(centroids), ratio, len(centroids))]
+            # of this cell's lists at least the first CELL_PROBES are told, of which the window below keeps what it needs
+            found = [*within(matrix(rows["v"]), centroids, graph(centroids), ratio, len(centroids), np.ones(len(centroids), np.int64), CELL_PROBES)]
             sized = [len(ids) for ids, _ in found]
             out = rows[["query_id", "v"]].loc[rows.index.repeat(sized)]
             return out.assign(list=int(rows["cell"].iloc[0]) * CELL_LISTS + np.concatenate([i for i, _ in found]), far=np.concatenate([d for _, d in found]))
@@ -298,11 +307,14 @@ class Cells:
         found = self._dealt(asked.withColumnRenamed("list", "cell"), "query_id", deal, "query_id long, v array<double>, list long, far double")
         if ratio == float("inf"):
             return found
-        nearest = F.min("far").over(Window.partitionBy("query_id"))
-        return found.withColumn("nearest", nearest).where(F.col("far") <= ratio * F.col("nearest") + 1e-9).drop("nearest")
+        order = Window.partitionBy("query_id").orderBy("far", "list")
+        before = F.sum("n").over(order) - F.col("n")
+        counted = found.join(self.sizes, "list").withColumn("nearest", F.min("far").over(Window.partitionBy("query_id"))).withColumn("before", before)
+        return counted.where((F.col("far") <= ratio * F.col("nearest") + 1e-9) | (F.col("before") < self.least)).drop("nearest", "before", "n")
 
-    def judge(self, postings: DataFrame, asked: DataFrame, truth: list[tuple[int, int]], reach: float) -> None:
+    def judge(self, postings: DataFrame, asked: DataFrame, truth: list[tuple[int, int]], reach: float, k: int) -> None:
         """Sets the ratio that reaches a part of the true neighbours through the cells that are read."""
+        self.sizes, self.least = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")), REPLICAS * REPLICAS * (k + 1)
         spark = postings.sparkSession
         pairs = F.broadcast(spark.createDataFrame(truth, "query_id long, rep long"))
         far = self.probes(asked, float("inf")).select("query_id", "list", (F.col("far") / F.greatest(F.min("far").over(Window.partitionBy("query_id")), F.lit(1e-12))).alias("far"))
@@ -396,12 +408,12 @@ def build(embeddings: DataFrame, k: int = 10, most_lists: int = MOST_LISTS, reac
     level = Level(spark, values, min(most_lists, max(1, n // LIST_ROWS)))
     postings = storage.keep(level.postings(distinct.repartition(min(MOST_TASKS, n // TASK_ROWS + 1), "rep")), "ann-lists")
     if n // LIST_ROWS <= most_lists:
-        level.judge(postings, judges, truth, reach)
+        level.judge(postings, judges, truth, reach, k)
         return rows, distinct, postings, level.probes
     # half of what may be missed is missed at each level
-    level.judge(postings, judges, truth, 1 - (1 - reach) / 2)
+    level.judge(postings, judges, truth, 1 - (1 - reach) / 2, k)
     cells = Cells(postings, "ann-cells")
     fine = storage.keep(cells.postings(), "ann-fine")
     asked = level.probes(spark.createDataFrame([(j, v.tolist()) for j, v in judges], "query_id long, v array<double>"))
-    cells.judge(fine, asked, truth, reach)
+    cells.judge(fine, asked, truth, reach, k)
     return rows, distinct, fine, lambda queries: cells.probes(level.probes(queries), cells.ratio).select("query_id", "v", "list")

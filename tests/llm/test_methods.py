@@ -158,6 +158,14 @@ def test_neighbours_reach_and_read(spark):
     assert near[0] >= 0.9 and near[1] >= 1.5 and near[2] <= 0.1
 
 
+def test_queries_beside_small_lists_find_ten(spark):
+    """Vectors far out, in groups smaller than what is asked for."""
+    rng = np.random.default_rng(1)
+    rows = [(n, (rng.normal(size=8) * 0.01 + (n % 3)).tolist()) for n in range(3000)] + [(3000 + 100 * n, (rng.normal(size=8) + 500 * (n + 1)).tolist()) for n in range(9)]
+    found = Counter(r["query_id"] for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert len(found) == 39 and {*found.values()} == {10}
+
+
 def test_neighbours_over_two_levels(spark):
     recall, lists, read = figures(jittered(registry.table(spark, "/root/testdata/sf0.1", "embeddings"), 4), most_lists=12)
     assert recall >= 0.9 and lists > 2 and read < 0.5
