@@ -25,11 +25,11 @@ class Ignore:
 
     def __init__(self, text: str):
         lines = [line.strip() for line in text.split("\n")]
-        self.rules = [(not x.startswith("!"), re.compile(glob(x.removeprefix("!")), re.S)) for x in lines if x and not x.startswith("#")]
+        self.rules = [(not x.startswith("!"), x.endswith("/"), re.compile(glob(x.removeprefix("!")), re.S)) for x in lines if x and not x.startswith("#")]
 
     def verdict(self, path: str) -> bool | None:
         """True: ignored, False: taken back, None: no pattern matches.  A folder's path ends with a slash."""
-        return next((ignored for ignored, pattern in reversed(self.rules) if pattern.search(path)), None)
+        return next((ignored for ignored, folders, pattern in reversed(self.rules) if pattern.search(path if folders else path.rstrip("/"))), None)
 
 
 def _walk(spark: SparkSession, root: str, ignored: list[str], policy: list[str]):
@@ -156,7 +156,7 @@ def sections(spark: SparkSession, path: str) -> DataFrame:
     table = F.create_map(*[F.lit(x) for language, endings in X.LANGUAGES.items() for x in (language, " ".join(f"*.{e}" for e in endings.split()))])
     by_name = F.try_element_at(table, F.lower(F.regexp_extract("title", r"^(\w+)", 1)))
     told = F.when(F.size(scope) > 0, scope).when(by_name.isNotNull(), F.split(by_name, " ")).otherwise(F.array().cast("array<string>"))
-    return numbered.where("place > 0").groupBy("file", "place").agg(title, body).select("file", "place", "title", told.alias("scope"), F.trim("content").alias("content"))
+    return numbered.where("place > 0").groupBy("file", "place").agg(title, body).select("file", "place", "title", told.alias("scope"), F.regexp_replace("content", r"^\s+|\s+$", "").alias("content"))
 
 
 def first_of(spark: SparkSession, root: str, names: tuple[str, ...]) -> str | None:
