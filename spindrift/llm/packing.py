@@ -14,15 +14,14 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe_transducer, storage, textscan
+from spindrift.llm import bpe_transducer, textscan
 
 WINDOW = 2048
 #: What cutting a document costs, in tokens of padding: at the end of a sentence, and within one.
@@ -176,18 +175,63 @@ def cut_record(ids: np.ndarray, stops: np.ndarray) -> tuple[int, bytes, bytes]:
     return total, places.astype("<i8").tobytes(), np.array(crcs, "<u4").tobytes()
 
 
-def cut_records(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, doc_tokens, places, crcs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("places", pa.binary()), ("crcs", pa.binary())])
+class Blocks:
+    """Which block a row goes to: ranges of doc_id with about equal numbers of rows, in its order.
+
+    Bounds are quantiles of all doc_ids, MOST_RANGES at most.  Rows of one doc_id that are too many for a block,
+    and rows without one, are dealt to several blocks in turn.
+    """
+
+    def __init__(self, documents: DataFrame):
+        ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
+        n = ids.where("doc_id is not null").count()
+        ranges = min(MOST_RANGES, n // BLOCK_DOCS + 1)
+        asked = [k / ranges for k in range(1, ranges)]
+        found = (ids.agg(F.percentile_approx("doc_id", asked, 10 * MOST_RANGES).alias("q")).first()["q"] or []) if asked else []
+        again = {a + 1 for a, b in zip(found, found[1:], strict=False) if a == b and a < (1 << 63) - 1}
+        self.bounds = np.array(sorted({*found, *again}), np.int64)
+        names = ["place", "n", "low", "high"]
+
+        def count(batches):
+            for batch in batches:
+                place, own = self.ranges_of(batch["doc_id"])
+                for k in np.unique(place).tolist():
+                    some = own[place == k]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (k, len(some), some.min(), some.max())], names=names)
+
+        sums = ids.mapInArrow(count, "place long, n long, low long, high long").groupBy("place").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        # a range without a doc_id, or with one only, may be parted
+        parts = np.ones(len(self.bounds) + 2, np.int64)
+        for r in sums.collect():
+            if r["place"] == 0 or r["low"] == r["high"]:
+                parts[r["place"]] = -(-r["n"] // BLOCK_DOCS)
+        self.parts, self.first = parts, np.concatenate(([0], np.cumsum(parts)))[:-1]
+
+    def ranges_of(self, doc_id: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's range (0: no doc_id) and doc_id (0 for none)."""
+        own = pc.fill_null(doc_id, 0).to_numpy(zero_copy_only=False)
+        return np.where(pc.is_null(doc_id).to_numpy(zero_copy_only=False), 0, np.searchsorted(self.bounds, own, "right") + 1), own
+
+    def of(self, doc_id: pa.Array, row: int) -> np.ndarray:
+        """Blocks of rows, the first of which is the task's row-th."""
+        place, _ = self.ranges_of(doc_id)
+        return self.first[place] + (row + np.arange(len(place))) % self.parts[place]
+
+
+def cut_records(documents: DataFrame, path: str, blocks: Blocks) -> DataFrame:
+    """block, doc_id, doc_tokens, places, crcs."""
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("places", pa.binary()), ("crcs", pa.binary())])
 
     def run(batches):
+        row = 0
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
                 found = [cut_record(*x) for x in documents_ids(part["text"], path)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array([f[k] for f in found], schema.field(k + 1).type) for k in range(3))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(blocks.of(part["doc_id"], row)), part["doc_id"], *(pa.array([f[k] for f in found], schema.field(k + 2).type) for k in range(3))], schema=schema)
+                row += part.num_rows
 
-    return documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, doc_tokens long, places binary, crcs binary")
+    return documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "block long, doc_id long, doc_tokens long, places binary, crcs binary")
 
 
 def packed_run(docs: list[tuple], block: int, sequence: int, window: int) -> tuple[pa.RecordBatch, int]:
@@ -223,37 +267,6 @@ def packed_run(docs: list[tuple], block: int, sequence: int, window: int) -> tup
     ), sequence + len(ends)
 
 
-def blocked(records: DataFrame) -> DataFrame:
-    """Records with block: ranges of doc_id with about equal numbers of rows, in its order.
-
-    Bounds are quantiles of all doc_ids, MOST_RANGES at most.  Rows of one doc_id that are too many for a block,
-    and rows without one, are dealt to several blocks by their numbers.
-    """
-    ids = records.where("doc_id is not null")
-    n = ids.count()
-    ranges = min(MOST_RANGES, n // BLOCK_DOCS + 1)
-    asked = [k / ranges for k in range(1, ranges)]
-    found = (ids.agg(F.percentile_approx("doc_id", asked, 10 * MOST_RANGES).alias("q")).first()["q"] or []) if asked else []
-    again = {a + 1 for a, b in zip(found, found[1:], strict=False) if a == b and a < (1 << 63) - 1}
-    bounds = np.array(sorted({*found, *again}), np.int64)
-
-    @F.pandas_udf("long")
-    def range_of(column: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, column.to_numpy(np.int64), "right"))
-
-    ranged = records.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(range_of(F.coalesce("doc_id", F.lit(0)))).cast("long"))
-    counts = {r["range"]: (r["n"], r["low"] == r["high"]) for r in ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()}
-    # a range without a doc_id, or with one only, may be parted
-    parts = {k: -(-n // BLOCK_DOCS) if k < 0 or one else 1 for k, (n, one) in counts.items()}
-    first = dict(zip(sorted(parts), accumulate((parts[k] for k in sorted(parts)), initial=0), strict=False))
-
-    @F.pandas_udf("long")
-    def block_of(where: pd.Series, row: pd.Series) -> pd.Series:
-        return pd.Series([first[k] + r % parts[k] for k, r in zip(where.tolist(), row.tolist(), strict=True)], dtype="int64")
-
-    return ranged.withColumn("block", block_of("range", "row"))
-
-
 def pack(documents: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -278,6 +291,4 @@ def pack(documents: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
         if docs:
             yield packed_run(docs, now, sequence, window)[0]
 
-    # kept, so that texts are tokenized once and rows keep their numbers
-    records = storage.keep(cut_records(documents, path).withColumn("row", F.monotonically_increasing_id()), "pack-records")
-    return blocked(records).repartition("block").sortWithinPartitions("block", "doc_id", "row").mapInArrow(run, PIECES)
+    return cut_records(documents, path, Blocks(documents)).repartition("block").sortWithinPartitions("block", "doc_id", "crcs").mapInArrow(run, PIECES)

@@ -82,9 +82,10 @@ def test_packing_needs_few_sequences_and_many_tasks(spark):
         least = -(-rows["length"].sum() // 2048)
         print("sequences:", rows["sequence_id"].nunique(), "least:", least)
         assert rows["sequence_id"].nunique() <= 1.03 * least + 2 and (rows["sequence_id"] // (1 << 40)).nunique() >= some
-    many = packing.blocked(spark.range(5000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("doc_id"), F.col("id").alias("row")))
-    sizes = many.groupBy("block").count().toPandas()["count"]
-    assert sizes.max() <= 2 * packing.BLOCK_DOCS and sizes.sum() == 5000
+    ids = spark.range(5000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("doc_id"))
+    blocks = packing.Blocks(ids)
+    sizes = Counter(blocks.of(pa.array([r[0] for r in ids.collect()]), 0).tolist())
+    assert max(sizes.values()) <= 2 * packing.BLOCK_DOCS and sum(sizes.values()) == 5000
 
 
 def test_cuts_are_optimal():
