@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrift.functions import text as X
 from spindrift.operators import graph, lexical, ranking
@@ -26,11 +30,20 @@ FACTORS = {"same symbol": 0.65, "same parent": 0.62, "nearby chunk": 0.55, "loca
 def hashing_embedder(dim: int = 16) -> Embedder:
     """A deterministic stand-in for a model: how many of a text's words have an MD5 whose first hexadecimal digits, modulo dim, are n."""
 
-    def embed(text: Column) -> Column:
-        places = F.transform(X.tokens(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int"), F.lit(dim)))
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda n: F.size(F.filter(places, lambda p: p == n)).cast("float"))
-
-    return embed
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embed(tokens: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+        out = []
+        for words in tokens:
+            vector = np.zeros(dim, np.float32)
+            for word in words:
+                if (place := known.get(word)) is None:
+                    place = known[word] = int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % dim
+                vector[place] += 1
+            out.append(vector)
+        return pd.Series(out)
+
+    return lambda text: embed(X.tokens(F.coalesce(text, F.lit(""))))
 
 
 def overlap_reranker(query: Column, document: Column) -> Column:

@@ -12,7 +12,7 @@ import json
 from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ from spindrift.sources import fs
 
 SCHEMA_VERSION = "1"
 BUCKETS = 32
+#: Words of queries that are told to the postings' scan at most.
+MOST_WORDS = 1000
 FIELDS = ("path", "symbol", "contents")
 CHUNKS = "rowid long, id string, path string, start_line int, end_line int, symbol string, kind string, parent string, language string, contents string"
 EDGES = "path string, id long, source_path string, source_symbol string, target_path string, target_symbol string, kind string, confidence double"
@@ -44,16 +46,29 @@ def postings_of(chunks: DataFrame, stemmed: bool, buckets: int) -> DataFrame:
     def run(batches):
         known = lru_cache(maxsize=1 << 17)(S.stem) if stemmed else lambda w: w
         for batch in batches:
-            rows = []
-            for rowid, *fields in zip(batch["rowid"], batch["t0"], batch["t1"], batch["t2"], strict=True):
+            terms: list[str] = []
+            rows: list[int] = []
+            places: tuple[list, list, list] = ([], [], [])
+            ends: tuple[list, list, list] = ([0], [0], [0])
+            for rowid, *fields in zip(*(batch[c].to_pylist() for c in ("rowid", "t0", "t1", "t2")), strict=True):
                 found: dict[str, tuple[list, list, list]] = {}
+                of_word: dict[str, tuple[list, list, list]] = {}
                 for field, words in enumerate(fields):
                     for place, word in enumerate(words):
-                        found.setdefault(known(word), ([], [], []))[field].append(place)
-                rows += [(term, rowid, *places) for term, places in found.items()]
-            yield pd.DataFrame(rows, columns=["term", "rowid", "p0", "p1", "p2"])
-
-    found = chunks.select("rowid", *tokens).mapInPandas(run, "term string, rowid long, p0 array<int>, p1 array<int>, p2 array<int>")
+                        if (held := of_word.get(word)) is None:
+                            held = of_word[word] = found.setdefault(known(word), ([], [], []))
+                        held[field].append(place)
+                terms += found
+                rows += [rowid] * len(found)
+                for field in range(3):
+                    flat, end = places[field], ends[field]
+                    for p in found.values():
+                        flat += p[field]
+                        end.append(len(flat))
+            lists = [pa.ListArray.from_arrays(pa.array(end, pa.int32()), pa.array(flat, pa.int32())) for flat, end in zip(places, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(rows, pa.int64()), *lists], names=["term", "rowid", "p0", "p1", "p2"])
+
+    found = chunks.select("rowid", *tokens).mapInArrow(run, "term string, rowid long, p0 array<int>, p1 array<int>, p2 array<int>")
     return found.withColumn("bucket", bucket_of(F.col("term"), buckets))
 
 
@@ -62,6 +77,12 @@ def lengths_of(chunks: DataFrame) -> DataFrame:
     return chunks.select("rowid", "path", size(F.col("path"), "n0"), size(X.symbol_text(F.col("symbol"), F.col("parent")), "n1"), size(F.col("contents"), "n2"))
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A frame whose few large parts are dealt to all cores; one that has parts enough stays as it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def shaped(frame: DataFrame, schema: str) -> DataFrame:
     """The schema's columns in its order; missing ones null."""
     columns = [c.strip().split(" ", 1) for c in schema.split(",")]
@@ -146,7 +167,7 @@ class Store:
             for name, schema in TABLES.items():
                 frame = shaped(parts[name], schema) if name in parts else self.spark.createDataFrame([], schema)
                 if name == "postings":
-                    frame = frame.repartition("bucket").sortWithinPartitions("bucket", "term", "rowid").write.partitionBy("bucket")
+                    frame = frame.repartition(new["buckets"], "bucket").sortWithinPartitions("bucket", "term", "rowid").write.partitionBy("bucket")
                 else:
                     frame = frame.write
                 frame.mode("overwrite").parquet(f"{self.root}/{name}/segment={number}")
@@ -183,6 +204,7 @@ class Store:
         if "id" not in lines.columns:
             lines = lines.withColumn("id", F.sha2(F.concat(F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.col("contents")), 256))
         rows = shaped(self.numbered(lines), CHUNKS).select(whole)
+        rows = spread(rows)
         if embed is not None or "rowid" not in chunks.columns:
             held = f"{self.root}/_adding/{self.manifest['version']}"
             rows.write.mode("overwrite").parquet(held)
@@ -241,7 +263,11 @@ class Store:
             asked = asked.withColumn("word", S.stemmed("word"))
         asked = asked.withColumn("bucket", bucket_of(F.col("word"), self.manifest["buckets"]))
         places = [f"p{k}" for k in taken]
-        hits = self.table("postings").select("bucket", F.col("term").alias("word"), "rowid", *places).join(asked, ["bucket", "word"])
+        postings = self.table("postings")
+        known = asked.select("bucket", "word").distinct().limit(MOST_WORDS + 1).collect()
+        if len(known) <= MOST_WORDS:  # the buckets and words asked for are told to the scan; else the join alone sorts them out
+            postings = postings.where(F.col("bucket").isin(sorted({r["bucket"] for r in known})) & F.col("term").isin(sorted({r["word"] for r in known})))
+        hits = postings.select("bucket", F.col("term").alias("word"), "rowid", *places).join(asked, ["bucket", "word"])
         tf = lambda parts: sum((F.lit(float(w)) * p for w, p in zip(weights, parts, strict=True)), F.lit(0.0)).alias("tf")
         single = hits.where("n_words = 1").select("query_id", "term", "rowid", tf([F.size(p) for p in places]))
         moved = [F.transform(p, lambda x: x - F.col("k")).alias(p) for p in places]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
 from spindrift.operators import evaluation, lexical, ranking, vectors
+from spindrift.operators.store import spread
 from spindrift.plans import corpus
 from spindrift.plans.registry import chunks, query, table
 
@@ -167,7 +168,7 @@ def query_signals(spark, sf_dir):
 c AS (SELECT doc_id, tok, count(*) AS n, min(pos) AS p FROM t GROUP BY ALL)
 SELECT doc_id, tok AS identifier, n AS times, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS rank FROM c) WHERE rank <= 5""")
 def identifier_counts(spark, sf_dir):
-    counts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(X.counted_identifiers(F.col("text")), 1, 5)).alias("at", "c"))
+    counts = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.slice(X.counted_identifiers(F.col("text")), 1, 5)).alias("at", "c"))
     return counts.select("doc_id", "c.identifier", "c.times", (F.col("at") + 1).alias("rank"))
 
 
