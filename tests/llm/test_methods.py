@@ -199,9 +199,10 @@ def test_join_equals_brute_force(spark, documents):
     assert got == brute_classes(documents)
 
 
-def test_large_group_is_compared_in_blocks(spark):
+def test_large_group_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK_NODES", 90)
     base = [f"w{k}" for k in range(120)]
-    texts = {n: " ".join(f"x{n}_{k}" if k == n % 110 else w for k, w in enumerate(base)) for n in range(700)}
+    texts = {n: " ".join(f"x{n}_{k}" if k == n % 110 else w for k, w in enumerate(base)) for n in range(350)}
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.classes(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
     assert got == brute_classes(texts)
 
