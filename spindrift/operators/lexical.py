@@ -35,7 +35,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, top_k: int, weights: tuple[float
     queries may carry path_prefix (LIKE), which narrows the result but not the statistics.  Each
     row's tokens are reduced to the words asked for before anything is shuffled.
     """
-    asked = F.broadcast(phrases(queries).withColumn("head", F.col("words")[0]))
+    asked = phrases(queries).withColumn("head", F.col("words")[0])
     heads = [r["head"] for r in asked.select("head").distinct().limit(MOST_HEADS + 1).collect()]
     # a generator between the tokens and their uses, so that each text is tokenized once and not once for each use
     tokens = F.explode(F.array(F.struct(*[X.tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns])))
@@ -49,12 +49,12 @@ def bm25(chunks: DataFrame, queries: DataFrame, top_k: int, weights: tuple[float
     counts = words.join(asked, "head").select("query_id", "term", "rowid", "path", "n_tokens", frequency.alias("tf")).repartition("rowid").where("tf > 0")
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean"))
     spread = counts.groupBy("term").agg(F.countDistinct("rowid").alias("n_rows"))
-    weighted = counts.join(F.broadcast(spread), "term").join(F.broadcast(stats), F.lit(True))
+    weighted = counts.join(spread, "term").join(F.broadcast(stats), F.lit(True))  # stats is one row
     idf = F.log((F.col("n") - F.col("n_rows") + 0.5) / (F.col("n_rows") + 0.5))
     part = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
     scored = weighted.groupBy("query_id", "rowid", "path").agg(F.sum(part).alias("score"))
     if "path_prefix" in queries.columns:
-        scored = scored.join(F.broadcast(queries.select("query_id", "path_prefix")), "query_id").where(F.col("path_prefix").isNull() | X.like_prefix(F.col("path"), F.col("path_prefix")))
+        scored = scored.join(queries.select("query_id", "path_prefix"), "query_id").where(F.col("path_prefix").isNull() | X.like_prefix(F.col("path"), F.col("path_prefix")))
     return ranked(scored.select("query_id", "rowid", "score"), top_k)
 
 
