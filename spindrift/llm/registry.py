@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import decontamination, html_text, jaccard_join, neighbours, packing, quality, secrets, sharding, token_counts, toxicity
+from spindrift.llm import bpe_codec, decontamination, filter_audit, html_text, jaccard_join, neighbours, packing, quality, secrets, sharding, spelling, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_decontamination, op3_jaccard_join, op4_quality, op5_sharding, op6_packing, op7_toxicity, op8_secrets, op9_html_text, op10_token_counts)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
-ORACLES: dict[str, str] = {}
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_decontamination, op3_jaccard_join, op4_quality, op5_sharding, op6_packing, op7_toxicity, op8_secrets, op9_html_text, op10_token_counts, op11_filter_audit, op12_spelling_variants, op13_bpe_codec)}
+
+ORACLES: dict[str, str] = {"op11_filter_audit": filter_audit.SQL, "op12_spelling_variants": spelling.SQL}
