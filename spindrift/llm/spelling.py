@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import storage
 
-RUN = "[A-Za-zÀ-ÿ]+"
+#: Whole runs of LEAST_LETTERS letters at least: a match that begins with its run takes all of it.
+RUN = "[A-Za-zÀ-ÿ]{5,}+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words in whose crc32 this divides lose a letter (given by the query's contract).
 SLIP = 97
@@ -29,7 +30,7 @@ def power(letter: Column) -> Column:
 def word_counts(documents: DataFrame) -> DataFrame:
     """word, n: all words of at least LEAST_LETTERS letters and LEAST_COUNT occurrences."""
     text = F.translate(F.col("text").cast("string"), CAPITALS, SMALL)
-    runs = documents.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("doc"), F.explode(F.regexp_extract_all(text, F.lit(RUN), F.lit(0))).alias("run")).where(F.length("run") >= LEAST_LETTERS)
+    runs = documents.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("doc"), F.explode(F.regexp_extract_all(text, F.lit(RUN), F.lit(0))).alias("run"))
     h = F.crc32(F.concat("doc", F.lit(":"), "run").cast("binary"))
     place = F.pmod(h, F.length("run").cast("long")).cast("int")
     slipped = F.concat(F.substring("run", F.lit(1), place), F.substring(F.col("run"), place + 2, F.length("run")))
@@ -38,10 +39,10 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
 
 def anagram_keys(words: DataFrame) -> DataFrame:
-    """word, n, own, rest, half: a row for the word's value and for that less each of its letters, under its front and its back half.
+    """word, n, own, key, back, h: a row for the word's value and for that less each of its letters, under its front and its back half.
 
-    Two words one letter apart agree before or behind the place where they differ, so in the front or in the back half of what they
-    share.  With that in the key an anagram class of very many words never meets as a whole.
+    Two words one letter apart agree before or behind the place where they differ, so in the front or in the back half (h letters) of
+    what they share.  The key is a hash of the value with that half, so that an anagram class of very many words never meets as a whole.
     """
     letters = F.filter(F.split("word", ""), lambda c: c != "")
     value = F.aggregate("letters", F.lit(0).cast("long"), lambda total, c: total + power(c))
@@ -49,19 +50,21 @@ def anagram_keys(words: DataFrame) -> DataFrame:
     less = F.transform(F.array_distinct("letters"), lambda c: F.struct(F.lit(False).alias("own"), (F.col("value") - power(c)).alias("rest")))
     keyed = words.select("word", "n", letters.alias("letters")).select("*", value.alias("value")).select("word", "n", F.inline(F.concat(own, less)))
     shared = F.length("word") - F.when(F.col("own"), 0).otherwise(1)
-    h = F.floor(shared / 2).cast("int")
-    halves = F.array(F.concat(F.lit("<"), F.substring(F.col("word"), F.lit(1), h)), F.concat(F.lit(">"), F.substring(F.col("word"), F.length("word") - h + 1, h)))
-    return keyed.select("word", "n", "own", "rest", F.explode(halves).alias("half"))
+    halved = keyed.select("word", "n", "own", "rest", F.floor(shared / 2).cast("int").alias("h"))
+    front = F.struct(F.lit(False).alias("back"), F.substring(F.col("word"), F.lit(1), F.col("h")).alias("half"))
+    behind = F.struct(F.lit(True).alias("back"), F.substring(F.col("word"), F.length("word") - F.col("h") + 1, F.col("h")).alias("half"))
+    return halved.select("word", "n", "own", "rest", "h", F.inline(F.array(front, behind))).select("word", "n", "own", F.xxhash64("rest", "back", "half").alias("key"), "back", "h")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """word, n, near, near_n: both directions of every pair of words that differ by one inserted, deleted or replaced letter."""
     keys = anagram_keys(words)
     a, b = keys.alias("a"), keys.alias("b")
-    same_front = F.substring("a.word", F.lit(1), F.length("a.half") - 1) == F.substring("b.word", F.lit(1), F.length("a.half") - 1)
-    met = a.join(b, (F.col("a.rest") == F.col("b.rest")) & (F.col("a.half") == F.col("b.half")) & (F.col("a.word") < F.col("b.word")) & ~(F.col("a.own") & F.col("b.own")))
+    same_front = F.substring(F.col("a.word"), F.lit(1), F.col("a.h")) == F.substring(F.col("b.word"), F.lit(1), F.col("a.h"))
+    # the sizes that Spark guesses do not know how many rows a word makes: without the hint it would broadcast all of them
+    met = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.back") == F.col("b.back")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.word") < F.col("b.word")) & ~(F.col("a.own") & F.col("b.own")))
     # a pair that agrees in both halves is met twice; the second time it is left out
-    verified = met.where((F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1) & ~(F.col("a.half").startswith(">") & same_front))
+    verified = met.where((F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1) & ~(F.col("a.back") & same_front))
     columns = ("word", "n", "near", "near_n")
     one = F.struct(*[F.col(c).alias(k) for k, c in zip(columns, ("a.word", "a.n", "b.word", "b.n"), strict=True)])
     other = F.struct(*[F.col(c).alias(k) for k, c in zip(columns, ("b.word", "b.n", "a.word", "a.n"), strict=True)])
