@@ -94,11 +94,13 @@ def retrieve(store: Store, queries: DataFrame, options: Options) -> dict[str, Da
     """The stages of the search: bm25, vector, fused, reranked, ranked, results (query_id, rowid, rank, score and what each adds), and final.
 
     queries: query_id, text, and where they are told active_path, open_paths, context_text, path_prefix.  Words are searched as the query has
-    them, vectors with its synonyms.  Fused rows are boosted by symbols, editor and recency, reranked and boosted again, and
+    them, vectors with its synonyms; a path prefix, of one query or of all (options), narrows both legs alike.  Fused rows are boosted by symbols, editor and recency, reranked and boosted again, and
     for queries that name a symbol its declarations are lifted; then come the floor and the top_k.  Each
     stage is a DataFrame of its own: a consumer may show the first ones while the next are computed.
     """
-    asked = queries
+    if options.path_prefix is not None and "path_prefix" not in queries.columns:
+        queries = queries.withColumn("path_prefix", F.lit(options.path_prefix))
+    asked, narrowed = queries, [c for c in queries.columns if c == "path_prefix"]
     for name, kind in (("active_path", "string"), ("open_paths", "array<string>"), ("context_text", "string")):
         if name not in asked.columns:
             asked = asked.withColumn(name, F.lit(None).cast(kind))
@@ -113,10 +115,10 @@ def retrieve(store: Store, queries: DataFrame, options: Options) -> dict[str, Da
         return frame
 
     bm25 = reached("bm25", store.search(queries, wide, options.weights, options.columns))
-    legs, plain = [bm25], asked.select("query_id", "text")
-    if options.embed is not None and store.manifest["vectors"]:
-        vectors = plain.select("query_id", options.embed(expanded_text(F.col("text"))).alias("embedding"))
-        legs.insert(0, reached("vector", store.nearest(vectors, wide, options.path_prefix).withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))))
+    legs = [bm25]
+    if options.embed is not None and store.has_vectors():
+        vectors = asked.select("query_id", options.embed(expanded_text(F.col("text"))).alias("embedding"), *narrowed)
+        legs.insert(0, reached("vector", store.nearest(vectors, wide).withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))))
     weights = X.fusion_weights(F.col("shape") if options.adaptive else F.lit("none"))
     own = asked.select("query_id", (weights["vector"] if options.adaptive else F.lit(1.0)).alias("w_vector"), (weights["bm25"] if options.adaptive else F.lit(1.0)).alias("w_bm25"))
     told = [F.col("w_vector") * options.vector_weight, F.col("w_bm25") * options.bm25_weight][-len(legs) :]

@@ -1,17 +1,22 @@
-"""A stored index: chunks, postings with positions, lengths, vectors, file hashes and edges.
+"""A stored index: chunks, postings with positions, vectors, file hashes and edges.
 
-Tables lie in immutable segments; a manifest names the segments that are in force, the model and the totals that scores
-need.  Each change adds a segment and then a manifest, whose name is taken once only, so of two writers one fails
-and readers never see half a change.  A path's rows count in the last segment that puts it.  Postings lie in
-buckets by term: a search reads the buckets of its own words.
+Tables lie in immutable segments named by a UUID; a manifest names the segments in force and what scores need.  A change writes its
+segment first and then a manifest under the next version's name, which can be taken once only.  A writer that finds
+the name taken reads what came between: changes of other paths are put behind those, a change of the same paths is an error and
+leaves the other's rows alone.  A row counts unless a later segment lists its rowid as dead.
+
+Postings lie in blocks: one row holds a term's postings within SLICE rowids, with the rows' lengths, the greatest frequencies and
+the least lengths.  So a block tells how much its rows can score at most, and a search reads the blocks that can matter.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,55 +26,113 @@ from spindrift.functions import text as X
 from spindrift.operators import lexical, maintenance, vectors
 from spindrift.sources import fs
 
-SCHEMA_VERSION = "1"
-BUCKETS = 32
-#: Words of queries that are told to the postings' scan at most.
-MOST_WORDS = 1000
+SCHEMA_VERSION = "2"
+#: Rowids of a block of postings.
+SLICE = 1024
+#: Tokens for each bucket of postings, buckets at most, and buckets over which a term's blocks are dealt.
+BUCKET_TOKENS, MOST_BUCKETS, SALTS = 1 << 20, 4096, 8
+#: Words of queries, or rowids, that are told to a scan at most.
+MOST_TOLD = 1000
+#: Postings of a search's words beyond which blocks are pruned before they are read, and the blocks of a word that set the bar.
+PRUNED_FROM, SEED_BLOCKS = 200_000, 16
+#: Times that a change is put behind others that came between.
+ATTEMPTS = 20
 FIELDS = ("path", "symbol", "contents")
 CHUNKS = "rowid long, id string, path string, start_line int, end_line int, symbol string, kind string, parent string, language string, contents string"
 EDGES = "path string, id long, source_path string, source_symbol string, target_path string, target_symbol string, kind string, confidence double"
 FILES = "path string, hash string, op string, indexed_at timestamp"
 LENGTHS = "rowid long, path string, n0 int, n1 int, n2 int"
-POSTINGS = "term string, rowid long, p0 array<int>, p1 array<int>, p2 array<int>, bucket int"
+POSTINGS = "term string, slice long, n int, counts array<long>, m0 int, m1 int, m2 int, l0 int, l1 int, l2 int, rowids array<long>, f0 array<int>, f1 array<int>, f2 array<int>, n0 array<int>, n1 array<int>, n2 array<int>, p0 array<array<int>>, p1 array<array<int>>, p2 array<array<int>>, bucket int"
 VECTORS = "rowid long, path string, embedding array<float>"
-TABLES = {"chunks": CHUNKS, "edges": EDGES, "files": FILES, "lengths": LENGTHS, "postings": POSTINGS, "vectors": VECTORS}
+DEAD = "rowid long, n0 int, n1 int, n2 int"
+TABLES = {"chunks": CHUNKS, "dead": DEAD, "edges": EDGES, "files": FILES, "lengths": LENGTHS, "postings": POSTINGS, "vectors": VECTORS}
+#: Columns of a block that tell of its rows, and those that hold them.
+HEADS = ("n", "m0", "m1", "m2", "l0", "l1", "l2")
+LISTS = ("rowids", "f0", "f1", "f2", "n0", "n1", "n2", "p0", "p1", "p2")
+
+
+class ConcurrentChange(RuntimeError):
+    """Another writer changed the same files since this store was opened; nothing of this change is in force."""
+
+
+def buckets_of(tokens: int) -> int:
+    return max(1, min(MOST_BUCKETS, -(-tokens // BUCKET_TOKENS)))
+
 
+def salts_of(buckets: int) -> int:
+    return SALTS if buckets > SALTS else 1
 
-def bucket_of(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
+def bucket_of(term: Column, slice_: Column, buckets: int) -> Column:
+    """A term's blocks lie in one bucket, or dealt by their slices over SALTS in a row."""
+    return F.pmod(F.pmod(F.xxhash64(term), F.lit(buckets)) + F.pmod(slice_, F.lit(salts_of(buckets))), F.lit(buckets)).cast("int")
 
-def postings_of(chunks: DataFrame, stemmed: bool, buckets: int) -> DataFrame:
-    """POSTINGS of chunks, and so each row's places of each term in path, symbol text and contents."""
+
+def blocks_of(chunks: DataFrame, stemmed: bool) -> DataFrame:
+    """POSTINGS without bucket of chunks: each row's places of each term in path, symbol text and contents, in blocks.
+
+    Blocks are built where the rows lie, so only blocks are shuffled; a slice whose rows lie in several tasks makes several blocks.
+    counts: how many rows hold the term in the fields 1 (path), 2 (symbol), 1 and 2, 4 (contents) and so on.
+    """
     tokens = [X.tokens(F.coalesce(c, F.lit(""))).alias(f"t{n}") for n, c in enumerate((F.col("path"), X.symbol_text(F.col("symbol"), F.col("parent")), F.col("contents")))]
+    schema = POSTINGS.rsplit(",", 1)[0]
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches):
+    def block(columns: list[list]) -> pa.RecordBatch:
         known = lru_cache(maxsize=1 << 17)(S.stem) if stemmed else lambda w: w
+        terms: list[str] = []
+        rows: list[int] = []
+        sizes: tuple[list, list, list] = ([], [], [])
+        places: tuple[list, list, list] = ([], [], [])
+        ends: tuple[list, list, list] = ([0], [0], [0])
+        for rowid, *fields in zip(*columns, strict=True):
+            found: dict[str, tuple[list, list, list]] = {}
+            of_word: dict[str, tuple[list, list, list]] = {}
+            for field, words in enumerate(fields):
+                for place, word in enumerate(words):
+                    if (held := of_word.get(word)) is None:
+                        held = of_word[word] = found.setdefault(known(word), ([], [], []))
+                    held[field].append(place)
+            terms += found
+            rows += [rowid] * len(found)
+            for field in range(3):
+                sizes[field].extend([len(fields[field])] * len(found))
+                flat, end = places[field], ends[field]
+                for p in found.values():
+                    flat += p[field]
+                    end.append(len(flat))
+        coded = pa.array(terms, pa.string()).dictionary_encode()
+        codes, rowids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.array(rows, np.int64)
+        order = np.lexsort((rowids, codes))
+        codes, rowids = codes[order], rowids[order]
+        slices = rowids // SLICE
+        first = np.ones(len(codes), bool)
+        first[1:] = (codes[1:] != codes[:-1]) | (slices[1:] != slices[:-1])
+        starts = np.flatnonzero(first)
+        offsets = pa.array(np.append(starts, len(codes)), pa.int32())
+        listed = lambda values: pa.ListArray.from_arrays(offsets, values)
+        frequency = [np.diff(np.array(e, np.int64))[order] for e in ends]
+        length = [np.array(s, np.int64)[order] for s in sizes]
+        mask = sum((f > 0).astype(np.int64) << k for k, f in enumerate(frequency))
+        sums = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0, np.int64)
+        counts = np.stack([sums((mask == k).astype(np.int64)) for k in range(1, 8)], 1)
+        out = {"term": coded.dictionary.take(pa.array(codes[starts])), "slice": pa.array(slices[starts]), "n": pa.array(np.diff(np.append(starts, len(codes))), pa.int32()), "rowids": listed(pa.array(rowids))}
+        out["counts"] = pa.ListArray.from_arrays(pa.array(np.arange(0, 7 * len(starts) + 1, 7), pa.int32()), pa.array(counts.reshape(-1)))
+        for k in range(3):
+            out[f"m{k}"] = pa.array(np.maximum.reduceat(frequency[k], starts) if len(starts) else [], pa.int32())
+            out[f"l{k}"] = pa.array(np.minimum.reduceat(length[k], starts) if len(starts) else [], pa.int32())
+            out[f"f{k}"], out[f"n{k}"] = listed(pa.array(frequency[k], pa.int32())), listed(pa.array(length[k], pa.int32()))
+            own = pa.ListArray.from_arrays(pa.array(ends[k], pa.int32()), pa.array(places[k], pa.int32()))
+            out[f"p{k}"] = listed(own.take(pa.array(order)))
+        return pa.RecordBatch.from_arrays([out[c] for c in names], names=names)
+
+    def run(batches):
         for batch in batches:
-            terms: list[str] = []
-            rows: list[int] = []
-            places: tuple[list, list, list] = ([], [], [])
-            ends: tuple[list, list, list] = ([0], [0], [0])
-            for rowid, *fields in zip(*(batch[c].to_pylist() for c in ("rowid", "t0", "t1", "t2")), strict=True):
-                found: dict[str, tuple[list, list, list]] = {}
-                of_word: dict[str, tuple[list, list, list]] = {}
-                for field, words in enumerate(fields):
-                    for place, word in enumerate(words):
-                        if (held := of_word.get(word)) is None:
-                            held = of_word[word] = found.setdefault(known(word), ([], [], []))
-                        held[field].append(place)
-                terms += found
-                rows += [rowid] * len(found)
-                for field in range(3):
-                    flat, end = places[field], ends[field]
-                    for p in found.values():
-                        flat += p[field]
-                        end.append(len(flat))
-            lists = [pa.ListArray.from_arrays(pa.array(end, pa.int32()), pa.array(flat, pa.int32())) for flat, end in zip(places, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(rows, pa.int64()), *lists], names=["term", "rowid", "p0", "p1", "p2"])
-
-    found = chunks.select("rowid", *tokens).mapInArrow(run, "term string, rowid long, p0 array<int>, p1 array<int>, p2 array<int>")
-    return found.withColumn("bucket", bucket_of(F.col("term"), buckets))
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                yield block([part[c].to_pylist() for c in ("rowid", "t0", "t1", "t2")])
+
+    return chunks.select("rowid", *tokens).mapInArrow(run, schema)
 
 
 def lengths_of(chunks: DataFrame) -> DataFrame:
@@ -90,46 +153,101 @@ def shaped(frame: DataFrame, schema: str) -> DataFrame:
 
 
 class Store:
-    """An index below a folder.  With read_only a store that does not fit is opened all the same, and stale_reason tells why."""
+    """An index below a folder.
+
+    With read_only a store that does not fit is opened all the same, and stale_reason tells why; version opens the state of a kept version.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, model: str | None = None, dim: int | None = None, stemmed: bool = False, buckets: int = BUCKETS, read_only: bool = False):
-        self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
+    def __init__(self, spark: SparkSession, root: str, model: str | None = None, dim: int | None = None, stemmed: bool = False, buckets: int | None = None, read_only: bool = False, version: int | None = None):
+        self.spark, self.root, self.read_only, self.buckets = spark, root.rstrip("/"), read_only or version is not None, buckets
         self.stale_reason: str | None = None
-        versions = fs.names(spark, f"{self.root}/manifests")
-        fresh = {"schema_version": SCHEMA_VERSION, "model": model, "dim": dim, "stemmed": stemmed, "buckets": buckets, "version": 0, "segments": [], "vectors": False, "totals": None, "meta": {}}
-        self.manifest = json.loads(fs.read_text(spark, f"{self.root}/manifests/{versions[-1]}")) if versions else fresh
+        fresh = {"schema_version": SCHEMA_VERSION, "model": model, "dim": dim, "stemmed": stemmed, "version": 0, "segments": [], "next_rowid": 0, "meta": {}}
+        self.manifest = self._read(version) or fresh
         wrong = [k for k in ("schema_version", "model", "dim", "stemmed") if self.manifest[k] != fresh[k]]
-        if wrong == ["model", "dim"] and model is None and self.manifest["vectors"]:
+        if wrong == ["model", "dim"] and model is None and self.has_vectors():
             wrong = []  # opened for words only: vectors that stand there are left alone
-        if wrong and read_only:
+        if wrong and self.read_only:
             self.stale_reason = ", ".join(f"{k} is {self.manifest[k]!r}, not {fresh[k]!r}" for k in wrong)
         elif wrong:
-            self.manifest = fresh | {"version": self.manifest["version"], "meta": self.manifest["meta"]}
-            self._commit({})
+            self._publish(lambda base: fresh | {"meta": base["meta"], "next_rowid": base["next_rowid"]})
+
+    def _versions(self) -> list[int]:
+        return [int(n[:-5]) for n in fs.names(self.spark, f"{self.root}/manifests") if n.endswith(".json") and n[0] not in "_."]
+
+    def _read(self, version: int | None = None) -> dict | None:
+        versions = self._versions()
+        if version is not None and version not in versions:
+            raise ValueError(f"version {version} is not kept")
+        return json.loads(fs.read_text(self.spark, f"{self.root}/manifests/{version or max(versions):010d}.json")) if versions else None
 
     # what is there
 
-    def table(self, name: str) -> DataFrame:
-        """A table's rows in all segments in force, with their segment."""
-        paths = [f"{self.root}/{name}/segment={n}" for n in self.manifest["segments"]]
-        schema = f"{TABLES[name]}, segment int"
+    def segments(self, name: str) -> list[dict]:
+        return [s for s in self.manifest["segments"] if name in s["tables"]]
+
+    def has_vectors(self) -> bool:
+        return bool(self.segments("vectors"))
+
+    def totals(self) -> dict[str, int]:
+        """Rows that count, and tokens of their fields."""
+        return {k: sum(s["sums"][k] - s["gone"][k] for s in self.manifest["segments"]) for k in ("n", "n0", "n1", "n2")}
+
+    def table(self, name: str, wanted: set[str] | None = None) -> DataFrame:
+        """A table's rows in the segments in force, with the segment's id; rowids as the index counts them."""
+        paths = [f"{self.root}/{name}/segment={s['id']}" for s in self.segments(name) if wanted is None or s["id"] in wanted]
+        schema = f"{TABLES[name]}, segment string"
         if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*paths)
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*paths)
+        return rows.withColumn("rowid", F.col("rowid") + self._first()) if name in ("chunks", "lengths", "vectors") and self._moved() else rows
+
+    def _moved(self) -> bool:
+        return any(s["first"] for s in self.manifest["segments"])
+
+    def _of_segment(self, key: str) -> Column:
+        return F.element_at(F.create_map(*[x for s in self.manifest["segments"] for x in (F.lit(s["id"]), F.lit(s[key]).cast("long"))]), F.col("segment"))
+
+    def _first(self) -> Column:
+        """What a segment's own rowids are counted from."""
+        return self._of_segment("first")
+
+    def _placed(self) -> Column:
+        """The place of a row's segment among those in force."""
+        return F.element_at(F.create_map(*[x for n, s in enumerate(self.manifest["segments"]) for x in (F.lit(s["id"]), F.lit(n))]), F.col("segment"))
 
     def files(self) -> DataFrame:
         """path, hash, indexed_at, segment of the files in the index."""
-        last = self.table("files").groupBy("path").agg(F.max_by(F.struct("op", "hash", "indexed_at", "segment"), "segment").alias("f"))
-        return last.where("f.op = 'put'").select("path", "f.hash", "f.indexed_at", "f.segment")
+        rows = self.table("files")
+        if self.manifest["segments"]:
+            rows = rows.groupBy("path").agg(F.max_by(F.struct("op", "hash", "indexed_at", "segment"), self._placed()).alias("f")).select("path", "f.*")
+        return rows.where("op = 'put'").select("path", "hash", "indexed_at", "segment")
 
     def live(self, name: str) -> DataFrame:
-        """A table's rows (which have a path) that count."""
+        """A table's rows that count."""
         rows = self.table(name)
-        return rows if len(self.manifest["segments"]) < 2 else rows.join(self.files().select("path", "segment"), ["path", "segment"], "left_semi")
+        if name == "edges":
+            return rows if len(self.manifest["segments"]) < 2 else rows.join(self.files().select("path", "segment"), ["path", "segment"], "left_semi")
+        return self._counting(rows)
+
+    def _counting(self, rows: DataFrame) -> DataFrame:
+        """Rows with a rowid that no segment lists as dead."""
+        return rows.join(self.table("dead").select("rowid"), "rowid", "left_anti") if any(s["gone"]["n"] for s in self.manifest["segments"]) else rows
 
     def chunks(self) -> DataFrame:
         return self.live("chunks").drop("segment")
 
+    def fetched(self, wanted: DataFrame) -> DataFrame:
+        """The chunks of wanted rowids; up to MOST_TOLD of them are told to the scan, which then skips what cannot hold them."""
+        ids = [r["rowid"] for r in wanted.select("rowid").distinct().limit(MOST_TOLD + 1).collect()]
+        rows = self.table("chunks")
+        if len(ids) > MOST_TOLD:
+            return rows.join(wanted.select("rowid").distinct(), "rowid", "left_semi").drop("segment")
+        parts = [self.table("chunks", {s["id"]}).where(F.col("rowid").isin(own)) for s in self.segments("chunks") if (own := [i for i in ids if s["first"] <= i < s["first"] + s["span"]])] if self._moved() else [rows.where(F.col("rowid").isin(ids))]
+        out = parts[0] if parts else rows.limit(0)
+        for part in parts[1:]:
+            out = out.unionAll(part)
+        return out.drop("segment")
+
     def edges(self) -> DataFrame:
         return self.live("edges").drop("segment", "path")
 
@@ -143,82 +261,140 @@ class Store:
         return self.manifest["meta"].get(key)
 
     def set_meta(self, **values: str) -> None:
-        self._commit({}, meta=values)
+        self._publish(lambda base: base | {"meta": base["meta"] | values})
 
     def status(self) -> DataFrame:
         """One row: counts, last time, mode and why the index may be stale or of lesser use."""
-        m = self.manifest
+        m, mode = self.manifest, "hybrid" if self.has_vectors() else "keyword-only"
         files = self.files().agg(F.count(F.lit(1)).alias("files"), F.max("indexed_at").alias("last_indexed"))
-        chunks = self.live("lengths").agg(F.count(F.lit(1)).alias("chunks"))
         edges = self.live("edges").agg(F.count(F.lit(1)).alias("edges"))
-        mode = "hybrid" if m["vectors"] else "keyword-only"
-        given = [F.lit(v).cast("string").alias(k) for k, v in (("mode", mode), ("model", m["model"]), ("stale_reason", self.stale_reason), ("degraded_reason", None if m["vectors"] else "no vectors"))]
-        return files.join(chunks, F.lit(True)).join(edges, F.lit(True)).select("*", F.lit(m["version"]).alias("version"), *given)
+        given = [F.lit(v).cast("string").alias(k) for k, v in (("mode", mode), ("model", m["model"]), ("stale_reason", self.stale_reason), ("degraded_reason", None if self.has_vectors() else "no vectors"))]
+        return files.join(edges, F.lit(True)).select("*", F.lit(self.totals()["n"]).cast("long").alias("chunks"), F.lit(m["version"]).alias("version"), *given)
 
     # changes
 
-    def _commit(self, parts: dict[str, DataFrame], meta: dict | None = None, replace: bool = False) -> None:
-        """Writes a segment of parts and the manifest that puts it in force."""
+    def _publish(self, change: Callable[[dict], dict]) -> None:
+        """Puts a manifest behind the last one; change makes it of that one, again for each that came between, or raises ConcurrentChange."""
+        if self.read_only:
+            raise PermissionError("the index was opened for reading only")
+        for _ in range(ATTEMPTS):
+            base = self._read() or self.manifest
+            new = change(base) | {"version": base["version"] + 1}
+            if fs.claim(self.spark, f"{self.root}/manifests/{new['version']:010d}.json", json.dumps(new)):
+                self.manifest = new
+                return
+        raise ConcurrentChange(f"{ATTEMPTS} other changes came first")
+
+    def _write(self, parts: dict[str, DataFrame], first: int | None) -> dict:
+        """Writes a segment that no manifest names yet, and tells what a manifest says of it."""
+        number, tables = uuid.uuid4().hex, {}
+        for name in sorted(parts, key=lambda n: n == "postings"):  # the postings last: their buckets follow from the lengths
+            frame, to = parts[name], f"{self.root}/{name}/segment={number}"
+            if name != "postings":
+                shaped(frame, TABLES[name]).write.mode("errorifexists").parquet(to)
+                tables[name] = self.spark.read.schema(TABLES[name]).parquet(to)
+                continue
+            sums = tables["lengths"].agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("rowid"), F.lit(-1)).alias("last"), *(F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in range(3))).first().asDict()
+            gone = tables["dead"].agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in range(3))).first().asDict()
+            last, buckets = sums.pop("last"), self.buckets or buckets_of(sum(sums[f"n{k}"] for k in range(3)))
+            blocks = shaped(frame.withColumn("bucket", bucket_of(F.col("term"), F.col("slice"), buckets)), POSTINGS)
+            blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "slice").write.partitionBy("bucket").mode("errorifexists").parquet(to)
+        return {"id": number, "tables": sorted(parts), "first": first, "span": last + 1, "buckets": buckets, "sums": sums, "gone": gone}
+
+    def _commit(self, parts: dict[str, DataFrame], first: int | None = None, replaces: list[str] | None = None) -> None:
+        """Writes a segment of parts and puts it in force: behind the others, or in place of those that it replaces.
+
+        first: None where the segment counts its rowids from 0; they then follow on those of the manifest that it goes into.
+        """
         if self.read_only:
             raise PermissionError("the index was opened for reading only")
-        new = self.manifest | {"version": self.manifest["version"] + 1, "meta": self.manifest["meta"] | (meta or {})}
-        if parts:
-            number = new["version"]
-            for name, schema in TABLES.items():
-                frame = shaped(parts[name], schema) if name in parts else self.spark.createDataFrame([], schema)
-                if name == "postings":
-                    frame = frame.repartition(new["buckets"], "bucket").sortWithinPartitions("bucket", "term", "rowid").write.partitionBy("bucket")
-                else:
-                    frame = frame.write
-                frame.mode("overwrite").parquet(f"{self.root}/{name}/segment={number}")
-            new |= {"segments": [number] if replace else [*self.manifest["segments"], number], "vectors": new["vectors"] or "vectors" in parts}
-        self.manifest = new
-        if parts:
-            sums = self.live("lengths").agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in range(3))).first()
-            self.manifest["totals"] = sums.asDict()
-        fs.write_text(self.spark, f"{self.root}/manifests/{new['version']:010d}.json", json.dumps(self.manifest))
+        seen = {s["id"] for s in self.manifest["segments"]}
+        made = self._write(parts, first)
+        touched = self.spark.read.schema(FILES).parquet(f"{self.root}/files/segment={made['id']}").select("path")
+
+        def change(base: dict) -> dict:
+            there = [s["id"] for s in base["segments"]]
+            between = [s for s in base["segments"] if s["id"] not in seen]
+            if any(base[k] != self.manifest[k] for k in ("schema_version", "model", "dim", "stemmed")):
+                raise ConcurrentChange("the index was begun anew for another model")
+            if replaces is not None:
+                if not set(replaces) <= set(there):
+                    raise ConcurrentChange("segments to be replaced are gone")
+                kept = [s for s in base["segments"] if s["id"] not in replaces]
+                return base | {"segments": [made | {"first": 0}, *kept]}
+            added = [s for s in between if not s.get("replaces")]
+            if added:
+                paths = [f"{self.root}/files/segment={s['id']}" for s in added]
+                clash = self.spark.read.schema(FILES).parquet(*paths).join(touched, "path", "left_semi").select("path").limit(3).collect()
+                if clash:
+                    raise ConcurrentChange("changed by another writer too: " + ", ".join(r["path"] for r in clash))
+            at = base["next_rowid"] if made["first"] is None else made["first"]
+            after = max(base["next_rowid"], -(-(at + made["span"]) // SLICE) * SLICE)
+            return base | {"segments": [*base["segments"], made | {"first": at}], "next_rowid": after}
+
+        if replaces is not None:
+            made["replaces"] = True
+        try:
+            self._publish(change)
+        except ConcurrentChange:
+            self._discard(made["id"])
+            raise
+
+    def _discard(self, segment: str) -> None:
+        for name in TABLES:
+            fs.delete(self.spark, f"{self.root}/{name}/segment={segment}")
 
     def numbered(self, chunks: DataFrame) -> DataFrame:
-        """Chunks with a rowid: given ones stay, others follow path, start_line and id within their segment."""
-        if "rowid" in chunks.columns:
-            return chunks
-        first = (self.manifest["version"] + 1) << 40
+        """Chunks with rowids from 0 on that follow path, start_line and id."""
         placed = chunks.repartitionByRange("path", "start_line", "id").withColumn("_part", F.spark_partition_id())
-        held = f"{self.root}/_numbering/{self.manifest['version']}"
-        placed.write.mode("overwrite").parquet(held)
-        placed = self.spark.read.schema(placed.schema).parquet(held)
+        placed = self._held(placed, "numbering")
         before, at = {}, 0
         for r in placed.groupBy("_part").count().orderBy("_part").collect():  # a row for each partition
             before[r["_part"]], at = at, at + r["count"]
         starts = self.spark.createDataFrame([*before.items()] or [(0, 0)], "_part int, _first long")
         nth = F.row_number().over(Window.partitionBy("_part").orderBy("path", "start_line", "id"))
-        return placed.join(starts, "_part").withColumn("rowid", F.lit(first) + F.col("_first") + nth - 1).drop("_part", "_first")
+        return placed.join(F.broadcast(starts), "_part").withColumn("rowid", F.col("_first") + nth - 1).drop("_part", "_first")
+
+    def _held(self, frame: DataFrame, what: str) -> DataFrame:
+        """A table of this change's own, written once; expire() deletes it."""
+        to = f"{self.root}/_{what}/{uuid.uuid4().hex}"
+        frame.write.parquet(to)
+        return self.spark.read.schema(frame.schema).parquet(to)
 
     def add(self, chunks: DataFrame, hashes: DataFrame | None = None, removed: DataFrame | None = None, edges: DataFrame | None = None, embed: Callable[[Column], Column] | None = None, indexed_at: Column | None = None) -> None:
         """Puts files (their chunks, hashes and edges) in place of what stood under their paths, and takes removed paths out.
 
-        chunks need path and contents; embed makes a vector column of a text column (an expression or a pandas UDF).
+        chunks need path and contents; embed makes a vector column of a text column (an expression or a pandas UDF).  Another writer's
+        change of other files that came first stays in force, one of the same files raises ConcurrentChange.
         """
-        whole = [c.strip().split(" ")[0] for c in CHUNKS.split(",")]
         lines = chunks if "start_line" in chunks.columns else chunks.withColumn("start_line", F.lit(1)).withColumn("end_line", F.size(F.split("contents", "\n")))
         if "id" not in lines.columns:
             lines = lines.withColumn("id", F.sha2(F.concat(F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.col("contents")), 256))
-        rows = shaped(self.numbered(lines), CHUNKS).select(whole)
-        rows = spread(rows)
-        if embed is not None or "rowid" not in chunks.columns:
-            held = f"{self.root}/_adding/{self.manifest['version']}"
-            rows.write.mode("overwrite").parquet(held)
-            rows = self.spark.read.schema(rows.schema).parquet(held)
+        given = "rowid" in chunks.columns
+        cores = self.spark.sparkContext.defaultParallelism
+        rows = shaped(lines if given else self.numbered(lines), CHUNKS)
+        if rows.rdd.getNumPartitions() < cores:  # few large parts go to all cores, rows that follow one another together
+            rows = rows.repartitionByRange(cores, "rowid")
+        rows = self._held(rows.sortWithinPartitions("rowid"), "adding")
         at = F.current_timestamp() if indexed_at is None else indexed_at
         put = (rows.groupBy("path").agg(F.sha2(F.first("path"), 256).alias("hash")) if hashes is None else hashes.select("path", "hash")).withColumn("op", F.lit("put"))
         if removed is not None:
             put = put.unionByName(removed.select("path").distinct().join(put.select("path"), "path", "left_anti").select("path", F.lit(None).cast("string").alias("hash"), F.lit("remove").alias("op")))
-        parts = {"chunks": rows, "lengths": lengths_of(rows), "postings": postings_of(rows, self.manifest["stemmed"], self.manifest["buckets"]), "files": put.withColumn("indexed_at", at)}
+        put = self._held(put.withColumn("indexed_at", at), "adding")
+        parts = {"chunks": rows, "lengths": lengths_of(rows), "files": put, "dead": self.spark.createDataFrame([], DEAD), "postings": blocks_of(rows, self.manifest["stemmed"])}
+        if self.manifest["segments"]:
+            old = self.live("lengths").join(put.select("path"), "path", "left_semi").select("rowid", "n0", "n1", "n2")
+            parts["dead"] = old = self._held(old, "adding")
+            if not old.isEmpty():  # their words are taken out of the words' counts
+                less = blocks_of(spread(self.table("chunks").join(old.select("rowid"), "rowid", "left_semi")), self.manifest["stemmed"])
+                sums = [F.sum(-F.col("counts")[k]) for k in range(7)]
+                gone = less.groupBy("term").agg(F.array(*sums).alias("counts")).withColumn("slice", F.lit(-1).cast("long")).withColumn("n", F.lit(0))
+                parts["postings"] = shaped(parts["postings"], POSTINGS.rsplit(",", 1)[0]).unionByName(shaped(gone, POSTINGS.rsplit(",", 1)[0]))
         if embed is not None:
             parts["vectors"] = rows.select("rowid", "path", embed(F.col("contents")).alias("embedding"))
         if edges is not None:
             parts["edges"] = edges.withColumn("path", F.col("source_path"))
-        self._commit(parts)
+        self._commit(parts, 0 if given else None)
 
     def remove(self, paths: DataFrame) -> None:
         """Takes the files of these paths out of every table."""
@@ -229,9 +405,7 @@ class Store:
 
         Returns path, status of all files.
         """
-        held = f"{self.root}/_updates/{self.manifest['version']}"
-        maintenance.freshness(self.hashes(), scanned).write.mode("overwrite").parquet(held)
-        report = self.spark.read.schema("path string, status string").parquet(held)
+        report = self._held(maintenance.freshness(self.hashes(), scanned), "updates")
         touched = scanned.join(report.where("status in ('added', 'changed')"), "path", "left_semi")
         self.add(cut(touched), touched.select("path", "hash"), removed=report.where("status = 'removed'"), **options)
         return report
@@ -241,59 +415,179 @@ class Store:
         return self.edges().where((F.col("source_path") != path) & F.coalesce(F.col("target_path") != path, F.lit(True)))
 
     def compact(self, root: str | None = None) -> Store:
-        """Rewrites what counts as one segment, here or (a backup) below another folder."""
-        target = self if root is None else Store(self.spark, root, self.manifest["model"], self.manifest["dim"], self.manifest["stemmed"], self.manifest["buckets"])
-        live = self.live("lengths").select("rowid")
-        parts = {n: self.live(n) for n in ("chunks", "edges", "lengths")} | {"files": self.files().withColumn("op", F.lit("put")), "postings": self.table("postings").join(live, "rowid", "left_semi")}
-        if self.manifest["vectors"]:
+        """Rewrites what counts as one segment, here or (a backup) below another folder; rowids stay.
+
+        Changes that other writers commit meanwhile stay in force behind it.
+        """
+        target = self if root is None else Store(self.spark, root, self.manifest["model"], self.manifest["dim"], self.manifest["stemmed"], self.buckets)
+        rows = shaped(self.live("chunks"), CHUNKS).repartitionByRange("rowid").sortWithinPartitions("rowid")
+        rows = target._held(rows, "adding")
+        parts = {"chunks": rows, "lengths": self.live("lengths"), "files": self.files().withColumn("op", F.lit("put")), "dead": self.spark.createDataFrame([], DEAD), "postings": blocks_of(spread(rows), self.manifest["stemmed"])}
+        if self.segments("edges"):
+            parts["edges"] = self.live("edges")
+        if self.has_vectors():
             parts["vectors"] = self.live("vectors")
-        target._commit(parts, self.manifest["meta"], replace=True)
+        target._commit(parts, 0, replaces=[s["id"] for s in target.manifest["segments"]])
+        if target is not self:
+            target.set_meta(**self.manifest["meta"])
         return target
 
+    def expire(self, keep: int = 1, grace_s: float = 86_400) -> list[str]:
+        """Deletes all but the last versions kept, and segments and tables of changes that none of these names; returns what went.
+
+        A folder younger than grace_s may belong to a change that is being made, and stays.  Readers of kept versions read on.
+        """
+        if self.read_only:
+            raise PermissionError("the index was opened for reading only")
+        versions = sorted(self._versions())
+        named = {s["id"] for v in versions[-max(1, keep) :] for s in self._read(v)["segments"]}
+        gone = [f"manifests/{v:010d}.json" for v in versions[: -max(1, keep)]]
+        for name in TABLES:
+            gone += [f"{name}/{n}" for n, age in fs.ages(self.spark, f"{self.root}/{name}").items() if n.removeprefix("segment=") not in named and age >= grace_s]
+        for name in ("_adding", "_numbering", "_updates"):
+            gone += [f"{name}/{n}" for n, age in fs.ages(self.spark, f"{self.root}/{name}").items() if age >= grace_s]
+        for path in gone:  # manifests first: nobody opens a version whose segments are going
+            fs.delete(self.spark, f"{self.root}/{path}")
+        return gone
+
     # searches
 
-    def scores(self, queries: DataFrame, weights: tuple[float, ...] = lexical.WEIGHTS, columns: tuple[str, ...] = FIELDS) -> DataFrame:
-        """query_id, rowid, path, score of every hit: BM25 over stored postings, as lexical.bm25 computes it."""
-        totals, taken = self.manifest["totals"], [FIELDS.index(c) for c in columns]
-        n = float(totals["n"]) if totals else 0.0
-        mean = sum(totals[f"n{k}"] for k in taken) / n if n else 1.0
+    def postings(self, words: list[str] | None = None, slices: list[int] | None = None) -> DataFrame:
+        """Blocks, with slices as the index counts them; of these words only, and then of their buckets only; of these slices only."""
+        rows = self.table("postings")
+        if words is not None:
+            hashes = {r["h"] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")).collect()} if words else set()
+            per = {}
+            for s in self.segments("postings"):
+                per.setdefault(s["buckets"], []).append(s["id"])
+            where = F.lit(False)
+            for buckets, ids in per.items():
+                wanted = sorted({(h % buckets + salt) % buckets for h in hashes for salt in range(salts_of(buckets))})
+                where = where | (F.col("segment").isin(ids) & F.col("bucket").isin(wanted))
+            rows = rows.where(where & F.col("term").isin(words))
+        moved = self._moved()
+        if slices is not None:
+            told = F.col("slice").isin(slices)
+            rows = rows.where(F.col("slice").isin(sorted({x - s["first"] // SLICE for s in self.manifest["segments"] for x in slices}))) if moved else rows.where(told)
+        return rows.withColumn("slice", F.when(F.col("slice") < 0, F.col("slice")).otherwise(F.col("slice") + F.floor(self._first() / SLICE))) if moved else rows
+
+    def unpacked(self, blocks: DataFrame, *keep: str | Column, lists: tuple[str, ...] = LISTS) -> DataFrame:
+        """A row for each posting of blocks."""
+        zipped = F.inline(F.arrays_zip(*lists))
+        rows = blocks.where("n > 0").select("segment", *keep, zipped).withColumnRenamed("rowids", "rowid")
+        return (rows.withColumn("rowid", F.col("rowid") + self._first()) if self._moved() else rows).drop("segment")
+
+    def _weighed(self, weights: tuple[float, ...], columns: tuple[str, ...]) -> tuple[list[int], list[float], Column, float, float]:
+        """Fields and weights that count, which entries of counts these make, rows and the mean length."""
+        taken = [(FIELDS.index(c), float(w)) for c, w in zip(columns, weights, strict=True)]
+        totals, fields = self.totals(), [k for k, w in taken if w > 0]
+        n = float(totals["n"])
+        mean = sum(totals[f"n{k}"] for k, _ in taken) / n if n else 1.0
+        bits = sum(1 << k for k in fields)
+        held = sum((F.col("counts")[m - 1] for m in range(1, 8) if m & bits), F.lit(0).cast("long"))
+        return [k for k, _ in taken], [w for _, w in taken], held, n, mean or 1.0
+
+    def scores(self, queries: DataFrame, weights: tuple[float, ...] = lexical.WEIGHTS, columns: tuple[str, ...] = FIELDS, top_k: int | None = None) -> DataFrame:
+        """query_id, rowid, path, score of every hit: BM25 over stored postings, as lexical.bm25 computes it.
+
+        With top_k, hits that cannot be among a query's best top_k may be left out, and path is left out too.
+        """
+        taken, weight, held, n, mean = self._weighed(weights, columns)
         terms = lexical.phrases(queries)
         asked = terms.select("query_id", "term", F.size("words").alias("n_words"), F.posexplode("words").alias("k", "word"))
         if self.manifest["stemmed"]:
             asked = asked.withColumn("word", S.stemmed("word"))
-        asked = asked.withColumn("bucket", bucket_of(F.col("word"), self.manifest["buckets"]))
+        shapes = asked.groupBy("word").agg(F.max("n_words").alias("n_words")).limit(MOST_TOLD + 1).collect()
+        words = [r["word"] for r in shapes] if len(shapes) <= MOST_TOLD else None  # more are sorted out by the join alone
+        blocks = self.postings(words)
+        prefixed = "path_prefix" in queries.columns
+        tf = lambda parts: sum((F.lit(w) * p for w, p in zip(weight, parts, strict=True)), F.lit(0.0))
+        saturated = lambda f, length: f * (lexical.K1 + 1) / (f + lexical.K1 * (1 - lexical.B + lexical.B * length / F.lit(mean)))
+        idf_of = lambda rows: F.when(F.log((F.lit(n) - rows + 0.5) / (rows + 0.5)) > 0, F.log((F.lit(n) - rows + 0.5) / (rows + 0.5))).otherwise(1e-6)
+        bound = saturated(tf([F.col(f"m{k}") for k in taken]), sum((F.col(f"l{k}") for k in taken), F.lit(0)))
+        bound = F.when(tf([F.col(f"m{k}") for k in taken]) > 0, bound).otherwise(0.0)
+        part = saturated(F.col("tf"), F.col("n_tokens"))
+        single = asked.where("n_words = 1").select("query_id", "word")
+        stats = blocks.groupBy(F.col("term").alias("word")).agg(F.sum(held).alias("n_rows"), F.max(bound).alias("bound"), F.sum("n").alias("postings"))
+        many = 0
+        if words is not None:
+            told = stats.collect()  # a row for each word told
+            many = sum(r["postings"] for r in told)
+            stats = self.spark.createDataFrame([tuple(r) for r in told], "word string, n_rows long, bound double, postings long")
+        weighed = single.join(stats, "word").select("query_id", "word", idf_of(F.col("n_rows")).alias("idf"), "bound")
+        columns_read = ("rowids", *(f"f{k}" for k in taken), *(f"n{k}" for k in taken))
+        length = sum((F.col(f"n{k}") for k in taken), F.lit(0)).alias("n_tokens")
+        phrased = words is None or any(r["n_words"] > 1 for r in shapes)
+        if top_k is not None and words is not None and not phrased and not prefixed and many > PRUNED_FROM:
+            return self._best(words, weighed, bound, columns_read, tf([F.col(f"f{k}") for k in taken]), length, part, top_k)
+        read = self.unpacked(blocks, F.col("term").alias("word"), lists=columns_read).select("word", "rowid", tf([F.col(f"f{k}") for k in taken]).alias("tf"), length).where("tf > 0")
+        scored = self._counting(read).join(weighed, "word").select("query_id", "rowid", (F.col("idf") * part).alias("part"))
+        if phrased:
+            scored = scored.unionAll(self._phrases(asked.where("n_words > 1"), words, taken, tf, length).select("query_id", "rowid", (idf_of(F.col("n_rows")) * part).alias("part")))
+        scored = scored.groupBy("query_id", "rowid").agg(F.sum("part").alias("score"))
+        if top_k is not None and not prefixed:
+            return scored
+        scored = scored.join(self.live("lengths").select("rowid", "path"), "rowid")
+        if prefixed:
+            scored = scored.join(queries.select("query_id", "path_prefix"), "query_id").where(F.col("path_prefix").isNull() | X.like_prefix(F.col("path"), F.col("path_prefix"))).drop("path_prefix")
+        return scored
+
+    def _phrases(self, asked: DataFrame, words: list[str] | None, taken: list[int], tf: Callable, length: Column) -> DataFrame:
+        """query_id, rowid, tf, n_tokens, n_rows of rows that hold a phrase: its words' places less their number in it have one in common."""
         places = [f"p{k}" for k in taken]
-        postings = self.table("postings")
-        known = asked.select("bucket", "word").distinct().limit(MOST_WORDS + 1).collect()
-        if len(known) <= MOST_WORDS:  # the buckets and words asked for are told to the scan; else the join alone sorts them out
-            postings = postings.where(F.col("bucket").isin(sorted({r["bucket"] for r in known})) & F.col("term").isin(sorted({r["word"] for r in known})))
-        hits = postings.select("bucket", F.col("term").alias("word"), "rowid", *places).join(asked, ["bucket", "word"])
-        tf = lambda parts: sum((F.lit(float(w)) * p for w, p in zip(weights, parts, strict=True)), F.lit(0.0)).alias("tf")
-        single = hits.where("n_words = 1").select("query_id", "term", "rowid", tf([F.size(p) for p in places]))
+        lists = ("rowids", *places, *(f"n{k}" for k in taken))
+        hits = self._counting(self.unpacked(self.postings(words), F.col("term").alias("word"), lists=lists)).select("word", "rowid", *places, length).join(asked, "word")
         moved = [F.transform(p, lambda x: x - F.col("k")).alias(p) for p in places]
-        grouped = hits.where("n_words > 1").groupBy("query_id", "term", "n_words", "rowid").agg(F.collect_list(F.struct("k", *moved)).alias("parts")).where("size(parts) = n_words")
+        grouped = hits.groupBy("query_id", "term", "n_words", "rowid").agg(F.collect_list(F.struct("k", *moved)).alias("parts"), F.first("n_tokens").alias("n_tokens")).where("size(parts) = n_words")
         common = lambda p: F.size(F.aggregate(F.slice("parts", 2, 1 << 20), F.col("parts")[0][p], lambda s, x: F.array_intersect(s, x[p])))
-        phrase = grouped.select("query_id", "term", "rowid", tf([common(p) for p in places]))
-        sized = self.live("lengths").select("rowid", "path", sum((F.col(f"n{k}") for k in taken), F.lit(0)).alias("n_tokens"))
-        counts = single.unionAll(phrase).where("tf > 0").join(sized, "rowid")
-        spread = counts.groupBy("term").agg(F.countDistinct("rowid").alias("n_rows"))
-        idf = F.log((F.lit(n) - F.col("n_rows") + 0.5) / (F.col("n_rows") + 0.5))
-        part = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (lexical.K1 + 1) / (F.col("tf") + lexical.K1 * (1 - lexical.B + lexical.B * F.col("n_tokens") / F.lit(mean)))
-        scored = counts.join(spread, "term").groupBy("query_id", "rowid", "path").agg(F.sum(part).alias("score"))
-        if "path_prefix" in queries.columns:
-            scored = scored.join(queries.select("query_id", "path_prefix"), "query_id").where(F.col("path_prefix").isNull() | X.like_prefix(F.col("path"), F.col("path_prefix"))).drop("path_prefix")
-        return scored
+        found = grouped.select("query_id", "term", "rowid", "n_tokens", tf([common(p) for p in places]).alias("tf")).where("tf > 0")
+        rows = found.groupBy("term").agg(F.countDistinct("rowid").alias("n_rows"))
+        return found.join(rows, "term")
+
+    def _best(self, words: list[str], weighed: DataFrame, bound: Column, lists: tuple[str, ...], tf: Column, length: Column, part: Column, top_k: int) -> DataFrame:
+        """query_id, rowid, score of the rows that may be among each query's best top_k; their scores are whole.
+
+        MaxScore over blocks: the best blocks of each word set a bar that top_k rows reach for certain; words whose bounds together stay below
+        it lead no row past it by themselves; of the other words those blocks are read that reach it together with the other words'
+        bounds; what is left gets its whole score from the blocks of its slices.
+        """
+        total = weighed.groupBy("query_id").agg(F.sum(F.col("idf") * F.col("bound")).alias("total"))
+        heads = self.postings(words).where("n > 0").select(F.col("term").alias("word"), "segment", "slice", "n", bound.alias("most"))
+        opened = lambda blocks, *keep: self.unpacked(blocks, *keep, lists=lists).select(*[k for k in keep if isinstance(k, str)], "rowid", tf.alias("tf"), length).where("tf > 0")
+        full = self.postings(words).withColumnRenamed("term", "word")
+        nth = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("most"), "slice"))
+        seeds = heads.withColumn("nth", nth).where(F.col("nth") <= SEED_BLOCKS).select("word", "segment", "slice").distinct()
+        seen = self._counting(opened(full.join(seeds, ["word", "segment", "slice"], "left_semi"), "word")).join(weighed, "word").groupBy("query_id", "rowid").agg(F.sum(F.col("idf") * part).alias("score"))
+        bar = seen.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("rank") == top_k).select("query_id", (F.col("score") - 1e-6).alias("bar"))
+        below = F.sum(F.col("idf") * F.col("bound")).over(Window.partitionBy("query_id").orderBy(F.col("idf") * F.col("bound"), "word"))
+        leading = weighed.join(total, "query_id").join(bar, "query_id", "left").fillna(0.0, ["bar"]).withColumn("below", below).where(F.col("below") >= F.col("bar"))
+        reach = F.col("idf") * F.col("most") + F.col("total") - F.col("idf") * F.col("bound")
+        led = heads.join(leading, "word").where(reach >= F.col("bar")).select("word", "segment", "slice").distinct()
+        rows = self._counting(opened(full.join(led, ["word", "segment", "slice"], "left_semi"), "word")).join(leading, "word")
+        own = F.col("idf") * part
+        found = rows.where(own + F.col("total") - F.col("idf") * F.col("bound") >= F.col("bar")).select("query_id", "rowid").distinct()
+        found = self.spark.read.schema(found.schema).parquet(self._scratch(found))
+        slices = found.select("query_id", F.floor(F.col("rowid") / SLICE).alias("slice")).distinct()
+        told = [r["slice"] for r in slices.select("slice").distinct().limit(MOST_TOLD + 1).collect()]
+        needed = weighed.join(slices, "query_id").select("word", "slice").distinct()
+        blocks = (full if len(told) > MOST_TOLD else self.postings(words, told).withColumnRenamed("term", "word")).join(needed, ["word", "slice"], "left_semi")
+        return opened(blocks, "word").join(weighed, "word").join(found, ["query_id", "rowid"], "left_semi").groupBy("query_id", "rowid").agg(F.sum(F.col("idf") * part).alias("score"))
+
+    def _scratch(self, frame: DataFrame) -> str:
+        to = fs.scratch(self.spark, f"{fs.shared_folder(self.spark)}/spindrift-search-{uuid.uuid4().hex}")
+        frame.write.parquet(to)
+        return to
 
     def search(self, queries: DataFrame, top_k: int, weights: tuple[float, ...] = lexical.WEIGHTS, columns: tuple[str, ...] = FIELDS) -> DataFrame:
         """query_id, rowid, score, rank: each query's best rows."""
-        return lexical.ranked(self.scores(queries, weights, columns).select("query_id", "rowid", "score"), top_k)
+        return lexical.ranked(self.scores(queries, weights, columns, top_k).select("query_id", "rowid", "score"), top_k)
 
-    def nearest(self, queries: DataFrame, top_k: int, path_prefix: str | None = None) -> DataFrame:
-        """The exact nearest rows to query vectors (query_id, embedding); none where the index holds no vectors."""
+    def nearest(self, queries: DataFrame, top_k: int) -> DataFrame:
+        """The exact nearest rows to query vectors (query_id, embedding, and where told path_prefix); none where the index holds no vectors."""
         dim = self.manifest["dim"]
-        if not self.manifest["vectors"]:
+        if not self.has_vectors():
             return self.spark.createDataFrame([], "query_id long, rowid long, distance double, score double, rank int")
         wrong = queries.where(F.size("embedding") != dim).limit(1).count() if dim else 0
         if wrong:
             raise ValueError(f"query vectors must have {dim} components")
-        return vectors.knn(self.vectors(), queries, top_k, path_prefix)
+        return vectors.knn(self.vectors(), queries, top_k)

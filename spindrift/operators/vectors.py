@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,31 +25,38 @@ def cosine(a: Column, b: Column) -> Column:
 MOST_QUERIES = 4096
 
 
-def knn(vectors: DataFrame, queries: DataFrame, top_k: int, path_prefix: str | None = None) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """query_id, rowid, rank, distance, score = 1 / (1 + distance): the exact nearest rows by cosine distance.
 
     The stated queries (query_id, embedding) are held against all rows in blocks: one matrix product for each Arrow batch
     and MOST_QUERIES queries, of which only each
-    query's best top_k leave the task.  A path prefix is applied before the search.
+    query's best top_k leave the task.  Where queries have a path_prefix (as LIKE takes it; null: none), only rows (with path) below it are looked at.
     """
-    if path_prefix is not None:
-        vectors = vectors.where(F.lower("path").startswith(path_prefix.lower()))
     spark = vectors.sparkSession
+    prefixed = "path_prefix" in queries.columns
+    asked_for = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"), (F.col("path_prefix") if prefixed else F.lit(None)).cast("string").alias("path_prefix"))
     slices = max(1, -(-queries.count() // MOST_QUERIES))
     found = None
     for part in range(slices):
-        some = queries if slices == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == part)
-        rows = some.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).orderBy("query_id").toArrow()
-        asked = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.array(rows["embedding"].to_pylist(), float).reshape(rows.num_rows, -1)))
-        best = vectors.select("rowid", "embedding").mapInPandas(_best(asked, top_k), "query_id long, rowid long, distance double")
+        some = asked_for if slices == 1 else asked_for.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == part)
+        rows = some.orderBy("query_id").toArrow()
+        asked = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.array(rows["embedding"].to_pylist(), float).reshape(rows.num_rows, -1), rows["path_prefix"].to_pylist()))
+        best = vectors.select("rowid", "embedding", *(["path"] if prefixed else [])).mapInPandas(_best(asked, top_k), "query_id long, rowid long, distance double")
         found = best if found is None else found.unionAll(best)
     return ranked(found.withColumn("score", 1 / (1 + F.round("distance", 9))), top_k)
 
 
+def _below(prefix: str) -> re.Pattern:
+    """The pattern of functions.text.like_prefix for one prefix, over lower-case paths."""
+    wild = {"%": ".*", "_": "."}
+    return re.compile("".join(wild.get(c, re.escape(c)) for c in prefix.lower()), re.S)
+
+
 def _best(asked, top_k: int):
     def run(batches):
-        ids, wanted = asked.value
+        ids, wanted, prefixes = asked.value
         norms = np.linalg.norm(wanted, axis=1)
+        patterns = {p: _below(p) for p in prefixes if p is not None}
         for batch in batches:
             if not len(batch) or not len(ids):
                 continue
@@ -55,8 +64,11 @@ def _best(asked, top_k: int):
             both = norms[:, None] * np.linalg.norm(there, axis=1)
             distance = 1 - np.divide(wanted @ there.T, both, out=np.zeros_like(both), where=both > 0)
             rowid = batch["rowid"].to_numpy()
-            for q, row in zip(ids, distance, strict=True):
-                best = np.lexsort((rowid, row))[:top_k]
+            paths = [p.lower() for p in batch["path"]] if patterns else []
+            inside = {p: np.flatnonzero([x.match(path) is not None for path in paths]) for p, x in patterns.items()}
+            for q, prefix, row in zip(ids, prefixes, distance, strict=True):
+                own = np.arange(len(rowid)) if prefix is None else inside[prefix]
+                best = own[np.lexsort((rowid[own], row[own]))[:top_k]]
                 yield pd.DataFrame({"query_id": q, "rowid": rowid[best], "distance": row[best]})
 
     return run

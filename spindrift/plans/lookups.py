@@ -16,8 +16,9 @@ from spindrift.sources import files as sources
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS n_rows, count(*) AS n FROM t GROUP BY term""")
 def index_build(spark, sf_dir):
     """The stored postings, summed over each term."""
-    postings = corpus.stored(spark, sf_dir).table("postings").where("size(p2) > 0")
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("p2")).alias("n"))
+    store = corpus.stored(spark, sf_dir)
+    postings = store.unpacked(store.postings(), "term", lists=("rowids", "f2")).where("f2 > 0")
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("f2").alias("n"))
 
 
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
