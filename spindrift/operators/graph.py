@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spindrift.sources import fs
+
 EDGES = "source_path string, source_symbol string, target_path string, target_symbol string, kind string, confidence double"
 
 
@@ -115,28 +118,40 @@ def verb(kind: Column) -> Column:
     return F.regexp_replace(kind, "_", " ")
 
 
-def walked(ranked: DataFrame, leaving: DataFrame, reaching: DataFrame, top: int = 5, most: int = 15, decay: float = 0.55) -> DataFrame:
-    """query_id, node, place, score, reason of extra nodes about each query's results (query_id, node, rank, score).
+#: Edges of a node and direction that an expansion looks at, and of a node that was itself met on the way (fixed values).
+MOST_EDGES, FURTHER_EDGES = 50, 3
 
-    leaving and reaching are edges (node, id, to, confidence, reason) from a node's side, in the order of id.  Each of the first top results
-    takes up its leaving and reaching edges, 50 of each; then the first three extras take up three of theirs.  A node
-    counts where it is first met.  What comes next depends on what was met before, so the few hundred edges that a query may
-    need are found by joins, hop by hop, and folded together.
+
+def adjacency(leaving: DataFrame, reaching: DataFrame) -> DataFrame:
+    """node, direction (0 leaving, 1 reaching), nth, id, to, confidence, reason: the first MOST_EDGES edges of each node and direction by id.
+
+    leaving and reaching are edges (node, id, to, confidence, reason) from a node's side.  The limit is applied before edges are shuffled too, so a
+    hub sends no more than that from each task.
     """
+    both = leaving.withColumn("direction", F.lit(0)).unionByName(reaching.withColumn("direction", F.lit(1)))
+    nth = F.row_number().over(Window.partitionBy("node", "direction").orderBy("id", "to"))
+    return both.withColumn("nth", nth).where(F.col("nth") <= MOST_EDGES).select("node", "direction", "nth", "id", "to", "confidence", "reason")
+
 
-    def first(edges: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
-        near = edges.join(nodes.select("node").distinct(), "node", "left_semi")
-        return near.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("nth") <= limit)
+def walked(ranked: DataFrame, near: DataFrame | Callable[[DataFrame], DataFrame], top: int = 5, most: int = 15, decay: float = 0.55) -> DataFrame:
+    """query_id, node, place, score, reason of extra nodes about each query's results (query_id, node, rank, score).
 
-    seeds = ranked.where(F.col("rank") <= top).select("query_id", "node", "rank", "score")
+    near: an adjacency, or a function that gives the part of one that distinct nodes (node) need.  Each of the first top results
+    takes up its leaving and reaching edges; then the first three extras take up three of theirs.  A node
+    counts where it is first met.  What comes next depends on what was met before, so the few hundred edges that a query may
+    need are found by joins, hop by hop, and folded together.  Each frontier is written before the next is found from it.
+    """
+    look_up = near if callable(near) else lambda nodes: near.join(nodes, "node", "left_semi")
+    ranked = fs.kept(ranked.select("query_id", "node", "rank", "score"))
     columns = ["query_id", "hop", "rank", "node", "direction", "nth", "to", "confidence", "reason"]
-    hop = lambda nodes, edges, n, direction: nodes.join(edges, "node").withColumn("hop", F.lit(n)).withColumn("direction", F.lit(direction)).select(columns)
-    out, into = hop(seeds, first(leaving, seeds, 50), 1, 0), hop(seeds, first(reaching, seeds, 50), 1, 1)
-    found, nodes = out.unionAll(into), out.unionAll(into).select("query_id", F.col("to").alias("node")).distinct().withColumn("rank", F.lit(None).cast("int"))
+    seeds = ranked.where(F.col("rank") <= top)
+    found = fs.kept(seeds.join(look_up(seeds.select("node").distinct()), "node").withColumn("hop", F.lit(1)).select(columns))
+    step = found
     for n in (2, 3):
-        step = hop(nodes, first(leaving, nodes, 3), n, 0)
-        found = found.unionAll(step)
         nodes = step.select("query_id", F.col("to").alias("node")).distinct().withColumn("rank", F.lit(None).cast("int"))
+        further = look_up(nodes.select("node").distinct()).where((F.col("direction") == 0) & (F.col("nth") <= FURTHER_EDGES))
+        step = fs.kept(nodes.join(further, "node").withColumn("hop", F.lit(n)).select(columns))
+        found = found.unionAll(step)
     node_type = ranked.schema["node"].dataType.simpleString()
     query_type = ranked.schema["query_id"].dataType.simpleString()
 
@@ -171,7 +186,7 @@ def expand(ranked: DataFrame, edges: DataFrame, top: int = 5, most: int = 15, de
     """query_id, node, place, score, reason of extra nodes from edges (id, source, target, kind, confidence), to the second hop."""
     leaving = edges.select(F.col("source").alias("node"), "id", F.col("target").alias("to"), "confidence", F.concat_ws(" ", verb(F.col("kind")), "target").alias("reason"))
     reaching = edges.select(F.col("target").alias("node"), "id", F.col("source").alias("to"), "confidence", F.concat_ws(" ", "source", verb(F.col("kind")), F.lit("this")).alias("reason"))
-    return walked(ranked, leaving, reaching, top, most, decay)
+    return walked(ranked, fs.kept(adjacency(leaving, reaching)), top, most, decay)
 
 
 def resolved_ends(ends: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -183,26 +198,35 @@ def resolved_ends(ends: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.select("path", "symbol", F.coalesce("by_symbol", "by_path").alias("rowid")).where("rowid is not null")
 
 
-def chunk_edges(edges: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Leaving and reaching edges of chunks as walked() takes them: a chunk with a symbol has that symbol's edges, others their file's."""
+def chunk_adjacency(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The adjacency of chunks by rowid: a chunk with a symbol has that symbol's edges in its file, others their file's.
+
+    Edges are cut to MOST_EDGES of a file's symbol, and of a file, before they meet its chunks.
+    """
     label = lambda path, symbol: F.concat(path, F.coalesce(F.concat(F.lit(":"), symbol), F.lit("")))
+    whole = fs.kept(edges.select("id", "source_path", "source_symbol", "target_path", "target_symbol", "kind", "confidence"))
+    end = lambda side: F.struct(F.col(f"{side}_path").alias("path"), F.col(f"{side}_symbol").alias("symbol"))
+    ends = whole.select(F.explode(F.array(end("source"), end("target"))).alias("e")).select("e.*").distinct()
+    ends = fs.kept(resolved_ends(ends, chunks).select(F.col("path").alias("e_path"), F.col("symbol").alias("e_symbol"), F.col("rowid").alias("to")))
 
-    def side(path: str, symbol: str, to_path: str, to_symbol: str, reason: Column) -> DataFrame:
-        told = edges.withColumn("reason", reason)
-        ends = resolved_ends(edges.select(F.col(to_path).alias("path"), F.col(to_symbol).alias("symbol")), chunks).select(F.col("path").alias("e_path"), F.col("symbol").alias("e_symbol"), F.col("rowid").alias("to"))
-        led = told.join(ends, F.col(to_path).eqNullSafe(F.col("e_path")) & F.col(to_symbol).eqNullSafe(F.col("e_symbol")))
-        c = chunks.select(F.col("rowid").alias("node"), F.col("path").alias("c_path"), F.col("symbol").alias("c_symbol"))
-        return led.join(c, F.col(path) == F.col("c_path")).where(F.col("c_symbol").isNull() | (F.col(symbol) == F.col("c_symbol"))).select("node", "id", "to", "confidence", "reason")
+    def side(path: str, symbol: str, to_path: str, to_symbol: str, reason: Column, direction: int) -> DataFrame:
+        led = whole.join(ends, F.col(to_path).eqNullSafe(F.col("e_path")) & F.col(to_symbol).eqNullSafe(F.col("e_symbol")))
+        return led.select(F.col(path).alias("path"), F.col(symbol).alias("symbol"), F.lit(direction).alias("direction"), "id", "to", "confidence", reason.alias("reason"))
 
-    leaving = side("source_path", "source_symbol", "target_path", "target_symbol", F.concat_ws(" ", verb(F.col("kind")), label(F.col("target_path"), F.col("target_symbol"))))
-    reaching = side("target_path", "target_symbol", "source_path", "source_symbol", F.concat_ws(" ", label(F.col("source_path"), F.col("source_symbol")), verb(F.col("kind")), F.lit("this")))
-    return leaving, reaching
+    led = side("source_path", "source_symbol", "target_path", "target_symbol", F.concat_ws(" ", verb(F.col("kind")), label(F.col("target_path"), F.col("target_symbol"))), 0).unionAll(
+        side("target_path", "target_symbol", "source_path", "source_symbol", F.concat_ws(" ", label(F.col("source_path"), F.col("source_symbol")), verb(F.col("kind")), F.lit("this")), 1)
+    )
+    cut = lambda rows, *by: rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by, "direction").orderBy("id", "to"))).where(F.col("nth") <= MOST_EDGES)
+    of_file, of_symbol = cut(led, "path").drop("symbol"), cut(led.where("symbol is not null"), "path", "symbol")
+    c = chunks.select(F.col("rowid").alias("node"), "path", "symbol")
+    told = ["node", "direction", "nth", "id", "to", "confidence", "reason"]
+    return c.where("symbol is null").join(of_file, "path").select(told).unionAll(c.where("symbol is not null").join(of_symbol, ["path", "symbol"]).select(told))
 
 
-def expand_chunks(results: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, rowid, place, score, reason of extra chunks about results (query_id, rowid, rank, score), over resolved edges."""
+def expand_chunks(results: DataFrame, near: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """query_id, rowid, place, score, reason of extra chunks about results (query_id, rowid, rank, score), over an adjacency of chunks."""
     ranked = results.select("query_id", F.col("rowid").alias("node"), "rank", "score")
-    return walked(ranked, *chunk_edges(edges, chunks)).withColumnRenamed("node", "rowid")
+    return walked(ranked, near).withColumnRenamed("node", "rowid")
 
 
 def touching(edges: DataFrame, seeds: DataFrame, kinds: list[str] | None = None, limit: int = 50) -> DataFrame:

@@ -92,9 +92,12 @@ def fuzzy_paths(paths: DataFrame, query: str, limit: int = 12) -> DataFrame:
 def references_of(chunks: DataFrame, terms: DataFrame, limit: int = 8) -> DataFrame:
     """term, rowid, path, n: the first rows that hold each term (a run of letters, digits and underscores) as a whole word in its own case.
 
-    Rows are reduced to their distinct words where they are read; the few terms meet these by equality.
+    Rows are reduced to their distinct words where they are read, and to the terms themselves if these are few enough to be told; they meet by equality.
     """
+    told = [r["term"] for r in terms.select("term").distinct().limit(MOST_HEADS + 1).collect()]
     words = F.array_distinct(F.regexp_extract_all("contents", F.lit("[A-Za-z0-9_]+"), F.lit(0)))
+    if len(told) <= MOST_HEADS:
+        words = F.array_intersect(words, F.array(*map(F.lit, told)).cast("array<string>"))
     found = chunks.select("rowid", "path", F.explode(words).alias("term")).join(terms.select("term").distinct(), "term")
     nth = F.row_number().over(Window.partitionBy("term").orderBy("rowid"))
     return found.withColumn("n", nth).where(F.col("n") <= limit)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from spindrift.functions import text as X
 from spindrift.operators import graph, lexical, ranking
 from spindrift.operators.store import Store
+from spindrift.sources import fs
 
 #: A function from a text column to a vector column, and one from (query, document) columns to a relevance between 0
 #: and 1: expressions or pandas UDFs.
@@ -129,8 +130,9 @@ def retrieve(store: Store, queries: DataFrame, options: Options) -> dict[str, Da
         fused = fused.withColumn("distance", 1 / F.col("vector_score") - 1)
     else:
         fused = fused.withColumn("distance", F.lit(None).cast("double"))
-    texts = store.chunks().select("rowid", "path", "symbol", "parent", "start_line", "end_line", "contents")
-    rows = fused.join(texts, "rowid").join(asked.select("query_id", "text", "signals", "context", "active_path", "opened", "shape", "names"), "query_id")
+    fused = fs.kept(fused)  # a few rows a query, which all later stages stand on
+    columns = ("rowid", "path", "symbol", "parent", "start_line", "end_line", "contents")
+    rows = fused.join(store.fetched(fused).select(*columns), "rowid").join(asked.select("query_id", "text", "signals", "context", "active_path", "opened", "shape", "names"), "query_id")
     if options.recency is not None:
         rows = rows.join(options.recency, "path", "left")
 
@@ -154,8 +156,9 @@ def retrieve(store: Store, queries: DataFrame, options: Options) -> dict[str, Da
     results = reached("results", kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.top_k))
     final = results.withColumn("reason", F.lit(None).cast("string"))
     if options.expand is not None:
-        extra = graph.expand_chunks(results, store.edges(), texts) if options.expand == "graph" else symbol_extras(results, texts)
-        final = with_extras(final, extra, texts)
+        results = fs.kept(results)
+        extra = fs.kept(graph.expand_chunks(results, store.near) if options.expand == "graph" else symbol_extras(results, store.chunks().select(*columns)))
+        final = with_extras(results.withColumn("reason", F.lit(None).cast("string")), extra, store.fetched(extra).select(*columns))
     reached("final", final)
     return stages
 
@@ -173,8 +176,18 @@ def symbol_extras(results: DataFrame, chunks: DataFrame, top: int = 5, most: int
     For each of the first results in turn: chunks of the same symbol, of the same parent in its file, near it, of files it imports, and the definitions of what it
     names most; then uses of the query's words and the results' symbols.  A chunk's first mention counts, most in all.
     """
+    results = fs.kept(results)
     first = results.where(F.col("rank") <= top).select("query_id", F.col("rank").alias("r"), "rowid", "score", "symbol", "parent", "path", "start_line", "end_line", "contents")
-    c = chunks.select(F.col("rowid").alias("to"), F.col("symbol").alias("c_symbol"), F.col("parent").alias("c_parent"), F.col("path").alias("c_path"), F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"))
+    imported = fs.kept(graph.imported_paths(first.select("query_id", "r", "path", "contents"), chunks.select("path").distinct()).select("query_id", "r", "spec_no", "target"))
+    named = fs.kept(first.select("query_id", "r", "score", F.posexplode(X.top_identifiers(F.col("contents"), 6)).alias("at", "name")))
+    # one pass over the chunks leaves those that a seed's path, import, symbol or name asks for
+    paths = first.select("path").unionAll(imported.select("target")).distinct()
+    symbols = first.where("symbol is not null").select("symbol").unionAll(named.select("name")).distinct()
+    heads = chunks.select("rowid", "path", "symbol", "parent", "start_line", "end_line")
+    asked = heads.join(paths.withColumn("by_path", F.lit(True)), "path", "left").join(symbols.withColumn("by_symbol", F.lit(True)), "symbol", "left").where("by_path or by_symbol")
+    # of a symbol that very many chunks bear the first three are enough, unless a path asks for the others
+    nth_of_symbol = F.row_number().over(Window.partitionBy("symbol", F.col("by_path").isNull()).orderBy("rowid"))
+    c = fs.kept(asked.withColumn("n", nth_of_symbol).where("by_path or n <= 3").drop("n")).select(F.col("rowid").alias("to"), F.col("symbol").alias("c_symbol"), F.col("parent").alias("c_parent"), F.col("path").alias("c_path"), F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"))
 
     def nth(frame: DataFrame, by: list[str], order: list, limit: int) -> DataFrame:
         return frame.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("n") <= limit)
@@ -190,14 +203,12 @@ def symbol_extras(results: DataFrame, chunks: DataFrame, top: int = 5, most: int
     gap = F.when(F.col("c_end") < F.col("start_line"), F.col("start_line") - F.col("c_end")).otherwise(F.col("c_start") - F.col("end_line"))
     near = nth(first.join(c, F.col("c_path") == F.col("path")).where("to != rowid"), ["query_id", "r"], [gap, "to"], 3)
     nearby = shaped(near, r, 2, F.lit("nearby chunk"), FACTORS["nearby chunk"])
-    imported = graph.imported_paths(first.select("query_id", "r", "path", "contents"), chunks.select("path").distinct()).select("query_id", "r", "spec_no", "target")
     of_files = nth(first.join(imported, ["query_id", "r"]).join(c, F.col("c_path") == F.col("target")), ["query_id", "r", "spec_no"], ["c_start", "to"], 2)
     imports = shaped(of_files, r, 3, F.concat(F.lit("local import: "), "target"), FACTORS["local import"], F.col("spec_no"))
-    named = first.select("query_id", "r", "score", F.posexplode(X.top_identifiers(F.col("contents"), 6)).alias("at", "name"))
     defined = nth(c.where("c_symbol is not null").select(F.col("c_symbol").alias("name"), "to"), ["name"], ["to"], 1)
     definitions = shaped(named.join(defined, "name"), r, 4, F.concat(F.lit("definition: "), "name"), FACTORS["definition"], F.col("at"))
     terms = results.groupBy("query_id").agg(F.first("signals").alias("signals"), F.array_compact(F.transform(F.sort_array(F.collect_list(F.struct("rank", "symbol"))), lambda x: x["symbol"])).alias("symbols"), F.max_by("score", -F.col("rank")).alias("top"))
-    terms = terms.select("query_id", (F.greatest("top", F.lit(0.01))).alias("score"), F.posexplode(F.array_distinct(F.slice(F.concat("signals", "symbols"), 1, 12))).alias("at", "term"))
+    terms = fs.kept(terms.select("query_id", (F.greatest("top", F.lit(0.01))).alias("score"), F.posexplode(F.array_distinct(F.slice(F.concat("signals", "symbols"), 1, 12))).alias("at", "term")))
     used = lexical.references_of(chunks, terms.select("term").distinct(), 3)
     uses = shaped(terms.join(used.select("term", F.col("rowid").alias("to"), "n"), "term"), F.lit(top + 1), 5, F.concat(F.lit("usage/caller: "), "term"), FACTORS["usage/caller"], F.col("at"))
     found = same

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import stem as S
 from spindrift.functions import text as X
-from spindrift.operators import lexical, maintenance, vectors
+from spindrift.operators import graph, lexical, maintenance, vectors
 from spindrift.sources import fs
 
 SCHEMA_VERSION = "2"
@@ -44,6 +44,7 @@ FILES = "path string, hash string, op string, indexed_at timestamp"
 LENGTHS = "rowid long, path string, n0 int, n1 int, n2 int"
 POSTINGS = "term string, slice long, n int, counts array<long>, m0 int, m1 int, m2 int, l0 int, l1 int, l2 int, rowids array<long>, f0 array<int>, f1 array<int>, f2 array<int>, n0 array<int>, n1 array<int>, n2 array<int>, p0 array<array<int>>, p1 array<array<int>>, p2 array<array<int>>, bucket int"
 VECTORS = "rowid long, path string, embedding array<float>"
+ADJACENCY = "node long, direction int, nth int, id long, to long, confidence double, reason string"
 DEAD = "rowid long, n0 int, n1 int, n2 int"
 TABLES = {"chunks": CHUNKS, "dead": DEAD, "edges": EDGES, "files": FILES, "lengths": LENGTHS, "postings": POSTINGS, "vectors": VECTORS}
 #: Columns of a block that tell of its rows, and those that hold them.
@@ -410,6 +411,36 @@ class Store:
         self.add(cut(touched), touched.select("path", "hash"), removed=report.where("status = 'removed'"), **options)
         return report
 
+    def link(self) -> None:
+        """Writes the adjacency of the chunks in force, so that searches find a chunk's edges by its rowid; a manifest names it.
+
+        It tells of one state of the index: after a change it is made anew, here or by the first search that needs it.
+        """
+        number = uuid.uuid4().hex
+        near = graph.chunk_adjacency(self.edges(), self.chunks())
+        near.repartitionByRange("node").sortWithinPartitions("node", "direction", "nth").write.parquet(f"{self.root}/adjacency/segment={number}")
+        of = sorted(s["id"] for s in self.manifest["segments"])
+
+        def change(base: dict) -> dict:
+            if sorted(s["id"] for s in base["segments"]) != of:
+                fs.delete(self.spark, f"{self.root}/adjacency/segment={number}")
+                raise ConcurrentChange("the index was changed while its edges were linked")
+            return base | {"adjacency": {"id": number, "of": of}}
+
+        self._publish(change)
+
+    def near(self, nodes: DataFrame) -> DataFrame:
+        """The adjacency (see graph.adjacency) of nodes; up to MOST_TOLD of them are told to the scan."""
+        linked = self.manifest.get("adjacency")
+        if linked is None or linked["of"] != sorted(s["id"] for s in self.manifest["segments"]):
+            if self.read_only:
+                return graph.chunk_adjacency(self.edges(), self.chunks()).join(nodes, "node", "left_semi")
+            self.link()
+            linked = self.manifest["adjacency"]
+        rows = self.spark.read.schema(ADJACENCY).parquet(f"{self.root}/adjacency/segment={linked['id']}")
+        ids = [r["node"] for r in nodes.limit(MOST_TOLD + 1).collect()]
+        return rows.where(F.col("node").isin(ids)) if len(ids) <= MOST_TOLD else rows.join(nodes, "node", "left_semi")
+
     def remove_edges(self, path: str) -> DataFrame:
         """Edges without those that leave or reach a path."""
         return self.edges().where((F.col("source_path") != path) & F.coalesce(F.col("target_path") != path, F.lit(True)))
@@ -440,9 +471,10 @@ class Store:
         if self.read_only:
             raise PermissionError("the index was opened for reading only")
         versions = sorted(self._versions())
-        named = {s["id"] for v in versions[-max(1, keep) :] for s in self._read(v)["segments"]}
+        kept = [self._read(v) for v in versions[-max(1, keep) :]]
+        named = {s["id"] for m in kept for s in m["segments"]} | {m["adjacency"]["id"] for m in kept if m.get("adjacency")}
         gone = [f"manifests/{v:010d}.json" for v in versions[: -max(1, keep)]]
-        for name in TABLES:
+        for name in (*TABLES, "adjacency"):
             gone += [f"{name}/{n}" for n, age in fs.ages(self.spark, f"{self.root}/{name}").items() if n.removeprefix("segment=") not in named and age >= grace_s]
         for name in ("_adding", "_numbering", "_updates"):
             gone += [f"{name}/{n}" for n, age in fs.ages(self.spark, f"{self.root}/{name}").items() if age >= grace_s]
@@ -566,18 +598,13 @@ class Store:
         rows = self._counting(opened(full.join(led, ["word", "segment", "slice"], "left_semi"), "word")).join(leading, "word")
         own = F.col("idf") * part
         found = rows.where(own + F.col("total") - F.col("idf") * F.col("bound") >= F.col("bar")).select("query_id", "rowid").distinct()
-        found = self.spark.read.schema(found.schema).parquet(self._scratch(found))
+        found = fs.kept(found)
         slices = found.select("query_id", F.floor(F.col("rowid") / SLICE).alias("slice")).distinct()
         told = [r["slice"] for r in slices.select("slice").distinct().limit(MOST_TOLD + 1).collect()]
         needed = weighed.join(slices, "query_id").select("word", "slice").distinct()
         blocks = (full if len(told) > MOST_TOLD else self.postings(words, told).withColumnRenamed("term", "word")).join(needed, ["word", "slice"], "left_semi")
         return opened(blocks, "word").join(weighed, "word").join(found, ["query_id", "rowid"], "left_semi").groupBy("query_id", "rowid").agg(F.sum(F.col("idf") * part).alias("score"))
 
-    def _scratch(self, frame: DataFrame) -> str:
-        to = fs.scratch(self.spark, f"{fs.shared_folder(self.spark)}/spindrift-search-{uuid.uuid4().hex}")
-        frame.write.parquet(to)
-        return to
-
     def search(self, queries: DataFrame, top_k: int, weights: tuple[float, ...] = lexical.WEIGHTS, columns: tuple[str, ...] = FIELDS) -> DataFrame:
         """query_id, rowid, score, rank: each query's best rows."""
         return lexical.ranked(self.scores(queries, weights, columns, top_k).select("query_id", "rowid", "score"), top_k)

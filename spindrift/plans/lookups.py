@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.operators import evaluation, lexical
-from spindrift.operators.store import Store
+from spindrift.operators.store import ConcurrentChange, Store
 from spindrift.plans import corpus
 from spindrift.plans.index import files
 from spindrift.plans.registry import query, table
@@ -68,6 +68,42 @@ def bm25_after_update(spark, sf_dir):
     return updated(spark, sf_dir).scores(asked, (1.0,), ("contents",)).select("path", F.round("score", 6).alias("score"))
 
 
+@query("SELECT source || '/' || doc_id AS path, sha256(text) AS hash, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS INT) AS n_tokens FROM documents")
+def concurrent_commits(spark, sf_dir):
+    """What two writers that were opened at one version leave behind; a third, which would change what the first one did, is refused."""
+
+    def make(root):
+        rows = files(spark, sf_dir).select("path", "contents", "doc_id")
+        hashed = lambda d: d.select("path", F.sha2("contents", 256).alias("hash"))
+        parts = [rows.where(F.col("doc_id") % 2 == k) for k in range(2)]
+        writers = [Store(spark, root) for _ in range(3)]
+        for writer, part in zip(writers, parts, strict=False):
+            writer.add(part.drop("doc_id"), hashed(part))
+        changed = parts[0].withColumn("contents", F.lit("lost")).drop("doc_id")
+        try:
+            writers[2].add(changed, hashed(changed))
+        except ConcurrentChange:
+            return
+        raise AssertionError("a change of files that another writer had changed was let through")
+
+    store = Store(spark, corpus._once(spark, sf_dir, "concurrent", make))
+    return store.files().select("path", "hash").join(store.live("lengths").select("path", F.col("n2").alias("n_tokens")), "path")
+
+
+@query(f"SELECT path, sha256(path || text) AS hash, CAST(len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS INT) AS n_tokens FROM ({_LATER})")
+def expired_index(spark, sf_dir):
+    """An index of two segments after compaction and expiry of everything that the last version does not name."""
+
+    def make(root):
+        updated(spark, sf_dir).compact(root)
+        store = Store(spark, root)
+        store.compact()
+        store.expire(grace_s=0)
+
+    store = Store(spark, corpus._once(spark, sf_dir, "expired", make))
+    return store.files().select("path", "hash").join(store.live("lengths").select("path", F.col("n2").alias("n_tokens")), "path")
+
+
 @query(f"SELECT count(*) AS files, {_NOW} + INTERVAL 1 DAY AS last_indexed, count(*) AS chunks, CAST(0 AS BIGINT) AS edges, 'keyword-only' AS mode, CAST(NULL AS VARCHAR) AS model, 'no vectors' AS degraded_reason, 'main' AS branch FROM ({_LATER})")
 def index_status(spark, sf_dir):
     store = updated(spark, sf_dir)

@@ -95,6 +95,26 @@ def expanded_queries(spark, sf_dir):
     return asked(spark, ASKED).select("query_id", retrieval.expanded_text(F.col("text")).alias("wider"))
 
 
+PREFIX = "src1%/"
+_PREFIXED = _PIPELINE.replace("JOIN df USING (term), s GROUP BY ALL", f"JOIN df USING (term), s WHERE rowid IN (SELECT rowid FROM d WHERE path LIKE '{PREFIX}%') GROUP BY ALL").replace("FROM qv, dv)", f"FROM qv, dv WHERE rowid IN (SELECT rowid FROM d WHERE path LIKE '{PREFIX}%'))")
+
+
+@query(f"WITH {_PREFIXED} SELECT query_id, rowid, path, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM results")
+def retrieve_prefixed(spark, sf_dir):
+    """The whole search below a path prefix, which both legs keep to."""
+    return stages(spark, sf_dir, path_prefix=PREFIX)["results"].select("query_id", "rowid", "path", "rank", F.round("score", 6).alias("score"))
+
+
+_RECENT = _PIPELINE.replace(_boost("score"), _boost("score * (1 + 0.3 * (rowid % 10) / 10.0)"))
+
+
+@query(f"WITH {_RECENT} SELECT query_id, rowid, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM results")
+def retrieve_recent(spark, sf_dir):
+    """The whole search with a boost for files of late changes: here the last digit of the doc_id tells how late."""
+    recency = files(spark, sf_dir).select("path", (F.col("doc_id") % 10 / 10.0).alias("recency"))
+    return stages(spark, sf_dir, recency=recency)["results"].select("query_id", "rowid", "rank", F.round("score", 6).alias("score"))
+
+
 _CHUNKS = f"""w AS (SELECT path, l, unnest(range(1, greatest(1, CAST(ceil((len(l) - 4) / 3.0) AS INT) * 3 + 1) + 1, 3)) AS s FROM ({_LINES})),
 c AS (SELECT CAST(string_split(path, '/')[2] AS BIGINT) * 10000 + s AS rowid, path, doc.lang AS symbol, doc.source AS parent, s AS start_line, least(s + 3, len(l)) AS end_line, array_to_string(l[s:s + 3], chr(10)) AS contents FROM w JOIN documents doc ON doc.source || '/' || doc.doc_id = w.path)"""
 

@@ -6,7 +6,7 @@ import atexit
 import time
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -100,6 +100,14 @@ def scratch(spark: SparkSession, path: str) -> str:
     return path
 
 
+def kept(frame: DataFrame) -> DataFrame:
+    """A frame written once to the shared folder: what is built on it does not compute it again.  Deleted when the driver's Python ends."""
+    spark = frame.sparkSession
+    to = scratch(spark, f"{shared_folder(spark)}/spindrift-kept-{uuid.uuid4().hex}")
+    frame.write.parquet(to)
+    return spark.read.schema(frame.schema).parquet(to)
+
+
 def _clean() -> None:
     while _scratch:
         try:

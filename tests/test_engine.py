@@ -260,7 +260,7 @@ def test_graph_extras_reach_the_second_hop(spark, tmp_path):
     rows = [("src/a.ts", "help", "src/b.ts", "help", "imports", 1.0), ("src/a.ts", "open", "src/b.ts", "help", "calls", 0.7), ("src/b.ts", "help", "src/c.ts", "deep", "imports", 1.0), ("src/d.ts", "user", "src/a.ts", "open", "calls", 0.7), ("src/b.ts", "help", "src/zz.ts", "gone", "calls", 0.7)]
     edges = columns(spark, [(n, *r) for n, r in enumerate(rows)], "id long, source_path string, source_symbol string, target_path string, target_symbol string, kind string, confidence double")
     results = chunks.where("rowid = 0").withColumn("query_id", F.lit(1)).withColumn("rank", F.lit(1)).withColumn("score", F.lit(1.0))
-    found = [(r["rowid"], round(r["score"], 6), r["reason"]) for r in graph.expand_chunks(results, edges, chunks).orderBy("place").collect()]
+    found = [(r["rowid"], round(r["score"], 6), r["reason"]) for r in graph.expand_chunks(results, graph.chunk_adjacency(edges, chunks)).orderBy("place").collect()]
     assert found == [(1, 0.385, "calls src/b.ts:help"), (3, 0.385, "src/d.ts:user calls this"), (2, round(0.385 * 0.55, 6), "imports src/c.ts:deep")]
     wanted = graph.imported_paths(chunks.select("rowid", "path", "contents"), chunks.select("path"))
     assert {(r["path"], r["target"]) for r in wanted.collect()} == {("src/a.ts", "src/b.ts"), ("src/b.ts", "src/c.ts"), ("src/d.ts", "src/a.ts")}

@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift.operators import graph
 from spindrift.operators import store as stores
 from spindrift.operators.retrieval import Options, hashing_embedder, overlap_reranker, retrieve
 from spindrift.operators.store import ConcurrentChange, Store
@@ -171,3 +172,45 @@ def test_fetched_chunks_come_from_their_segments(spark, tmp_path):
     ids = {r["path"]: r["rowid"] for r in store.chunks().collect()}
     wanted = frame(spark, [(ids[p],) for p in ("a7", "b3", "b49")], "rowid long")
     assert {r["path"] for r in store.fetched(wanted).collect()} == {"a7", "b3", "b49"}
+
+
+def test_expansion_reads_a_stored_adjacency(spark, tmp_path, monkeypatch):
+    """A hub of 20,000 edges is cut where it is stored; the plan of an expansion stays small; changes are linked anew."""
+    root = str(tmp_path / "s")
+    store = Store(spark, root)
+    chunk = [("hub.ts", "hub")] + [(f"f{k}.ts", f"s{k}") for k in range(200)]
+    rows = frame(spark, [(k, p, s, f"text {s}") for k, (p, s) in enumerate(chunk)], "rowid long, path string, symbol string, contents string").withColumn("parent", F.lit(None).cast("string"))
+    edges = spark.range(20_000).select("id", F.concat(F.lit("f"), (F.col("id") % 200).cast("string"), F.lit(".ts")).alias("source_path"), F.concat(F.lit("s"), (F.col("id") % 200).cast("string")).alias("source_symbol"), F.lit("hub.ts").alias("target_path"), F.lit("hub").alias("target_symbol"), F.lit("calls").alias("kind"), F.lit(0.5).alias("confidence"))
+    store.add(rows, edges=edges)
+    results = rows.where("rowid = 0").withColumn("query_id", F.lit(1)).withColumn("rank", F.lit(1)).withColumn("score", F.lit(1.0))
+    found = graph.expand_chunks(results, store.near)
+    assert [(r["rowid"], r["score"], r["reason"]) for r in found.orderBy("place").limit(2).collect()] == [(1, 0.275, "f0.ts:s0 calls this"), (2, 0.275, "f1.ts:s1 calls this")] and found.count() == 15
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") < 12
+    linked = store.manifest["adjacency"]["id"]
+    assert spark.read.parquet(f"{root}/adjacency/segment={linked}").where("node = 0").count() == graph.MOST_EDGES
+    monkeypatch.setattr(graph, "chunk_adjacency", lambda *_: pytest.fail("linked again"))
+    graph.expand_chunks(results, Store(spark, root).near).count()
+    monkeypatch.undo()
+    store.remove(frame(spark, [("f0.ts",)], "path string"))
+    now = Store(spark, root)
+    assert [r["rowid"] for r in graph.expand_chunks(results, now.near).orderBy("place").limit(1).collect()] == [2] and now.manifest["adjacency"]["id"] != linked
+    now.expire(grace_s=0)
+    assert len(fs.names(spark, f"{root}/adjacency")) == 1
+
+
+def test_search_with_editor_recency_and_expansion(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), model="m", dim=8)
+    rows = [("a.ts", "open", "function open() {}"), ("b.ts", "load", "function load() { open door }"), ("c.ts", "close", "nothing of it")]
+    edges = frame(spark, [(1, "a.ts", "open", "c.ts", "close", "calls", 0.9)], "id long, source_path string, source_symbol string, target_path string, target_symbol string, kind string, confidence double")
+    store.add(frame(spark, rows, "path string, symbol string, contents string"), edges=edges, embed=hashing_embedder(8))
+    asked = frame(spark, [(1, "open", "b.ts", ["b.ts"], "load door")], "query_id int, text string, active_path string, open_paths array<string>, context_text string")
+    recency = frame(spark, [("b.ts", 1.0)], "path string, recency double")
+    plain = retrieve(store, asked.select("query_id", "text"), Options(top_k=1))["results"].collect()
+    assert [r["path"] for r in plain] == ["a.ts"]
+    boosted = {r["path"]: r["score"] for r in retrieve(store, asked, Options(top_k=2, recency=recency))["results"].collect()}
+    alone = {r["path"]: r["score"] for r in retrieve(store, asked.select("query_id", "text"), Options(top_k=2))["results"].collect()}
+    assert boosted["b.ts"] > 1.3 * alone["b.ts"] and boosted["a.ts"] == pytest.approx(alone["a.ts"])
+    final = retrieve(store, asked.select("query_id", "text"), Options(top_k=1, expand="graph"))["final"].orderBy("rank").collect()
+    assert [(r["path"], r["reason"]) for r in final] == [("a.ts", None), ("c.ts", "calls c.ts:close")]
+    other = retrieve(store, asked.select("query_id", "text"), Options(top_k=1, expand="symbols"))["final"].orderBy("rank").collect()
+    assert other[0]["path"] == "a.ts" and all(r["reason"] for r in other[1:])
