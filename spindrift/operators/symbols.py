@@ -5,12 +5,15 @@ from __future__ import annotations
 import ast
 import posixpath
 from collections.abc import Callable
+from functools import partial
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.operators import chunking
+from spindrift.functions import text as X
+from spindrift.operators import braces, chunking
 from spindrift.operators.graph import EDGES, resolved, source_edges
 
 SYMBOL_CHUNKS = "path string, start_line int, end_line int, contents string, symbol string, kind string, parent string"
@@ -36,30 +39,44 @@ def python_symbols(source: str) -> list[tuple[int, int, str, str, str | None]]:
                     out.append((first, max(first, node.body[0].lineno - 1), node.name, "class", parent))
                     collect(node.body, node.name)
                 else:
-                    out.append((first, node.end_lineno or first, node.name, "method" if parent else "function", parent))
+                    out.append((first, node.end_lineno or first, node.name, "function", parent))
 
     collect(module.body, None)
     return out
 
 
-def chunk_symbols(files: DataFrame, size: int = 80, overlap: int = 15, most_chars: int = 20_000) -> DataFrame:
-    """SYMBOL_CHUNKS of Python files by their symbols; of other files, and where symbols cover too little, by lines."""
+def _python(source: str) -> list[braces.Symbol]:
+    lines = source.split("\n")
+    ends = [0, *accumulate(len(x) + 1 for x in lines)]
+    return [braces.Symbol(*s, ends[s[0] - 1], ends[s[1]]) for s in python_symbols(source)]
+
+
+#: How the symbols of a language's sources are found; a caller may add others.
+CHUNKED: dict[str, Callable[[str], list[braces.Symbol]]] = {"python": _python} | {x: partial(braces.symbols, language=x) for x in braces.RULES}
+
+
+def chunk_symbols(files: DataFrame, size: int = 80, overlap: int = 15, most_chars: int = 20_000, by_language: dict[str, Callable[[str], list[braces.Symbol]]] | None = None) -> DataFrame:
+    """SYMBOL_CHUNKS of files (path, contents) by the symbols of their language; where it is not known, or symbols cover too little, by lines.
+
+    Files are cut each by itself, so tasks need no shuffle; a null or empty file has no chunks.
+    """
+    known = CHUNKED if by_language is None else by_language
 
     def run(batches):
         for batch in batches:
             rows = []
-            for path, contents in zip(batch["path"], batch["contents"], strict=True):
+            for path, contents, language in zip(batch["path"], batch["contents"], batch["language"], strict=True):
                 if not contents:
                     continue
                 lines = contents.split("\n")
-                symbols = python_symbols(contents) if path.endswith((".py", ".pyi")) else []
-                covered = sum(len("\n".join(lines[a - 1 : b])) for a, b, *_ in symbols)
-                if covered < LEAST_COVERED * len(contents):
-                    symbols = [(a, b, None, None, None) for a, b in chunking.spans_of(lines, size, overlap)]
-                rows += [(path, *part, *s[2:]) for s in symbols for part in chunking.by_characters(lines[s[0] - 1 : s[1]], s[0], most_chars)]
+                found = known[language](contents) if language in known else []
+                spans = [(s.first, s.last, s.name, s.kind, s.parent) for s in found]
+                if not spans or sum(s.end - s.start for s in found) < LEAST_COVERED * len(contents):
+                    spans = [(a, b, None, None, None) for a, b in chunking.spans_of(lines, size, overlap)]
+                rows += [(path, *part, *s[2:]) for s in spans for part in chunking.by_characters(lines[s[0] - 1 : s[1]], s[0], most_chars)]
             yield pd.DataFrame(rows, columns=["path", "start_line", "end_line", "contents", "symbol", "kind", "parent"])
 
-    return files.select("path", "contents").mapInPandas(run, SYMBOL_CHUNKS)
+    return files.select("path", "contents", X.language_of(F.col("path")).alias("language")).mapInPandas(run, SYMBOL_CHUNKS)
 
 
 def resolved_imports(imports: DataFrame, indexed: DataFrame) -> DataFrame:
