@@ -34,6 +34,10 @@ NEVER = (
 )
 SELDOM = r"promo\w*|banner|notice|modal|overlay|widget\w*|related|recommend\w*|share|sharing|social|header|masthead|toolbar|search|alert"
 HINT = re.compile(rf"(?:^|[\s_-])(?:(?P<never>{NEVER})|{SELDOM})(?:$|[\s_-])", re.I)
+#: Names that tell what a page has or lacks, not what an element is.
+DESCRIBED = re.compile(r"(?<!\S)(?:has|no|with|without|hide|show|is|not)[_-]\S+", re.I)
+#: Names of an article's head.
+HEAD_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead|banner)(?:$|[\s_-])", re.I)
 #: What the characters of a container with such a word count against those of the article found without it.
 NEVER_WEIGHT, SELDOM_WEIGHT = 0.02, 0.25
 #: Headings that open reader comments.
@@ -47,10 +51,11 @@ SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "inside", "aside", "hint", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "inside", "aside", "hint", "head", "holds", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, up: Node | None, aside: bool = False, hint: float = 1.0):
         self.tag, self.up, self.aside, self.hint = tag, up, aside, hint
+        self.head = self.holds = False  # an article's own head; something that holds an article or main element
         self.inside: list = []  # nodes and strings in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -66,6 +71,7 @@ def judged(tag: str, attributes: str) -> tuple[bool, float]:
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id", "role"):
+            value = DESCRIBED.sub(" ", value)
             for hint in HINT.finditer(value):
                 weight = min(weight, NEVER_WEIGHT if hint["never"] else SELDOM_WEIGHT)
         elif name == "aria-hidden" and value == "true":
@@ -75,6 +81,13 @@ def judged(tag: str, attributes: str) -> tuple[bool, float]:
     return weight < 1, weight
 
 
+def named_head(attributes: str) -> bool:
+    """Do class, id and role name an article's head, and nothing else that is not the article?"""
+    told = " ".join("".join(values) for name, *values in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role"))
+    rest = HEAD_NAME.sub(" ", HEAD_NAME.sub(" ", told))
+    return HEAD_NAME.search(told) is not None and not HINT.search(rest)
+
+
 class Path:
     """The open elements, from the root down; where each tag, block and scope stands among them, so that closing one looks at no other."""
 
@@ -137,11 +150,22 @@ def tree(page: str) -> Node:
         if tag in BLOCK or tag == "body":
             path.make_room(tag)
         at = path.nodes[-1]
-        node = Node(tag, at, *judged(tag, token[4] if token[6] is None else token[7] or ""))
-        if tag == "header" and max(path.last("article"), path.last("main")) > 0:
-            node.aside, node.hint = False, 1.0  # the article's own head; of it only headings are shown
-        if tag not in HEADING and at.tag == "header" and not at.aside and tag in BLOCK:
-            node.aside, node.hint = True, 0.0
+        attributes = token[4] if token[6] is None else token[7] or ""
+        node = Node(tag, at, *judged(tag, attributes))
+        if max(path.last("article"), path.last("main")) > 0:
+            if tag == "header" or 0 < node.hint < 1 and tag in CONTAINER and named_head(attributes):
+                node.aside, node.hint, node.head = False, 1.0, True  # of an article's own head only headings are shown
+            elif tag in HEADING and node.hint:
+                node.aside, node.hint = False, 1.0  # a name does not weigh on an article's headings
+        if tag not in HEADING and at.head and tag in BLOCK:
+            node.aside, node.hint, node.head = True, 0.0, False
+        if tag in ("article", "main"):
+            up = at
+            while up is not None and not up.holds:
+                up.holds = True
+                if up.aside and up.hint:
+                    up.hint = SELDOM_WEIGHT  # what it is called is doubtful if it holds an article
+                up = up.up
         at.inside.append(node)
         if tag not in VOID and not (token[0].endswith("/>") and tag not in BLOCK):
             path.open(node)
@@ -310,6 +334,9 @@ def main_text(page: str | None) -> str:
     Where no such element holds the container, text beside it stays by the rules of beside().
     Elements whose class, id or role names something else are left out, unless, weighed down for their name, one
     still holds more prose than was found without it; then the article is sought in that one.
+    A name counts as a whole word of a class, not where it tells what the page has or lacks (has-sidebar); it does not weigh on
+    headings within an article, and less on what holds an article or main element.  Of an article's own head, by its tag or its name, the
+    headings stay and other blocks go, as do paragraphs that are called notices, adverts and the like: the contract leaves out headers and notices.
     Text of formulas stays; that of drawings, scripts, styles and form controls does not.
     """
     if not page:
