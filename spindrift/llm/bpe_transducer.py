@@ -121,7 +121,16 @@ class Transducer:
         return known
 
     def compile(self, state: int, symbol: int) -> tuple[int, int, int, int]:
-        """The transition (next state, change of count, last token, its length)."""
+        """The transition (next state, change of count, last token, its length).
+
+        Where states or pairs have reached their bound all are forgotten but this state; the next state's number is one of those made since.
+        """
+        if len(self.states) >= MAX_STATES or len(self.pairs) >= MAX_PAIRS:
+            here = self.states[state]
+            self.reset()
+            if (state := self.number.setdefault(here, 1)) == 1:
+                self.states.append(here)
+                self.moves.append({})
         seen, starts = self.states[state]
         final = symbol > 255
         seen += bytes((symbol & 255,))
@@ -149,7 +158,9 @@ class Transducer:
     def count(self, word: bytes) -> int:
         moves, state, total = self.moves, 0, 0
         for byte in word[:-1]:
-            move = moves[state].get(byte) or self.compile(state, byte)
+            if (move := moves[state].get(byte)) is None:
+                move = self.compile(state, byte)
+                moves = self.moves
             state = move[0]
             total += move[1]
         symbol = word[-1] + 256
@@ -158,7 +169,9 @@ class Transducer:
     def ids(self, word: bytes) -> list[int]:
         moves, state, path = self.moves, 0, []
         for byte in word[:-1]:
-            move = moves[state].get(byte) or self.compile(state, byte)
+            if (move := moves[state].get(byte)) is None:
+                move = self.compile(state, byte)
+                moves = self.moves
             state = move[0]
             path.append(move)
         symbol = word[-1] + 256
@@ -215,8 +228,6 @@ class Counts(dict):
         return value
 
     def unit(self, unit: str) -> int:
-        if len(self.machine.states) >= MAX_STATES or len(self.machine.pairs) >= MAX_PAIRS:
-            self.machine.reset()
         return self.machine.count(unit.encode())
 
     joined = staticmethod(sum)

@@ -447,6 +447,27 @@ def test_pages_with_names_that_mislead():
     assert html_text.main_text(f"<article><header><nav>x</nav><h1>Title</h1><div>by one</div></header><p>{prose}<math><mi>x</mi></math></p></article>") == f"Title\n{prose}x"
 
 
+def test_names_do_not_cost_the_article():
+    prose = "These are words of an article that run on for a while, with a comma here and there, and do not end soon. "
+    whole = "\n".join([prose.strip()] * 4)
+    inner = f"<p>{prose}</p>" * 4
+    teaser = '<div class="teaser"><p>Another story that is told elsewhere, in a line or two, for those who like to read on.</p></div>'
+    for name in ("content has-sidebar", "no-sidebar", "page with-nav", "layout without-comments"):
+        for tag in ("div", "article", "main"):
+            found = html_text.main_text(f'<body><div class="{name}"><{tag}>{inner}</{tag}></div></body>')
+            assert found == whole, (name, tag)
+            assert whole in html_text.main_text(f'<body><div id="page" class="{name}"><{tag}>{inner}</{tag}></div>{teaser}</body>')
+    for tag in ("article", "main"):
+        assert html_text.main_text(f'<body><div class="sidebar"><{tag}>{inner}</{tag}></div>{teaser}</body>') == whole
+    for head in ('<h1 class="page-header">Title</h1>', '<div class="entry-header"><h1>Title</h1><div class="meta">by one</div></div>', '<header class="post-header"><h1>Title</h1><p>by one</p></header>'):
+        assert html_text.main_text(f"<body><article>{head}{inner}</article></body>") == "Title\n" + whole
+    assert html_text.main_text(f'<body><article><div class="cookie-banner"><h2>Cookies</h2><p>Accept all</p></div>{inner}</article></body>') == whole
+    deep = '<div class="sidebar">' * 3000 + "<article>" * 3000
+    began = time.perf_counter()
+    html_text.main_text(deep + inner)
+    assert time.perf_counter() - began < 10
+
+
 def test_pages_without_article_are_read_alike(spark):
     for r in registry.table(spark, DATA, "pages").collect():
         assert html_text.main_text(r["html"]) == html_text.main_text(re.sub(r"(</?)article\b", r"\1div", r["html"]))
@@ -473,6 +494,25 @@ def test_caches_of_the_transducer_are_bounded(monkeypatch):
     assert most < 6000 and len(counts) + len(counts.old) <= 2000
 
 
+def test_states_within_one_unit_are_bounded(monkeypatch):
+    """One text of random letters without white space makes no more states than the bound, and is counted as the library counts it."""
+    monkeypatch.setattr(bpe_transducer, "MAX_STATES", 5000)
+    monkeypatch.setattr(bpe_transducer, "MAX_PAIRS", 20_000)
+    rng, machine = random.Random(9), bpe_transducer.Transducer(PATH)
+    most, inner = [0, 0], machine.compile
+
+    def watched(state, symbol):
+        out = inner(state, symbol)
+        most[:] = max(most[0], len(machine.states)), max(most[1], len(machine.pairs))
+        return out
+
+    monkeypatch.setattr(machine, "compile", watched)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    want = tokenizer().encode(word, add_special_tokens=False).ids
+    assert machine.count(word.encode()) == len(want) and machine.ids(word.encode()) == want
+    assert 4000 < most[0] <= 5001 and most[1] < 20_100
+
+
 def test_pipeline_equals_stages_by_hand(spark, documents):
     import corpus_pipeline
 
