@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.sources import fs
+
 #: Characters of items that are sought at a time.
 MOST_CHARS = 20_000_000
 
@@ -70,6 +76,43 @@ def case_metrics(cases: DataFrame, gold: DataFrame, ranked: DataFrame, k: int) -
     )
 
 
+def run(search: Callable[[DataFrame], DataFrame], cases: DataFrame, gold: DataFrame, k: int = 10, on_part: Callable[[DataFrame, str | None], None] = lambda cases, error: None) -> DataFrame:
+    """case_metrics() of a search function over all cases, with elapsed_ms and error of each.
+
+    search takes cases (item_id, text, ...) and gives item_id, doc_id, rank.  All cases go through it at once; if that fails they are halved
+    by their hashes until the cases that fail stand alone, so that n cases of which one fails take some 2 log n searches. A case that
+    fails has zeros and its error, and does not stop the others.  elapsed_ms is the search's time shared by the cases that went through it together.
+    on_part is told of every group of cases that is through.
+    """
+    spark = cases.sparkSession
+    cases = fs.kept(cases.withColumn("_bits", F.xxhash64("item_id")))
+    pending, found, told = [(0, 0)], [], []
+    while pending:
+        depth, bits = pending.pop()
+        part = cases.where(F.col("_bits").bitwiseAND((1 << depth) - 1) == bits)
+        n = part.count()
+        if not n:
+            continue
+        own, began = part.drop("_bits"), time.perf_counter()
+        try:
+            ranked = fs.kept(search(own).select("item_id", "doc_id", "rank"))
+            error = None
+        except Exception as e:
+            error = (str(e).strip() or type(e).__name__).splitlines()[0][:200]
+            if n > 1 and depth < 62:
+                pending += [(depth + 1, bits), (depth + 1, bits | 1 << depth)]
+                continue
+        told.append(((1 << depth) - 1, bits, (time.perf_counter() - began) * 1000 / n, error))
+        if error is None:
+            found.append(ranked)
+        on_part(own, error)
+    ranked = reduce(DataFrame.unionByName, found) if found else cases.select("item_id", F.lit(0).cast("long").alias("doc_id"), F.lit(0).alias("rank")).limit(0)
+    parts = spark.createDataFrame(told, "mask long, bits long, elapsed_ms double, error string")
+    # each case lies in one part, whose number is the lower bits of its hash; parts are as many as failures times the depth
+    of = cases.select("item_id", "_bits").join(F.broadcast(parts), F.col("_bits").bitwiseAND(F.col("mask")) == F.col("bits")).select("item_id", "elapsed_ms", "error")
+    return case_metrics(cases.select("item_id"), gold, ranked, k).join(of, "item_id")
+
+
 def aggregate(metrics: DataFrame) -> DataFrame:
     """One row: cases, recall, mrr, ndcg, hit_rate; and where the cases tell them context_recall over those that have one, and elapsed_ms over those without an error."""
     more = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -77,6 +78,7 @@ class Options:
     columns: tuple[str, ...] = ("path", "symbol", "contents")
     path_prefix: str | None = None
     on_stage: Callable[[str, DataFrame], None] = field(default=lambda name, frame: None)
+    on_failure: Callable[[str, Exception], None] = field(default=lambda name, error: None)
 
 
 def expanded_text(query: Column) -> Column:
@@ -96,7 +98,7 @@ def retrieve(store: Store, queries: DataFrame, options: Options) -> dict[str, Da
 
     queries: query_id, text, and where they are told active_path, open_paths, context_text, path_prefix.  Words are searched as the query has
     them, vectors with its synonyms; a path prefix, of one query or of all (options), narrows both legs alike.  Fused rows are boosted by symbols, editor and recency, reranked and boosted again, and
-    for queries that name a symbol its declarations are lifted; then come the floor and the top_k.  Each
+    for queries that name a symbol its declarations are lifted; then come the floor and the top_k.  If the reranker fails, on_failure is told and the fused order stays.  Each
     stage is a DataFrame of its own: a consumer may show the first ones while the next are computed.
     """
     if options.path_prefix is not None and "path_prefix" not in queries.columns:
@@ -147,7 +149,11 @@ def retrieve(store: Store, queries: DataFrame, options: Options) -> dict[str, Da
         scored = ranked.withColumn("rerank_score", options.rerank(F.col("text"), document_text(F.col("path"), F.col("symbol"), F.col("contents"))))
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rerank_score", 12)), "rank")
         best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(options.top_k, LEAST_RERANKED)).withColumn("score", 1 / F.col("rank"))
-        ranked = reached("reranked", boosted(best))
+        try:  # computed here, so that a reranker that fails costs the reranking and not the search
+            ranked = reached("reranked", boosted(fs.kept(best)))
+        except Exception as e:
+            options.on_failure("reranked", e)
+            ranked = reached("reranked", ranked)
     if options.adaptive:
         ranked = ranking.promoted(ranked, F.when(F.col("shape") == "definition", F.col("names")).otherwise(F.array().cast("array<string>")))
     reached("ranked", ranked)
@@ -262,17 +268,20 @@ class BreakerOpen(RuntimeError):
     """Too many windows failed one after the other."""
 
 
-def embed_in_windows(files: DataFrame, store_window: Callable[[DataFrame], None], window: int = 48, most_failures: int = 3, is_fatal: Callable[[Exception], bool] = lambda e: False) -> DataFrame:
+def embed_in_windows(files: DataFrame, store_window: Callable[[DataFrame], None], window: int = 48, most_failures: int = 3, is_fatal: Callable[[Exception], bool] = lambda e: False, strict: bool = False) -> DataFrame:
     """path, status, reason after handing files (path, ...) to store_window in windows of so many.
 
-    A failed window is noted and left for the next run, since its hashes are not stored; after
-    most_failures in a row, or one that is_fatal, no more are tried.  The loop's turns grow with files / window, so
+    Files are read once and written by window, and each turn reads its own.  A failed window is noted and left for the next run, since its hashes are not stored; after
+    most_failures in a row, or one that is_fatal, no more are tried: the rest is skipped or, if strict, BreakerOpen is raised.
+    The loop's turns grow with files / window, so
     a caller with very many files makes windows large; tasks within a window are retried by Spark.
     """
     spark = files.sparkSession
     n = files.count()
     windows = max(1, -(-n // window))
-    placed = files.withColumn("_window", F.pmod(F.xxhash64("path"), F.lit(windows)))
+    root = fs.scratch(spark, f"{fs.shared_folder(spark)}/spindrift-windows-{uuid.uuid4().hex}")
+    files.withColumn("_window", F.pmod(F.xxhash64("path"), F.lit(windows))).repartition("_window").write.partitionBy("_window").parquet(root)
+    placed = spark.read.schema(T.StructType([*files.schema.fields, T.StructField("_window", T.LongType())])).parquet(root)
     rows, failures = [], 0
     for k in range(windows):
         status = ("skipped", "") if failures >= most_failures else ("stored", "")
@@ -283,9 +292,11 @@ def embed_in_windows(files: DataFrame, store_window: Callable[[DataFrame], None]
             except Exception as e:
                 failures = most_failures if is_fatal(e) else failures + 1
                 status = ("failed", str(e)[:200])
+                if strict and failures >= most_failures:
+                    raise BreakerOpen(f"window {k + 1} of {windows}: {status[1]}") from e
         rows.append((k, *status))
     told = spark.createDataFrame(rows, "_window long, status string, reason string")
-    return placed.select("path", "_window").join(told, "_window").select("path", "status", F.nullif("reason", F.lit("")).alias("reason"))
+    return placed.select("path", "_window").join(F.broadcast(told), "_window").select("path", "status", F.nullif("reason", F.lit("")).alias("reason"))
 
 
 def retried(call: Callable, attempts: int = 3, base_ms: float = 200, most_ms: float = 10_000, retry_after: Callable[[Exception], float | None] = lambda e: None, sleep: Callable[[float], None] = time.sleep):

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import stem as S
 from spindrift.functions import text as X
 from spindrift.operators import graph, lexical, maintenance, vectors
+from spindrift.operators.cache import EmbedCache
 from spindrift.sources import fs
 
 SCHEMA_VERSION = "2"
@@ -362,10 +363,11 @@ class Store:
         frame.write.parquet(to)
         return self.spark.read.schema(frame.schema).parquet(to)
 
-    def add(self, chunks: DataFrame, hashes: DataFrame | None = None, removed: DataFrame | None = None, edges: DataFrame | None = None, embed: Callable[[Column], Column] | None = None, indexed_at: Column | None = None) -> None:
+    def add(self, chunks: DataFrame, hashes: DataFrame | None = None, removed: DataFrame | None = None, edges: DataFrame | None = None, embed: Callable[[Column], Column] | None = None, indexed_at: Column | None = None, cache: EmbedCache | None = None) -> None:
         """Puts files (their chunks, hashes and edges) in place of what stood under their paths, and takes removed paths out.
 
-        chunks need path and contents; embed makes a vector column of a text column (an expression or a pandas UDF).  Another writer's
+        chunks need path and contents; embed makes a vector column of a text column (an expression or a pandas UDF), which cache is
+        asked for first.  Another writer's
         change of other files that came first stays in force, one of the same files raises ConcurrentChange.
         """
         lines = chunks if "start_line" in chunks.columns else chunks.withColumn("start_line", F.lit(1)).withColumn("end_line", F.size(F.split("contents", "\n")))
@@ -392,7 +394,8 @@ class Store:
                 gone = less.groupBy("term").agg(F.array(*sums).alias("counts")).withColumn("slice", F.lit(-1).cast("long")).withColumn("n", F.lit(0))
                 parts["postings"] = shaped(parts["postings"], POSTINGS.rsplit(",", 1)[0]).unionByName(shaped(gone, POSTINGS.rsplit(",", 1)[0]))
         if embed is not None:
-            parts["vectors"] = rows.select("rowid", "path", embed(F.col("contents")).alias("embedding"))
+            texts = rows.select("rowid", "path", "contents")
+            parts["vectors"] = texts.select("rowid", "path", embed(F.col("contents")).alias("embedding")) if cache is None else cache.embedded(texts, self.manifest["model"], self.manifest["dim"], embed)
         if edges is not None:
             parts["edges"] = edges.withColumn("path", F.col("source_path"))
         self._commit(parts, 0 if given else None)

@@ -90,9 +90,17 @@ def retrieval_summary(spark, sf_dir):
     return retrieval.summary(stages(spark, sf_dir)["final"]).withColumn("top", F.round("top", 6))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in WIDER.items()) + ") v(query_id, wider)")
+_SYNONYMS = "(VALUES " + ", ".join(f"('{w}', {found})" for w, found in X.synonyms().items()) + ") s(word, found)"
+
+
+@query(f"""WITH q AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{v}')" for k, v in ASKED.items())}) v(query_id, text) UNION ALL SELECT item_id + 1000, text FROM benchmark),
+t AS (SELECT query_id, text, lower(tok) AS word, pos FROM (SELECT *, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}') AS ts FROM q), unnest(ts) WITH ORDINALITY u(tok, pos)),
+a AS (SELECT query_id, pos, 0 AS kind, k, found[k] AS added FROM t JOIN {_SYNONYMS} USING (word), range(1, 4) r(k) WHERE k <= len(found) UNION ALL SELECT query_id, pos, 1, k, string_split(word, '_')[k] FROM t, range(1, 9) r(k) WHERE contains(word, '_') AND k <= len(string_split(word, '_')) AND length(string_split(word, '_')[k]) >= 3),
+f AS (SELECT query_id, added, min(kind * 1000000 + pos * 100 + k) AS nth FROM a WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.query_id = a.query_id AND t.word = added) GROUP BY ALL)
+SELECT q.query_id, CASE WHEN wide IS NULL THEN text ELSE text || ' ' || wide END AS wider FROM q LEFT JOIN (SELECT query_id, string_agg(added, ' ' ORDER BY nth) AS wide FROM f GROUP BY query_id) USING (query_id)""")
 def expanded_queries(spark, sf_dir):
-    return asked(spark, ASKED).select("query_id", retrieval.expanded_text(F.col("text")).alias("wider"))
+    texts = asked(spark, ASKED).select(F.col("query_id").cast("long").alias("query_id"), "text").unionAll(table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000).alias("query_id"), "text"))
+    return texts.select("query_id", retrieval.expanded_text(F.col("text")).alias("wider"))
 
 
 PREFIX = "src1%/"

@@ -146,11 +146,12 @@ def query_shape(spark, sf_dir):
 _SYNONYMS = "(VALUES " + ", ".join(f"('{w}', {n}, '{s}')" for w, found in X.synonyms().items() for n, s in enumerate(found)) + ") s(word, n, synonym)"
 
 
-@query(f"""WITH t AS (SELECT query_id, tok, pos FROM (SELECT query_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}') AS ts FROM {_SHAPES}), unnest(ts) WITH ORDINALITY AS u(tok, pos))
+@query(f"""WITH t AS (SELECT query_id, tok, pos FROM (SELECT query_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}') AS ts FROM (SELECT query_id, text FROM {_SHAPES} UNION ALL SELECT item_id + 1000, text FROM benchmark)), unnest(ts) WITH ORDINALITY AS u(tok, pos))
 SELECT DISTINCT t.query_id, synonym FROM t JOIN {_SYNONYMS} ON lower(tok) = word WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.query_id = t.query_id AND lower(x.tok) = synonym)""")
 def query_expansion(spark, sf_dir):
     words = spark.createDataFrame([(w, s) for w, found in X.synonyms().items() for s in found], "word string, synonym string")
-    tokens = spark.createDataFrame([*enumerate(SHAPES)], "query_id int, text string").select("query_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))).alias("token")).withColumn("word", F.lower("token"))
+    texts = spark.createDataFrame([*enumerate(SHAPES)], "query_id long, text string").unionAll(table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000).alias("query_id"), "text"))
+    tokens = texts.select("query_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))).alias("token")).withColumn("word", F.lower("token"))
     own = tokens.select("query_id", F.col("word").alias("synonym"))
     return tokens.join(F.broadcast(words), "word").select("query_id", "synonym").distinct().join(own, ["query_id", "synonym"], "left_anti")
 
@@ -284,6 +285,25 @@ def eval_aggregate(spark, sf_dir):
     return evaluation.aggregate(evaluation.case_metrics(items, gold, found, 10))
 
 
+_RUN = _RANKED + ", z AS (SELECT item_id, CASE WHEN item_id = 3 THEN 0 ELSE recall END AS recall, CASE WHEN item_id = 3 THEN 0 ELSE rr END AS rr, CASE WHEN item_id = 3 THEN 0 ELSE ndcg END AS ndcg, hit AND item_id <> 3 AS hit FROM e)"
+
+
+@query(f"WITH {_RUN} SELECT count(*) AS cases, count(*) FILTER (item_id = 3) AS failed, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(CAST(hit AS INT)), 6) AS hit_rate FROM z")
+def eval_run(spark, sf_dir):
+    """The runner over all items as cases, one of which makes the search fail."""
+    _, gold, found = judged(spark, sf_dir)
+    held = corpus.once(spark, sf_dir, "judged", lambda: found)
+
+    def search(cases):
+        if not cases.where("item_id = 3").isEmpty():
+            raise RuntimeError("no answer")
+        return held.join(cases.select("item_id"), "item_id", "left_semi")
+
+    metrics = evaluation.run(search, table(spark, sf_dir, "benchmark"), gold)
+    failed = metrics.agg(F.count("error").alias("failed"))
+    return evaluation.aggregate(metrics).drop("elapsed_ms").join(failed, F.lit(True))  # one row and one row
+
+
 @query(f"""WITH {_RANKED}, e2 AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN ndcg / 2 ELSE ndcg END AS ndcg, rr FROM e WHERE item_id % 5 <> 0)
 SELECT item_id, CASE WHEN abs(e2.ndcg - e.ndcg) > 1e-9 THEN CASE WHEN e2.ndcg > e.ndcg THEN 'improved' ELSE 'regressed' END WHEN abs(e2.rr - e.rr) > 1e-9 THEN CASE WHEN e2.rr > e.rr THEN 'improved' ELSE 'regressed' END ELSE 'unchanged' END AS verdict FROM e JOIN e2 USING (item_id) UNION ALL SELECT item_id, 'removed' FROM e WHERE item_id NOT IN (SELECT item_id FROM e2)""")
 def eval_compare(spark, sf_dir):

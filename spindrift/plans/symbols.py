@@ -20,7 +20,7 @@ SOURCES = [
     ("kt", "class A@(val x: Int) : B() {\n  fun go(a: Int): Int {\n    return a\n  }\n  fun one@() = 1\n}\nfun top() { }\n", [(2, 4, "go", "function", "A@"), (5, 5, "one@", "function", "A@"), (7, 7, "top", "function", None)]),
     ("py", "import os\n\n@deco\ndef f@(x):\n    return x\n\nclass A@(B):\n    def m(self):\n        pass\n", [(3, 5, "f@", "function", None), (7, 7, "A@", "class", None), (8, 9, "m", "function", "A@")]),
 ]
-_QUOTED = lambda x: "NULL" if x is None else f"replace('{x}', '@', p_partkey)" if isinstance(x, str) else str(x)
+_QUOTED = lambda x: "NULL" if x is None else f"replace('{x}', '@', CAST(p_partkey AS VARCHAR))" if isinstance(x, str) else str(x)
 _ROWS = " UNION ALL ".join(
     f"SELECT 'src/f' || p_partkey || '.{ending}' AS path, {first} AS start_line, {last} AS end_line, {_QUOTED(name)} AS symbol, '{kind}' AS kind, {_QUOTED(parent)} AS parent FROM part WHERE p_partkey % {len(SOURCES)} = {n}"
     for n, (ending, _, found) in enumerate(SOURCES) for first, last, name, kind, parent in found
