@@ -11,7 +11,7 @@ import re
 from bisect import bisect_right
 from typing import NamedTuple
 
-ATOM, CLASS, SCOPE = "atom", "class", "scope"
+ATOM, CLASS, SCOPE, PART = "atom", "class", "scope", "part"
 
 
 class Symbol(NamedTuple):
@@ -128,9 +128,11 @@ def symbols(source: str, language: str) -> list[Symbol]:
             if not inside and not rounds and (found := _declared(header, rules)):
                 first = start + found[0]
                 opened = {"first": first, "name": found[1], "kind": found[2], "role": found[3], "parent": parent, "place": len(out)}
+            if opened and opened["kind"] == "type" and header.rstrip()[-1:] in ("=", "|", "&") and language in BODILESS:
+                opened["role"] = PART  # a type's right side goes on behind its block
             blocks.append((opened, parent, rounds, start))
-            inside += inside > 0 or (opened is not None and opened["role"] == ATOM)
-            parent = opened["name"] or parent if opened and opened["role"] != ATOM else parent
+            inside += inside > 0 or (opened is not None and opened["role"] in (ATOM, PART))
+            parent = opened["name"] or parent if opened and opened["role"] in (CLASS, SCOPE) else parent
             start, rounds = at + 1, 0
         elif mark == "}" and blocks:
             opened, parent, rounds, before = blocks.pop()
@@ -145,7 +147,8 @@ def symbols(source: str, language: str) -> list[Symbol]:
                 elif opened["role"] == CLASS and opened["name"] and last > first:
                     named = line(opened["first"] + text[opened["first"] : at].index(opened["name"]))
                     out.insert(opened["place"], Symbol(first, named, opened["name"], kind, opened["parent"], opened["first"], at + 1))
-            start = before if rounds else at + 1  # a block within round brackets is a part of its header
+            # a block within round brackets is a part of its header
+            start = before if rounds or (opened and opened["role"] == PART) else at + 1
         elif mark == ";" and not rounds:
             bare(at)
             start = at + 1

@@ -163,7 +163,7 @@ def retrieve(store: Store, queries: DataFrame, options: Options) -> dict[str, Da
     final = results.withColumn("reason", F.lit(None).cast("string"))
     if options.expand is not None:
         results = fs.kept(results)
-        extra = fs.kept(graph.expand_chunks(results, store.near) if options.expand == "graph" else symbol_extras(results, store.chunks().select(*columns)))
+        extra = fs.kept(graph.expand_chunks(results, store.near) if options.expand == "graph" else symbol_extras(results, store.chunks().select(*columns), references=store.references))
         final = with_extras(results.withColumn("reason", F.lit(None).cast("string")), extra, store.fetched(extra).select(*columns))
     reached("final", final)
     return stages
@@ -176,11 +176,11 @@ def with_extras(results: DataFrame, extras: DataFrame, texts: DataFrame) -> Data
     return results.unionByName(rows, allowMissingColumns=True)
 
 
-def symbol_extras(results: DataFrame, chunks: DataFrame, top: int = 5, most: int = 12) -> DataFrame:
+def symbol_extras(results: DataFrame, chunks: DataFrame, top: int = 5, most: int = 12, references: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """query_id, rowid, place, score, reason of chunks that belong to the results, found without a graph.
 
     For each of the first results in turn: chunks of the same symbol, of the same parent in its file, near it, of files it imports, and the definitions of what it
-    names most; then uses of the query's words and the results' symbols.  A chunk's first mention counts, most in all.
+    names most; then uses of the query's words and the results' symbols.  A chunk's first mention counts, most in all.  references finds uses of terms (term), by a stored index; else the chunks' words are read.
     """
     results = fs.kept(results)
     first = results.where(F.col("rank") <= top).select("query_id", F.col("rank").alias("r"), "rowid", "score", "symbol", "parent", "path", "start_line", "end_line", "contents")
@@ -215,7 +215,7 @@ def symbol_extras(results: DataFrame, chunks: DataFrame, top: int = 5, most: int
     definitions = shaped(named.join(defined, "name"), r, 4, F.concat(F.lit("definition: "), "name"), FACTORS["definition"], F.col("at"))
     terms = results.groupBy("query_id").agg(F.first("signals").alias("signals"), F.array_compact(F.transform(F.sort_array(F.collect_list(F.struct("rank", "symbol"))), lambda x: x["symbol"])).alias("symbols"), F.max_by("score", -F.col("rank")).alias("top"))
     terms = fs.kept(terms.select("query_id", (F.greatest("top", F.lit(0.01))).alias("score"), F.posexplode(F.array_distinct(F.slice(F.concat("signals", "symbols"), 1, 12))).alias("at", "term")))
-    used = lexical.references_of(chunks, terms.select("term").distinct(), 3)
+    used = lexical.references_of(chunks, terms.select("term").distinct(), 3) if references is None else references(terms.select("term").distinct(), 3)
     uses = shaped(terms.join(used.select("term", F.col("rowid").alias("to"), "n"), "term"), F.lit(top + 1), 5, F.concat(F.lit("usage/caller: "), "term"), FACTORS["usage/caller"], F.col("at"))
     found = same
     for part in (parents, nearby, imports, definitions, uses):

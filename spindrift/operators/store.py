@@ -232,8 +232,11 @@ class Store:
         return self._counting(rows)
 
     def _counting(self, rows: DataFrame) -> DataFrame:
-        """Rows with a rowid that no segment lists as dead."""
-        return rows.join(self.table("dead").select("rowid"), "rowid", "left_anti") if any(s["gone"]["n"] for s in self.manifest["segments"]) else rows
+        """Rows (rowid, segment, ...) that no later segment lists as dead; a later segment may use a rowid again."""
+        if not any(s["gone"]["n"] for s in self.manifest["segments"]):
+            return rows
+        dead = self.table("dead").groupBy("rowid").agg(F.max(self._placed()).alias("_killed"))
+        return rows.withColumn("_placed", self._placed()).join(dead, "rowid", "left").where("_killed is null or _placed >= _killed").drop("_placed", "_killed")
 
     def chunks(self) -> DataFrame:
         return self.live("chunks").drop("segment")
@@ -243,12 +246,12 @@ class Store:
         ids = [r["rowid"] for r in wanted.select("rowid").distinct().limit(MOST_TOLD + 1).collect()]
         rows = self.table("chunks")
         if len(ids) > MOST_TOLD:
-            return rows.join(wanted.select("rowid").distinct(), "rowid", "left_semi").drop("segment")
+            return self._counting(rows.join(wanted.select("rowid").distinct(), "rowid", "left_semi")).drop("segment")
         parts = [self.table("chunks", {s["id"]}).where(F.col("rowid").isin(own)) for s in self.segments("chunks") if (own := [i for i in ids if s["first"] <= i < s["first"] + s["span"]])] if self._moved() else [rows.where(F.col("rowid").isin(ids))]
         out = parts[0] if parts else rows.limit(0)
         for part in parts[1:]:
             out = out.unionAll(part)
-        return out.drop("segment")
+        return self._counting(out).drop("segment")
 
     def edges(self) -> DataFrame:
         return self.live("edges").drop("segment", "path")
@@ -507,10 +510,10 @@ class Store:
         return rows.withColumn("slice", F.when(F.col("slice") < 0, F.col("slice")).otherwise(F.col("slice") + F.floor(self._first() / SLICE))) if moved else rows
 
     def unpacked(self, blocks: DataFrame, *keep: str | Column, lists: tuple[str, ...] = LISTS) -> DataFrame:
-        """A row for each posting of blocks."""
+        """A row for each posting of blocks, with its segment."""
         zipped = F.inline(F.arrays_zip(*lists))
         rows = blocks.where("n > 0").select("segment", *keep, zipped).withColumnRenamed("rowids", "rowid")
-        return (rows.withColumn("rowid", F.col("rowid") + self._first()) if self._moved() else rows).drop("segment")
+        return rows.withColumn("rowid", F.col("rowid") + self._first()) if self._moved() else rows
 
     def _weighed(self, weights: tuple[float, ...], columns: tuple[str, ...]) -> tuple[list[int], list[float], Column, float, float]:
         """Fields and weights that count, which entries of counts these make, rows and the mean length."""
@@ -555,7 +558,7 @@ class Store:
         phrased = words is None or any(r["n_words"] > 1 for r in shapes)
         if top_k is not None and words is not None and not phrased and not prefixed and many > PRUNED_FROM:
             return self._best(words, weighed, bound, columns_read, tf([F.col(f"f{k}") for k in taken]), length, part, top_k)
-        read = self.unpacked(blocks, F.col("term").alias("word"), lists=columns_read).select("word", "rowid", tf([F.col(f"f{k}") for k in taken]).alias("tf"), length).where("tf > 0")
+        read = self.unpacked(blocks, F.col("term").alias("word"), lists=columns_read).select("word", "rowid", "segment", tf([F.col(f"f{k}") for k in taken]).alias("tf"), length).where("tf > 0")
         scored = self._counting(read).join(weighed, "word").select("query_id", "rowid", (F.col("idf") * part).alias("part"))
         if phrased:
             scored = scored.unionAll(self._phrases(asked.where("n_words > 1"), words, taken, tf, length).select("query_id", "rowid", (idf_of(F.col("n_rows")) * part).alias("part")))
@@ -579,6 +582,28 @@ class Store:
         rows = found.groupBy("term").agg(F.countDistinct("rowid").alias("n_rows"))
         return found.join(rows, "term")
 
+    def references(self, terms: DataFrame, limit: int = 8) -> DataFrame:
+        """term, rowid, path, n: the first rows whose contents hold each term as a whole word in its own case.
+
+        The stored places tell the rows in which the term's words follow one another, whatever their case; only the chunks of these are
+        read to check the case.  As words are the index's words, a term beside a letter beyond ASCII is part of a longer word.
+        """
+        asked = terms.select("term").distinct().withColumn("words", X.tokens(F.col("term"))).where(F.size("words") > 0)
+        asked = asked.select("term", F.size("words").alias("n_words"), F.posexplode("words").alias("k", "word"))
+        if self.manifest["stemmed"]:
+            asked = asked.withColumn("word", S.stemmed("word"))
+        told = [r["word"] for r in asked.select("word").distinct().limit(MOST_TOLD + 1).collect()]
+        blocks = self.postings(told if len(told) <= MOST_TOLD else None).where("m2 > 0")
+        hits = self.unpacked(blocks, F.col("term").alias("word"), lists=("rowids", "p2")).where(F.size("p2") > 0).join(asked, "word")
+        single = hits.where("n_words = 1").select("term", "rowid", "segment")
+        parts = hits.where("n_words > 1").groupBy("term", "n_words", "rowid", "segment").agg(F.collect_list(F.transform("p2", lambda x: x - F.col("k"))).alias("parts")).where("size(parts) = n_words")
+        common = F.aggregate(F.slice("parts", 2, 1 << 20), F.col("parts")[0], lambda s, x: F.array_intersect(s, x))
+        found = fs.kept(self._counting(single.unionAll(parts.where(F.size(common) > 0).select("term", "rowid", "segment"))).select("term", "rowid"))
+        words = F.regexp_extract_all("contents", F.lit("[A-Za-z0-9_]+"), F.lit(0))
+        checked = found.join(self.fetched(found).select("rowid", "path", words.alias("held")), "rowid").where(F.array_contains("held", F.col("term")))
+        nth = F.row_number().over(Window.partitionBy("term").orderBy("rowid"))
+        return checked.select("term", "rowid", "path", nth.alias("n")).where(F.col("n") <= limit)
+
     def _best(self, words: list[str], weighed: DataFrame, bound: Column, lists: tuple[str, ...], tf: Column, length: Column, part: Column, top_k: int) -> DataFrame:
         """query_id, rowid, score of the rows that may be among each query's best top_k; their scores are whole.
 
@@ -588,7 +613,7 @@ class Store:
         """
         total = weighed.groupBy("query_id").agg(F.sum(F.col("idf") * F.col("bound")).alias("total"))
         heads = self.postings(words).where("n > 0").select(F.col("term").alias("word"), "segment", "slice", "n", bound.alias("most"))
-        opened = lambda blocks, *keep: self.unpacked(blocks, *keep, lists=lists).select(*[k for k in keep if isinstance(k, str)], "rowid", tf.alias("tf"), length).where("tf > 0")
+        opened = lambda blocks, *keep: self.unpacked(blocks, *keep, lists=lists).select(*keep, "rowid", "segment", tf.alias("tf"), length).where("tf > 0")
         full = self.postings(words).withColumnRenamed("term", "word")
         nth = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("most"), "slice"))
         seeds = heads.withColumn("nth", nth).where(F.col("nth") <= SEED_BLOCKS).select("word", "segment", "slice").distinct()
@@ -606,7 +631,7 @@ class Store:
         told = [r["slice"] for r in slices.select("slice").distinct().limit(MOST_TOLD + 1).collect()]
         needed = weighed.join(slices, "query_id").select("word", "slice").distinct()
         blocks = (full if len(told) > MOST_TOLD else self.postings(words, told).withColumnRenamed("term", "word")).join(needed, ["word", "slice"], "left_semi")
-        return opened(blocks, "word").join(weighed, "word").join(found, ["query_id", "rowid"], "left_semi").groupBy("query_id", "rowid").agg(F.sum(F.col("idf") * part).alias("score"))
+        return self._counting(opened(blocks, "word")).join(weighed, "word").join(found, ["query_id", "rowid"], "left_semi").groupBy("query_id", "rowid").agg(F.sum(F.col("idf") * part).alias("score"))
 
     def search(self, queries: DataFrame, top_k: int, weights: tuple[float, ...] = lexical.WEIGHTS, columns: tuple[str, ...] = FIELDS) -> DataFrame:
         """query_id, rowid, score, rank: each query's best rows."""

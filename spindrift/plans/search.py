@@ -69,7 +69,7 @@ def path_prefix_search(spark, sf_dir):
 
 @query("SELECT doc_id AS rowid, source || '/' || doc_id AS path FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])token([^A-Za-z0-9_]|$)') ORDER BY doc_id LIMIT 8")
 def phrase_reference_search(spark, sf_dir):
-    return lexical.references(chunks(spark, sf_dir), "token").select("rowid", "path")
+    return corpus.stored(spark, sf_dir).references(spark.createDataFrame([("token",)], "term string")).orderBy("rowid").select("rowid", "path")
 
 
 def probe_vectors(spark, sf_dir):

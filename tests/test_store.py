@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import graph
+from spindrift.operators import graph, lexical
 from spindrift.operators import store as stores
 from spindrift.operators.retrieval import Options, hashing_embedder, overlap_reranker, retrieve
 from spindrift.operators.store import ConcurrentChange, Store
@@ -214,3 +214,18 @@ def test_search_with_editor_recency_and_expansion(spark, tmp_path):
     assert [(r["path"], r["reason"]) for r in final] == [("a.ts", None), ("c.ts", "calls c.ts:close")]
     other = retrieve(store, asked.select("query_id", "text"), Options(top_k=1, expand="symbols"))["final"].orderBy("rank").collect()
     assert other[0]["path"] == "a.ts" and all(r["reason"] for r in other[1:])
+
+
+@pytest.mark.parametrize("stemmed", (False, True))
+def test_references_by_stored_places(spark, tmp_path, stemmed):
+    """Equal to a search of all texts by expression; only chunks that hold the words in a row are read."""
+    texts = ["call open_file(x)", "open_files()", "Open_File", "open file", "x.open_file", "openFile", "_open_file", "run; run_all", "RUN", "running run", "open_file open_file", "nothing"]
+    rows = [(k, f"f{k}", t) for k, t in enumerate(texts)]
+    chunks = frame(spark, rows, "rowid long, path string, contents string")
+    store = Store(spark, str(tmp_path / "s"), stemmed=stemmed)
+    store.add(chunks.where("rowid < 6"))
+    store.add(chunks.where("rowid >= 5"))
+    terms = ["open_file", "run", "absent", "openFile", "running"]
+    got = {(r["term"], r["rowid"]) for r in store.references(frame(spark, [(t,) for t in terms], "term string")).collect()}
+    assert got == {(t, r["rowid"]) for t in terms for r in lexical.references(chunks, t, 100).collect()}
+    assert {r["n"] for r in store.references(frame(spark, [("open_file",)], "term string"), 2).collect()} == {1, 2}
