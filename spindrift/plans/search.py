@@ -95,7 +95,7 @@ _KNN_IN = _KNN.format(where="AND b.path LIKE 'label3/%'")
 
 @query(f"WITH {_KNN_IN} SELECT query_id, rowid, CAST(rank AS INT) AS rank, round(distance, 5) AS distance FROM knn WHERE rank <= 5")
 def knn_prefiltered(spark, sf_dir):
-    return vectors.knn(stored_vectors(spark, sf_dir), probe_vectors(spark, sf_dir), 5, "label3/").select("query_id", "rowid", "rank", F.round("distance", 5).alias("distance"))
+    return vectors.knn(stored_vectors(spark, sf_dir), probe_vectors(spark, sf_dir).withColumn("path_prefix", F.lit("label3/")), 5).select("query_id", "rowid", "rank", F.round("distance", 5).alias("distance"))
 
 
 def both_legs(spark, sf_dir):
