@@ -214,23 +214,39 @@ def parsed_log(logs: DataFrame) -> DataFrame:
 
 
 class AuditSink:
-    """Appends to a log of JSON lines whose records are chained by hashes; goes on where the log ends.  One writer only: the driver."""
+    """Appends to a log of JSON lines whose records are chained by hashes; goes on behind the last whole one, on a line of its own.  One writer only: the driver, on its own disk."""
 
     def __init__(self, path: str, most_chars: int = 2000):
         self.path, self.most_chars, self.seq, self.before, self.failures = path, most_chars, 0, "", 0
+        self.torn = False  # does a record end the log that was not written whole?
         try:
             os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-            with open(path, "rb") as file:
-                file.seek(max(0, os.path.getsize(path) - (1 << 16)))
-                last = [line for line in file.read().decode(errors="replace").split("\n") if line.strip()][-1:]
-            for line in last:
-                record = json.loads(line)
-                self.seq, self.before = int(record["seq"]), str(record["hash"])
+            self._resume()
         except FileNotFoundError:
             pass
-        except (OSError, ValueError, KeyError):
+        except OSError:
             self.failures += 1
 
+    def _resume(self) -> None:
+        """Finds the last whole record, reading backwards as far as it takes."""
+        size, window = os.path.getsize(self.path), 1 << 16
+        while True:
+            with open(self.path, "rb") as file:
+                file.seek(max(0, size - window))
+                text = file.read().decode(errors="replace")
+            self.torn = bool(text) and not text.endswith("\n")
+            for line in reversed(text.split("\n")):
+                try:
+                    record = json.loads(line)
+                    self.seq, self.before = int(record["seq"]), str(record["hash"])
+                    return
+                except (ValueError, KeyError, TypeError):
+                    continue
+            if window >= size:
+                self.failures += bool(text.strip())
+                return
+            window *= 4
+
     def log(self, kind: str, ts: str, **data) -> dict | None:
         """Writes one record; None, and a failure counted, where that is not possible."""
         cut = lambda v: v[: self.most_chars] + f"…[+{len(v) - self.most_chars} chars]" if isinstance(v, str) and len(v) > self.most_chars else v
@@ -239,7 +255,8 @@ class AuditSink:
         record["hash"] = hashlib.sha256("|".join((str(record["seq"]), ts, kind, text, self.before)).encode()).hexdigest()
         try:
             with open(self.path, "a", encoding="utf-8") as file:
-                file.write(json.dumps(record, ensure_ascii=False) + "\n")
+                file.write(("\n" if self.torn else "") + json.dumps(record, ensure_ascii=False) + "\n")
+            self.torn = False
         except OSError:
             self.failures += 1
             return None

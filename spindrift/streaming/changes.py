@@ -28,15 +28,15 @@ def keep_index(changes: DataFrame, apply: Callable[[DataFrame, int], None], chec
 
 
 def debounced(changes: DataFrame, quiet: str = "1500 milliseconds", late: str = "1 minute") -> DataFrame:
-    """path, began, ended, n, op of runs of changes without a longer pause; final once the watermark has passed."""
+    """path, began, ended, n, op, seq of runs of changes without a longer pause, each event putting the end off; final once the watermark has passed."""
     return (
         changes.withWatermark("ts", late).groupBy("path", F.session_window("ts", quiet).alias("w"))
-        .agg(F.count(F.lit(1)).alias("n"), F.max_by("op", "seq").alias("op")).select("path", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n", "op")
+        .agg(F.count(F.lit(1)).alias("n"), F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq")).select("path", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n", "op", "seq")
     )
 
 
-def live_index(store, scanned: DataFrame, changes: DataFrame, read: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame], checkpoint: str, every: str = "1500 milliseconds"):
-    """Brings a store up to a scan, then keeps it so from a change stream.
+def live_index(store, scanned: DataFrame, changes: DataFrame, read: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame], checkpoint: str, every: str = "1500 milliseconds", quiet: str | None = None, late: str = "1 minute"):
+    """Brings a store up to a scan, then keeps it so from a change stream; with quiet, from changes that no other of their path has followed for so long.
 
     read gives (path, contents, hash) of paths as they are now; a path that it no longer gives, unreadable or newly excluded, is taken out in the same batch.
     A batch that is repeated after a failure puts the same paths again.
@@ -50,14 +50,14 @@ def live_index(store, scanned: DataFrame, changes: DataFrame, read: Callable[[Da
         store.add(cut(files), files.select("path", "hash"), removed=gone)
         files.unpersist(), last.unpersist()
 
-    return keep_index(changes, apply, checkpoint, every)
+    return keep_index(changes if quiet is None else debounced(changes, quiet, late), apply, checkpoint, every)
 
 
-def folded(events: DataFrame, most_chars: int = 1 << 20) -> DataFrame:
+def folded(events: DataFrame) -> DataFrame:
     """session, cursor, events, text: each session's state after every batch from events (session, seq, type, text).
 
-    Events at or below the session's cursor are replays and change nothing; text pieces append, and of what
-    grows beyond most_chars the newest is kept in state, since a batch's rows tell the rest.
+    Events at or below the session's cursor are replays and change nothing; text pieces append.  A session's state is its whole text,
+    as long as a session of its kind may be.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -66,7 +66,7 @@ def folded(events: DataFrame, most_chars: int = 1 << 20) -> DataFrame:
         fresh = rows[rows["seq"] > cursor]
         if len(fresh):
             cursor, count = int(fresh["seq"].iloc[-1]), count + len(fresh)
-            text = (text + "".join(fresh.loc[fresh["type"] == "text", "text"].fillna("")))[-most_chars:]
+            text += "".join(fresh.loc[fresh["type"] == "text", "text"].fillna(""))
         state.update((int(cursor), int(count), text))
         yield pd.DataFrame([(key[0], cursor, count, text)], columns=["session", "cursor", "events", "text"])
 

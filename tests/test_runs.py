@@ -1,5 +1,7 @@
 """Embedding with a cache and in windows, evaluation runs, failing rerankers, and diffs of long texts."""
 
+import json
+import os
 import random
 import resource
 import time
@@ -10,10 +12,12 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.operators import diff, evaluation, retrieval
+from spindrift.operators import diff, evaluation, logs, retrieval
 from spindrift.operators.cache import EmbedCache
 from spindrift.operators.retrieval import Options, retrieve
 from spindrift.operators.store import Store
+from spindrift.sources import files
+from spindrift.streaming import changes
 
 
 def frame(spark, rows, schema):
@@ -124,3 +128,38 @@ def test_long_diffs_are_shortest_in_linear_space(monkeypatch):
     assert applied(lines, steps) == (True, changed) and sum(s != " " for s, _ in steps) < 1500
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000 and time.perf_counter() - began < 60
     assert np.array_equal(diff.best_row(np.array([1, 2, 3]), np.array([2, 3, 1])), [0, 1, 2, 2])
+
+
+def test_audit_sink_goes_on_behind_a_torn_line(spark, tmp_path):
+    path = str(tmp_path / "audit.jsonl")
+    files.AuditSink(path).log("run-start", "2024-01-01T00:00:00Z", note="n" * 1000)
+    with open(path, "a") as file:
+        file.write('{"seq": 2, "ts": "' + "x" * 200_000)
+    sink = files.AuditSink(path)
+    assert sink.seq == 1 and sink.log("run-end", "2024-01-01T00:00:01Z")["seq"] == 2
+    assert files.AuditSink(path).log("tool-call", "2024-01-01T00:00:02Z")["seq"] == 3
+    log = files.audit_log(spark, path)
+    assert [r["seq"] for r in log.orderBy("seq").collect()] == [1, 2, 3] and logs.chained_breaks(log).count() == 0
+
+
+def test_a_live_index_waits_until_a_path_is_quiet(spark, tmp_path):
+    """Stated times: a's changes follow one another, b's is alone; each path is flushed once, when the watermark has passed its pause."""
+    store = Store(spark, str(tmp_path / "s"), buckets=1)
+    (tmp_path / "in").mkdir()
+    state = lambda rows: spark.createDataFrame(rows, "path string, contents string").withColumn("hash", F.sha2("contents", 256))
+    batches = [[(1, "a", "change", "00:00:00"), (2, "a", "unlink", "00:00:01"), (3, "b", "change", "00:00:01")], [(4, "a", "change", "00:00:02")], [(5, "z", "change", "00:05:00")], [(6, "z", "change", "00:09:00")]]
+    for n, rows in enumerate(batches):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps({"seq": s, "path": p, "op": o, "ts": f"2024-01-01T{t}Z"}) for s, p, o, t in rows))
+        os.utime(tmp_path / "in" / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+    flushed = []
+
+    def read(wanted):
+        paths = sorted(r["path"] for r in wanted.collect())
+        flushed.append(paths)
+        return state([(p, f"{p} now") for p in paths])
+
+    query = changes.live_index(store, state([("a", "first")]), changes.change_stream(spark, str(tmp_path / "in"), 1), read, lambda f: f.select("path", "contents"), str(tmp_path / "c"), quiet="1500 milliseconds", late="10 seconds").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    assert [p for paths in flushed for p in paths if p != "z"] == ["a", "b"] and ["a", "b"] in flushed
+    fresh = Store(spark, str(tmp_path / "s"))
+    assert {r["path"]: r["contents"] for r in fresh.chunks().collect()}["a"] == "a now"
