@@ -194,14 +194,14 @@ class Store:
         """Rows that count, and tokens of their fields."""
         return {k: sum(s["sums"][k] - s["gone"][k] for s in self.manifest["segments"]) for k in ("n", "n0", "n1", "n2")}
 
-    def table(self, name: str, wanted: set[str] | None = None) -> DataFrame:
-        """A table's rows in the segments in force, with the segment's id; rowids as the index counts them."""
+    def table(self, name: str, wanted: set[str] | None = None, own_rowids: bool = False) -> DataFrame:
+        """A table's rows in the segments in force, with the segment's id; rowids as the index counts them, or each segment's own."""
         paths = [f"{self.root}/{name}/segment={s['id']}" for s in self.segments(name) if wanted is None or s["id"] in wanted]
         schema = f"{TABLES[name]}, segment string"
         if not paths:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*paths)
-        return rows.withColumn("rowid", F.col("rowid") + self._first()) if name in ("chunks", "lengths", "vectors") and self._moved() else rows
+        return rows.withColumn("rowid", F.col("rowid") + self._first()) if name in ("chunks", "lengths", "vectors") and self._moved() and not own_rowids else rows
 
     def _moved(self) -> bool:
         return any(s["first"] for s in self.manifest["segments"])
@@ -247,7 +247,11 @@ class Store:
         rows = self.table("chunks")
         if len(ids) > MOST_TOLD:
             return self._counting(rows.join(wanted.select("rowid").distinct(), "rowid", "left_semi")).drop("segment")
-        parts = [self.table("chunks", {s["id"]}).where(F.col("rowid").isin(own)) for s in self.segments("chunks") if (own := [i for i in ids if s["first"] <= i < s["first"] + s["span"]])] if self._moved() else [rows.where(F.col("rowid").isin(ids))]
+        parts = []
+        for s in self.segments("chunks"):  # told as the segment's own rowids, so that its files' statistics apply
+            if own := [i - s["first"] for i in ids if not s["first"] or s["first"] <= i < s["first"] + s["span"]]:
+                found = self.table("chunks", {s["id"]}, own_rowids=True).where(F.col("rowid").isin(own))
+                parts.append(found.withColumn("rowid", F.col("rowid") + s["first"]) if s["first"] else found)
         out = parts[0] if parts else rows.limit(0)
         for part in parts[1:]:
             out = out.unionAll(part)

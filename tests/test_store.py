@@ -171,7 +171,13 @@ def test_fetched_chunks_come_from_their_segments(spark, tmp_path):
     store.add(frame(spark, [(f"b{k}", f"y {k}") for k in range(50)]))
     ids = {r["path"]: r["rowid"] for r in store.chunks().collect()}
     wanted = frame(spark, [(ids[p],) for p in ("a7", "b3", "b49")], "rowid long")
-    assert {r["path"] for r in store.fetched(wanted).collect()} == {"a7", "b3", "b49"}
+    found = store.fetched(wanted)
+    assert {r["path"]: r["rowid"] for r in found.collect()} == {p: ids[p] for p in ("a7", "b3", "b49")}
+    assert found._jdf.queryExecution().executedPlan().toString().count("PushedFilters: [In(rowid") == 2
+    given = Store(spark, str(tmp_path / "t"))
+    given.add(frame(spark, [(-5, "n", "z")], "rowid long, path string, contents string"))
+    given.add(frame(spark, [("m", "y")]))
+    assert {r["path"] for r in given.fetched(given.chunks().select("rowid")).collect()} == {"n", "m"}
 
 
 def test_expansion_reads_a_stored_adjacency(spark, tmp_path, monkeypatch):
