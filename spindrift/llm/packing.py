@@ -10,6 +10,7 @@ id is moved.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ BLOCK_DOCS, MOST_RANGES = 1024, 4096
 #: A block's rows are packed in runs of at most so many tokens, which bounds memory; a sequence ends with its run.
 RUN_TOKENS = 8_000_000
 END_ID = 1
+#: Before white space behind . ! or ?, and before a line feed.
+SENTENCE_END = re.compile(r"(?<=[.!?])(?= )|(?=\n)")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -116,6 +119,13 @@ def choose_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW, seque
     return np.array(ends[::-1], np.int64)
 
 
+def with_specials(text: str, tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a text that holds special strings, and the numbers of ids that begin before its sentence ends."""
+    coded = tokenizer.encode(text, add_special_tokens=False)
+    begins = np.maximum.accumulate(np.array([a for a, _ in coded.offsets], np.int64))
+    return np.array(coded.ids, np.uint32), np.searchsorted(begins, [m.start() for m in SENTENCE_END.finditer(text)])
+
+
 def documents_ids(texts: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text its ids (uint32) and, ascending, the numbers of ids up to its sentence ends."""
     memo = bpe_transducer.codes(path)
@@ -126,7 +136,7 @@ def documents_ids(texts: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.n
         for row, text in enumerate(texts.slice(begin, end - begin).to_pylist()):
             text = text or ""
             if "<|" in text and special.search(text):
-                odd[row] = np.array(memo.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                odd[row] = with_specials(text, memo.tokenizer)
                 text = ""
             plain.append(bpe_transducer.normal(text).encode())
         raw = b"\n".join(plain)
@@ -152,7 +162,7 @@ def documents_ids(texts: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.n
         stop_rows = np.searchsorted(np.flatnonzero(stop), rows)
         for row in range(end - begin):
             if row in odd:
-                yield odd[row], nothing
+                yield odd[row]
             else:
                 a, b = tokens[row], tokens[row + 1]
                 yield ids[a:b], stops[stop_rows[row] : stop_rows[row + 1]] - a

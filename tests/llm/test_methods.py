@@ -2,6 +2,7 @@
 
 import random
 import re
+import string
 import struct
 import time
 import zlib
@@ -403,6 +404,74 @@ def test_long_secrets_are_whole(spark, model):
     assert secrets.redact(row).first()["text"] == f"the note says AWS_SESSION_TOKEN={secrets.MASK} and so on"
 
 
+def test_special_strings_cost_no_sentence_ends():
+    """A special string before, amid or behind 80 sentences leaves their ends; ids and cut places are those of the parts."""
+    text = " ".join(f"Sentence number {n} tells of éclairs!" for n in range(80)) + "\nlast line"
+    (ids, stops), = packing.documents_ids(pa.array([text]), PATH)
+    special = "<|endoftext|>"
+    for odd, shift in ((special + text, 1), (text + special, 0)):
+        (more, found), = packing.documents_ids(pa.array([odd]), PATH)
+        assert more.tolist() == tokenizer().encode(odd, add_special_tokens=False).ids
+        assert len(more) == len(ids) + 1 and (found - shift).tolist() == [k for k in stops.tolist() if k < len(ids)]
+    whole = packing.cut_record(ids, stops)
+    assert len(whole[1]) // 8 >= 80
+    half = text.index("Sentence number 40")
+    (more, found), = packing.documents_ids(pa.array([text[:half] + special + text[half:]]), PATH)
+    assert len(set(found.tolist())) == len({k for k in stops.tolist() if k < len(ids)})
+
+
+def masked(text, model):
+    for a, b, *_ in reversed(secrets.scan([text], ["deploy/env"], model)[0]):
+        text = text[:a] + secrets.MASK + text[b:]
+    return text
+
+
+def test_no_character_of_a_secret_is_left(model):
+    """Random values with every punctuation character at each place: quoted to their quote, unquoted to white space."""
+    rng = random.Random(5)
+    letters, left, told = string.ascii_letters + string.digits, [], 0
+    for mark in string.punctuation:
+        for place in range(1, 14):
+            value = "".join(rng.choice(letters) for _ in range(14))
+            value = value[:place] + mark + value[place:]
+            quoted = value.replace("\\", "\\\\").replace('"', '\\"')
+            for head, body, tail in (('db_password = "', quoted, '", and so on'), ("the secret: ", value, " and so on")):
+                if head.endswith(" ") and mark in "\"'`<>&":
+                    continue
+                out = masked(head + body + tail, model)
+                told += secrets.MASK in out
+                if secrets.MASK in out and out != head + secrets.MASK + tail:
+                    left.append((head + body + tail, out))
+    assert left == [] and told > 0.95 * 2 * 13 * (len(string.punctuation) - 3)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('db_password = "Tr0ub4dor,&3xyZ!9"', 'db_password = "[SECRET]"'),
+        ('password: "k9(Lm)2xQ7vB4nT8"', 'password: "[SECRET]"'),
+        ('passphrase = "correct horse battery staple 42"', 'passphrase = "[SECRET]"'),
+        ("password = qwertyuiop", "password = [SECRET]"),
+        ('{\\"password\\": \\"a,b;c(9)Xq2\\"}', '{\\"password\\": \\"[SECRET]\\"}'),
+        ('password = """abc)(98Xq,,"""', 'password = """[SECRET]"""'),
+        ("(password=abcD3fgh9x), user", "(password=[SECRET]), user"),
+        ("password=abcD3fgh!x,user=bob", "password=[SECRET],user=bob"),
+        ("-----BEGIN PGP PRIVATE KEY BLOCK-----\nlQOYBF\nabcd1234567890abcdefgh\n-----END PGP PRIVATE KEY BLOCK----- rest", "[SECRET] rest"),
+        ("author = 'Jonathan Smith'", "author = 'Jonathan Smith'"),
+        ("token = get_token(request, 5)", "token = get_token(request, 5)"),
+        ('password: "Please enter your password"', 'password: "Please enter your password"'),
+        ('token: "Invalid token for the user"', 'token: "Invalid token for the user"'),
+    ],
+)
+def test_values_of_secret_names_are_whole(model, text, want):
+    assert masked(text, model) == want
+
+
+def test_candidates_take_time_in_the_length():
+    for make in ("token=)", 'token="', "token='\\'", 'token:"""', 'password = \\"', "=====", "token=((("):
+        assert secrets.candidates(make * 30_000) is not None
+
+
 def test_secrets_within_long_runs_are_found_still(model):
     key, plain = "ghp_" + "a1B2c3D4e5F6g7H8i9J0" * 2, "documents/section/page/"
     text = f"see url=https://www.server.com/{plain * 20}?next=1&access_token={key}&page=2 for it"
