@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
-from spindrift.operators import diff, ledger, logs, memory, policy
+from spindrift.operators import diff, ledger, logs, memory, policy, review
 from spindrift.plans.registry import query, table
 from spindrift.plans.retrieval import _CHUNKS, line_chunks
 
@@ -86,16 +86,36 @@ def text_replacements(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.occurrences(text, "an").alias("times"), X.replaced_once(text, "an", "<").alias("once"))
 
 
-@query("""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, CAST(1 + CASE WHEN len(l) > 2 THEN 1 ELSE 0 END AS BIGINT) AS added, CAST(CASE WHEN len(l) > 2 THEN 1 ELSE 0 END AS BIGINT) AS removed FROM l WHERE doc_id % 3 = 0 AND text <> ''""")
+def _edited():
+    """documents.text with another third line and a line more."""
+    changed = F.transform(F.split("text", "\n"), lambda x, n: F.when(n == 2, F.lit("¤ another line")).otherwise(x))
+    return F.array_join(F.concat(changed, F.array(F.lit("¤ one more"))), "\n")
+
+
+@query("""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, CAST(1 + CASE WHEN len(l) > 2 THEN 1 ELSE 0 END AS BIGINT) AS added, CAST(CASE WHEN len(l) > 2 THEN 1 ELSE 0 END AS BIGINT) AS removed FROM l WHERE text <> ''""")
 def diff_stat(spark, sf_dir):
     """Diffs of documents whose third line is changed and that gain a line, counted."""
-    lines = F.split("text", "\n")
-    changed = F.transform(lines, lambda x, n: F.when(n == 2, F.lit("¤ another line")).otherwise(x))
-    new = F.array_join(F.concat(changed, F.array(F.lit("¤ one more"))), "\n")
-    rows = table(spark, sf_dir, "documents").where("doc_id % 3 = 0 and text != ''").select("doc_id", X.diff_stat(diff.unified_diff(F.col("text"), new)).alias("s"))
+    new = _edited()
+    rows = table(spark, sf_dir, "documents").where("text != ''").select("doc_id", X.diff_stat(diff.unified_diff(F.col("text"), new)).alias("s"))
     return rows.select("doc_id", "s.added", "s.removed")
 
 
+@query(f"""WITH l AS (SELECT doc_id, source || '/' || doc_id AS path, len(string_split(text, chr(10))) AS n FROM documents WHERE text <> ''), h AS (
+SELECT doc_id, path, 'L' || (n + 1) || ': ¤ one more' AS last, CASE WHEN n > 2 THEN '  @@ +1' || chr(10) || 'L3: ¤ another line' || chr(10) ELSE '  @@ +1' || chr(10) END || CASE WHEN n < 9 THEN '' ELSE '  @@ +' || (n - 2) || chr(10) END AS head FROM l)
+SELECT doc_id, concat_ws(chr(10), '{review.ASK}', '', '{review.ADVICE}', CASE WHEN doc_id % 2 = 0 THEN chr(10) || '{review.NEW_FILES}' || path || '.new, ' || path || '.test' END, CASE WHEN doc_id % 3 = 0 THEN chr(10) || '{review.DELETED_FILES}' || path || '.old' END, '',
+'File: ' || path || chr(10) || head || last, 'File: ' || path || '.long' || chr(10) || '  @@ +7' || chr(10) || (SELECT string_agg('L' || (7 + k) || ': ' || k, chr(10) ORDER BY k) FROM range(40) AS r(k))) AS review FROM h""")
+def review_queries(spark, sf_dir):
+    """Each document's edit, a file of 60 added lines and one that only loses a line, as a review with new and deleted files."""
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    named = lambda end: F.concat(F.lit("--- a/"), path, F.lit(f"{end}\n+++ b/"), path, F.lit(f"{end}\n"))
+    edit = F.concat(named(""), F.substring(diff.unified_diff(F.col("text"), _edited()), len("--- a\n+++ b\n") + 1, (1 << 31) - 1))
+    more = F.concat(named(".long"), F.lit("@@ -6,1 +7,60 @@\n-gone\n" + "".join(f"+{k}\n" for k in range(60))), named(".short"), F.lit("@@ -1,2 +1,1 @@\n here\n-gone\n"))
+    new = F.when(F.col("doc_id") % 2 == 0, F.array(F.concat(path, F.lit(".new")), F.concat(path, F.lit(".test"))))
+    old = F.when(F.col("doc_id") % 3 == 0, F.array(F.concat(path, F.lit(".old"))))
+    whole = F.concat(edit, F.when(edit.endswith("\n"), "").otherwise("\n"), more)
+    return table(spark, sf_dir, "documents").where("text != ''").select("doc_id", review.review_query(whole, new, old).alias("review"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN 'src/p' || p_partkey || '.ts' END AS path, CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN 7 END AS start_line, CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN 9 END AS end_line FROM part")
 def citations_found(spark, sf_dir):
     key = F.col("p_partkey") % 3

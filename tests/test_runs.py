@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 import resource
 import time
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.operators import diff, evaluation, logs, retrieval
+from spindrift.operators import diff, evaluation, logs, retrieval, review
 from spindrift.operators.cache import EmbedCache
 from spindrift.operators.retrieval import Options, retrieve
 from spindrift.operators.store import Store
@@ -163,3 +164,39 @@ def test_a_live_index_waits_until_a_path_is_quiet(spark, tmp_path):
     assert [p for paths in flushed for p in paths if p != "z"] == ["a", "b"] and ["a", "b"] in flushed
     fresh = Store(spark, str(tmp_path / "s"))
     assert {r["path"]: r["contents"] for r in fresh.chunks().collect()}["a"] == "a now"
+
+
+def folded(text):
+    """Files of a unified diff with their hunks' added lines, line by line."""
+    files, number = [], 0
+    for line in (text or "").split("\n"):
+        if re.match(r"\+\+\+ b/.", line):
+            files.append((line[6:], []))
+        elif files and (head := re.match(r"@@ -\d+(?:,\d+)? \+(\d+)", line)):
+            number = int(head[1])
+            files[-1][1].append((number, []))
+        elif files and files[-1][1] and not line.startswith("-"):
+            if line.startswith("+"):
+                files[-1][1][-1][1].append(f"L{number}: {line[1:]}")
+            number += 1
+    return [(path, hunks) for path, hunks in files if any(lines for _, lines in hunks)]
+
+
+def test_changed_files_equal_a_reader_line_by_line(spark):
+    rng = random.Random(3)
+    parts = ["+++ b/src/a.ts", "--- a/src/a.ts", "+++ b/é x.py", "+++ c/odd", "@@ -1,2 +3,4 @@ head", "@@ -7 +9 @@", "@@ broken", "+added", "+", "-gone", " same", "", "diff --git a/x b/x", "\\ No newline at end of file", "+++ b/", "+\ttab\r", "--- gone dashes"]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(400)] + [None, "", "no diff", "+++ b/only/head", "+++ b/x\n@@ -1 +1 @@", "@@ -1 +1 @@\n+early"]
+    got = frame(spark, list(enumerate(texts)), "n int, diff string").select("n", review.changed_files(F.col("diff")).alias("files")).collect()
+    assert len(got) == len(texts) and sum(len(r["files"]) for r in got) > 100
+    for r in got:
+        assert [(f["path"], [(h["new_start"], list(h["lines"])) for h in f["hunks"]]) for f in r["files"]] == folded(texts[r["n"]]), texts[r["n"]]
+
+
+def test_review_queries_show_so_much_of_a_diff(spark):
+    text = "--- a/big\n+++ b/big\n@@ -0,0 +5,50 @@\n" + "".join(f"+row {n}\n" for n in range(50)) + "+++ b/wide\n@@ -1 +1 @@\n+" + "é" * 9000 + "\n"
+    rows = frame(spark, [(text, ["new.ts"], []), (None, None, None)], "diff string, new array<string>, old array<string>")
+    full, none = [r["q"] for r in rows.select(review.review_query(F.col("diff"), F.col("new"), F.col("old")).alias("q")).collect()]
+    assert "L44: row 39\n" in full and "row 40" not in full and "Deleted files" not in full and full.count("New files (not shown below — read them): new.ts") == 1
+    assert len(full[full.index("File: wide") :]) == 6000 and none == f"{review.ASK}\n\n{review.ADVICE}\n"
+    short = rows.select(review.review_query(F.col("diff"), chars_a_file=100).alias("q")).first()["q"]
+    assert "File: big" in short and len(short[short.index("File: wide") :]) == 100
