@@ -235,3 +235,14 @@ def test_references_by_stored_places(spark, tmp_path, stemmed):
     got = {(r["term"], r["rowid"]) for r in store.references(frame(spark, [(t,) for t in terms], "term string")).collect()}
     assert got == {(t, r["rowid"]) for t in terms for r in lexical.references(chunks, t, 100).collect()}
     assert {r["n"] for r in store.references(frame(spark, [("open_file",)], "term string"), 2).collect()} == {1, 2}
+
+
+def test_rows_in_any_order_make_one_block_a_term_and_slice(spark, tmp_path):
+    """Rows that come in many parts, each of which holds some of every slice."""
+    rows = [(k, f"f{k}", f"common own{k} words common") for k in range(4096)]
+    store = Store(spark, str(tmp_path / "s"))
+    store.add(frame(spark, rows, "rowid long, path string, contents string").repartition(24, "path"))
+    blocks = store.postings(["common"])
+    assert sorted((r["slice"], r["n"]) for r in blocks.collect()) == [(k, 1024) for k in range(4)]
+    places = store.unpacked(blocks, "term").select("rowid", "f2", "p2").collect()
+    assert len(places) == 4096 and all((r["f2"], r["p2"]) == (2, [0, 3]) for r in places)
