@@ -221,3 +221,17 @@ def test_near_makes_no_pairs_of_a_long_file(spark):
     for r in found.orderBy("anchor", "rank").collect():
         got.setdefault(r["anchor"], []).append((r["gap"], r["rowid"]))
     assert got == want
+
+
+def test_copies_of_notes_are_compared_once(spark, monkeypatch):
+    """200 copies of each note on either side: as many sets are compared as there are different ones that the other side has not."""
+    from spindrift.operators import memory
+
+    known = ["the build uses gradle and kotlin today", "never deploy on fridays please"]
+    new = ["kotlin and gradle the build uses today", "the build uses gradle and kotlin daily", "nothing of the sort was said here"]
+    rows = lambda texts, first: spark.createDataFrame([(first + 1000 * k + n, x) for k, x in enumerate(texts) for n in range(200)], "id long, content string")
+    seen, inner = [], memory.overlap_candidates
+    monkeypatch.setattr(memory, "overlap_candidates", lambda a, b, least: seen.append((a.count(), b.count())) or inner(a, b, least))
+    left = memory.not_paraphrased(rows(new, 0), rows(known, 100_000))
+    assert sorted(r["id"] for r in left.collect()) == [2000 + n for n in range(200)]
+    assert seen == [(2, 2)]
