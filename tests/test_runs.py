@@ -235,3 +235,17 @@ def test_copies_of_notes_are_compared_once(spark, monkeypatch):
     left = memory.not_paraphrased(rows(new, 0), rows(known, 100_000))
     assert sorted(r["id"] for r in left.collect()) == [2000 + n for n in range(200)]
     assert seen == [(2, 2)]
+
+
+def test_few_rows_of_a_batch_are_held_as_texts():
+    """Diffs and counted identifiers take Arrow columns in pieces; order, nulls and the pieces' ends are kept."""
+    import pyarrow as pa
+
+    from spindrift.functions import text as X
+
+    old = [None if k % 7 == 0 else f"a\nb{k}" for k in range(600)]
+    new = [f"a\nc{k}" for k in range(600)]
+    assert diff.unified_diff.func(pa.array(old), pa.array(new)).to_pylist() == [diff.unified(x or "", y) for x, y in zip(old, new, strict=True)]
+    tokens = [None if k % 5 == 0 else [f"t{k}", "x", "x"] for k in range(600)]
+    want = [None if t is None else [{"identifier": "x", "times": 2}, {"identifier": t[0], "times": 1}] for t in tokens]
+    assert X._counted.func(pa.array(tokens, pa.list_(pa.string()))).to_pylist() == want
