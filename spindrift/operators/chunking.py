@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ BOUNDARY = re.compile(
     r"|func\s+|type\s+\w+\s+struct|package\s+|module\s+",
     re.A,
 )
+#: Files of an Arrow batch that are held as Python's objects.
+HELD_ROWS = 256
 CHUNKS = "path string, start_line int, end_line int, contents string"
 
 
@@ -85,17 +87,21 @@ def chunk_files(files: DataFrame, size: int = 80, overlap: int = 15, most_chars:
 
     def run(batches):
         for batch in batches:
-            rows = [
-                (path, *part)
-                for path, contents in zip(batch["path"], batch["contents"], strict=True)
-                if contents
-                for lines in [contents.split("\n")]
-                for first, last in spans_of(lines, size, overlap)
-                for part in by_characters(lines[first - 1 : last], first, most_chars)
-            ]
-            yield pd.DataFrame(rows, columns=["path", "start_line", "end_line", "contents"])
-
-    return files.select("path", "contents").mapInPandas(run, CHUNKS)
+            for start in range(0, batch.num_rows, HELD_ROWS):
+                part = batch.slice(start, HELD_ROWS)
+                rows = [
+                    (path, *piece)
+                    for path, contents in zip(part["path"].to_pylist(), part["contents"].to_pylist(), strict=True)
+                    if contents
+                    for lines in [contents.split("\n")]
+                    for first, last in spans_of(lines, size, overlap)
+                    for piece in by_characters(lines[first - 1 : last], first, most_chars)
+                ]
+                if rows:
+                    columns = zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["path", "start_line", "end_line", "contents"])
+
+    return files.select("path", "contents").mapInArrow(run, CHUNKS)
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
