@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as X
 from spindrift.operators import braces, chunking
 from spindrift.operators.graph import EDGES, resolved, source_edges
+from spindrift.operators.store import spread
 
 SYMBOL_CHUNKS = "path string, start_line int, end_line int, contents string, symbol string, kind string, parent string"
 #: Below this part of a file's characters in symbols, the file is cut by lines instead.
@@ -58,7 +59,7 @@ CHUNKED: dict[str, Callable[[str], list[braces.Symbol]]] = {"python": _python} |
 def chunk_symbols(files: DataFrame, size: int = 80, overlap: int = 15, most_chars: int = 20_000, by_language: dict[str, Callable[[str], list[braces.Symbol]]] | None = None) -> DataFrame:
     """SYMBOL_CHUNKS of files (path, contents) by the symbols of their language; where it is not known, or symbols cover too little, by lines.
 
-    Files are cut each by itself, so tasks need no shuffle; a null or empty file has no chunks.
+    Files are cut each by itself, on all cores even if the table has few parts; a null or empty file has no chunks.
     """
     known = CHUNKED if by_language is None else by_language
 
@@ -76,7 +77,7 @@ def chunk_symbols(files: DataFrame, size: int = 80, overlap: int = 15, most_char
                 rows += [(path, *part, *s[2:]) for s in spans for part in chunking.by_characters(lines[s[0] - 1 : s[1]], s[0], most_chars)]
             yield pd.DataFrame(rows, columns=["path", "start_line", "end_line", "contents", "symbol", "kind", "parent"])
 
-    return files.select("path", "contents", X.language_of(F.col("path")).alias("language")).mapInPandas(run, SYMBOL_CHUNKS)
+    return spread(files.select("path", "contents", X.language_of(F.col("path")).alias("language"))).mapInPandas(run, SYMBOL_CHUNKS)
 
 
 def resolved_imports(imports: DataFrame, indexed: DataFrame) -> DataFrame:

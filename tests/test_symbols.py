@@ -80,3 +80,11 @@ def test_relative_imports(spark):
     imports = spark.createDataFrame([("src/a.ts", "./b"), ("src/a.ts", "../lib"), ("src/a.ts", "./none"), ("src/a.ts", "react")], "path string, specifier string")
     indexed = spark.createDataFrame([("src/b.tsx",), ("src/b.ts",), ("lib/index.ts",)], "path string")
     assert {tuple(r) for r in symbols.resolved_imports(imports, indexed).collect()} == {("src/a.ts", "./b", "src/b.ts"), ("src/a.ts", "../lib", "lib/index.ts")}
+
+
+def test_a_table_in_one_part_is_cut_by_all_cores(spark):
+    from spindrift.operators import symbols as operators
+
+    one = spark.range(64).coalesce(1).selectExpr("concat('f', id, '.py') AS path", "'def f():\n    pass\n' AS contents")
+    cut = operators.chunk_symbols(one)
+    assert cut.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and cut.count() == 64
