@@ -261,3 +261,34 @@ def test_indexed_paths_equal_sql_on_odd_rows(spark, tmp_path):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = db.execute(catalog.ORACLES["indexed_paths"]).fetchall()
     assert [tuple(r) for r in catalog.QUERIES["indexed_paths"](spark, str(tmp_path)).collect()] == want and len(want) == 5
+
+
+def test_notes_with_rare_words_in_common_are_not_paired(spark):
+    """Sets whose rare words many others hold: hardly more pairs leave the join than are alike, and none that is alike is lost."""
+    from spindrift.operators import memory
+
+    rng = random.Random(11)
+    sets = {n: {f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 12, 40, 150]))} for n in range(300)}
+    sets |= {n + 300: {w for w in sets[n] if rng.random() < 0.9} | {f"w{rng.randrange(300)}"} for n in range(60)}
+    rows = spark.createDataFrame([(n, sorted(w)) for n, w in sets.items()], "id long, w array<string>")
+    alike = {(a, b) for a, x in sets.items() if a % 3 for b, y in sets.items() if b % 3 == 0 and len(x & y) >= 0.8 * min(len(x), len(y))}
+    found = {(r["a"], r["b"]) for r in memory.overlap_candidates(rows.where("id % 3 != 0"), rows.where("id % 3 = 0"), 0.8).collect()}
+    assert alike <= found and 20 < len(alike) and len(found) < 3 * len(alike)
+
+
+def test_a_note_like_very_many_is_compared_with_few_of_them(spark, monkeypatch):
+    """Where the first known set that a note may be like does not settle it, the others do."""
+    from spindrift.operators import memory
+
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    text = lambda n, *parts: (n, " ".join(sum(parts, [])))
+    known = [text(n, words("word", 32), words(f"own{n}x", 8)) for n in range(100)]
+    # two notes are each like one known note, and lack one word to be like another
+    ours = [text(1000, words("word", 40)), text(1001, words("word", 28), words("fresh", 12))]
+    ours += [text(1002 + k, words("word", 26), words(f"own{like}x", 8), words(f"own{other}x", 5), ["last"]) for k, (like, other) in enumerate([(3, 57), (57, 3)])]
+    sizes, inner = [], memory.fs.kept
+    monkeypatch.setattr(memory.fs, "kept", lambda d: [x := inner(d), sizes.append((tuple(x.columns), x.count()))][0])
+    monkeypatch.setattr(memory, "SIGNED", 1)  # so few bits let pairs through that are not alike
+    left = memory.not_paraphrased(frame(spark, ours, "id long, content string"), frame(spark, known, "id long, content string"))
+    assert [r["id"] for r in left.collect()] == [1001]
+    assert [n for columns, n in sizes if columns == ("a", "b")] == [104, 3]
