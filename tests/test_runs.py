@@ -318,7 +318,7 @@ def test_a_failed_reranker_is_not_taken_for_a_result(spark, tmp_path):
     assert told == ["reranked"]
 
 
-@pytest.mark.parametrize("name", ["retrieve_full"])
+@pytest.mark.parametrize("name", ["retrieve_full", "retrieval_summary"])
 def test_search_queries_fail_with_their_reranker(spark, tmp_path, monkeypatch, name):
     rows = [(k, f"get the list {k}", "en", "s", 14) for k in range(5)]
     frame(spark, rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
